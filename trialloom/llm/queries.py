@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from trialloom.llm.common import table
+from trialloom.llm.ogg import from_media, to_media
 from trialloom.llm.packing import pack
+from trialloom.llm.secrets import scan_secrets
 from trialloom.llm.simhash import simhash_groups
 
 
@@ -21,8 +23,23 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), window=1024, tokenizer="byte_bpe_50k.json")
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of every text."""
+    return scan_secrets(table(spark, sf_dir, "documents")).drop("redacted")
+
+
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as an Ogg file and read back."""
+    return from_media(to_media(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op4_packing": op4_packing}
+    return {
+        "op1_simhash": op1_simhash,
+        "op4_packing": op4_packing,
+        "op9_secrets": op9_secrets,
+        "op10_media": op10_media,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
