@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trialloom.llm.common import table
+from trialloom.llm.common import held_out, table
 from trialloom.llm.ogg import from_media, to_media
 from trialloom.llm.packing import pack
+from trialloom.llm.quality import score, train
 from trialloom.llm.secrets import scan_secrets
 from trialloom.llm.simhash import simhash_groups
 
@@ -18,6 +20,14 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by a field that learns from the rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    out = held_out(F.col("doc_id"))
+    field = train(docs, table(spark, sf_dir, "labels"), ~out)
+    return score(docs, field).select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of at most 1024 tokens."""
     return pack(table(spark, sf_dir, "documents"), window=1024, tokenizer="byte_bpe_50k.json")
@@ -36,6 +46,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
+        "op2_quality": op2_quality,
         "op4_packing": op4_packing,
         "op9_secrets": op9_secrets,
         "op10_media": op10_media,
