@@ -55,14 +55,15 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def bounded_sample(df: DataFrame, label: str, key: str, per_label: int, seed: int = 7) -> DataFrame:
-    """About per_label rows of each label, chosen by a hash of key, the same on every run.
+def bounded_sample(df: DataFrame, label: str, key: str, total: int, seed: int = 7) -> DataFrame:
+    """About total rows, as many of each label, chosen by a hash of key, the same on every run.
 
     The share kept of each label follows from its exact count, so that no task has to
     rank all rows of one label. Rows with null label never count.
     """
     rows = df.where(F.col(label).isNotNull())
     counts = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count("*").alias("n")).collect()}
+    per_label = total / max(1, len(counts))
     share = F.lit(0.0)
     for value, n in sorted(counts.items(), key=lambda x: str(x[0])):
         share = F.when(F.col(label) == F.lit(value), F.lit(min(1.0, per_label / n))).otherwise(share)

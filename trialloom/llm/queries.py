@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trialloom.llm import language
 from trialloom.llm.common import held_out, table
+from trialloom.llm.language import identify
 from trialloom.llm.ogg import from_media, to_media
 from trialloom.llm.packing import pack
 from trialloom.llm.quality import score, train
@@ -33,6 +35,13 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), window=1024, tokenizer="byte_bpe_50k.json")
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by machines that learn from the rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    out = held_out(F.col("doc_id"))
+    return identify(docs, language.train(docs, ~out)).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret spans of every text."""
     return scan_secrets(table(spark, sf_dir, "documents")).drop("redacted")
@@ -48,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash": op1_simhash,
         "op2_quality": op2_quality,
         "op4_packing": op4_packing,
+        "op7_language": op7_language,
         "op9_secrets": op9_secrets,
         "op10_media": op10_media,
     }
