@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trialloom.llm import language
 from trialloom.llm.common import held_out, table
+from trialloom.llm.html import extract_text
 from trialloom.llm.language import identify
 from trialloom.llm.ogg import from_media, to_media
 from trialloom.llm.packing import pack
@@ -35,6 +36,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), window=1024, tokenizer="byte_bpe_50k.json")
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible text of every page."""
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document by machines that learn from the rows that are not held out."""
     docs = table(spark, sf_dir, "documents")
@@ -57,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash": op1_simhash,
         "op2_quality": op2_quality,
         "op4_packing": op4_packing,
+        "op5_html": op5_html,
         "op7_language": op7_language,
         "op9_secrets": op9_secrets,
         "op10_media": op10_media,
