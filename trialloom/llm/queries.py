@@ -11,6 +11,7 @@ from trialloom.llm import language
 from trialloom.llm.common import held_out, table
 from trialloom.llm.html import extract_text
 from trialloom.llm.language import identify
+from trialloom.llm.lm import stupid_backoff
 from trialloom.llm.ogg import from_media, to_media
 from trialloom.llm.packing import pack
 from trialloom.llm.quality import score, train
@@ -31,6 +32,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, field).select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stupid-backoff score of every document against the rest of the corpus."""
+    return stupid_backoff(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of at most 1024 tokens."""
     return pack(table(spark, sf_dir, "documents"), window=1024, tokenizer="byte_bpe_50k.json")
@@ -62,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
         "op2_quality": op2_quality,
+        "op3_lm": op3_lm,
         "op4_packing": op4_packing,
         "op5_html": op5_html,
         "op7_language": op7_language,
