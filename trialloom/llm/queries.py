@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trialloom.llm import language
 from trialloom.llm.common import held_out, table
+from trialloom.llm.embeddings import near_duplicates
 from trialloom.llm.html import extract_text
 from trialloom.llm.language import identify
 from trialloom.llm.lm import stupid_backoff
@@ -39,7 +40,7 @@ def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of at most 1024 tokens."""
-    return pack(table(spark, sf_dir, "documents"), window=1024, tokenizer="byte_bpe_50k.json")
+    return pack(table(spark, sf_dir, "documents"), window=1024)
 
 
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +55,11 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, language.train(docs, ~out)).select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at cosine 0.98."""
+    return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret spans of every text."""
     return scan_secrets(table(spark, sf_dir, "documents")).drop("redacted")
@@ -72,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_packing": op4_packing,
         "op5_html": op5_html,
         "op7_language": op7_language,
+        "op8_embeddings": op8_embeddings,
         "op9_secrets": op9_secrets,
         "op10_media": op10_media,
     }
