@@ -13,6 +13,7 @@ from trialloom.llm.embeddings import near_duplicates
 from trialloom.llm.html import extract_text
 from trialloom.llm.language import identify
 from trialloom.llm.lm import stupid_backoff
+from trialloom.llm.mixing import TARGETS, label_domains, mix
 from trialloom.llm.ogg import from_media, to_media
 from trialloom.llm.packing import pack
 from trialloom.llm.quality import score, train
@@ -48,6 +49,11 @@ def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posteriors, rates and copies that bring the domains of documents to their target shares."""
+    return mix(table(spark, sf_dir, "documents"), label_domains(table(spark, sf_dir, "labels")), TARGETS)
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document by machines that learn from the rows that are not held out."""
     docs = table(spark, sf_dir, "documents")
@@ -77,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_lm": op3_lm,
         "op4_packing": op4_packing,
         "op5_html": op5_html,
+        "op6_mixing": op6_mixing,
         "op7_language": op7_language,
         "op8_embeddings": op8_embeddings,
         "op9_secrets": op9_secrets,
