@@ -82,3 +82,15 @@ def test_pack_documents(spark):
     check_pack(rows, docs, 1024)
     total = sum(r.length for r in rows)
     assert len({r.sequence_id for r in rows}) <= 1.02 * total / 1024 + 1
+
+
+def test_ids_are_the_tokenizers_own(spark):
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tok.encode_special_tokens = True
+    ids = packing._Ids("byte_bpe_50k")
+    rng = random.Random(9)
+    bits = [" ", "  ", "\n", "\t", "\r\n", "a", "Word", "don't", "'s", "12", "é", "ñandú", "!!", "$$$.", "\u00a0", "\u2028", "<|endoftext|>", "漢字", "_", "🙂", "\x1c", "x" * 300]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
+    texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    for t, e in zip(texts, tok.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(ids.encode(t), dtype="<u4").tolist() == e.ids, t

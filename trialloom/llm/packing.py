@@ -13,14 +13,14 @@ gives every rest its rank without gathering a length in one task.
 
 from __future__ import annotations
 
+import base64
 import functools
-import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,53 +28,61 @@ from pyspark.sql import functions as F
 from trialloom.llm.common import map_arrow, written
 
 #: Distinct words whose ids a worker remembers; beyond it, it starts anew.
-CACHE = 200_000
+CACHE = 600_000
 #: Parts in which the pieces of one length are ranked.
 SALTS = 256
 
 
 class _Ids(dict):
-    """Words of the tokenizer's own pattern to their ids as little-endian bytes."""
-
-    def __init__(self, path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.words = regex.compile(public_tokenizers.PATTERN)
-
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        """The ids of each text. The tokenizer cuts a text by this pattern and never merges
-        across cuts, so the ids of a text are those of its words one after another."""
-        cut = [self.words.findall(text or "") for text in texts]
-        new = [w for w in set().union(*cut) if w not in self]
-        if new and len(self) + len(new) > CACHE:
+    """Words, each standing for itself after a blank, to their ids as little-endian bytes.
+
+    The vocabulary's own pattern takes one blank into the word that follows it and never
+    joins two words, so the ids of a text are those of its pieces between blanks one after
+    another, if no piece is empty or begins with white space; other texts are encoded
+    whole. Most words come again and again, so few are encoded at all. The ids are those
+    of the vocabulary's .json file; its .tiktoken file holds the same one as ranks.
+    """
+
+    def __init__(self, vocabulary: str) -> None:
+        import tiktoken
+
+        with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as lines:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        self.whole = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def __missing__(self, word: str) -> bytes:
+        if not word or word[0].isspace() or len(word) > 200:
+            raise KeyError(word)
+        if len(self) >= CACHE:
             self.clear()
-            new = list(set().union(*cut))
-        for word, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self[word] = np.array(e.ids, dtype="<u4").tobytes()
-        for words in cut:
-            yield b"".join(map(self.__getitem__, words))
+        self[word] = ids = array("I", self.whole(" " + word)).tobytes()
+        return ids
+
+    def encode(self, text: str | None) -> bytes:
+        first, *words = (text or "").split(" ")
+        try:
+            return array("I", self.whole(first)).tobytes() + b"".join(map(self.__getitem__, words))
+        except KeyError:
+            return array("I", self.whole(text)).tobytes()
 
 
 @functools.lru_cache(maxsize=2)
-def _ids(path: str) -> _Ids:
-    return _Ids(path)
+def _ids(vocabulary: str) -> _Ids:
+    return _Ids(vocabulary)
 
 
-def pieces(docs: DataFrame, window: int, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, window: int, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, row, start, length, ids_crc32, doc_tokens): full windows and the rest of each row.
 
     row tells apart rows with the same doc_id.
     """
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        path = public_tokenizers.path(tokenizer)
+        ids_of = _ids(vocabulary)
         for b in batches:
             out: dict[str, list] = {n: [] for n in ("doc_id", "row", "start", "length", "ids_crc32", "doc_tokens")}
-            for doc_id, row, ids in zip(b["doc_id"], b["row"], _ids(path).encode(b["text"]), strict=True):
-                ids += b"\0\0\0\0"
+            for doc_id, row, text in zip(b["doc_id"], b["row"], b["text"], strict=True):
+                ids = ids_of.encode(text) + b"\0\0\0\0"
                 n = len(ids) // 4
                 for start in range(0, n, window):
                     part = ids[4 * start : 4 * (start + window)]
@@ -151,14 +159,14 @@ def best_fit_decreasing(histogram: dict[int, int], window: int) -> list[tuple[in
     return plan
 
 
-def pack(docs: DataFrame, window: int = 1024, tokenizer: str = "byte_bpe_50k.json", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, window: int = 1024, vocabulary: str = "byte_bpe_50k", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Null and empty texts are the closing id 0 alone. Repeated rows are packed each; null
     ids keep their rows. Sequence ids are 0, 1, ... without gaps, and the pieces of a
     sequence fill it from offset 0 without gaps. No rows give no pieces.
     """
-    found = written(pieces(docs, window, tokenizer, id_col, text_col).withColumn("salt", F.pmod(F.xxhash64("doc_id", "row"), F.lit(SALTS))))
+    found = written(pieces(docs, window, vocabulary, id_col, text_col).withColumn("salt", F.pmod(F.xxhash64("doc_id", "row"), F.lit(SALTS))))
     spark = docs.sparkSession
     counts = written(found.groupBy("length", "salt").agg(F.count("*").alias("n")))  # at most window * SALTS rows
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most window rows
