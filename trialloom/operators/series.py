@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BY_TIME = W.partitionBy("trial_id").orderBy("t")
+def _by_time():
+    return W.partitionBy("trial_id").orderBy("t")
 
 
 def occurrences(events: DataFrame, first: int = 1, last: int = 1, from_end: bool = False) -> DataFrame:
@@ -24,7 +25,7 @@ def previous(trials: DataFrame, column: str, n: int, valid: Column, within: list
 
 def intervals_between(events: DataFrame) -> DataFrame:
     """trial_id, t, gap to the preceding point of the trial."""
-    return events.select("trial_id", "t", (F.col("t") - F.lag("t").over(BY_TIME)).alias("gap")).where("gap is not null")
+    return events.select("trial_id", "t", (F.col("t") - F.lag("t").over(_by_time())).alias("gap")).where("gap is not null")
 
 
 def merge_intervals(intervals: DataFrame) -> DataFrame:
@@ -83,7 +84,7 @@ def crossings(samples: DataFrame, threshold: float) -> DataFrame:
     A negative threshold is crossed downwards.
     """
     beyond = F.col("v") <= threshold if threshold < 0 else F.col("v") >= threshold
-    marked = samples.withColumn("on", beyond).withColumn("next", F.lead("on").over(BY_TIME))
+    marked = samples.withColumn("on", beyond).withColumn("next", F.lead("on").over(_by_time()))
     return marked.where("not on and next").select("trial_id", "t", "v")
 
 
@@ -103,13 +104,13 @@ def fill_edges(samples: DataFrame) -> DataFrame:
 
 
 def running_extremes(samples: DataFrame) -> DataFrame:
-    w = BY_TIME.rowsBetween(W.unboundedPreceding, 0)
+    w = _by_time().rowsBetween(W.unboundedPreceding, 0)
     return samples.withColumns({"high": F.max("v").over(w), "low": F.min("v").over(w)})
 
 
 def sampling_period(samples: DataFrame) -> DataFrame:
     """period: the median over trials of the median step of a trial."""
-    steps = samples.select("trial_id", (F.col("t") - F.lag("t").over(BY_TIME)).alias("dt")).where("dt is not null")
+    steps = samples.select("trial_id", (F.col("t") - F.lag("t").over(_by_time())).alias("dt")).where("dt is not null")
     return steps.groupBy("trial_id").agg(F.median("dt").alias("dt")).agg(F.median("dt").alias("period"))
 
 
