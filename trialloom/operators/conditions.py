@@ -80,8 +80,9 @@ def cube(axes: dict[str, DataFrame]) -> DataFrame:
 
 def members(trials: DataFrame, conditions: DataFrame, attributes: list[str]) -> DataFrame:
     """trial_id, cond: trials whose attributes equal a condition's (NULL equals NULL)."""
-    same = reduce(lambda a, b: a & b, [trials[a].eqNullSafe(conditions[a]) for a in attributes])
-    return trials.join(F.broadcast(conditions), same).select(trials["trial_id"], conditions["cond"])
+    cells = conditions.select("cond", *[F.col(a).alias(f"_{a}") for a in attributes])
+    same = reduce(lambda a, b: a & b, [F.col(a).eqNullSafe(F.col(f"_{a}")) for a in attributes])
+    return trials.select("trial_id", *attributes).join(F.broadcast(cells), same).select("trial_id", "cond")  # a cube of value lists
 
 
 def by_condition(conditions: DataFrame, grouped: DataFrame) -> DataFrame:
