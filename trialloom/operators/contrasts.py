@@ -36,3 +36,9 @@ def marginalise(cells: DataFrame, a: str, b: str, value: str) -> DataFrame:
         (F.col("_b") - F.col("_all")).alias("main_b"),
         (F.col(value) - F.col("_a") - F.col("_b") + F.col("_all")).alias("interaction"),
     )
+
+
+def linear_fit(df: DataFrame, x: str, y: str, by: list[str], ridge: float = 0.0) -> DataFrame:
+    """slope and intercept of y on x in each group; ridge shrinks the slope (added to the variance)."""
+    slope = F.try_divide(F.covar_pop(x, y), F.var_pop(x) + ridge)
+    return df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by).agg(slope.alias("slope"), (F.avg(y) - slope * F.avg(x)).alias("intercept"))

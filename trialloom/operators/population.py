@@ -81,3 +81,12 @@ def common_window(spans: DataFrame, by: list[str], least: int) -> DataFrame:
     w = W.partitionBy(*by)
     ranked = spans.withColumns({"_a": F.row_number().over(w.orderBy("t0")), "_b": F.row_number().over(w.orderBy(F.desc("t1")))})
     return ranked.groupBy(*by).agg(F.max(F.when(F.col("_a") <= least, F.col("t0"))).alias("t_min"), F.min(F.when(F.col("_b") <= least, F.col("t1"))).alias("t_max"))
+
+
+def variance_explained(cube: DataFrame, direction: DataFrame) -> DataFrame:
+    """total variance of the centred cube, and the share that one direction(basis, w) of unit
+    length explains: one less what its reconstruction leaves over, never below 0."""
+    z = _centred(cube).join(F.broadcast(direction), "basis")  # a weight for each basis
+    score = F.sum(F.col("w") * F.col("z")).over(W.partitionBy("cond"))
+    left = z.withColumn("e", F.col("z") - F.col("w") * score)
+    return left.agg(F.sum(F.col("z") * F.col("z")).alias("total"), F.greatest(F.lit(0.0), 1 - F.sum(F.col("e") * F.col("e")) / F.sum(F.col("z") * F.col("z"))).alias("explained"))
