@@ -91,6 +91,13 @@ def test_rates_match_plain_projected_gradient(spark):
     assert mine.min() >= 0 and loss(mine) <= loss(rate) + 1e-5 and loss(mine) < loss(np.ones(200)) / 20
 
 
+def test_a_domain_without_tokens_repeats_nothing_for_ever(spark):
+    rows = [(i, 100, [1 - 1e-6, 1e-6]) for i in range(50)] + [(99, 1, [0.2, 0.8])]
+    df = spark.createDataFrame(rows, "doc_id long, tokens long, p array<double>")
+    got = {r.doc_id: r.rate for r in mixing.fit_rates(df, [0.9, 0.1]).collect()}
+    assert got[99] == mixing.MOST and all(0.85 < got[i] < 1.15 for i in range(50))
+
+
 def test_cases(spark):
     rows = [(1, None, "a"), (2, "", "a"), (3, "good words here", None), (3, "good words here", None), (None, "x y", "b"), (None, "z", "b"), (4, "bad " * 50_000, "b"), (5, "good thing", "a")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, tokens string")

@@ -23,6 +23,8 @@ CHI_SQUARE = 16.0
 FULL = 20.0
 #: Steps at most, steps between tables, and the share of all tokens that totals may be off.
 STEPS, NESTED, CLOSE = 60, 4, 1e-4
+#: A document is repeated this often at most.
+MOST = 4.0
 #: Stands in every document.
 EVERY = "\u0001"
 
@@ -80,7 +82,7 @@ def posteriors(docs: DataFrame, words: DataFrame, k: int) -> DataFrame:
     return weights.select("doc_id", "tokens", F.array(*[F.col("w")[i] / total for i in range(k)]).alias("p"))
 
 
-def fit_rates(members: DataFrame, targets: list[float], steps: int = STEPS) -> DataFrame:
+def fit_rates(members: DataFrame, targets: list[float], steps: int = STEPS, most: float = MOST) -> DataFrame:
     """members(doc_id, tokens, p) with rate: from 1 everywhere, projected gradient on
     sum over domains of (tokens of the domain - its target)^2 / tokens it has at rate 1.
 
@@ -114,7 +116,7 @@ def fit_rates(members: DataFrame, targets: list[float], steps: int = STEPS) -> D
             pulls = [now[f"a{i}"] / total - w for i, w in enumerate(targets)]
         last, age = loss, age + 1
         pull = sum((p[i] * F.lit(pulls[i] / size[i]) for i in range(1, k)), p[0] * F.lit(pulls[0] / size[0]))
-        after = F.greatest(F.lit(0.0), ahead - pull)
+        after = F.least(F.lit(most), F.greatest(F.lit(0.0), ahead - pull))
         moved = table.withColumns({"rate": after, "ahead": after + F.lit((age - 1.0) / (age + 2.0)) * (after - rate)})
         nested += 1
         if nested % NESTED == 0:
