@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 
 from trialloom.llm import quality
 from trialloom.llm.common import held_out, table, written
-from trialloom.llm.mixing import TARGETS, label_domains, mixed_documents
+from trialloom.llm.mixing import label_domains, mixed_documents
 from trialloom.llm.packing import pack
 from trialloom.llm.secrets import without_secrets
 from trialloom.llm.simhash import deduplicated
 
+#: Shares of tokens to mix to. The first stage leaves next to nothing of low quality.
+TARGETS = {"clean": 0.9, "toxic": 0.1}
+
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality reaches 0.7 stay."""
