@@ -64,7 +64,7 @@ def test_secret_stage(stages):
 
 def test_mixing_stage(spark, stages):
     labels = mixing.label_domains(spark.read.parquet(f"{SF}/labels.parquet"))
-    copies = {r.doc_id: r.copies for r in mixing.mix(stages[3], labels, mixing.TARGETS).collect()}
+    copies = {r.doc_id: r.copies for r in mixing.mix(stages[3], labels, corpus_pipeline.TARGETS).collect()}
     got = ids(stages[4])
     assert {i: got.count(i) for i in set(got)} == {k: v for k, v in copies.items() if v}
 
