@@ -46,16 +46,35 @@ def align(trials: DataFrame, events: DataFrame, window: str | Alignment, delta:
     invalidate or ignore. Padding widens the window and, where truncated, moves it inward.
     """
     spec = parse(window) if isinstance(window, str) else window
-    refs = [spec.start, spec.stop, spec.zero, *spec.truncate_after, *spec.truncate_before, *spec.invalidate, *spec.mark]
-    names = sorted({r.name for r in refs} - {TRIAL_START, TRIAL_END, ""})
-    found = events.where(F.col("event").isin(names)).groupBy("trial_id").agg(*[_times(n).alias(f"e{i}") for i, n in enumerate(names)]) if names else None
+    refs = [spec.start, spec.stop, spec.zero, *spec.truncate_after, *spec.truncate_before, *spec.invalidate]
+    mine = {r.name: F.when((F.col("event") == r.name) & ~F.isnan("t"), F.col("t")) for r in refs}
+    # the first and the last occurrence are plain aggregates; other indices need the times in order
+    sums, plain, listed = [], {}, {}
+    for r in refs:
+        if r.name in (TRIAL_START, TRIAL_END):
+            plain[r.name, r.index] = F.col("t_start" if r.name == TRIAL_START else "t_end")
+        elif r.index in ("1", "end") and (r.name, r.index) not in plain:
+            rank = F.when(mine[r.name].isNotNull(), F.col("occ"))
+            sums.append((F.min_by if r.index == "1" else F.max_by)(mine[r.name], rank).alias(f"e{len(sums)}"))
+            plain[r.name, r.index] = F.col(f"e{len(sums) - 1}")
+        elif (r.name, r.index) not in plain and r.name not in listed:
+            sums.append(_times(r.name).alias(f"e{len(sums)}"))
+            listed[r.name] = F.coalesce(F.col(f"e{len(sums) - 1}"), F.array().cast("array<double>"))
     rows = trials.select("trial_id", "t_start", "t_end")
-    rows = rows.join(found, "trial_id", "left") if found is not None else rows
-    at = {n: F.coalesce(F.col(f"e{i}"), F.array().cast("array<double>")) for i, n in enumerate(names)}
-    at |= {TRIAL_START: F.array("t_start"), TRIAL_END: F.array("t_end")}
+    if sums:
+        found = events.where(F.col("event").isin(sorted(mine))).groupBy("trial_id").agg(*sums)
+        rows = rows.join(found, "trial_id", "left")
+
+    def many(ref: EventRef) -> Column:
+        if (ref.name, ref.index) in plain:
+            t = plain[ref.name, ref.index]
+            return F.when(t.isNotNull(), F.array(t + F.lit(ref.offset))).otherwise(F.array().cast("array<double>"))
+        return _pick(ref, listed[ref.name])
 
     def one(ref: EventRef) -> Column:
-        return F.get(_pick(ref, at[ref.name]), F.lit(0))
+        if (ref.name, ref.index) in plain:
+            return plain[ref.name, ref.index] + F.lit(ref.offset)
+        return F.get(_pick(ref, listed[ref.name]), F.lit(0))
 
     def snap(x: Column) -> Column:
         return F.round((x - F.col("zero")) / delta) * delta + F.col("zero") if rounding else x
@@ -63,9 +82,9 @@ def align(trials: DataFrame, events: DataFrame, window: str | Alignment, delta:
     pre, post = F.lit(spec.pre), F.lit(spec.post)
     rows = rows.withColumn("zero", one(spec.zero)).withColumns({"start_pad": snap(one(spec.start)) - pre, "stop_pad": snap(one(spec.stop)) + post})
     for ref in spec.truncate_after:
-        rows = rows.withColumn("stop_pad", F.least("stop_pad", F.array_min(F.filter(_pick(ref, at[ref.name]), lambda x: x >= F.col("start_pad")))))
+        rows = rows.withColumn("stop_pad", F.least("stop_pad", F.array_min(F.filter(many(ref), lambda x: x >= F.col("start_pad")))))
     for ref in spec.truncate_before:
-        rows = rows.withColumn("start_pad", F.greatest("start_pad", F.array_max(F.filter(_pick(ref, at[ref.name]), lambda x: x <= F.col("stop_pad")))))
+        rows = rows.withColumn("start_pad", F.greatest("start_pad", F.array_max(F.filter(many(ref), lambda x: x <= F.col("stop_pad")))))
     causes = [
         (F.col("zero").isNull(), "missing zero event"),
         (F.col("start_pad").isNull(), "missing start event"),
@@ -73,7 +92,7 @@ def align(trials: DataFrame, events: DataFrame, window: str | Alignment, delta:
         (F.col("start_pad") + pre > F.col("stop_pad") - post, "start after stop"),
     ]
     for ref in spec.invalidate:
-        hit = F.exists(_pick(ref, at[ref.name]), lambda x: (x >= F.col("start_pad")) & (x <= F.col("stop_pad")))
+        hit = F.exists(many(ref), lambda x: (x >= F.col("start_pad")) & (x <= F.col("stop_pad")))
         causes.append((hit, f"overlaps {ref.name}"))
     off = (F.col("start_pad") < F.col("t_start")) | (F.col("stop_pad") > F.col("t_end"))
     if outside == "invalidate":
