@@ -36,3 +36,34 @@ def masked_update(df: DataFrame, column: str, new: Column, mask: Column, clear:
     """column takes new where mask holds; elsewhere it stays, or is cleared."""
     keep = F.lit(None) if clear else F.col(column)
     return df.withColumn(column, F.when(F.coalesce(mask, F.lit(False)), new).otherwise(keep))
+
+
+def infer(df: DataFrame) -> DataFrame:
+    """channel, kind, element of a table's columns: params hold one value a row, series an array
+    of numbers, groups an array of arrays, events are arrays whose names say so."""
+    rows = []
+    for f in df.schema.fields:
+        kind = f.dataType.simpleString()
+        if kind.startswith("array<array"):
+            rows.append((f.name, "group", kind[12:-2]))
+        elif kind.startswith("array<"):
+            named = f.name.lower().endswith(("times", "onset", "start", "end", "events"))
+            rows.append((f.name, "event" if named else "series", kind[6:-1]))
+        else:
+            rows.append((f.name, "param", kind))
+    return df.sparkSession.createDataFrame(rows, "channel string, kind string, element string")
+
+
+def conform(df: DataFrame, schema: dict[str, str], required: set[str]) -> DataFrame:
+    """The columns of schema with their types: optional ones that lack are missing values, values
+    that cannot be cast become missing; a required column that lacks raises ValueError."""
+    lacking = sorted(required - set(df.columns))
+    if lacking:
+        raise ValueError(f"required columns are missing: {', '.join(lacking)}")
+    return df.select(*[F.col(c).try_cast(t).alias(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in schema.items()])
+
+
+def in_order(df: DataFrame, times: str, values: str) -> DataFrame:
+    """Both arrays of every row sorted by time."""
+    pairs = F.array_sort(F.zip_with(times, values, lambda t, v: F.struct(t.alias("t"), v.alias("v"))))
+    return df.withColumn("_p", pairs).withColumns({times: F.col("_p.t"), values: F.col("_p.v")}).drop("_p")

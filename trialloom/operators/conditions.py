@@ -113,3 +113,13 @@ def distinct_with_tolerance(df: DataFrame, column: str, tol: float = 1e-6) -> Da
     return steps.where(F.col("gap").isNull() | (F.col("gap") > tol * F.col("top"))).select("x")
 
 
+
+
+def suppress(membership: DataFrame, conditions: list[int]) -> DataFrame:
+    """Membership without some conditions."""
+    return membership.where(~F.col("cond").isin(conditions)) if conditions else membership
+
+
+def values_only_in(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
+    """Distinct values of a column that a has and b has not."""
+    return a.select(column).distinct().join(b.select(column).distinct(), column, "left_anti")
