@@ -55,10 +55,10 @@ def semi_join(spark, sf_dir):
     return c.join(big, "c_custkey", "left_semi").join(n, c["c_nationkey"] == n["n_nationkey"]).select("c_custkey", "n_name")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
 def anti_join(spark, sf_dir):
     c, o = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", "orders"))
-    return c.join(o, c["c_custkey"] == o["o_custkey"], "left_anti").select("c_custkey")
+    return c.join(o.where("o_totalprice > 400000"), c["c_custkey"] == o["o_custkey"], "left_anti").select("c_custkey")
 
 
 @query("SELECT s_suppkey AS id, s_acctbal AS balance, 'supplier' AS origin, NULL::VARCHAR AS segment FROM supplier UNION ALL SELECT c_custkey, c_acctbal, 'customer', c_mktsegment FROM customer")

@@ -39,10 +39,10 @@ def suppressed_conditions(spark, sf_dir):
     return C.suppress(tr, [1]).groupBy("cond").agg(F.count("*").alias("n"))
 
 
-@query("SELECT DISTINCT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 10)")
+@query("SELECT DISTINCT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)")
 def values_only_in(spark, sf_dir):
     p, li = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("part", "lineitem"))
-    return C.values_only_in(p, li.where("l_quantity > 10").select(F.col("l_partkey").alias("p_partkey")), "p_partkey")
+    return C.values_only_in(p, li.where("l_quantity > 49").select(F.col("l_partkey").alias("p_partkey")), "p_partkey")
 
 
 @query(f"""{CLICKS} SELECT cond, CAST(floor((start - zero) / 1800000) AS BIGINT) AS bin, count(*) AS n, round(min(stop - zero), 3) AS least_stop, round(max(stop - zero), 3) AS most_stop
