@@ -214,7 +214,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     cannot be told apart."""
     groups = written(simhash_groups(docs.select("doc_id", "text")).select("doc_id", "component_id").where("doc_id is not null"))
     first = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("times"))
-    marked = docs.join(first, "doc_id")
+    marked = docs.join(first.hint("merge"), "doc_id")  # the same plan at every size
     once = marked.where("times = 1").drop("times").select(docs.columns)
     again = marked.where("times > 1").drop("times").select(docs.columns).dropDuplicates(["doc_id"])
     return once.unionByName(again).unionByName(docs.where("doc_id is null"))
