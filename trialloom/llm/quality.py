@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialloom.llm.common import bounded_sample, map_arrow
+from trialloom.llm.common import bounded_sample, map_arrow, written
 
 #: Bounds of the training data: documents, and stretches of lines taken from each.
 SAMPLE, STRETCH, STRETCHES = 3000, 256, 8
@@ -176,8 +176,9 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "qual
     null ids are ignored; without rows of both labels every score is 0.5.
     """
     known = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("y"))
-    rows = docs.where(usable).select("doc_id", "text").join(known, "doc_id").withColumn("all", F.lit(1))
-    picked = bounded_sample(rows, "all", "doc_id", sample)
+    ids = docs.where(usable).select("doc_id").join(known, "doc_id").withColumn("all", F.lit(1))
+    chosen = written(bounded_sample(ids, "all", "doc_id", sample).select("doc_id", "y").distinct())
+    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # about sample rows, so texts stay where they are
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
