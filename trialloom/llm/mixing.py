@@ -52,7 +52,7 @@ def vocabulary(docs: DataFrame, labelled: DataFrame, domains: list[str], sample:
     """
     known = labelled.where(F.col("domain").isin(domains)).select("doc_id", "domain").distinct()
     picked = bounded_sample(known, "domain", "doc_id", sample)
-    rows = docs.select("doc_id", "text").join(picked, "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # about sample rows
     n = {r["domain"]: r["n"] for r in known.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     seen = {r["domain"]: r["n"] for r in picked.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     total, used = sum(n.values()), sum(seen.values())
