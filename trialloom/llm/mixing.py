@@ -146,8 +146,9 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], sample:
 
 def mixed_documents(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> DataFrame:
     """The rows of docs, each as often as its copies say. Rows with a null id stay once."""
+    # merged at every size, so that texts move once whether the rates are few or many
     rated = written(mix(docs, labelled, targets).select(F.col("doc_id").alias("_id"), F.col("copies").alias("_copies")).where("copies > 0"))
-    taken = docs.join(rated, F.col("doc_id") == F.col("_id")).withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    taken = docs.join(rated.hint("merge"), F.col("doc_id") == F.col("_id")).withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     return taken.select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
