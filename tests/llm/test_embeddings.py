@@ -61,3 +61,15 @@ def test_cases(spark):
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, label int, node string")
     assert run(df) == plain(rows)
     assert run(df.limit(0)) == []
+
+
+def test_linked_groups_that_fill_their_lists(spark):
+    """Every list is full of a vector's own tight group; links to other groups count all the same."""
+    rng = np.random.default_rng(8)
+    a, b, c = np.linalg.qr(rng.normal(size=(16, 3)))[0].T
+    rows = []
+    for g, centre in enumerate((a, 0.989 * a + math.sqrt(1 - 0.989**2) * b, c)):
+        rows += [(100 * g + i, (centre + 0.002 * rng.normal(size=16)).tolist(), 1) for i in range(12)]
+    want = plain(rows)
+    assert sorted(n for _, n, _, _ in want) == [11] * 12 + [23] * 24
+    assert run(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")) == want

@@ -6,11 +6,13 @@ few random hyperplane signs; then, round by round, every vector joins its neighb
 those that count it as theirs in a group, all pairs inside the group are compared, and
 better ones enter the lists. Groups that only hold old acquaintances rest.
 
-A list whose every entry reaches the threshold is saturated: there may be more. Its
-vector's list is enlarged to the whole connected part of the threshold graph that it lies
-in, counted tile by tile, so that a large group of near copies never becomes a list of
-pairs. Recall is audited against brute force on a bounded set of query vectors;
-while it is below its target, lists double and the descent goes on.
+A list whose every entry reaches the threshold is saturated: there may be more, also
+outside the connected part of the lists that it lies in. Parts that hold a saturated list
+are therefore compared whole: each with itself, and with every other such part of its
+label that an angle bound around one member does not rule out. That goes tile by tile and
+returns counts and the parts that touch, so that a large group of near copies never becomes
+a list of pairs. Recall is audited against brute force on a bounded set of query vectors
+after that; while it is below its target, lists double and the descent goes on.
 """
 
 from __future__ import annotations
@@ -181,11 +183,12 @@ def descend(nodes: DataFrame, graph: DataFrame, k: int, threshold: float) -> tup
     return after, after.where(F.col("sim") >= threshold).count()
 
 
-def audit(nodes: DataFrame, graph: DataFrame, k: int, threshold: float, queries: int = AUDIT) -> float:
-    """Share of the links of a bounded set of query vectors that the lists hold.
+def audit(nodes: DataFrame, graph: DataFrame, whole: DataFrame, threshold: float, queries: int = AUDIT) -> float:
+    """Share of the links of a bounded set of query vectors that lists and whole parts hold.
 
     The queries (about so many, a hash picks them) meet all vectors of their label. A link
-    counts as found if either end lists the other, or both are saturated.
+    counts as found if either end lists the other, or whole(node, root), the vectors that
+    were compared part by part, has both under the same root.
     """
     n = nodes.count()
     if not n:
@@ -210,14 +213,119 @@ def audit(nodes: DataFrame, graph: DataFrame, k: int, threshold: float, queries:
     true = nodes.select("node", "label", "v").mapInArrow(run, "a long, b long").where("a <> b")
     links = graph.where(F.col("sim") >= threshold)
     both = links.select(F.col("node").alias("a"), F.col("nbr").alias("b")).unionByName(links.select(F.col("nbr").alias("a"), F.col("node").alias("b"))).distinct().withColumn("hit", F.lit(1))
-    full = written(links.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("node"))
-    seen = true.join(both, ["a", "b"], "left").join(full.select(F.col("node").alias("a"), F.lit(1).alias("fa")), "a", "left").join(full.select(F.col("node").alias("b"), F.lit(1).alias("fb")), "b", "left")
-    r = seen.agg(F.count("*").alias("n"), F.count(F.coalesce("hit", F.col("fa") * F.col("fb"))).alias("found")).head()
+    ends = [whole.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab"]
+    seen = true.join(both, ["a", "b"], "left").join(ends[0], "a", "left").join(ends[1], "b", "left")
+    r = seen.agg(F.count("*").alias("n"), F.count(F.when(F.col("hit").isNotNull() | (F.col("ra") == F.col("rb")), 1)).alias("found")).head()
     return r.found / r.n if r.n else 1.0
 
 
-def neighbour_graph(nodes: DataFrame, threshold: float = THRESHOLD, k: int = K) -> tuple[DataFrame, int, float]:
-    """(graph(node, nbr, sim, fresh), k, audited recall)."""
+def _tiled(rows: DataFrame, of: str, meets: DataFrame) -> DataFrame:
+    """rows(of, ...) dealt to the groups (lo, hi, a, b) where tile a of lo meets tile b of hi.
+
+    A part (a value of the column of) of n rows is cut into tiles of about 512, so a part's
+    work spreads over tasks. meets(lo, hi), lo <= hi, says which parts meet.
+    """
+    sizes = written(rows.groupBy(F.col(of).alias("part")).agg(F.ceil(F.count("*") / TILE).alias("tiles")))
+    both = meets.select(F.col("lo").alias("part"), F.col("hi").alias("mate")).unionByName(meets.where("lo <> hi").select(F.col("hi").alias("part"), F.col("lo").alias("mate")))
+    mates = written(both.join(sizes, "part").join(sizes.select(F.col("part").alias("mate"), F.col("tiles").alias("others")), "mate"))
+    each = rows.withColumn("part", F.col(of)).join(mates, "part").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")))
+    each = each.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1)))
+    first = F.when(F.col("part") == F.col("mate"), F.col("tile") <= F.col("other")).otherwise(F.col("part") < F.col("mate"))
+    return each.withColumns({
+        "lo": F.least("part", "mate"), "hi": F.greatest("part", "mate"),
+        "a": F.when(first, F.col("tile")).otherwise(F.col("other")), "b": F.when(first, F.col("other")).otherwise(F.col("tile")),
+    }).drop("mate", "tiles", "others", "other")
+
+
+def touching_parts(nodes: DataFrame, parts: DataFrame, threshold: float) -> DataFrame:
+    """(lo, hi): the pairs of parts(node, part) of a label, lo < hi, that may hold a link.
+
+    The vector of node part stands for it, within an angle that no member exceeds. By the
+    triangle inequality a link needs two such vectors within both angles and the threshold's.
+    """
+    heads = written(nodes.join(parts.select(F.col("part").alias("node")).distinct(), "node").select("node", "label", "v"))
+    pairs = parts.join(nodes.select("node", "v"), "node").join(heads.select(F.col("node").alias("part"), F.col("v").alias("c")), "part").select("part", "v", "c")
+
+    def angles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = np.diff(np.asarray(b.column("v").offsets))  # of a part all alike
+            out = np.zeros(len(sizes))
+            for d in np.unique(sizes):
+                at = np.flatnonzero(sizes == d)
+                x, y = (_matrix(b.column(c).take(pa.array(at))) for c in ("v", "c"))
+                out[at] = np.arccos(np.clip(np.einsum("ij,ij->i", x, y), -1, 1))
+            yield pa.RecordBatch.from_arrays([b.column("part"), pa.array(out)], names=["node", "angle"])
+
+    wide = pairs.mapInArrow(angles, "node long, angle double").groupBy("node").agg(F.max("angle").alias("angle"))
+    rows = written(heads.join(wide, "node"))
+    labels = rows.select(F.col("label").alias("lo"), F.col("label").alias("hi")).distinct()
+    reach = float(np.arccos(np.clip(threshold, -1, 1))) + 1e-6  # more than rounding
+
+    def run(frame):
+        import pandas as pd
+
+        out = []
+        for _, same in frame.groupby(frame["v"].map(len)):
+            x, wide, node = _unit(np.stack(same["v"].to_numpy()).astype(np.float64)), same["angle"].to_numpy(), same["node"].to_numpy()
+            near = np.arccos(np.clip(x @ x.T, -1, 1)) <= wide[:, None] + wide[None, :] + reach
+            tile = same["tile"].to_numpy()
+            if frame["a"].iloc[0] != frame["b"].iloc[0]:
+                near &= tile[:, None] != tile[None, :]
+            i, j = np.nonzero(near & (node[:, None] < node[None, :]))
+            out.append(pd.DataFrame({"lo": node[i], "hi": node[j]}))
+        return pd.concat(out)
+
+    return written(_tiled(rows, "label", labels).groupBy("lo", "hi", "a", "b").applyInPandas(run, "lo long, hi long"))
+
+
+def _tile_counts(nodes: DataFrame, parts: DataFrame, meets: DataFrame, threshold: float) -> DataFrame:
+    """(node, links, lo, hi): the links of every vector inside its part and to the parts that
+    meets(lo, hi) names, vectors counted with their copies; and a row with lo and hi alone
+    for two tiles of different parts that hold a link. No pair of vectors is ever a row."""
+    own = parts.select(F.col("part").alias("lo"), F.col("part").alias("hi")).distinct()
+    rows = parts.join(nodes.select("node", "v", "copies"), "node")
+
+    def run(frame):
+        import pandas as pd
+
+        out = []
+        lo, hi, a, b = (frame[c].iloc[0] for c in ("lo", "hi", "a", "b"))
+        for _, same in frame.groupby(frame["v"].map(len)):
+            x, copies = _unit(np.stack(same["v"].to_numpy()).astype(np.float64)), same["copies"].to_numpy()
+            link = x @ x.T >= threshold
+            side = same["tile" if lo == hi else "part"].to_numpy()
+            if (lo, a) != (hi, b):
+                link &= side[:, None] != side[None, :]
+            np.fill_diagonal(link, False)
+            out.append(pd.DataFrame({"node": same["node"].to_numpy(), "links": link @ copies}))
+            if lo != hi and link.any():
+                out.append(pd.DataFrame({"lo": [lo], "hi": [hi]}))
+        return pd.concat(out).reindex(columns=["node", "links", "lo", "hi"]).astype("Int64")
+
+    dealt = _tiled(rows, "part", own.unionByName(meets))
+    return dealt.groupBy("lo", "hi", "a", "b").applyInPandas(run, "node long, links long, lo long, hi long")
+
+
+def whole_parts(nodes: DataFrame, close: DataFrame, roots: DataFrame, k: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(whole(node, root, links), joined(part, root)) of the parts that hold a saturated list.
+
+    close holds the links of the lists, roots their connected parts. links counts a vector's
+    links to all of whole; joined gives the parts that touch others their common root.
+    """
+    # saturated: as many links as the list has places
+    full = close.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("node")
+    big = written(full.join(roots, "node").select(F.col("root").alias("part")).distinct())
+    parts = written(roots.select("node", F.col("root").alias("part")).join(big, "part", "left_semi").select("node", "part"))
+    counted = written(_tile_counts(nodes, parts, touching_parts(nodes, parts, threshold), threshold))
+    touch = counted.where("lo is not null").select(F.col("hi").alias("src"), F.col("lo").alias("dst"))
+    joined = written(connected_components(touch).select(F.col("node").alias("part"), "root"))
+    links = counted.where("node is not null").groupBy("node").agg(F.sum("links").alias("links"))
+    whole = parts.join(joined, "part", "left").select("node", F.coalesce("root", "part").alias("root")).join(links, "node")
+    return written(whole), joined
+
+
+def neighbour_graph(nodes: DataFrame, threshold: float = THRESHOLD, k: int = K) -> tuple[DataFrame, DataFrame, DataFrame, float]:
+    """(edges(src, dst) of the lists, roots(node, root), whole(node, root, links), audited recall)."""
     dim = nodes.agg(F.max(F.size("v")).alias("d")).head().d or 1
     graph = first_lists(nodes, dim, k, threshold)
     before = graph.where(F.col("sim") >= threshold).count()
@@ -229,42 +337,17 @@ def neighbour_graph(nodes: DataFrame, threshold: float = THRESHOLD, k: int = K)
             grown, before = links - before, links
             if grown <= 0.001 * links:
                 break
-        recall = audit(nodes, graph, k, threshold)
+        close = graph.where(F.col("sim") >= threshold)
+        edges = written(close.select(F.greatest("node", "nbr").alias("src"), F.least("node", "nbr").alias("dst")).distinct())
+        roots = connected_components(edges)
+        whole, joined = whole_parts(nodes, close, roots, k, threshold)
+        recall = audit(nodes, graph, whole, threshold)
         if recall >= RECALL or attempt == ENLARGE - 1:
             break
         k *= 2
         graph = written(graph.withColumn("fresh", F.lit(True)))
-    return graph, k, recall
-
-
-def _tile_counts(nodes: DataFrame, parts: DataFrame, threshold: float) -> DataFrame:
-    """(node, links): the links of every vector inside its part, vectors counted with their copies.
-
-    A part of n vectors is cut into tiles of about 512; each pair of tiles is one group that
-    returns counts, so a part's work spreads over tasks and no pair is ever a row.
-    """
-    sizes = parts.groupBy("part").agg(F.ceil(F.count("*") / TILE).alias("tiles"))
-    rows = parts.join(written(sizes), "part").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")))
-    rows = rows.join(nodes.select("node", "v", "copies"), "node")
-    each = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-    dealt = each.select("part", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "tile", "node", "v", "copies")
-    keys = ["part", "a", "b"]
-
-    def run(frame):
-        import pandas as pd
-
-        out = []
-        for _, same in frame.groupby(frame["v"].map(len)):
-            x, copies = _unit(np.stack(same["v"].to_numpy()).astype(np.float64)), same["copies"].to_numpy()
-            link = x @ x.T >= threshold
-            tile = same["tile"].to_numpy()
-            if frame["a"].iloc[0] != frame["b"].iloc[0]:
-                link &= tile[:, None] != tile[None, :]
-            np.fill_diagonal(link, False)
-            out.append(pd.DataFrame({"node": same["node"].to_numpy(), "links": link @ copies}))
-        return pd.concat(out)
-
-    return dealt.groupBy(*keys).applyInPandas(run, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+    roots = roots.join(joined.select(F.col("part").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return edges, written(roots), whole, recall
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -278,18 +361,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, k: int = K
     """
     ids = vectors.select(F.col(id_col).cast("long").alias("vec_id"))
     members, nodes = distinct_vectors(vectors, id_col, vector_col, label_col)
-    graph, k, _ = neighbour_graph(nodes, threshold, k)
-    close = graph.where(F.col("sim") >= threshold)
-    edges = written(close.select(F.greatest("node", "nbr").alias("src"), F.least("node", "nbr").alias("dst")).distinct())
-    roots = connected_components(edges)
-    # saturated: as many links as the list has places
-    full = close.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("node")
-    big = written(full.join(roots, "node").select(F.col("root").alias("part")).distinct())
-    in_big = written(roots.select("node", F.col("root").alias("part")).join(big, "part", "left_semi"))
-    tiles = _tile_counts(nodes, in_big, threshold)
+    edges, roots, whole, _ = neighbour_graph(nodes, threshold, k)
     both = edges.select(F.col("src").alias("node"), F.col("dst").alias("nbr")).unionByName(edges.select(F.col("dst").alias("node"), F.col("src").alias("nbr")))
-    listed = both.join(in_big.select("node"), "node", "left_anti").join(nodes.select(F.col("node").alias("nbr"), "copies"), "nbr").groupBy("node").agg(F.sum("copies").alias("links"))
-    links = written(listed.unionByName(tiles))
+    listed = both.join(whole.select("node"), "node", "left_anti").join(nodes.select(F.col("node").alias("nbr"), "copies"), "nbr").groupBy("node").agg(F.sum("copies").alias("links"))
+    links = written(listed.unionByName(whole.select("node", "links")))
     of_node = written(
         nodes.select("node", "copies")
         .join(links, "node", "left")
