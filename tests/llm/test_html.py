@@ -85,3 +85,16 @@ def test_extract_cases(spark):
     df = spark.createDataFrame(rows, "page_id long, html string, text string")
     assert sorted([(r.page_id, r.text, r.n_chars) for r in extract_text(df).collect()], key=str) == sorted([(1, "", 0), (2, "", 0), (None, "x", 1), (3, "y", 1), (3, "y", 1)], key=str)
     assert extract_text(df.limit(0)).collect() == []
+
+
+def test_svg_and_math_show_their_text():
+    assert render("a <svg><title>t</title><desc>d</desc><metadata/><g><rect width='1'/><text>One <tspan>two</tspan></text><text>three</text></g>no</svg> b") == "a One two three b"
+    assert render("<svg><path d='M0'/><foreignObject><p>in</p></foreignObject></svg><p>out") == "in\n\nout"
+    assert render("<svg><g><p>not lost") == "not lost"
+    assert render("let <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow><annotation>x=1</annotation></semantics></math>, <annotation>n</annotation>") == "let x=1, n"
+
+
+def test_quotes_delimit_only_after_equals():
+    assert render("<p class=it's>Hello don't go</p>") == "Hello don't go"
+    assert render("<p it's>don't</p><p title = 'a>b'>c</p><a href=x?q=\"y>d</a>e\"") == "don't\n\nc\n\nde\""
+    assert render("<p title=\"a>b<p>c") == "<p title=\"a>b\n\nc"

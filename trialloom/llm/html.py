@@ -20,7 +20,7 @@ from trialloom.llm.common import map_arrow
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("script style head title template noscript iframe object svg math canvas audio video datalist noembed noframes map area meta link base param source track rp".split())
+UNSEEN = frozenset("script style head title template noscript iframe object annotation annotation-xml canvas audio video datalist noembed noframes map area meta link base param source track rp".split())
 MARGIN = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote figure table hr fieldset".split())
 BLOCK = MARGIN | frozenset("html body address article aside center dd details dialog dir div dt figcaption footer form header hgroup legend li main menu nav option optgroup search section summary caption thead tbody tfoot tr td th".split())
 CLOSES_P = (BLOCK - frozenset("html body dd dt legend li option optgroup caption thead tbody tfoot tr td th".split())) | {"dd", "dt", "li"}
@@ -41,9 +41,16 @@ IMPLIED = {
     "rp": ({"rt", "rp"}, {"ruby"}),
     "body": ({"head"}, {"html"}),
 }
+#: What svg and math do not show of their content; of svg, only what stands in text elements.
+SVG_UNSEEN = frozenset("title desc metadata".split())
+MATH_UNSEEN = frozenset("annotation annotation-xml".split())
+#: Elements of svg and math that hold HTML, and HTML elements that end svg or math elsewhere.
+HOLD_HTML = frozenset("foreignobject desc annotation-xml mi mo mn ms mtext".split())
+BREAK_OUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 HEAD_ONLY = frozenset("base link meta title style script noscript template head html".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|--!>|\Z)|<[!?][^>]*(?:>|\Z)|</?[A-Za-z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.DOTALL)
+# a quote delimits only right after "="; with one there that is never closed it is no tag but text
+TOKEN = re.compile(r"<!--.*?(?:-->|--!>|\Z)|<[!?][^>]*(?:>|\Z)|</?[A-Za-z](?:[^>=]|=[ \t\n\r\f]*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])[^ \t\n\r\f>]*+))*+>", re.DOTALL)
 ATTRIBUTE = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 NAME = re.compile(r"[A-Za-z][^\s/>]*")
 SPACE = re.compile(r"[ \t\n\r\f]+")
@@ -83,7 +90,17 @@ def parse(page: str) -> Node:
         if found:
             del stack[found:]
 
+    def foreign() -> int:
+        """Place of the innermost svg or math whose own content comes next, or 0."""
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i].tag in ("svg", "math"):
+                return i
+            if stack[i].tag in HOLD_HTML:
+                break
+        return 0
+
     at, end = 0, len(page)
+    any_foreign = re.search(r"<(?:svg|math)", page, re.IGNORECASE) is not None
     while at < end:
         m = TOKEN.search(page, at)
         if not m:
@@ -117,6 +134,12 @@ def parse(page: str) -> Node:
         if len(token) > len(name) + 2:
             for a in ATTRIBUTE.finditer(token, 1 + len(name), len(token) - 1):
                 attrs.setdefault(a[1].lower(), entities.unescape(a[2] or a[3] or a[4] or ""))
+        inside = foreign() if any_foreign else 0
+        if inside and name in BREAK_OUT:
+            del stack[inside:]
+            inside = 0
+        if name in MATH_UNSEEN and not any(n.tag == "math" for n in stack):
+            name = "span"  # an unknown element
         if stack[-1].tag == "head" and name not in HEAD_ONLY:
             stack.pop()
         if name in CLOSES_P:
@@ -131,6 +154,8 @@ def parse(page: str) -> Node:
             stack.append(row)
         node = Node(name, attrs)
         stack[-1].children.append(node)
+        if inside and token.endswith("/>"):
+            continue
         if name in RAW:
             close = re.compile(rf"</{name}(?=[\s/>])[^>]*>|\Z", re.IGNORECASE).search(page, at)
             body = page[at : close.start()]
@@ -275,6 +300,8 @@ class Renderer:
                 inner = lists
             inside = pre or tag in ("pre", "textarea", "xmp") or "white-space:pre" in n.attrs.get("style", "").replace(" ", "")
             children = n.children
+            if tag == "svg":
+                children = self.labels(n)
             if tag == "details" and "open" not in n.attrs:
                 children = [c for c in children if isinstance(c, Node) and c.tag == "summary"][:1]
             if tag == "pre" and children and isinstance(children[0], str) and children[0].startswith("\n"):
@@ -283,6 +310,19 @@ class Renderer:
         flush()
         return out
 
+    def labels(self, svg: Node) -> list:
+        """What shows text in an svg, kept apart by spaces."""
+        out, todo = [" "], svg.children[::-1]
+        while todo:
+            n = todo.pop()
+            if isinstance(n, str) or n.tag in SVG_UNSEEN or not self.seen(n):
+                continue
+            if n.tag in ("text", "foreignobject"):
+                out += [n, " "]
+            else:
+                todo += n.children[::-1]
+        return out
+
     def table(self, table: Node, depth: int) -> list[str]:
         """Rows with cells in columns; a cell of several lines takes several lines of its row.
         Anything in a table outside its cells comes before it."""
