@@ -113,3 +113,13 @@ def test_cases(spark):
     assert out.where(F.col("doc_id").isNull()).count() == 2
     plan = mixing.mix(docs, labelled, {"g": 3, "b": 1})._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_a_rare_domain_reaches_its_target(spark, caplog):
+    rows = [(i, 100, [0.01, 0.99] if i < 3 else [0.99, 0.01]) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, tokens long, p array<double>")
+    rate = {r.doc_id: r.rate for r in mixing.fit_rates(df, [0.9, 0.1]).collect()}
+    assert sum(rate[i] * p[1] for i, _, p in rows) / 200 == pytest.approx(0.1, abs=2e-4) and rate[0] > mixing.MOST
+    assert not caplog.records
+    mixing.fit_rates(df, [0.9, 0.1], steps=1)
+    assert "shares of tokens reached" in caplog.text

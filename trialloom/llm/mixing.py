@@ -10,6 +10,8 @@ expression on the rows. Everything is DataFrame and SQL functions.
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +25,9 @@ CHI_SQUARE = 16.0
 FULL = 20.0
 #: Steps at most, steps between tables, and the share of all tokens that totals may be off.
 STEPS, NESTED, CLOSE = 60, 4, 1e-4
-#: A document is repeated this often at most.
-MOST = 4.0
+#: Only where a target is more than SCARCE times the share that its domain has, that is,
+#: where a domain has practically no tokens, rates are bounded, by MOST.
+MOST, SCARCE = 4.0, 100.0
 #: Stands in every document.
 EVERY = "\u0001"
 
@@ -91,6 +94,8 @@ def fit_rates(members: DataFrame, targets: list[float], steps: int = STEPS, most
     these weights the largest curvature is 1, and so is the length of a step. Steps carry
     momentum, which starts anew when it leads uphill. It ends when every total is within
     1e-4 of all tokens, or after steps steps. A table without tokens keeps its rates at 1.
+    Rates have no upper bound unless a domain is scarce (see SCARCE); then it is most.
+    Totals that stay off by more than 1e-4 are logged as a warning with all shares reached.
     """
     k = len(targets)
     p = [F.col("p")[i] for i in range(k)]
@@ -101,6 +106,7 @@ def fit_rates(members: DataFrame, targets: list[float], steps: int = STEPS, most
     if not total:
         return table.drop("ahead")
     size = [max(r[f"s{i}"] / total, 1e-9) for i in range(k)]
+    bounded = any(w > SCARCE * z for w, z in zip(targets, size, strict=True))
     rate, ahead, nested, age, last = F.col("rate"), F.col("ahead"), 0, 0, float("inf")
     for _ in range(steps):
         # gradient at the point that momentum leads to, and the rates' own totals
@@ -116,7 +122,9 @@ def fit_rates(members: DataFrame, targets: list[float], steps: int = STEPS, most
             pulls = [now[f"a{i}"] / total - w for i, w in enumerate(targets)]
         last, age = loss, age + 1
         pull = sum((p[i] * F.lit(pulls[i] / size[i]) for i in range(1, k)), p[0] * F.lit(pulls[0] / size[0]))
-        after = F.least(F.lit(most), F.greatest(F.lit(0.0), ahead - pull))
+        after = F.greatest(F.lit(0.0), ahead - pull)
+        if bounded:
+            after = F.least(F.lit(most), after)
         moved = table.withColumns({"rate": after, "ahead": after + F.lit((age - 1.0) / (age + 2.0)) * (after - rate)})
         nested += 1
         if nested % NESTED == 0:
@@ -125,6 +133,11 @@ def fit_rates(members: DataFrame, targets: list[float], steps: int = STEPS, most
         else:
             table = moved
         rate, ahead = F.col("rate"), F.col("ahead")
+    else:
+        now = table.agg(*[F.sum(t * rate * p[i]).alias(f"s{i}") for i in range(k)]).head()
+        reached = [now[f"s{i}"] / total for i in range(k)]
+        if max(abs(x - w) for x, w in zip(reached, targets, strict=True)) > CLOSE:
+            logging.getLogger(__name__).warning("shares of tokens reached: %s; targets: %s; rates bounded: %s", reached, targets, bounded)
     return table.drop("ahead")
 
 
