@@ -7,16 +7,17 @@ histogram of at most window lengths, whatever its size. Equal rests and equally
 filled windows are placed as runs: one step puts thousands of rests of a length into
 windows that all have the same remaining capacity. A segment tree indexed by remaining
 capacity finds the tightest open window. The plan is a table of runs (bounded by window
-alone) that says where the k-th rest of a length goes; a count for each length and salt
-gives every rest its rank without gathering a length in one task.
+alone) that says where the k-th rest of a length goes. A task numbers its own pieces of
+each length as it cuts them, and the tasks' counts say where its numbers begin, so
+pieces are never sorted and no task sees all of one length.
 """
 
 from __future__ import annotations
 
-import base64
 import functools
+import itertools
+import os
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +30,8 @@ from trialloom.llm.common import map_arrow, written
 
 #: Distinct words whose ids a worker remembers; beyond it, it starts anew.
 CACHE = 600_000
-#: Parts in which the pieces of one length are ranked.
-SALTS = 256
+#: Words encoded at once, and the longest that is remembered.
+TOGETHER, LONGEST = 64, 200
 
 
 class _Ids(dict):
@@ -38,32 +39,51 @@ class _Ids(dict):
 
     The vocabulary's own pattern takes one blank into the word that follows it and never
     joins two words, so the ids of a text are those of its pieces between blanks one after
-    another, if no piece is empty or begins with white space; other texts are encoded
-    whole. Most words come again and again, so few are encoded at all. The ids are those
-    of the vocabulary's .json file; its .tiktoken file holds the same one as ranks.
+    another, if no piece is empty or begins with white space; other texts, and those that
+    hold an added token of the vocabulary, are encoded whole. Most words come again and
+    again, so few are encoded at all.
     """
 
     def __init__(self, vocabulary: str) -> None:
-        import tiktoken
-
-        with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as lines:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        self.whole = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-
-    def __missing__(self, word: str) -> bytes:
-        if not word or word[0].isspace() or len(word) > 200:
-            raise KeyError(word)
-        if len(self) >= CACHE:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a worker for each core
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        tokens = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.after_blank = np.zeros(max(tokens.values()) + 1, dtype=bool)
+        self.after_blank[[i for t, i in tokens.items() if t.startswith("\u0120")]] = True  # how the file writes a blank
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, dtype="<u4") for e in found]
+
+    def _learn(self, words: list[str]) -> None:
+        """Words come together, as one text of TOGETHER words costs less than as many texts."""
+        groups = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
+        for group, ids in zip(groups, self.whole([" " + " ".join(g) for g in groups]), strict=True):
+            cuts = np.flatnonzero(self.after_blank[ids])
+            parts = [ids[a:z] for a, z in zip(cuts, [*cuts[1:], len(ids)], strict=True)]
+            self.update(zip(group, map(np.ndarray.tobytes, parts), strict=True))
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        texts = [t or "" for t in texts]
+        words: list[list[str] | None] = []
+        unknown: set[str] = set()
+        for t in texts:
+            cut = t.split(" ")[1:]
+            new = {w for w in set(cut) if w not in self}
+            if any(a in t for a in self.added) or any(not w or w[0].isspace() or len(w) > LONGEST for w in new):
+                words.append(None)
+            else:
+                words.append(cut)
+                unknown |= new
+        if len(self) + len(unknown) > CACHE:
             self.clear()
-        self[word] = ids = array("I", self.whole(" " + word)).tobytes()
-        return ids
-
-    def encode(self, text: str | None) -> bytes:
-        first, *words = (text or "").split(" ")
-        try:
-            return array("I", self.whole(first)).tobytes() + b"".join(map(self.__getitem__, words))
-        except KeyError:
-            return array("I", self.whole(text)).tobytes()
+            unknown = set(itertools.chain.from_iterable(w for w in words if w is not None))
+        self._learn(list(unknown))
+        heads = self.whole([t if w is None else t.split(" ", 1)[0] for t, w in zip(texts, words, strict=True)])
+        return [h.tobytes() + b"".join(map(self.__getitem__, w or ())) for h, w in zip(heads, words, strict=True)]
 
 
 @functools.lru_cache(maxsize=2)
@@ -72,26 +92,28 @@ def _ids(vocabulary: str) -> _Ids:
 
 
 def pieces(docs: DataFrame, window: int, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, row, start, length, ids_crc32, doc_tokens): full windows and the rest of each row.
+    """(doc_id, task, k, start, length, ids_crc32, doc_tokens): full windows and the rest of each row.
 
-    row tells apart rows with the same doc_id.
+    task numbers the input partitions; k counts the pieces of one length within one.
     """
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        ids_of = _ids(vocabulary)
+        ids_of, seen = _ids(vocabulary), [0] * (window + 1)
         for b in batches:
-            out: dict[str, list] = {n: [] for n in ("doc_id", "row", "start", "length", "ids_crc32", "doc_tokens")}
-            for doc_id, row, text in zip(b["doc_id"], b["row"], b["text"], strict=True):
-                ids = ids_of.encode(text) + b"\0\0\0\0"
+            out: dict[str, list] = {n: [] for n in ("doc_id", "task", "k", "start", "length", "ids_crc32", "doc_tokens")}
+            for doc_id, task, encoded in zip(b["doc_id"], b["task"], ids_of.encode(b["text"]), strict=True):
+                ids = encoded + b"\0\0\0\0"
                 n = len(ids) // 4
                 for start in range(0, n, window):
                     part = ids[4 * start : 4 * (start + window)]
-                    for name, value in zip(out, (doc_id, row, start, len(part) // 4, zlib.crc32(part), n), strict=True):
+                    length = len(part) // 4
+                    for name, value in zip(out, (doc_id, task, seen[length], start, length, zlib.crc32(part), n), strict=True):
                         out[name].append(value)
+                    seen[length] += 1
             yield out
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
-    return map_arrow(rows, run, "doc_id long, row long, start long, length long, ids_crc32 long, doc_tokens long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.spark_partition_id().alias("task"), F.col(text_col).alias("text"))
+    return map_arrow(rows, run, "doc_id long, task int, k long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 class OpenWindows:
@@ -166,20 +188,21 @@ def pack(docs: DataFrame, window: int = 1024, vocabulary: str = "byte_bpe_50k",
     ids keep their rows. Sequence ids are 0, 1, ... without gaps, and the pieces of a
     sequence fill it from offset 0 without gaps. No rows give no pieces.
     """
-    found = written(pieces(docs, window, vocabulary, id_col, text_col).withColumn("salt", F.pmod(F.xxhash64("doc_id", "row"), F.lit(SALTS))))
-    spark = docs.sparkSession
-    counts = written(found.groupBy("length", "salt").agg(F.count("*").alias("n")))  # at most window * SALTS rows
+    found = written(pieces(docs, window, vocabulary, id_col, text_col))
+    counts = written(found.groupBy("length", "task").agg(F.count("*").alias("n")))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most window rows
     plan = best_fit_decreasing(histogram, window)
-    runs = spark.createDataFrame(plan, "length long, rank long, n long, per long, sequence long, at long")
-    in_length = W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, 0)
-    before = counts.select("length", "salt", (F.sum("n").over(in_length) - F.col("n")).alias("before"))
-    ranked = found.withColumn("k", F.row_number().over(W.partitionBy("length", "salt").orderBy("doc_id", "row", "start")) - 1)
-    return (
-        ranked.join(F.broadcast(before), ["length", "salt"])
+    runs = docs.sparkSession.createDataFrame(plan, "length long, rank long, n long, per long, sequence long, at long")
+    of_length = F.array_sort(F.collect_list(F.struct("rank", "per", "sequence", "at")))  # a few each
+    runs = runs.groupBy("length").agg(of_length.alias("runs"))
+    # pieces of a length are numbered task by task; the tasks' counts alone are ordered
+    in_length = W.partitionBy("length").orderBy("task").rowsBetween(W.unboundedPreceding, W.currentRow)
+    before = counts.select("length", "task", (F.sum("n").over(in_length) - F.col("n")).alias("before"))
+    placed = (
+        found.join(before, ["length", "task"])
+        .join(F.broadcast(runs), "length")  # at most window rows
         .withColumn("k", F.col("k") + F.col("before"))
-        .join(F.broadcast(runs), "length")
-        .where("k >= rank and k < rank + n")
-        .withColumn("i", F.col("k") - F.col("rank"))
-        .select("doc_id", "start", "length", "ids_crc32", "doc_tokens", F.expr("sequence + i div per").alias("sequence_id"), F.expr("at + (i % per) * length").alias("offset"))
+        .withColumn("run", F.element_at(F.filter("runs", lambda r: r.rank <= F.col("k")), -1))
+        .withColumn("i", F.col("k") - F.col("run.rank"))
     )
+    return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", F.expr("run.sequence + i div run.per").alias("sequence_id"), F.expr("run.at + (i % run.per) * length").alias("offset"))
