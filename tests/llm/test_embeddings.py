@@ -16,7 +16,7 @@ def plain(rows, threshold=0.98):
         a /= np.abs(a).max()
         return a / np.sqrt(a @ a)
 
-    x = [unit(v) if label is not None and i is not None else None for i, v, label in rows]
+    x = [unit(v) if label is not None else None for _, v, label in rows]
     n = len(rows)
     near = [[j for j in range(n) if j != i and x[i] is not None and x[j] is not None and rows[i][2] == rows[j][2] and len(x[i]) == len(x[j]) and x[i] @ x[j] >= threshold] for i in range(n)]
     out = []
@@ -73,3 +73,58 @@ def test_linked_groups_that_fill_their_lists(spark):
     want = plain(rows)
     assert sorted(n for _, n, _, _ in want) == [11] * 12 + [23] * 24
     assert run(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")) == want
+
+
+def test_repeated_ids_keep_their_rows(spark):
+    """Six rows of three ids, with other vectors, labels and a null, are six vectors."""
+    rows = [(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (1, [1.0, 0.01], 2), (1, None, 1), (2, [0.01, 1.0], 1), (3, [1.0, 0.0], 2)]
+    got = run(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    assert len(got) == 6 and got == plain(rows)
+
+
+def random_rows(seed, n=150):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(12, 6))
+    rows = []
+    for _ in range(n):
+        v = (centres[rng.integers(12)] + rng.choice([0.0, 0.05, 0.2]) * rng.normal(size=6)).tolist()
+        kind = rng.integers(12)
+        v = None if kind == 0 else v[:4] if kind == 1 else v
+        rows.append((None if rng.random() < 0.05 else int(rng.integers(n // 2)), v, None if rng.random() < 0.05 else int(rng.integers(3))))
+    return rows
+
+
+def test_random_tables(spark):
+    """Repeated and null ids, ties, nulls and unequal lengths."""
+    for seed in (1, 2):
+        rows = random_rows(seed)
+        assert run(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")) == plain(rows)
+
+
+def test_exact_way_when_recall_stays_low(spark, monkeypatch, caplog):
+    monkeypatch.setattr(embeddings, "RECALL", 1.1)
+    monkeypatch.setattr(embeddings, "ENLARGE", 1)
+    monkeypatch.setattr(embeddings, "TILE", 16)
+    rows = random_rows(3)
+    assert run(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")) == plain(rows)
+    assert "all vectors of a label are compared" in caplog.text
+
+
+def test_small_tiles(spark, monkeypatch):
+    """Parts cut into many tiles count the same links."""
+    monkeypatch.setattr(embeddings, "TILE", 8)
+    rng = np.random.default_rng(7)
+    path = np.cumsum(rng.normal(size=(70, 5)) * 0.04, axis=0) + rng.normal(size=5)
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(path)] + [(200 + i, (path[0] + 0.01 * rng.normal(size=5)).tolist(), 1) for i in range(30)]
+    assert run(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")) == plain(rows)
+
+
+def test_audit_needs_a_common_root(spark):
+    v = [[1.0, 0.0], [1.0, 0.01], [1.0, 0.02]]
+    nodes = spark.createDataFrame([(i, "1", x, 1) for i, x in enumerate(v)], "node long, label string, v array<double>, copies long")
+    graph = spark.createDataFrame([(0, 1, 0.9999)], "node long, nbr long, sim double")
+    apart = spark.createDataFrame([(1, 1), (2, 2)], "node long, root long")
+    recall, seen = embeddings.audit(nodes, graph, apart, 0.98)
+    assert seen == 6 and recall == 2 / 6
+    together = spark.createDataFrame([(1, 1), (2, 1)], "node long, root long")
+    assert embeddings.audit(nodes, graph, together, 0.98)[0] == 4 / 6

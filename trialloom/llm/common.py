@@ -21,11 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
-    Only where the session names none (local tests), a temporary folder of this
-    machine becomes that setting for the rest of the session.
+    Only where the session names none and driver and executors are one process (local
+    tests), a temporary folder becomes that setting for the rest of the session.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="trialloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

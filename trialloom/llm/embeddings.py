@@ -8,15 +8,21 @@ better ones enter the lists. Groups that only hold old acquaintances rest.
 
 A list whose every entry reaches the threshold is saturated: there may be more, also
 outside the connected part of the lists that it lies in. Parts that hold a saturated list
-are therefore compared whole: each with itself, and with every other such part of its
-label that an angle bound around one member does not rule out. That goes tile by tile and
-returns counts and the parts that touch, so that a large group of near copies never becomes
-a list of pairs. Recall is audited against brute force on a bounded set of query vectors
-after that; while it is below its target, lists double and the descent goes on.
+are therefore counted whole. Members within half the threshold's angle of one member, the
+head, all link with each other, so they are counted without comparing. The rest of the
+part meets itself and those, and each part every other such part of its label that an
+angle bound around the heads does not rule out. That goes tile by tile and returns counts
+and the parts that touch, so that a large group of near copies never becomes a list of pairs.
+
+Recall is audited against brute force on a bounded set of query vectors after that; while
+it is below its target, lists double and the descent goes on. If that does not reach it
+either, all vectors of a label are compared tile by tile, which is exact.
 """
 
 from __future__ import annotations
 
+import logging
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,34 +35,38 @@ from trialloom.llm.common import drop_written, written
 from trialloom.llm.components import connected_components
 
 THRESHOLD = 0.98
-#: Neighbours in a list, groups of signs for the first lists, and signs in each.
+#: Neighbours in a list, groups of signs for the first lists, and least signs in each.
 K, TABLES, SIGNS = 8, 4, 10
 #: Vectors compared all with all at once; larger groups are dealt out at random.
 GROUP = 128
-ROUNDS, RECALL, AUDIT, ENLARGE = 6, 0.97, 256, 3
-TILE = 512
+ROUNDS, RECALL, ENLARGE = 6, 0.97, 3
+#: Query vectors of an audit: as many as show so many links, but no more than the last.
+AUDIT, AUDIT_LINKS, AUDIT_MOST = 256, 200, 4096
+TILE = 2048
+#: More, in angle, than what rounding can do.
+SLACK = 1e-6
 
 
-def distinct_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> tuple[DataFrame, DataFrame]:
-    """(members(vec_id, node), nodes(node, label, v, copies)) of the vectors that can link.
+def distinct_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows(row, vec_id), members(row, vec_id, node), nodes(node, label, v, copies)).
 
-    node is the smallest vec_id with the same label and vector. Null labels and ids, and
-    vectors that are null, zero or hold a null or a component that is not finite, are left out.
+    row is a key of its own for every input row; node is the smallest row with the same
+    label and vector. Null labels, and vectors that are null, zero or hold a null or a
+    component that is not finite, have no node. Ids play no part in this.
     """
     v = F.col("v")
     good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
     raw = F.col(vector_col)
     if vectors.schema[vector_col].dataType.simpleString() != "array<float>":
         raw = raw.cast("array<double>")
-    rows = (
-        vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), raw.alias("v"))
-        .where("vec_id is not null and label is not null and v is not null")
-        .where(good)
-        .withColumn("v", F.transform(v, lambda x: F.when(x == 0, x * 0).otherwise(x)))
-    )
-    nodes = written(rows.groupBy("label", "v").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")))
-    members = written(rows.join(nodes.drop("copies"), ["label", "v"]).select("vec_id", "node"))
-    return members, nodes
+    read = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), raw.alias("v"))
+    plus_zero = F.transform(v, lambda x: F.when(x == 0, x * 0).otherwise(x))
+    read = read.withColumn("v", F.when(F.col("label").isNotNull() & good, plus_zero))
+    table = written(read.withColumn("row", F.monotonically_increasing_id()))
+    with_vector = table.where("v is not null")
+    nodes = written(with_vector.groupBy("label", "v").agg(F.min("row").alias("node"), F.count("*").alias("copies")))
+    members = written(with_vector.join(nodes.drop("copies"), ["label", "v"]).select("row", "vec_id", "node"))
+    return table.select("row", "vec_id"), members, nodes
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -137,8 +147,10 @@ def _best(pairs: DataFrame, k: int, threshold: float) -> DataFrame:
 
 
 def first_lists(nodes: DataFrame, dim: int, k: int, threshold: float, seed: int = 11) -> DataFrame:
-    """Lists from groups of vectors of a label with the same signs along random directions."""
-    planes = np.random.default_rng(seed).normal(size=(TABLES * SIGNS, dim))
+    """Lists from groups of vectors of a label with the same signs along random directions,
+    as many as keep a group's expected size at about half of GROUP."""
+    n_signs = max(SIGNS, math.ceil(math.log2(max(1.0, 2 * nodes.count() / GROUP))))
+    planes = np.random.default_rng(seed).normal(size=(TABLES * n_signs, dim))
 
     def signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -148,8 +160,8 @@ def first_lists(nodes: DataFrame, dim: int, k: int, threshold: float, seed: int
             for d in np.unique(sizes):  # of other lengths than most: as far as the directions reach
                 at = np.flatnonzero(sizes == d)
                 x = _matrix(v.take(pa.array(at)))[:, :dim]
-                bit = (x @ planes[:, : x.shape[1]].T > 0).reshape(len(at), TABLES, SIGNS)
-                key[at] = (bit << np.arange(SIGNS)).sum(axis=2) * 4096 + d % 4096
+                bit = (x @ planes[:, : x.shape[1]].T > 0).reshape(len(at), TABLES, n_signs)
+                key[at] = (bit.astype(np.int64) << np.arange(n_signs)).sum(axis=2) * 4096 + d % 4096
             yield pa.RecordBatch.from_arrays([b.column("node"), b.column("label"), v, pa.array(list(key), type=pa.list_(pa.int64()))], names=["node", "label", "v", "keys"])
 
     keyed = nodes.select("node", "label", "v").mapInArrow(signs, f"node long, label string, v {nodes.schema['v'].dataType.simpleString()}, keys array<long>")
@@ -183,46 +195,64 @@ def descend(nodes: DataFrame, graph: DataFrame, k: int, threshold: float) -> tup
     return after, after.where(F.col("sim") >= threshold).count()
 
 
-def audit(nodes: DataFrame, graph: DataFrame, whole: DataFrame, threshold: float, queries: int = AUDIT) -> float:
-    """Share of the links of a bounded set of query vectors that lists and whole parts hold.
+def _by_length(v: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, unit vectors) for each length that lists of v have."""
+    sizes = np.diff(np.asarray(v.offsets))
+    for d in np.unique(sizes):
+        at = np.flatnonzero(sizes == d)
+        yield at, _matrix(v.take(pa.array(at)))
 
-    The queries (about so many, a hash picks them) meet all vectors of their label. A link
-    counts as found if either end lists the other, or whole(node, root), the vectors that
-    were compared part by part, has both under the same root.
-    """
-    n = nodes.count()
-    if not n:
-        return 1.0
+
+def _true_links(nodes: DataFrame, n: int, queries: int, threshold: float) -> DataFrame:
+    """(a, b): all links of about so many nodes a, which a hash picks of n."""
     draw = F.pmod(F.xxhash64("node", F.lit(5)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    picked = nodes.where(draw < F.lit(min(1.0, queries / n))).select("node", "label", "v").collect()  # about 256 vectors
-    at: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+    picked = nodes.where(draw < F.lit(min(1.0, queries / n))).select("node", "label", "v").collect()  # about AUDIT_MOST vectors at most
+    at: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
     for key in {(r.label, len(r.v)) for r in picked}:
         rows = [r for r in picked if (r.label, len(r.v)) == key]
         at[key] = np.array([r.node for r in rows]), _unit(np.array([r.v for r in rows], dtype=np.float64))
+    asked = nodes.sparkSession.sparkContext.broadcast(at)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             node, label = b.column("node").to_numpy(), np.array(b.column("label").to_pylist(), dtype=object)
-            sizes = np.diff(np.asarray(b.column("v").offsets))
-            for key, (ids, x) in at.items():
-                mine = np.flatnonzero((label == key[0]) & (sizes == key[1]))
-                if len(mine):
-                    i, j = np.nonzero(x @ _matrix(b.column("v").take(pa.array(mine))).T >= threshold)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(node[mine[j]])], names=["a", "b"])
+            for mine, y in _by_length(b.column("v")):
+                for (of, size), (ids, x) in asked.value.items():
+                    if size == y.shape[1]:
+                        j = np.flatnonzero(label[mine] == of)
+                        i, k = np.nonzero(x @ y[j].T >= threshold)
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(node[mine[j[k]]])], names=["a", "b"])
+
+    return written(nodes.select("node", "label", "v").mapInArrow(run, "a long, b long").where("a <> b"))
 
-    true = nodes.select("node", "label", "v").mapInArrow(run, "a long, b long").where("a <> b")
+
+def audit(nodes: DataFrame, graph: DataFrame, whole: DataFrame, threshold: float) -> tuple[float, int]:
+    """(share of the links of query vectors that lists and whole parts hold, links seen).
+
+    The queries meet all vectors of their label; there are four times as many while they
+    show few links. A link counts as found if either end lists the other, or if
+    whole(node, root), the vectors that were counted part by part, has both under one root.
+    """
+    n, queries = nodes.count(), AUDIT
+    if not n:
+        return 1.0, 0
+    true = _true_links(nodes, n, queries, threshold)
+    while (seen := true.count()) < AUDIT_LINKS and queries < min(n, AUDIT_MOST):
+        drop_written(true)
+        queries *= 4
+        true = _true_links(nodes, n, queries, threshold)
     links = graph.where(F.col("sim") >= threshold)
     both = links.select(F.col("node").alias("a"), F.col("nbr").alias("b")).unionByName(links.select(F.col("nbr").alias("a"), F.col("node").alias("b"))).distinct().withColumn("hit", F.lit(1))
     ends = [whole.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab"]
-    seen = true.join(both, ["a", "b"], "left").join(ends[0], "a", "left").join(ends[1], "b", "left")
-    r = seen.agg(F.count("*").alias("n"), F.count(F.when(F.col("hit").isNotNull() | (F.col("ra") == F.col("rb")), 1)).alias("found")).head()
-    return r.found / r.n if r.n else 1.0
+    found = true.join(both, ["a", "b"], "left").join(ends[0], "a", "left").join(ends[1], "b", "left").where("hit is not null or ra = rb").count()
+    drop_written(true)
+    return found / seen if seen else 1.0, seen
 
 
 def _tiled(rows: DataFrame, of: str, meets: DataFrame) -> DataFrame:
     """rows(of, ...) dealt to the groups (lo, hi, a, b) where tile a of lo meets tile b of hi.
 
-    A part (a value of the column of) of n rows is cut into tiles of about 512, so a part's
+    A part (a value of the column of) of n rows is cut into tiles of about 2048, so a part's
     work spreads over tasks. meets(lo, hi), lo <= hi, says which parts meet.
     """
     sizes = written(rows.groupBy(F.col(of).alias("part")).agg(F.ceil(F.count("*") / TILE).alias("tiles")))
@@ -237,73 +267,117 @@ def _tiled(rows: DataFrame, of: str, meets: DataFrame) -> DataFrame:
     }).drop("mate", "tiles", "others", "other")
 
 
-def touching_parts(nodes: DataFrame, parts: DataFrame, threshold: float) -> DataFrame:
-    """(lo, hi): the pairs of parts(node, part) of a label, lo < hi, that may hold a link.
+def placed_parts(nodes: DataFrame, parts: DataFrame, threshold: float) -> DataFrame:
+    """(node, whole, part, label, v, copies, angle) of parts(node, part), cut in two.
 
-    The vector of node part stands for it, within an angle that no member exceeds. By the
-    triangle inequality a link needs two such vectors within both angles and the threshold's.
+    whole is the given part, a node that is its head. Members within half the threshold's
+    angle of the head keep the part's number and all link with each other; the others get
+    the part -1 - whole. All members of a part have the same label and vector length.
     """
-    heads = written(nodes.join(parts.select(F.col("part").alias("node")).distinct(), "node").select("node", "label", "v"))
-    pairs = parts.join(nodes.select("node", "v"), "node").join(heads.select(F.col("node").alias("part"), F.col("v").alias("c")), "part").select("part", "v", "c")
+    heads = nodes.select(F.col("node").alias("part"), F.col("v").alias("head"))
+    pairs = parts.join(nodes, "node").join(heads, "part").select("node", "part", "label", "v", "copies", "head")
 
     def angles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes = np.diff(np.asarray(b.column("v").offsets))  # of a part all alike
-            out = np.zeros(len(sizes))
-            for d in np.unique(sizes):
-                at = np.flatnonzero(sizes == d)
-                x, y = (_matrix(b.column(c).take(pa.array(at))) for c in ("v", "c"))
+            out = np.zeros(b.num_rows)
+            for at, x in _by_length(b.column("v")):
+                y = _matrix(b.column("head").take(pa.array(at)))
                 out[at] = np.arccos(np.clip(np.einsum("ij,ij->i", x, y), -1, 1))
-            yield pa.RecordBatch.from_arrays([b.column("part"), pa.array(out)], names=["node", "angle"])
-
-    wide = pairs.mapInArrow(angles, "node long, angle double").groupBy("node").agg(F.max("angle").alias("angle"))
-    rows = written(heads.join(wide, "node"))
-    labels = rows.select(F.col("label").alias("lo"), F.col("label").alias("hi")).distinct()
-    reach = float(np.arccos(np.clip(threshold, -1, 1))) + 1e-6  # more than rounding
-
-    def run(frame):
-        import pandas as pd
-
-        out = []
-        for _, same in frame.groupby(frame["v"].map(len)):
-            x, wide, node = _unit(np.stack(same["v"].to_numpy()).astype(np.float64)), same["angle"].to_numpy(), same["node"].to_numpy()
-            near = np.arccos(np.clip(x @ x.T, -1, 1)) <= wide[:, None] + wide[None, :] + reach
-            tile = same["tile"].to_numpy()
-            if frame["a"].iloc[0] != frame["b"].iloc[0]:
-                near &= tile[:, None] != tile[None, :]
-            i, j = np.nonzero(near & (node[:, None] < node[None, :]))
-            out.append(pd.DataFrame({"lo": node[i], "hi": node[j]}))
-        return pd.concat(out)
-
-    return written(_tiled(rows, "label", labels).groupBy("lo", "hi", "a", "b").applyInPandas(run, "lo long, hi long"))
+            kept = [b.column(c) for c in ("node", "part", "label", "v", "copies")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(out)], names=["node", "whole", "label", "v", "copies", "angle"])
 
+    kind = nodes.schema["v"].dataType.simpleString()
+    found = pairs.mapInArrow(angles, f"node long, whole long, label string, v {kind}, copies long, angle double")
+    near = F.col("angle") <= (math.acos(min(1.0, threshold)) - SLACK) / 2
+    return written(found.withColumn("part", F.when(near | (F.col("node") == F.col("whole")), F.col("whole")).otherwise(-1 - F.col("whole"))))
 
-def _tile_counts(nodes: DataFrame, parts: DataFrame, meets: DataFrame, threshold: float) -> DataFrame:
-    """(node, links, lo, hi): the links of every vector inside its part and to the parts that
-    meets(lo, hi) names, vectors counted with their copies; and a row with lo and hi alone
-    for two tiles of different parts that hold a link. No pair of vectors is ever a row."""
-    own = parts.select(F.col("part").alias("lo"), F.col("part").alias("hi")).distinct()
-    rows = parts.join(nodes.select("node", "v", "copies"), "node")
 
-    def run(frame):
-        import pandas as pd
+def touching_parts(placed: DataFrame, threshold: float) -> DataFrame:
+    """(lo, hi): the pairs of parts of a label, lo <= hi, that may hold a link to be counted.
 
-        out = []
-        lo, hi, a, b = (frame[c].iloc[0] for c in ("lo", "hi", "a", "b"))
-        for _, same in frame.groupby(frame["v"].map(len)):
-            x, copies = _unit(np.stack(same["v"].to_numpy()).astype(np.float64)), same["copies"].to_numpy()
-            link = x @ x.T >= threshold
-            side = same["tile" if lo == hi else "part"].to_numpy()
-            if (lo, a) != (hi, b):
-                link &= side[:, None] != side[None, :]
-            np.fill_diagonal(link, False)
-            out.append(pd.DataFrame({"node": same["node"].to_numpy(), "links": link @ copies}))
-            if lo != hi and link.any():
-                out.append(pd.DataFrame({"lo": [lo], "hi": [hi]}))
-        return pd.concat(out).reindex(columns=["node", "links", "lo", "hi"]).astype("Int64")
-
-    dealt = _tiled(rows, "part", own.unionByName(meets))
-    return dealt.groupBy("lo", "hi", "a", "b").applyInPandas(run, "node long, links long, lo long, hi long")
+    A head stands for its part, within an angle that no member exceeds. By the triangle
+    inequality a link needs two heads within both angles and the threshold's. A part
+    around its own head needs no comparing with itself.
+    """
+    wide = placed.groupBy("part", "whole").agg(F.max("angle").alias("angle"))
+    heads = placed.where("node = whole").select("whole", "label", "v")
+    rows = written(wide.join(heads, "whole").select(F.col("part").alias("node"), "label", "v", "angle"))
+    labels = rows.select(F.col("label").alias("lo"), F.col("label").alias("hi")).distinct()
+    reach = float(np.arccos(np.clip(threshold, -1, 1))) + SLACK
+
+    def run(table: pa.Table) -> pa.Table:
+        node, wide, tile = (table.column(c).to_numpy() for c in ("node", "angle", "tile"))
+        a, b = table.column("a")[0].as_py(), table.column("b")[0].as_py()
+        out = [np.zeros((2, 0), dtype=np.int64)]
+        for at, x in _by_length(table.column("v").combine_chunks()):
+            i, j = (at, at) if a == b else (at[tile[at] == a], at[tile[at] != a])
+            y, z = (x, x) if a == b else (x[tile[at] == a], x[tile[at] != a])
+            p, q = np.nonzero(np.arccos(np.clip(y @ z.T, -1, 1)) <= wide[i][:, None] + wide[j][None, :] + reach)
+            p, q = node[i[p]], node[j[q]]
+            keep = (p <= q) & ((p != q) | (p < 0)) if a == b else np.ones(len(p), dtype=bool)
+            out.append(np.stack([np.minimum(p, q)[keep], np.maximum(p, q)[keep]]))
+        lo, hi = np.concatenate(out, axis=1)
+        return pa.table({"lo": lo, "hi": hi})
+
+    return written(_tiled(rows, "label", labels).groupBy("lo", "hi", "a", "b").applyInArrow(run, "lo long, hi long"))
+
+
+def _ties(link: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect the nodes left and right just as link[i, j] does, one a node at most."""
+    at, none = np.arange(len(left)), len(left)
+    while True:
+        to = np.where(link, at[:, None], none).min(axis=0, initial=none)
+        after = np.minimum(at, np.where(link, to[None, :], none).min(axis=1, initial=none))
+        if (after == at).all():
+            break
+        at = after
+    i, j = np.flatnonzero(at != np.arange(len(left))), np.flatnonzero(to != none)
+    return np.r_[left[i], right[j]], np.r_[left[at[i]], left[to[j]]]
+
+
+def _tile_counts(placed: DataFrame, meets: DataFrame, threshold: float, ties: bool = False) -> DataFrame:
+    """(node, links, src, dst): the links of every vector to the parts that meets(lo, hi) names
+    for its part, vectors counted with their copies; and rows with src and dst alone, the
+    parts of two tiles that hold a link, or with ties nodes that connect what the links of
+    two tiles connect. No pair of vectors is ever a row by itself."""
+
+    def run(table: pa.Table) -> pa.Table:
+        lo, hi, a, b = (table.column(c)[0].as_py() for c in ("lo", "hi", "a", "b"))
+        node, copies, side = (table.column(c).to_numpy() for c in ("node", "copies", "tile" if lo == hi else "part"))
+        out: list[tuple] = []
+        for at, x in _by_length(table.column("v").combine_chunks()):
+            ids, n = node[at], copies[at]
+            if (lo, a) == (hi, b):
+                i = j = np.arange(len(at))
+                link = x @ x.T >= threshold
+                np.fill_diagonal(link, False)
+                out.append((ids, link @ n, None, None))
+            else:
+                mine = side[at] == (a if lo == hi else lo)
+                i, j = np.flatnonzero(mine), np.flatnonzero(~mine)
+                link = x[i] @ x[j].T >= threshold
+                out += [(ids[i], link @ n[j], None, None), (ids[j], n[i] @ link, None, None)]
+            if ties:
+                out.append((None, None, *_ties(link, ids[i], ids[j])))
+            elif lo != hi and link.any():
+                out.append((None, None, np.array([hi]), np.array([lo])))
+        names = ["node", "links", "src", "dst"]
+        tables = []
+        for columns in out:
+            size = next(len(c) for c in columns if c is not None)
+            tables.append(pa.table({m: pa.nulls(size, pa.int64()) if c is None else pa.array(c, pa.int64()) for m, c in zip(names, columns, strict=True)}))
+        return pa.concat_tables(tables)
+
+    dealt = _tiled(placed.select("node", "part", "v", "copies"), "part", meets)
+    return written(dealt.groupBy("lo", "hi", "a", "b").applyInArrow(run, "node long, links long, src long, dst long"))
+
+
+def _with_core(placed: DataFrame, counted: DataFrame) -> DataFrame:
+    """(node, links) of all of placed: counted links, and those around a head."""
+    core = placed.where("part >= 0").groupBy("part").agg(F.sum("copies").alias("all"))
+    around = placed.where("part >= 0").select("node", "part", "copies").join(core, "part").select("node", (F.col("all") - F.col("copies")).alias("links"))
+    every = around.unionByName(placed.where("part < 0").select("node", F.lit(0).cast("long").alias("links")))
+    return every.unionByName(counted.where("node is not null").select("node", "links")).groupBy("node").agg(F.sum("links").alias("links"))
 
 
 def whole_parts(nodes: DataFrame, close: DataFrame, roots: DataFrame, k: int, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -316,17 +390,36 @@ def whole_parts(nodes: DataFrame, close: DataFrame, roots: DataFrame, k: int, th
     full = close.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("node")
     big = written(full.join(roots, "node").select(F.col("root").alias("part")).distinct())
     parts = written(roots.select("node", F.col("root").alias("part")).join(big, "part", "left_semi").select("node", "part"))
-    counted = written(_tile_counts(nodes, parts, touching_parts(nodes, parts, threshold), threshold))
-    touch = counted.where("lo is not null").select(F.col("hi").alias("src"), F.col("lo").alias("dst"))
+    placed = placed_parts(nodes, parts, threshold)
+    counted = _tile_counts(placed, touching_parts(placed, threshold), threshold)
+    touch = counted.where("src is not null").select(*[F.expr(f"if({c} < 0, -1 - {c}, {c})").alias(c) for c in ("src", "dst")])
     joined = written(connected_components(touch).select(F.col("node").alias("part"), "root"))
-    links = counted.where("node is not null").groupBy("node").agg(F.sum("links").alias("links"))
-    whole = parts.join(joined, "part", "left").select("node", F.coalesce("root", "part").alias("root")).join(links, "node")
-    return written(whole), joined
+    links = _with_core(placed, counted)
+    whole = written(parts.join(joined, "part", "left").select("node", F.coalesce("root", "part").alias("root")).join(links, "node"))
+    for t in (big, parts, placed, counted):
+        drop_written(t)
+    return whole, joined
+
+
+def compared_whole(nodes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(roots(node, root), whole(node, root, links)) from comparing all vectors of a label: exact,
+    for when the graph misses too much. The work grows with the square of a label."""
+    heads = nodes.groupBy("label", F.size("v").alias("d")).agg(F.min("node").alias("part"))
+    parts = written(nodes.select("node", "label", F.size("v").alias("d")).join(heads, ["label", "d"]).select("node", "part"))
+    placed = placed_parts(nodes, parts, threshold)
+    meets = placed.where("part < 0").select(F.col("part").alias("lo"), "whole").distinct()
+    meets = meets.select("lo", F.explode(F.array("lo", "whole")).alias("hi"))
+    counted = _tile_counts(placed, meets, threshold, ties=True)
+    around = placed.where("part >= 0 and node <> whole").select(F.col("node").alias("src"), F.col("whole").alias("dst"))
+    roots = connected_components(counted.where("src is not null").select("src", "dst").unionByName(around))
+    whole = written(_with_core(placed, counted).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "links"))
+    return whole.select("node", "root"), whole
 
 
 def neighbour_graph(nodes: DataFrame, threshold: float = THRESHOLD, k: int = K) -> tuple[DataFrame, DataFrame, DataFrame, float]:
     """(edges(src, dst) of the lists, roots(node, root), whole(node, root, links), audited recall)."""
     dim = nodes.agg(F.max(F.size("v")).alias("d")).head().d or 1
+    log = logging.getLogger(__name__)
     graph = first_lists(nodes, dim, k, threshold)
     before = graph.where(F.col("sim") >= threshold).count()
     for attempt in range(ENLARGE):
@@ -341,13 +434,17 @@ def neighbour_graph(nodes: DataFrame, threshold: float = THRESHOLD, k: int = K)
         edges = written(close.select(F.greatest("node", "nbr").alias("src"), F.least("node", "nbr").alias("dst")).distinct())
         roots = connected_components(edges)
         whole, joined = whole_parts(nodes, close, roots, k, threshold)
-        recall = audit(nodes, graph, whole, threshold)
-        if recall >= RECALL or attempt == ENLARGE - 1:
-            break
-        k *= 2
-        graph = written(graph.withColumn("fresh", F.lit(True)))
-    roots = roots.join(joined.select(F.col("part").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-    return edges, written(roots), whole, recall
+        recall, seen = audit(nodes, graph, whole, threshold)
+        log.info("lists of %d: recall %.4f of %d links", k, recall, seen)
+        if recall >= RECALL:
+            top = joined.select(F.col("part").alias("root"), F.col("root").alias("top"))
+            roots = roots.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+            return edges, written(roots), whole, recall
+        if attempt < ENLARGE - 1:
+            k *= 2
+            graph = written(graph.withColumn("fresh", F.lit(True)))
+    log.warning("recall %.4f stays below %.2f: all vectors of a label are compared", recall, RECALL)
+    return edges, *compared_whole(nodes, threshold), 1.0
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -355,12 +452,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, k: int = K
 
     Vectors link if labels are equal and not null and their cosine in double precision
     reaches threshold; null, zero and not finite vectors and null labels link with nothing.
-    n_links counts other vectors, copies included; component_id is the smallest vec_id
-    reachable; kept is vec_id = component_id. Null ids keep their row, without links and
-    component. Extra columns are not read.
+    n_links counts the other rows linked directly, copies included. component_id is the
+    smallest vec_id reachable, itself included; kept is vec_id = component_id. Rows that
+    share an id are vectors of their own. Null ids link like others and never name a
+    component (one of null ids alone has none, and none of it is kept). Extra columns are
+    not read; no rows give no rows.
     """
-    ids = vectors.select(F.col(id_col).cast("long").alias("vec_id"))
-    members, nodes = distinct_vectors(vectors, id_col, vector_col, label_col)
+    rows, members, nodes = distinct_vectors(vectors, id_col, vector_col, label_col)
     edges, roots, whole, _ = neighbour_graph(nodes, threshold, k)
     both = edges.select(F.col("src").alias("node"), F.col("dst").alias("nbr")).unionByName(edges.select(F.col("dst").alias("node"), F.col("src").alias("nbr")))
     listed = both.join(whole.select("node"), "node", "left_anti").join(nodes.select(F.col("node").alias("nbr"), "copies"), "nbr").groupBy("node").agg(F.sum("copies").alias("links"))
@@ -369,10 +467,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, k: int = K
         nodes.select("node", "copies")
         .join(links, "node", "left")
         .join(roots, "node", "left")
-        .select("node", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("component_id"))
+        .select("node", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root"))
     )
-    linked = written(members.join(of_node, "node").select("vec_id", "n_links", "component_id"))
-    alone = ids.join(linked.select("vec_id").distinct(), "vec_id", "left_anti")
-    return linked.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept")).unionByName(
-        alone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+    smallest = members.join(of_node, "node").groupBy("root").agg(F.min("vec_id").alias("component_id"))
+    named = written(of_node.join(smallest, "root").select("node", "n_links", "component_id"))
+    linked = written(members.join(named, "node").select("row", "n_links", "component_id", F.lit(True).alias("linked")))
+    out = rows.join(linked, "row", "left").select(
+        "vec_id",
+        F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
+        F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id"),
     )
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
