@@ -1,103 +1,230 @@
 """Stupid-backoff language model scores of documents against the rest of the corpus.
 
-Words become classes 0 .. 2^20 - 1 by hash, so that the table of word counts has a
-proven bound and reaches every task; pairs of classes are exact 40-bit keys. Counts cover
-all documents. A document is scored with its own occurrences taken out: for a word w
-after v that the other documents hold c(v w) times,
+Counts cover all documents. A document is scored with its own occurrences taken out: for
+a word w after v that the other documents hold c(v w) times,
 
     S(w | v) = c(v w) / c(v)            if c(v w) > 0
-             = 0.4 c(w) / N             otherwise, c(w) at least 1/2
+             = 0.4 c(w) / N             otherwise
 
 and S(w) = c(w) / N for the first word, with c(v) and c(w) over all documents and N all
-words. log S is summed for each document.
-
-The pair counts are a table partitioned by a hash of the pair and never leave the
-cluster: the pairs of all documents are sent, in blocks, to the partition of their hash.
-There equal pairs are counted, over all documents and within each, the counts are joined
-back to the pairs, and each document gets its partial sum. Pairs of two very common words may be in every document, which would heap up in one partition; the pairs
-among the HOT commonest classes are counted with map-side sums into a table of at most
-HOT^2 rows instead. Any other pair holds a word outside the HOT commonest, so at most one
-HOT-th of all words can be that pair.
+words. log S is summed for each document. Words are known by 64-bit hashes.
+
+The tables of word and pair counts are partitioned by hash and never leave the cluster.
+Pairs of words are exploded from the texts once for each document that holds them, and
+each goes to the hash bucket of one of its words, its home. There the pairs are counted,
+and the pair counts and the home word's count are joined to them. What the other word
+counts is needed too; for the COMMON commonest words a broadcast table of that bounded
+size has it. A pair of two rarer words goes to both words' buckets: at home with v it is
+scored if other documents hold it, at home with w if they do not.
+
+Pairs of two of the HOT commonest words may be in every document; those are counted with
+map-side sums into a table of at most HOT^2 rows, which is broadcast. The home of any
+other pair is a word outside the HOT commonest, so a home holds at most one HOT-th of all
+words. Pairs travel to their buckets in arrays, one row for each block of documents and
+bucket; scores are summed as integers, so that they come out alike on every run.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialloom.llm.common import map_arrow
+from trialloom.llm.common import drop_written, map_arrow, written
 
-BITS = 20
-HOT = 1024
+HOT, COMMON = 1024, 1 << 17
 BACKOFF = 0.4
-#: Words of the corpus for each hash partition of pairs.
+#: Words of the corpus for each bucket.
 PER_PART = 1_500_000
-#: Words whose class a worker remembers; beyond it, it starts anew.
-CACHE = 300_000
+#: Words whose hash a worker remembers, and counts that it sums up; beyond, it starts anew.
+CACHE, SUMMED = 300_000, 500_000
+#: Scores are summed in units of 1 / UNIT.
+UNIT = 1e8
+#: What a row of an exploded array says of its document: a pair at home with v or with w,
+#: a pair of rare words there, a first word; id and number of words; what is known already.
+AT_V, AT_W, IF_HIT, IF_MISS, FIRST, ID, KNOWN = range(7)
 
 
-class _Classes(dict):
+class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > CACHE:
             self.clear()
-        c = self[word] = xxhash.xxh64_intdigest(word, 0) >> (64 - BITS)
-        return c
+        h = xxhash.xxh64_intdigest(word, 0)
+        h = self[word] = h - (1 << 64) if h >> 63 else h
+        return h
 
 
-def word_classes(text: str | None, memo: _Classes) -> np.ndarray:
-    """Classes of the words of a text: lower-cased runs of anything but ASCII white space."""
-    words = (text or "").lower().encode("utf-8", "surrogatepass").split()
-    return np.fromiter(map(memo.__getitem__, words), dtype=np.int64, count=len(words))
+def word_hashes(texts: list[str | None], memo: _Hashes) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the words of all texts, words of each text): lower-cased runs of anything but ASCII white space."""
+    words = [(t or "").lower().encode("utf-8", "surrogatepass").split() for t in texts]
+    n = np.array([len(w) for w in words], dtype=np.int64)
+    return np.concatenate([np.fromiter(map(memo.__getitem__, w), dtype=np.int64, count=len(w)) for w in words]), n
 
 
-def _pairs(c: np.ndarray) -> np.ndarray:
-    return c[:-1] << BITS | c[1:]
+def _place(keys: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The place of each hash in the sorted keys, or -1."""
+    if not len(keys):
+        return np.full(len(h), -1)
+    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+    return np.where(keys[at] == h, at, -1)
 
 
 def unigram_counts(docs: DataFrame) -> DataFrame:
-    """(class, n) over all texts of docs(doc_id, text)."""
+    """(word, n) over all texts of docs(text); word is its hash."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        memo, n = _Classes(), np.zeros(1 << BITS, dtype=np.int64)
+        memo, held = _Hashes(), [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))]
         for b in batches:
-            n += np.bincount(np.concatenate([word_classes(t, memo) for t in b["text"]]), minlength=1 << BITS)
-        at = np.flatnonzero(n)
-        for k in range(0, len(at), 50_000):
-            yield {"class": at[k : k + 50_000], "n": n[at[k : k + 50_000]]}
+            held.append(np.unique(word_hashes(b["text"], memo)[0], return_counts=True))
+            if sum(len(w) for w, _ in held) > SUMMED:
+                yield dict(zip(("word", "n"), _summed(held), strict=True))
+                held = held[:1]
+        yield dict(zip(("word", "n"), _summed(held), strict=True))
 
-    return map_arrow(docs.select("text"), run, "class long, n long").groupBy("class").agg(F.sum("n").alias("n"))
+    return map_arrow(docs.select("text"), run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def hot_pair_counts(docs: DataFrame, rank) -> DataFrame:
-    """(key, n) of pairs among the HOT classes; rank is a broadcast of each class's rank, or -1."""
+def _summed(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    words, at = np.unique(np.concatenate([w for w, _ in counts]), return_inverse=True)
+    return words, np.bincount(at, weights=np.concatenate([n for _, n in counts]), minlength=len(words)).astype(np.int64)
+
+
+def _pairs(at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, second word, text) of each two neighbours in a text; at numbers the words."""
+    doc = np.repeat(np.arange(len(n)), n)
+    same = doc[1:] == doc[:-1]
+    return at[:-1][same], at[1:][same], doc[1:][same]
+
+
+def hot_pair_counts(docs: DataFrame, hot) -> DataFrame:
+    """(key, n) of pairs of the hot words; hot is a broadcast of their sorted hashes."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        memo, n, hot = _Classes(), np.zeros(HOT * HOT, dtype=np.int64), rank.value
+        memo, keys = _Hashes(), hot.value
+        size = len(keys)
+        total = np.zeros(size * size, dtype=np.int64)
         for b in batches:
-            for t in b["text"]:
-                r = hot[word_classes(t, memo)]
-                both = (r[:-1] >= 0) & (r[1:] >= 0)
-                np.add.at(n, r[:-1][both] * HOT + r[1:][both], 1)
-        at = np.flatnonzero(n)
-        for k in range(0, len(at), 50_000):
-            yield {"key": at[k : k + 50_000], "n": n[at[k : k + 50_000]]}
+            h, n = word_hashes(b["text"], memo)
+            v, w, _ = _pairs(_place(keys, h), n)
+            total += np.bincount((v * size + w)[(v >= 0) & (w >= 0)], minlength=size * size)
+        at = np.flatnonzero(total)
+        yield {"key": at, "n": total[at]}
 
     return map_arrow(docs.select("text"), run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def _dense(counts: DataFrame, key: str, size: int) -> np.ndarray:
-    """A bounded table of counts (at most size rows, about 10^6) as an array on the driver."""
-    got = counts.toArrow()
-    out = np.zeros(size, dtype=np.int64)
-    out[got.column(key).to_numpy()] = got.column("n").to_numpy()
-    return out
+def exploded(docs: DataFrame, parts: int, total: int, common, hot, hot_pairs) -> DataFrame:
+    """(bucket, block, r, o, code, n): what docs(doc_id long, text) hold, as arrays by block and bucket.
+
+    An element is the home word r of a pair, its other word o, how often the document has
+    the pair, and a code: the document's place in the block times 8, and what it is.
+    common: sorted hashes and counts; hot: sorted hashes; hot_pairs: counts by both places.
+    """
+    log_total, log_backoff = math.log(max(total, 1)), math.log(BACKOFF)
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        memo, (keys, counts), hot_keys, both = _Hashes(), common.value, hot.value, hot_pairs.value
+        log_count = np.log(counts)
+        for b in batches:
+            h, n = word_hashes(b["text"], memo)
+            words, at = np.unique(h, return_inverse=True)
+            known, warm = _place(keys, words), _place(hot_keys, words)
+            base, hits = np.zeros(len(n)), np.zeros(len(n), dtype=np.int64)
+            rows: list[tuple] = []  # bucket, r, o, code, n
+
+            def add(r, o, doc, what, times, to=None, rows=rows):
+                rows.append((np.mod(r if to is None else to, parts), r, o, doc * 8 + what, times))
+
+            doc = np.flatnonzero(n)
+            first = at[(np.cumsum(n) - n)[doc]]
+            easy = known[first] >= 0
+            base[doc[easy]] += log_count[known[first[easy]]] - log_total
+            add(words[first[~easy]], words[first[~easy]] * 0, doc[~easy], FIRST, np.ones((~easy).sum(), dtype=np.int64))
+            # each pair once for a document, with its number of times
+            v, w, doc = _pairs(at, n)
+            size, d = max(1, len(words)), len(n)
+            mine, times = np.unique((v * size + w) * d + doc, return_counts=True)
+            doc, w, v = mine % d, mine // d % size, mine // d // size
+            done = (warm[v] >= 0) & (warm[w] >= 0)
+            if done.any():
+                a, z, t, at_doc = v[done], w[done], times[done], doc[done]
+                others = both[warm[a] * len(hot_keys) + warm[z]] - t
+                hit = others > 0
+                gain = t * np.where(hit, np.log(np.maximum(others, 1)) - log_count[known[a]], log_backoff + log_count[known[z]] - log_total)
+                base += np.bincount(at_doc, weights=gain, minlength=d)
+                hits += np.bincount(at_doc, weights=t * hit, minlength=d).astype(np.int64)
+            easy_v, easy_w = known[v] >= 0, known[w] >= 0
+            at_v = ~done & easy_w & (~easy_v | (warm[v] < 0))
+            rare = ~easy_v & ~easy_w
+            at_w = ~done & ~at_v & ~rare
+            for mask, what, home, other in ((at_v, AT_V, v, w), (at_w, AT_W, w, v), (rare, IF_HIT, v, w), (rare, IF_MISS, w, v)):
+                add(words[home[mask]], words[other[mask]], doc[mask], what, times[mask])
+            start = b["row"][0]  # rows of a batch are numbered one after another
+            to = np.full(d, xxhash.xxh64_intdigest(start.to_bytes(8, "little")) >> 1)  # any bucket will do
+            ids = np.array([i or 0 for i in b["doc_id"]], dtype=np.int64)
+            add(ids, np.array([i is None for i in b["doc_id"]], dtype=np.int64), np.arange(d), ID, n, to)
+            add(np.rint(base * UNIT).astype(np.int64), hits, np.arange(d), KNOWN, n * 0, to)
+            columns = [np.concatenate(c) for c in zip(*rows, strict=True)]
+            order = np.lexsort((columns[1], columns[0]))
+            bucket, r, o, code, times = (c[order] for c in columns)
+            cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+            ends = [*cuts[1:], len(bucket)]
+            split = lambda x, cuts=cuts, ends=ends: [x[i:j] for i, j in zip(cuts, ends, strict=True)]
+            yield {"bucket": bucket[cuts], "block": [start] * len(cuts), "r": split(r), "o": split(o), "code": split(code), "n": split(times)}
+
+    numbered = docs.withColumn("row", F.monotonically_increasing_id())
+    return map_arrow(numbered, run, "bucket int, block long, r array<long>, o array<long>, code array<int>, n array<int>")
+
+
+@contextmanager
+def _joins_by_bucket(spark: SparkSession) -> Iterator[None]:
+    """Lets Spark join on (bucket, word) what is partitioned by bucket, without a further shuffle."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def sums(blocks: DataFrame, words: DataFrame, common: DataFrame, parts: int, total: int) -> DataFrame:
+    """(doc_id, n_words, hits, log_score) from exploded() and the counts of all and of common words."""
+    what, place = F.col("code").bitwiseAND(7), F.shiftright("code", 3)
+    elements = blocks.repartitionById(parts, "bucket").select("bucket", "block", F.inline(F.arrays_zip("r", "o", "code", "n")))
+    side = F.when(what.isin(AT_V, IF_HIT), 0).when(what.isin(AT_W, IF_MISS), 1)
+    pairs = elements.withColumn("side", side)
+    # the table of pair counts: of pairs that more than one document holds
+    holder = F.struct("block", place)
+    counts = pairs.where("side is not null").groupBy("r", "bucket", "o", "side").agg(F.sum("n").alias("all"), F.min(holder).alias("lo"), F.max(holder).alias("hi")).where("lo <> hi")
+    homes = words.select(F.col("word").alias("r"), F.col("n").alias("c_r"), F.pmod("word", F.lit(parts)).cast("int").alias("bucket")).repartitionById(parts, "bucket")
+    others = F.broadcast(common.select(F.col("word").alias("o"), F.col("n").alias("c_o")))  # at most COMMON rows
+    joined = (
+        pairs.join(counts.select("r", "bucket", "o", "side", "all"), ["r", "bucket", "o", "side"], "left")
+        .join(homes, ["r", "bucket"], "left")
+        .join(others, "o", "left")
+    )
+    n, hit, log_total = F.col("n"), F.col("all").isNotNull(), math.log(max(total, 1))
+    on_v = F.log(F.col("all") - n) - F.log(F.when(what == AT_W, F.col("c_o")).otherwise(F.col("c_r")))
+    on_w = F.log(F.when(what == AT_V, F.col("c_o")).otherwise(F.col("c_r"))) - F.lit(log_total)
+    gain = F.when(hit & (what != IF_MISS), on_v).when(~hit & what.isin(AT_V, AT_W, IF_MISS), on_w + math.log(BACKOFF)).when(what == FIRST, on_w)
+    mine = joined.select(
+        "bucket", "block", place.alias("doc"),
+        F.when(what == KNOWN, F.col("r")).otherwise(F.round(n * gain * UNIT).cast("long")).alias("gain"),
+        F.when(what == KNOWN, F.col("o")).when(hit & (what != IF_MISS), n).alias("hits"),
+        F.when(what == ID, n).alias("n_words"),
+        F.when((what == ID) & (F.col("o") == 0), F.col("r")).alias("doc_id"),
+    )
+    aggregates = [F.sum("gain").alias("gain"), F.sum("hits").alias("hits"), F.max("n_words").alias("n_words"), F.max("doc_id").alias("doc_id")]
+    by_bucket = mine.groupBy("bucket", "block", "doc").agg(*aggregates)
+    packed = by_bucket.groupBy("bucket", "block").agg(F.collect_list(F.struct("doc", "gain", "hits", "n_words", "doc_id")).alias("docs"))  # at most a block
+    totals = packed.select("block", "docs").repartition("block").select("block", F.inline("docs")).groupBy("block", "doc").agg(*aggregates)
+    return totals.select("doc_id", F.col("n_words").cast("long").alias("n_words"), F.coalesce("hits", F.lit(0)).alias("hits"), (F.coalesce("gain", F.lit(0)) / UNIT).alias("log_score"))
 
 
 def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -105,108 +232,28 @@ def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     n_backoff counts the words for which the other documents do not hold the pair. A text
     without words (null, empty, blank) has 0 words, log_score 0 and a null score. Rows
-    repeated under one id and null ids are documents of their own; other columns are not read.
+    repeated under one id and null ids are documents of their own; ids are read as long,
+    other columns not at all. No rows give no rows.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    words = _dense(unigram_counts(rows), "class", 1 << BITS)
-    total = int(words.sum())
-    rank = np.full(1 << BITS, -1, dtype=np.int32)
-    top = np.argsort(-words, kind="stable")[:HOT]
-    rank[top] = np.arange(len(top))
-    rank_b = spark.sparkContext.broadcast(rank)
-    hot_b = spark.sparkContext.broadcast(_dense(hot_pair_counts(rows, rank_b), "key", HOT * HOT))
-    with np.errstate(divide="ignore"):
-        log_word = np.log(np.maximum(words, 0.5))
-    log_b = spark.sparkContext.broadcast(log_word)
-    log_total, log_backoff = math.log(max(total, 1)), math.log(BACKOFF)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    words = written(unigram_counts(rows))
+    common = written(words.orderBy(F.desc("n"), "word").limit(COMMON))
+    total = words.agg(F.sum("n").alias("n")).head().n or 0
+    top = common.toPandas().sort_values(["n", "word"], ascending=[False, True])  # at most COMMON rows
+    ordered = top.sort_values("word")
+    hot_keys = np.sort(top["word"].to_numpy()[:HOT])
+    share = spark.sparkContext.broadcast
+    hot = share(hot_keys)
+    found = hot_pair_counts(rows, hot).toArrow()  # at most HOT^2 rows
+    hot_pairs = np.zeros(len(hot_keys) ** 2, dtype=np.int64)
+    hot_pairs[found.column("key").to_numpy()] = found.column("n").to_numpy()
     parts = max(1, math.ceil(total / PER_PART), spark.sparkContext.defaultParallelism)
-
-    def send(batches: Iterator[dict]) -> Iterator[dict]:
-        memo, hot, hot_count, log = _Classes(), rank_b.value, hot_b.value, log_b.value
-        for b in batches:
-            classes = [word_classes(t, memo) for t in b["text"]]
-            n = np.array([len(c) for c in classes], dtype=np.int64)
-            c, doc = np.concatenate(classes), np.repeat(np.arange(len(n)), n)
-            base = np.zeros(len(n))
-            some = np.flatnonzero(n)
-            base[some] = log[c[(np.cumsum(n) - n)[some]]] - log_total
-            same = doc[1:] == doc[:-1]
-            key, doc = _pairs(c)[same] if len(c) else c, doc[1:][same]
-            first, second = key >> BITS, key & ((1 << BITS) - 1)
-            base += np.bincount(doc, weights=log_backoff + log[second] - log_total, minlength=len(n))
-            r1, r2 = hot[first], hot[second]
-            both = (r1 >= 0) & (r2 >= 0)
-            mine, times = np.unique(doc[both] << 20 | r1[both].astype(np.int64) << 10 | r2[both], return_counts=True)
-            others = hot_count[(mine >> 10 & 1023) * HOT + (mine & 1023)] - times
-            mine, times, others = mine[others > 0], times[others > 0], others[others > 0]
-            v, w = top[mine >> 10 & 1023], top[mine & 1023]
-            base += np.bincount(mine >> 20, weights=times * (np.log(others) - log[v] - log_backoff - log[w] + log_total), minlength=len(n))
-            hits = np.bincount(mine >> 20, weights=times, minlength=len(n)).astype(np.int64)
-            start = b["row"][0]  # rows of a batch are numbered one after another
-            yield {"part": [start % parts], "start": [start], "pairs": [None], "doc_id": [b["doc_id"]], "n_words": [n], "hits": [hits], "base": [base]}
-            key, doc = key[~both], doc[~both]
-            part = ((key * np.int64(0x61C8864680B583EB)).view(np.uint64) >> np.uint64(33)).astype(np.int64) % parts
-            order = np.argsort(part, kind="stable")
-            packed, part = (key << 16 | doc)[order].astype("<i8"), part[order]
-            cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else []
-            blocks = [packed[a:z].tobytes() for a, z in zip(cuts, [*cuts[1:], len(part)], strict=False)]
-            m = len(blocks)
-            yield {"part": part[cuts] if m else [], "start": [start] * m, "pairs": blocks, "doc_id": [None] * m, "n_words": [None] * m, "hits": [None] * m, "base": [None] * m}
-
-    def count(table: pa.Table) -> pa.Table:
-        """Counts the pairs of one hash partition; for each block of documents its sums by document."""
-        log, blocks, starts = log_b.value, [], []
-        for start, pairs in zip(table.column("start").to_pylist(), table.column("pairs").to_pylist(), strict=True):
-            if pairs is not None:
-                blocks.append(np.frombuffer(pairs, dtype="<i8"))
-                starts.append(start)
-        heads = table.filter(pa.compute.is_null(table.column("pairs")))
-        out = heads.select(["start", "doc_id", "n_words", "hits", "base"]).append_column("at", pa.nulls(len(heads), pa.list_(pa.int64())))
-        if not blocks:
-            return out
-        packed = np.concatenate(blocks)
-        row = np.repeat(np.array(starts, dtype=np.int64), [len(x) for x in blocks]) + (packed & 0xFFFF)
-        of = np.repeat(np.array(starts, dtype=np.int64), [len(x) for x in blocks])
-        key = packed >> 16
-        order = np.lexsort((row, key))
-        row, key, of = row[order], key[order], of[order]
-        edge = np.r_[True, key[1:] != key[:-1]]
-        total = np.diff(np.r_[np.flatnonzero(edge), len(key)])[np.cumsum(edge) - 1]
-        own = np.flatnonzero(edge | np.r_[True, row[1:] != row[:-1]])
-        times = np.diff(np.r_[own, len(key)])
-        others = total[own] - times
-        own, times, others = own[others > 0], times[others > 0], others[others > 0]
-        v, w = key[own] >> BITS, key[own] & ((1 << BITS) - 1)
-        gain = times * (np.log(others) - log[v] - log_backoff - log[w] + log_total)
-        found, first, at = np.unique(row[own], return_index=True, return_inverse=True)
-        hits = np.bincount(at, weights=times, minlength=len(found)).astype(np.int64)
-        gain = np.bincount(at, weights=gain, minlength=len(found))
-        of = of[own][first]  # rows of a block follow one another, so blocks do too
-        cuts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, dtype=np.int64)
-        ends = np.r_[cuts[1:], len(of)] if len(of) else cuts
-        pieces = lambda x: [x[i:j] for i, j in zip(cuts, ends, strict=True)]
-        sums = {"start": of[cuts], "doc_id": [None] * len(cuts), "n_words": [None] * len(cuts), "hits": pieces(hits), "base": pieces(gain), "at": pieces(found - of)}
-        return pa.concat_tables([out, pa.table({f.name: pa.array(sums[f.name], type=f.type) for f in out.schema}, schema=out.schema)])
-
-    def total_up(table: pa.Table) -> pa.Table:
-        """Sums up one block of documents."""
-        head = table.filter(pa.compute.is_null(table.column("at")))
-        hits = np.array(head.column("hits")[0].as_py(), dtype=np.int64)
-        score = np.array(head.column("base")[0].as_py(), dtype=np.float64)
-        rest = table.filter(pa.compute.is_valid(table.column("at")))
-        at = rest.column("at").combine_chunks().flatten().to_numpy()
-        order = np.lexsort((rest.column("base").combine_chunks().flatten().to_numpy(), at))  # one order of addition on every run
-        hits += np.bincount(at, weights=rest.column("hits").combine_chunks().flatten().to_numpy(), minlength=len(hits)).astype(np.int64)
-        score += np.bincount(at[order], weights=rest.column("base").combine_chunks().flatten().to_numpy()[order], minlength=len(hits))
-        n = head.column("n_words")[0].as_py()
-        return pa.table({"doc_id": head.column("doc_id").combine_chunks().flatten(), "n_words": pa.array(n, pa.int64()), "hits": hits, "log_score": score})
-
-    numbered = rows.withColumn("row", F.monotonically_increasing_id())
-    sent = map_arrow(numbered, send, f"part long, start long, pairs binary, doc_id array<{kind}>, n_words array<long>, hits array<long>, base array<double>")
-    sums = sent.groupBy("part").applyInArrow(count, f"start long, doc_id array<{kind}>, n_words array<long>, hits array<long>, base array<double>, at array<long>")
-    totals = sums.groupBy("start").applyInArrow(total_up, f"doc_id {kind}, n_words long, hits long, log_score double")
+    blocks = exploded(rows, parts, total, share((ordered["word"].to_numpy(), ordered["n"].to_numpy())), hot, share(hot_pairs))
+    with _joins_by_bucket(spark):
+        totals = written(sums(blocks, words, common, parts, total))
+    for t in (words, common):
+        drop_written(t)
     n = F.col("n_words")
     backed = F.greatest(n - 1, F.lit(0)) - F.col("hits")
     return totals.select("doc_id", "n_words", backed.alias("n_backoff"), "log_score", F.when(n > 0, F.col("log_score") / n).alias("score"))
