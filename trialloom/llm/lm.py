@@ -196,11 +196,12 @@ def _joins_by_bucket(spark: SparkSession) -> Iterator[None]:
 def sums(blocks: DataFrame, words: DataFrame, common: DataFrame, parts: int, total: int) -> DataFrame:
     """(doc_id, n_words, hits, log_score) from exploded() and the counts of all and of common words."""
     what, place = F.col("code").bitwiseAND(7), F.shiftright("code", 3)
-    elements = blocks.repartitionById(parts, "bucket").select("bucket", "block", F.inline(F.arrays_zip("r", "o", "code", "n")))
+    # no bucket is null: said here, so that both uses below read one and the same shuffle
+    elements = blocks.where("bucket is not null").repartitionById(parts, "bucket").select("bucket", "block", F.inline(F.arrays_zip("r", "o", "code", "n")))
     side = F.when(what.isin(AT_V, IF_HIT), 0).when(what.isin(AT_W, IF_MISS), 1)
     pairs = elements.withColumn("side", side)
     # the table of pair counts: of pairs that more than one document holds
-    holder = F.struct("block", place)
+    holder = F.col("block") + place
     counts = pairs.where("side is not null").groupBy("r", "bucket", "o", "side").agg(F.sum("n").alias("all"), F.min(holder).alias("lo"), F.max(holder).alias("hi")).where("lo <> hi")
     homes = words.select(F.col("word").alias("r"), F.col("n").alias("c_r"), F.pmod("word", F.lit(parts)).cast("int").alias("bucket")).repartitionById(parts, "bucket")
     others = F.broadcast(common.select(F.col("word").alias("o"), F.col("n").alias("c_o")))  # at most COMMON rows
