@@ -74,7 +74,7 @@ def bounded_sample(df: DataFrame, label: str, key: str, total: int, seed: int =
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], schema: str) -> DataFrame:
-    """mapInArrow where fn gets batches as {column: list} and yields such dicts.
+    """mapInArrow where fn gets batches as {column: list} and yields such dicts, or Arrow arrays in them.
 
     Batches are cut to 256 rows so that long texts do not pile up in a worker.
     """
@@ -88,7 +88,7 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], sch
                     yield {n: c.to_pylist() for n, c in zip(cut.schema.names, cut.columns, strict=True)}
 
         for out in fn(parts()):
-            arrays = [pa.array(out[f.name], type=f.type) for f in arrow]
+            arrays = [out[f.name] if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], type=f.type) for f in arrow]
             yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
     return df.mapInArrow(run, schema)

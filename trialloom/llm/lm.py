@@ -31,6 +31,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -173,9 +174,9 @@ def exploded(docs: DataFrame, parts: int, total: int, common, hot, hot_pairs) ->
             order = np.lexsort((columns[1], columns[0]))
             bucket, r, o, code, times = (c[order] for c in columns)
             cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            ends = [*cuts[1:], len(bucket)]
-            split = lambda x, cuts=cuts, ends=ends: [x[i:j] for i, j in zip(cuts, ends, strict=True)]
-            yield {"bucket": bucket[cuts], "block": [start] * len(cuts), "r": split(r), "o": split(o), "code": split(code), "n": split(times)}
+            at = pa.array(np.r_[cuts, len(bucket)], pa.int32())
+            lists = {k: pa.ListArray.from_arrays(at, pa.array(x, t)) for k, x, t in (("r", r, pa.int64()), ("o", o, pa.int64()), ("code", code, pa.int32()), ("n", times, pa.int32()))}
+            yield {"bucket": bucket[cuts], "block": [start] * len(cuts), **lists}
 
     numbered = docs.withColumn("row", F.monotonically_increasing_id())
     return map_arrow(numbered, run, "bucket int, block long, r array<long>, o array<long>, code array<int>, n array<int>")
@@ -197,7 +198,8 @@ def sums(blocks: DataFrame, words: DataFrame, common: DataFrame, parts: int, tot
     """(doc_id, n_words, hits, log_score) from exploded() and the counts of all and of common words."""
     what, place = F.col("code").bitwiseAND(7), F.shiftright("code", 3)
     # no bucket is null: said here, so that both uses below read one and the same shuffle
-    elements = blocks.where("bucket is not null").repartitionById(parts, "bucket").select("bucket", "block", F.inline(F.arrays_zip("r", "o", "code", "n")))
+    sent = blocks.where("bucket is not null").repartitionById(parts, "bucket")
+    elements = sent.select("*", F.posexplode("code").alias("i", "what")).select("bucket", "block", *[F.get(c, F.col("i")).alias(c) for c in ("r", "o", "n")], F.col("what").alias("code"))
     side = F.when(what.isin(AT_V, IF_HIT), 0).when(what.isin(AT_W, IF_MISS), 1)
     pairs = elements.withColumn("side", side)
     # the table of pair counts: of pairs that more than one document holds
@@ -223,8 +225,16 @@ def sums(blocks: DataFrame, words: DataFrame, common: DataFrame, parts: int, tot
     )
     aggregates = [F.sum("gain").alias("gain"), F.sum("hits").alias("hits"), F.max("n_words").alias("n_words"), F.max("doc_id").alias("doc_id")]
     by_bucket = mine.groupBy("bucket", "block", "doc").agg(*aggregates)
-    packed = by_bucket.groupBy("bucket", "block").agg(F.collect_list(F.struct("doc", "gain", "hits", "n_words", "doc_id")).alias("docs"))  # at most a block
-    totals = packed.select("block", "docs").repartition("block").select("block", F.inline("docs")).groupBy("block", "doc").agg(*aggregates)
+    columns = ("doc", "gain", "hits", "n_words", "doc_id")
+    packed = by_bucket.groupBy("bucket", "block").agg(F.collect_list(F.struct(*columns)).alias("docs"))  # at most a block
+
+    def total_up(table: pa.Table) -> pa.Table:
+        """The sums of each document of a block; there is one row for each bucket."""
+        rows = pa.RecordBatch.from_struct_array(table.column("docs").combine_chunks().flatten())
+        docs = pa.Table.from_batches([rows]).group_by("doc", use_threads=False).aggregate([("gain", "sum"), ("hits", "sum"), ("n_words", "max"), ("doc_id", "max")])
+        return docs.select(["doc_id_max", "n_words_max", "hits_sum", "gain_sum"]).rename_columns(["doc_id", "n_words", "hits", "gain"])
+
+    totals = packed.select("block", "docs").groupBy("block").applyInArrow(total_up, "doc_id long, n_words int, hits long, gain long")
     return totals.select("doc_id", F.col("n_words").cast("long").alias("n_words"), F.coalesce("hits", F.lit(0)).alias("hits"), (F.coalesce("gain", F.lit(0)) / UNIT).alias("log_score"))
 
 
