@@ -134,7 +134,7 @@ def test_a_domain_without_tokens_repeats_nothing_for_ever(spark):
     df = spark.createDataFrame(rows, "doc_id long, tokens long, p array<double>")
     rates, reached = mixing.fit_rates(df, [0.9, 0.1])
     got = {r.doc_id: r.rate for r in rates.collect()}
-    assert max(got.values()) <= mixing.SCARCE and reached[1] < 0.1 and all(got[i] < 2 for i in range(50))
+    assert max(got.values()) < 2 and reached[1] < 0.01
 
 
 def test_cases(spark):

@@ -32,8 +32,8 @@ CHI_SQUARE = 16.0
 FULL = (2.0, 8.0, 32.0, 1e9)
 #: Steps at most, steps between tables, and the share of all tokens that totals may be off.
 STEPS, NESTED, CLOSE = 60, 4, 1e-4
-#: Only where a target is more than SCARCE times the share that its domain has, that is,
-#: where a domain has practically no tokens, rates are bounded, by SCARCE.
+#: A domain whose target is more than SCARCE times the share that it has has practically no
+#: tokens: its target cannot be met, and no document is repeated for its sake.
 SCARCE = 100.0
 #: Stands in every document.
 EVERY = "\u0001"
@@ -187,8 +187,9 @@ def fit_rates(members: DataFrame, targets: list[float], steps: int = STEPS, keep
     It ends when every total is within 1e-4 of all tokens, when steps have shrunk to
     nothing, or after steps steps. A table without tokens keeps its rates at 1.
     keep names a domain: documents whose likeliest domain that is keep a rate of 1 at least.
-    Rates have no upper bound unless a domain is scarce (see SCARCE). Totals that stay off
-    by more than 1e-4 are logged as a warning.
+    Rates have no upper bound. The target of a domain that is scarce (see SCARCE) is what it
+    has, and the others share the rest. Totals that stay off by more than 1e-4 are logged
+    as a warning.
     """
     k = len(targets)
     p = [F.col("p")[i] for i in range(k)]
@@ -201,14 +202,15 @@ def fit_rates(members: DataFrame, targets: list[float], steps: int = STEPS, keep
         return table, list(targets)
     size = np.array([max(r[f"s{i}"] / total, 1e-9) for i in range(k)])
     goal = np.array(targets)
-    bounded = bool((goal > SCARCE * size).any())
+    scarce = goal > SCARCE * size
+    if scarce.any() and not scarce.all():
+        goal = np.where(scarce, size, goal * (goal.sum() - size[scarce].sum()) / goal[~scarce].sum())
     rate, nested, length = F.col("rate"), 0, 1.0
     before: tuple | None = None  # rate, off, direction and weights of squares at the last step that helped
 
     def stepped(rate: Column, direction: np.ndarray) -> Column:
         pull = sum((p[i] * F.lit(float(direction[i])) for i in range(1, k)), p[0] * F.lit(float(direction[0])))
-        after = F.greatest(least, rate - pull)
-        return F.least(F.lit(SCARCE), after) if bounded else after
+        return F.greatest(least, rate - pull)
 
     for step in range(steps + 1):
         # totals at these rates, and the moments of the documents that a step may move
@@ -240,8 +242,8 @@ def fit_rates(members: DataFrame, targets: list[float], steps: int = STEPS, keep
         rate = stepped(rate, length * direction)
     rate, off = before[0], before[1]
     reached = [float(x) for x in off + goal]
-    if np.abs(off).max() > CLOSE:
-        logging.getLogger(__name__).warning("shares of tokens reached: %s; targets: %s; rates bounded: %s", reached, targets, bounded)
+    if np.abs(reached - np.array(targets)).max() > CLOSE:
+        logging.getLogger(__name__).warning("shares of tokens reached: %s; targets: %s; without tokens: %s", reached, targets, scarce.tolist())
     return table.withColumn("rate", rate), reached
 
 

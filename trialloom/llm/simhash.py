@@ -30,6 +30,8 @@ from trialloom.llm.components import connected_components
 MAX_BITS = 3
 #: Fingerprints verified against each other at once.
 LIMIT = 2048
+#: Segment values whose variants one task makes.
+SPREAD = 100_000
 #: Shingles hashed at once, so that a text's length does not bound the memory needed.
 BLOCK = 1 << 16
 WORDS = 3
@@ -59,14 +61,15 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp long) for every row; other columns of docs are not read."""
+    """(doc_id, fp long, text_hash long) for every row; other columns of docs are not read."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
             fps = np.array([fingerprint(t) for t in b["text"]], dtype=np.uint64).view(np.int64)
-            yield {"doc_id": b["doc_id"], "fp": fps}
+            yield {"doc_id": b["doc_id"], "fp": fps, "text_hash": b["text_hash"]}
 
-    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    return map_arrow(rows, run, "doc_id long, fp long, text_hash long")
 
 
 def _parts(adjacent: np.ndarray) -> np.ndarray:
@@ -157,8 +160,10 @@ def links(fps: DataFrame, limit: int = LIMIT) -> DataFrame:
     """
     segs = fps.select("fp", F.explode(F.array(F.struct(F.lit(0).alias("seg"), _bits(F.col("fp"), 0, 32).alias("v")), F.struct(F.lit(1).alias("seg"), _bits(F.col("fp"), 32, 32).alias("v")))).alias("s")).select("s.seg", "s.v", "fp")
     values = written(segs.groupBy("seg", "v").agg(F.count("*").alias("n")))
+    # each row becomes 32: spread first, as the written table has few files
+    wide = values.repartition(max(1, values.count() // SPREAD, fps.sparkSession.sparkContext.defaultParallelism), "seg", "v")
     pairs = (
-        values.select("seg", "n", F.explode(F.array(*_one_wildcard(F.col("v"), 32))).alias("x"))
+        wide.select("seg", "n", F.explode(F.array(*_one_wildcard(F.col("v"), 32))).alias("x"))
         .groupBy("seg", F.col("x.w").alias("w"), F.col("x.rest").alias("v0"))
         .agg(F.sum(F.when(~F.col("x.bit"), F.col("n"))).alias("n0"), F.sum(F.when(F.col("x.bit"), F.col("n"))).alias("n1"))
         .where("n0 is not null and n1 is not null")
@@ -191,6 +196,16 @@ def _large(members: DataFrame, keys: list[str], limit: int) -> DataFrame:
     return edges.unionByName(_verify_groups(last, keys3))
 
 
+def _rooted(rows: DataFrame, limit: int) -> DataFrame:
+    """(fp, root, component_id) for each fingerprint of rows(doc_id, fp): root is a fingerprint, the
+    same for all that links connect; component_id is the smallest doc_id there."""
+    fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    roots = connected_components(links(fps.select("fp"), limit))
+    rooted = written(fps.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")))
+    tops = written(rooted.groupBy("root").agg(F.min("rep").alias("component_id")))
+    return written(rooted.join(tops, "root").select("fp", "root", "component_id"))
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
     """(doc_id, fp, fingerprint, component_id): one row for each row of docs.
 
@@ -200,21 +215,31 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     blank texts have fingerprint zero and are linked like any other. Repeated rows stay.
     """
     rows = written(fingerprints(docs, id_col, text_col))
-    fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    roots = connected_components(links(fps.select("fp"), limit))
-    rooted = written(fps.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")))
-    tops = written(rooted.groupBy("root").agg(F.min("rep").alias("component_id")))
-    named = written(rooted.join(tops, "root").select("fp", "component_id"))
+    named = _rooted(rows, limit).select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of docs without near copies: of each component the row with the smallest
-    doc_id stays, of rows repeated under that id one. Rows with a null id stay, as they
-    cannot be told apart."""
-    groups = written(simhash_groups(docs.select("doc_id", "text")).select("doc_id", "component_id").where("doc_id is not null"))
-    first = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("times"))
-    marked = docs.join(first.hint("merge"), "doc_id")  # the same plan at every size
-    once = marked.where("times = 1").drop("times").select(docs.columns)
-    again = marked.where("times > 1").drop("times").select(docs.columns).dropDuplicates(["doc_id"])
-    return once.unionByName(again).unionByName(docs.where("doc_id is null"))
+    doc_id stays, of several texts under that id the one with the smallest hash, of rows
+    repeated with it one. Rows with a null id stay, as they cannot be told apart.
+
+    Which rows stay is a table of ids and hashes; Spark broadcasts it if it is small, so
+    that texts stay in place, and merges it with the texts if it is large.
+    """
+    rows = written(fingerprints(docs))
+    known = rows.where("doc_id is not null").join(_rooted(rows, LIMIT).select("fp", "root"), "fp")
+    first = F.min(F.struct("doc_id", "text_hash")).alias("first")
+    counted = known.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("times"))
+    stays = counted.groupBy("root").agg(first, F.min_by("times", F.struct("doc_id", "text_hash")).alias("times"))
+    # texts with one hash have one fingerprint, so one root
+    stays = written(stays.select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"), "times"))
+
+    def rows_of(ids: DataFrame) -> DataFrame:
+        return docs.withColumn("_h", F.xxhash64("text")).join(ids, (F.col("doc_id") == F.col("_id")) & (F.col("_h") == F.col("_hash")))
+
+    again = stays.where("times > 1")
+    out = rows_of(stays.where("times = 1")).select(docs.columns)
+    if not again.isEmpty():
+        out = out.unionByName(rows_of(again).dropDuplicates(["doc_id", "_h"]).select(docs.columns))
+    return out if rows.where("doc_id is null").isEmpty() else out.unionByName(docs.where("doc_id is null"))
