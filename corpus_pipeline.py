@@ -16,7 +16,8 @@ from trialloom.llm.packing import pack
 from trialloom.llm.secrets import without_secrets
 from trialloom.llm.simhash import deduplicated
 
-#: Shares of tokens to mix to. The first stage leaves next to nothing of low quality.
+#: Shares of tokens to mix to. The first stage rejects low quality on purpose (of the tokens it
+#: leaves at sf0.1, a share of 0.000003 is expected to be low), so none is asked for here.
 TARGETS = {"clean": 0.9, "toxic": 0.1}
 
 
@@ -37,8 +38,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their rates say: clean ones at least once, others less often."""
-    return mixed_documents(docs, label_domains(table(spark, sf_dir, "labels")), TARGETS)
+    """Documents as often as their rates say: those that are likeliest clean at least once."""
+    return mixed_documents(docs, label_domains(table(spark, sf_dir, "labels")), TARGETS, keep="clean")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
