@@ -32,7 +32,7 @@ def test_fit_follows_neighbours():
         chains += [c] * n
         y += [label] * n
         x += [[label + rng.normal(), rng.normal()] for _ in range(n)]
-    f = quality.fit(np.array(x), np.array(y), np.array(chains))
+    f = quality.fit(np.array(x), np.array(y), np.array(chains), context=1.0)
     assert f.weights[0] > 0.3 and abs(f.weights[1]) < 0.4
     assert f.pair[0, 0] + f.pair[1, 1] > f.pair[0, 1] + f.pair[1, 0] + 1
 
@@ -47,6 +47,41 @@ def test_held_out_accuracy(spark):
     assert kept == {r.doc_id for r in quality.score(docs, field).collect() if r.score >= 0.7}
 
 
+def test_junk_lines_in_good_documents_are_found(spark):
+    """A line of junk between the lines of a good document is judged by itself; so is a good one between junk."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    field = quality.train(docs, labels, ~held_out(F.col("doc_id")))
+    rows = docs.join(labels, "doc_id").where(held_out(F.col("doc_id"))).orderBy("doc_id").collect()
+    good = [r.text.split("\n") for r in rows if r.quality == 1 and r.text.count("\n") > 5]
+    junk = [x for r in rows if r.quality == 0 for x in r.text.split("\n") if any(m in x for m in ("!!", " | ", "&&&"))]
+    planted, others = [], []
+    for i, lines in enumerate(good):
+        k = 1 + i % (len(lines) - 1)
+        p = field.marginals(quality.line_scores(["\n".join([*lines[:k], junk[i % len(junk)], *lines[k:]])], field)[0])
+        planted.append(p[k])
+        others += [*p[:k], *p[k + 1 :]]
+    assert len(good) > 20 and np.median(planted) < 0.5 and np.quantile(planted, 0.9) < 0.7
+    assert np.median(others) > 0.9 and np.mean(np.array(others) > 0.7) > 0.9
+
+
+def test_blocks_of_lines_change_nothing(monkeypatch):
+    rng = np.random.default_rng(4)
+    field = quality.Field(rng.normal(size=quality.N_FEATURES), 0.2, rng.normal(size=(2, 2)))
+    texts = [None, "", "\n", "one line", "\n\nx\n", *["\n".join("ab C!" * int(rng.integers(0, 9)) for _ in range(int(n))) for n in rng.integers(1, 60, size=20)]]
+    x = [quality.with_neighbours(quality.line_features((t or "").split("\n"))[0], *quality._ends(np.array([(t or "").count("\n") + 1]))) for t in texts]
+    want = np.concatenate([m @ field.weights + field.bias for m in x])
+    for chunk, block in ((1 << 20, 20_000), (1, 1), (7, 13)):
+        monkeypatch.setattr(quality, "CHUNK", chunk)
+        monkeypatch.setattr(quality, "BLOCK", block)
+        s, _, counts = quality.line_scores(texts, field)
+        assert np.allclose(s, want) and counts.tolist() == [(t or "").count("\n") + 1 for t in texts]
+
+
+def test_many_lines():
+    field = quality.Field(np.ones(quality.N_FEATURES), 0.0, np.zeros((2, 2)))
+    assert 0 <= quality.scores(["a b\n" * 300_000], field)[0] <= 1
+
+
 def test_cases(spark):
     rows = [(1, None, 1.0), (2, "", 2.0), (None, "a line", 3.0), (3, "\n\n\n", 4.0), (4, "word " * 100_000, 5.0), (4, "x\ny", 6.0), (4, "x\ny", 6.0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, score double")
