@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+import time
 from collections import Counter
 
 from hypothesis import given, settings
@@ -79,9 +80,12 @@ def test_entropy_matches_plain_version():
         for s in range(len(run) - 19):
             w = run[s : s + 20]
             h = -sum(c / 20 * math.log2(c / 20) for c in Counter(w).values())
-            if h >= 3.4 and sum(map(str.isdigit, w)) >= 2 and sum(map(str.isalpha, w)) >= 2:
+            if h >= 3.4 and sum(map(str.isalpha, w)) >= 2:
+                changes = sum(a.isalpha() and b.isalpha() and a.isupper() != b.isupper() for a, b in zip(w, w[1:]))
+                if sum(map(str.isdigit, w)) / 2 + changes / 4 < 1:
+                    continue
                 hit |= set(range(s, s + 20))
-        got = {i for a, b in secrets.high_entropy(run, 20, 3.4 - 1e-12, 2, 2) for i in range(a, b)}
+        got = {i for a, b in secrets.high_entropy(run, 20, 3.4 - 1e-12, 2, 2, 4) for i in range(a, b)}
         assert got == hit
 
 
@@ -90,7 +94,7 @@ def test_scan_cases(spark):
     rows = [
         (1, 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" end', 1),
         (2, None, 2), (3, "", 3), (4, f"see {mixed} here", 4), (None, "password: hunter2222", 5),
-        (5, "EXAMPLE" + mixed + "EXAMPLE", 6), (6, "plain words only and averyveryverylongwordwithoutdigits", 7), (6, "plain words only and averyveryverylongwordwithoutdigits", 7),
+        (5, "EXAMPLE" + mixed[:12] + "EXAMPLE" + mixed[:9], 6), (8, "EXAMPLE" + mixed, 6), (6, "plain words only and averyveryverylongwordwithoutdigits", 7), (6, "plain words only and averyveryverylongwordwithoutdigits", 7),
         (7, "AKIA" + "A1" * 10, 8),
     ]
     df = spark.createDataFrame(rows, "doc_id long, text string, spans int")
@@ -102,6 +106,8 @@ def test_scan_cases(spark):
     assert by[1].redacted == '[SECRET]" end'
     assert by[2].spans == "" and by[2].redacted is None and by[3].spans == ""
     assert by[4].spans == f"entropy_alnum:4:{4 + len(mixed)}"
+    assert by[8].n_entropy == 1  # what stands beside an allowed word is a secret by itself
+    assert secrets.scan_secrets(df, redacted=False).columns == secrets.scan_secrets(df).drop("redacted").columns
     assert by[5].spans == "" and by[6].spans == "" and by[None].n_assign == 1 and by[7].n_access == 1
     assert secrets.scan_secrets(df.limit(0)).collect() == []
 
@@ -115,3 +121,29 @@ def test_documents(spark):
         assert got[k].base_sha256 == hashlib.sha256(v.encode()).hexdigest()
     assert sum(r.n_entropy for r in got.values()) == 0  # clean texts stay clean
     assert secrets.without_secrets(df).count() == 1000
+
+
+def test_planted_secrets_are_found():
+    """Random tokens without a keyword before them, which no base pattern finds."""
+    rng, scanner = random.Random(7), secrets.Scanner()
+    alphabets = {"alnum": KEY[:62], "letters": KEY[10:62], "base64": KEY[:62] + "+/", "url": KEY[:62] + "_-"}
+    for name, letters in alphabets.items():
+        found = 0
+        for _ in range(400):
+            token = "".join(rng.choice(letters) for _ in range(rng.randint(24, 44)))
+            base, every = scanner.spans(f"the key is {token} and no more")
+            assert not base
+            found += any(b - a >= 0.8 * len(token) for _, a, b in every)
+        assert found / 400 >= (0.8 if name == "letters" else 0.95), (name, found)
+    for plain in ("getUserNameFromTableRows", "averyveryverylongwordwithoutdigits", "https/www-example-org/some-path_to/files", "2024-11-28-10-22-33-44-55", "IncomprehensibilitiesOfMen", "12345678901234567890123"):
+        assert scanner.spans(plain)[1] == [], plain
+
+
+def test_very_long_texts():
+    rng = random.Random(3)
+    tokens = ["".join(rng.choice(KEY[:62]) for _ in range(24)) for _ in range(2000)]
+    text = " ".join(tokens * 50)  # 100,000 tokens, 2.5 MB
+    start = time.monotonic()
+    base, every = secrets.Scanner().spans(text)
+    assert len(every) > 90_000 and time.monotonic() - start < 60
+    assert len(secrets.redact(text, every)) < len(text)

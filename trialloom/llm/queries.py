@@ -68,7 +68,7 @@ def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret spans of every text."""
-    return scan_secrets(table(spark, sf_dir, "documents")).drop("redacted")
+    return scan_secrets(table(spark, sf_dir, "documents"), redacted=False)
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
