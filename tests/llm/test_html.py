@@ -2,7 +2,10 @@ import re
 import time
 from html.parser import HTMLParser
 
-from trialloom.llm.html import render
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from trialloom.llm.html import Tags, render
 
 SF = "/root/testdata/sf0.01"
 
@@ -98,3 +101,28 @@ def test_quotes_delimit_only_after_equals():
     assert render("<p class=it's>Hello don't go</p>") == "Hello don't go"
     assert render("<p it's>don't</p><p title = 'a>b'>c</p><a href=x?q=\"y>d</a>e\"") == "don't\n\nc\n\nde\""
     assert render("<p title=\"a>b<p>c") == "<p title=\"a>b\n\nc"
+
+
+# the tags of a page as one expression: what Tags finds, but in quadratic time
+PLAIN = re.compile(r"<!--.*?(?:-->|--!>|\Z)|<[!?][^>]*(?:>|\Z)|</?[A-Za-z](?:[^>=]|=[ \t\n\r\f]*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])[^ \t\n\r\f>]*+))*+>", re.DOTALL)
+PARTS = st.sampled_from(["<", ">", "=", '"', "'", " ", "a", "<a", "</b", "<!--", "-->", "--!>", "<!", "<?", "/", 'x="y"', "x='", "=\n'", "é", "=="])
+
+
+@settings(max_examples=2000, deadline=None)
+@given(st.lists(PARTS, max_size=24).map("".join))
+def test_tags_match_plain_expression(page):
+    tags, at, got = Tags(page), 0, []
+    while found := tags.next(at):
+        got.append(found)
+        at = found[1]
+    assert got == [m.span() for m in PLAIN.finditer(page)]
+
+
+def test_broken_pages_take_linear_time():
+    n = 300_000
+    start = time.monotonic()
+    for piece in ("<a ", '<a x="', "<a x='y=\"", "</script ", "<!-- ", "<a =", "<", "</", "<p", "<td colspan=1000>", "<li>", "<table>", "&lt;", "<b =x <i"):
+        for head, tail in (("", ""), ("<script>", ""), ("", ">"), ("", "'>")):
+            render(head + piece * (n // len(piece)) + tail)
+    assert time.monotonic() - start < 120
+    assert render("<a " * 10**6) == ("<a " * 10**6).rstrip()

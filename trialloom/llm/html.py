@@ -8,6 +8,7 @@ columns. All visible text is kept: nothing is judged boilerplate.
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import re
 from collections.abc import Iterator
@@ -49,8 +50,6 @@ HOLD_HTML = frozenset("foreignobject desc annotation-xml mi mo mn ms mtext".spli
 BREAK_OUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 HEAD_ONLY = frozenset("base link meta title style script noscript template head html".split())
 
-# a quote delimits only right after "="; with one there that is never closed it is no tag but text
-TOKEN = re.compile(r"<!--.*?(?:-->|--!>|\Z)|<[!?][^>]*(?:>|\Z)|</?[A-Za-z](?:[^>=]|=[ \t\n\r\f]*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])[^ \t\n\r\f>]*+))*+>", re.DOTALL)
 ATTRIBUTE = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 NAME = re.compile(r"[A-Za-z][^\s/>]*")
 SPACE = re.compile(r"[ \t\n\r\f]+")
@@ -63,6 +62,76 @@ DEPTH, TABLES = 512, 40
 WIDEST = 60
 
 
+class Tags:
+    """Finds the tags and comments of a page, from left to right, in time linear in its length.
+
+    A quote delimits only right after "="; with one there that is never closed, and where no
+    ">" follows, it is no tag but text. What was learned on a way that led to no end is kept.
+    """
+
+    MARK, BLANK, END = re.compile(r"[>=]"), re.compile(r"[ \t\n\r\f]*"), re.compile(r"[ \t\n\r\f>]")
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.dead: set[int] = set()  # "=" from which no end can be reached
+        self.first = (0, -1, 0)  # from .. to: the mark that comes next there, and its place (-1 for none)
+
+    def _next_mark(self, at: int) -> int:
+        a, z, mark = self.first
+        if not a <= at <= z:
+            m = self.MARK.search(self.page, at)
+            mark = m.start() if m else -1
+            self.first = (at, mark if m else len(self.page), mark)
+        return mark
+
+    def _tag_end(self, at: int) -> int:
+        """The place after the tag that is open at this place, or -1."""
+        page, way = self.page, []
+        mark = self._next_mark(at)
+        while mark >= 0 and mark not in self.dead:
+            if page[mark] == ">":
+                return mark + 1
+            way.append(mark)
+            at = self.BLANK.match(page, mark + 1).end()
+            quote = page[at : at + 1]
+            if quote in ('"', "'") and quote:
+                at = page.find(quote, at + 1) + 1
+                if not at:
+                    break
+            else:
+                m = self.END.search(page, at)
+                if not m:
+                    break
+                at = m.start()
+            m = self.MARK.search(page, at)
+            mark = m.start() if m else -1
+        self.dead.update(way)
+        return -1
+
+    def next(self, at: int) -> tuple[int, int] | None:
+        """(start, end) of the next tag, comment or declaration from this place on."""
+        page = self.page
+        while (start := page.find("<", at)) >= 0:
+            if page.startswith("<!--", start):
+                ends = [e + n for e, n in ((page.find("-->", start + 4), 3), (page.find("--!>", start + 4), 4)) if e >= 0]
+                return start, min(ends, default=len(page))
+            kind = page[start + 1 : start + 3]
+            if kind[:1] in ("!", "?") and kind:
+                return start, page.find(">", start) + 1 or len(page)
+            letter = kind[1:] if kind[:1] == "/" else kind[:1]
+            if letter.isascii() and letter.isalpha() and (end := self._tag_end(start + 2)) >= 0:
+                return start, end
+            at = start + 1
+        return None
+
+
+def raw_end(page: str, name: str, at: int) -> tuple[int, int]:
+    """(start, end) of the closing tag of script and the like; the page's end if there is none."""
+    m = re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE).search(page, at)
+    end = page.find(">", m.end()) + 1 if m else 0
+    return (m.start(), end) if end else (len(page), len(page))
+
+
 class Node:
     __slots__ = ("tag", "attrs", "children")
 
@@ -101,13 +170,14 @@ def parse(page: str) -> Node:
 
     at, end = 0, len(page)
     any_foreign = re.search(r"<(?:svg|math)", page, re.IGNORECASE) is not None
+    tags = Tags(page)
     while at < end:
-        m = TOKEN.search(page, at)
-        if not m:
+        found = tags.next(at)
+        if not found:
             push_text(entities.unescape(page[at:]))
             break
-        push_text(entities.unescape(page[at : m.start()]))
-        token, at = m[0], m.end()
+        push_text(entities.unescape(page[at : found[0]]))
+        token, at = page[slice(*found)], found[1]
         if token[1] in "!?":
             continue
         closing = token[1] == "/"
@@ -157,10 +227,10 @@ def parse(page: str) -> Node:
         if inside and token.endswith("/>"):
             continue
         if name in RAW:
-            close = re.compile(rf"</{name}(?=[\s/>])[^>]*>|\Z", re.IGNORECASE).search(page, at)
-            body = page[at : close.start()]
+            close, after = raw_end(page, name, at)
+            body = page[at:close]
             node.children.append(entities.unescape(body) if name in ("textarea", "title") else body)
-            at = close.end()
+            at = after
         elif name not in VOID and len(stack) < DEPTH:
             stack.append(node)
     return root
@@ -370,10 +440,11 @@ class Renderer:
                 if (r, c) not in spans:
                     width[c] = max([width.get(c, 0), *map(len, lines)])
         out = list(loose)
+        columns = sorted({c for c, w in width.items() if w} | {c for cells in grid for c in cells})
         for cells in grid:
             for i in range(max([len(x) for x in cells.values()], default=0)):
                 line, last = "", max(c for c, x in cells.items() if len(x) > i)
-                for c in range(last + 1):
+                for c in columns[: bisect.bisect_right(columns, last)]:
                     part = cells[c][i] if c in cells and i < len(cells[c]) else ""
                     if c not in cells and not width.get(c):
                         continue
