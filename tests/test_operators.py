@@ -109,3 +109,56 @@ def test_resample_to_grid(spark):
     s = spark.createDataFrame([(1, 0.0, 0.0), (1, 2.5, 5.0), (1, 4.0, 2.0), (2, 3.0, 7.0), (3, 3.5, 1.0)], "trial_id long, t double, v double")
     got = sorted((r.trial_id, r.bin, r.v) for r in binning.resample_interpolated(s, 1.0).collect())
     assert got == [(1, 0, 0.0), (1, 1, 2.0), (1, 2, 4.0), (1, 3, 4.0), (1, 4, 2.0), (2, 3, 7.0)]
+
+
+def test_positions_and_quantiles_are_exact_whatever_the_cuts(spark):
+    import random
+
+    from trialloom.operators import ranking
+
+    rng = random.Random(4)
+    rows = [(i * 7 % 1009, "abc"[min(2, i % 7)], float(rng.choice([rng.randint(0, 30), rng.random() * 100]))) for i in range(1009)]
+    rows += [(2000, "a", None), (2001, "d", 5.0), (2002, "a", float("nan"))]
+    df = spark.createDataFrame(rows, "trial_id long, g string, x double")
+    for size in (10, 300, 10**6):
+        got = {r.trial_id: r.i for r in ranking.numbered(df, ["g"], "trial_id", size).collect()}
+        for g in "abcd":
+            ids = sorted(r[0] for r in rows if r[1] == g)
+            assert [got[i] for i in ids] == list(range(len(ids)))
+
+    def hazen(values, p):
+        v, n = sorted(values), len(values)
+        r = max(1.0, min(float(n), p * n + 0.5))
+        return v[int(r) - 1] + (r - int(r)) * (v[min(n, int(r) + 1) - 1] - v[int(r) - 1])
+
+    ps = [0.0, 0.1, 0.5, 0.77, 1.0]
+    for accuracy in (20, 100, 100_000):
+        got = {(r.g, r.p): r.x for r in ranking.hazen_quantiles(df, ["g"], "x", ps, accuracy).collect()}
+        assert len(got) == 4 * len(ps)
+        for (g, p), x in got.items():
+            assert x == pytest.approx(hazen([r[2] for r in rows if r[1] == g and r[2] is not None and r[2] == r[2]], p)), (accuracy, g, p)
+
+
+def test_filter_by_blocks_is_the_recursion(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for b, a in (([0.2], [1.0, -0.8]), ([0.1, 0.2, 0.1], [2.0, -1.1, 0.5]), ([1.0, 1.0], [1.0]), ([0.5], [1.0, 0.0, 0.3, -0.2])):
+        for n in (0, 1, 5, 127, 128, 129, 700):
+            x = rng.normal(size=n)
+            y = np.zeros(n)
+            for i in range(n):
+                y[i] = sum(b[k] * x[i - k] for k in range(len(b)) if i >= k) / a[0] - sum(a[k] * y[i - k] for k in range(1, len(a)) if i >= k) / a[0]
+            assert np.allclose(sequential.recurse(b, a, x, settled=False), y)
+    assert np.allclose(sequential.recurse([0.2], [1.0, -0.8], np.full(300, 3.0), settled=True), 3.0)
+
+
+def test_as_of_passes_over_missing_values(spark):
+    left = spark.createDataFrame([(1, 5.0), (1, 0.5), (2, 1.0)], "trial_id long, t double")
+    right = spark.createDataFrame([(1, 1.0, 10.0), (1, 5.0, None), (1, 6.0, 60.0), (2, 1.0, 7.0)], "trial_id long, t double, v double")
+    assert sorted((r.trial_id, r.t, r.v) for r in series.as_of(left, right).collect()) == [(1, 0.5, None), (1, 5.0, 10.0), (2, 1.0, 7.0)]
+
+
+def test_lock_out_of_many_points(spark):
+    df = spark.range(200_000).select(F.lit(1).alias("trial_id"), F.col("id").cast("double").alias("t"))
+    assert series.lock_out(df, 2.5).count() == 66_667

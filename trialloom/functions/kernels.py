@@ -16,9 +16,14 @@ def _normal(raw: Taps) -> Taps:
     return [(k, w / total) for k, w in raw if w]
 
 
-def gaussian(sigma: float = 20.0, width: float = 1.0, reach: float = 3.0) -> Taps:
-    n = math.ceil(reach * sigma / width)
-    return _normal([(k, math.exp(-0.5 * (k * width / sigma) ** 2)) for k in range(-n, n + 1)])
+def gaussian(sigma: float = 20.0, width: float = 1.0, reach: float = 3.0, delay: float = 0.0, causal: bool = False) -> Taps:
+    """The bell around delay; causal cuts off what acts on points to come."""
+    n, shift = math.ceil(reach * sigma / width), round(delay / width)
+    return _normal([(k + shift, math.exp(-0.5 * (k * width / sigma) ** 2)) for k in range(-n, n + 1) if k + shift >= 0 or not causal])
+
+
+def identity() -> Taps:
+    return [(0, 1.0)]
 
 
 def half_gaussian(sigma: float = 20.0, width: float = 1.0, reach: float = 3.0) -> Taps:

@@ -7,7 +7,7 @@ that time, [-width, 0) (causal), [0, width) (acausal) or [-width / 2, width / 2)
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialloom.functions.kernels import Taps
@@ -20,7 +20,7 @@ OFFSET = {"causal": -1.0, "acausal": 0.0, "centered": -0.5}
 
 def bin_limits(aligned: DataFrame, width: float) -> DataFrame:
     """trial_id, zero, s, e, b0, b1: window relative to zero and its own first and last labels."""
-    rows = aligned.where("zero is not null").select("trial_id", "zero", "valid", (F.col("start") - F.col("zero")).alias("s"), (F.col("stop") - F.col("zero")).alias("e"))
+    rows = aligned.where("zero is not null").select("trial_id", "zero", "valid", "start_pad", "stop_pad", (F.col("start") - F.col("zero")).alias("s"), (F.col("stop") - F.col("zero")).alias("e"))
     return rows.withColumns({"b0": ceil_tol(F.col("s") / width, 1e-3).cast("long"), "b1": floor_tol(F.col("e") / width, 1e-3).cast("long")})
 
 
@@ -34,19 +34,24 @@ def binned_counts(points: DataFrame, aligned: DataFrame, width: float, mode: str
 
     Points come from the padded window: a causal bin at the window's start needs a pad of
     width before it, an acausal one at its stop a pad after it. The grid of a trial is a
-    sequence of its own bins, so no trial meets the bins of another.
+    sequence of its own bins, so no trial meets the bins of another. Trials and their points
+    meet once, by trial; a bin is counted once for the grid and once for each point.
     """
     off = OFFSET[mode]
     limits = bin_limits(aligned.where("valid"), width)
     # a bin counts if its edges lie in the window moved by the mode's offset
     inner = limits.withColumns({"lo": ceil_tol(F.col("s") / width).cast("long"), "hi": floor_tol(F.col("e") / width).cast("long")})
-    grid = inner.where("hi >= lo").select("trial_id", F.explode(F.sequence("lo", "hi")).alias("bin"))
-    inside = in_window(points, aligned, padded=True)
-    label = F.floor(F.col("t") / width - off).cast("long")
-    closed = inside.join(inner.select("trial_id", "hi"), "trial_id").withColumn("bin", label)
-    last = F.abs(F.col("t") - (F.col("hi") + 1 + off) * width) < 1e-9  # on the closing edge of the last bin
-    counts = closed.withColumn("bin", F.when(last, F.col("hi")).otherwise(F.col("bin"))).groupBy("trial_id", "bin").agg(F.count("*").alias("n"))
-    return grid.join(counts, ["trial_id", "bin"], "left").select("trial_id", "bin", F.coalesce("n", F.lit(0)).alias("n"))
+    times = points.where(F.col("t").isNotNull()).groupBy("trial_id").agg(F.collect_list(F.col("t").cast("double")).alias("ts"))
+    rows = inner.where("hi >= lo").join(times, "trial_id", "left")
+
+    def label(t: Column) -> Column:
+        last = F.abs(t - (F.col("hi") + 1 + off) * width) < 1e-9  # on the closing edge of the last bin
+        return F.when(last, F.col("hi")).otherwise(F.floor(t / width - off).cast("long"))
+
+    inside = F.filter("ts", lambda t: t.between(F.col("start_pad"), F.col("stop_pad")))
+    labels = F.filter(F.transform(inside, lambda t: label(t - F.col("zero"))), lambda b: b.between(F.col("lo"), F.col("hi")))
+    bins = F.concat(F.sequence("lo", "hi"), F.coalesce(labels, F.array().cast("array<bigint>")))
+    return rows.select("trial_id", F.explode(bins).alias("bin")).groupBy("trial_id", "bin").agg((F.count("*") - 1).alias("n"))
 
 
 def smooth(counts: DataFrame, taps: Taps, width: float, units_per_second: float = 1000.0) -> DataFrame:

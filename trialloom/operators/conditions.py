@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trialloom.functions.stats import near
+from trialloom.operators.ranking import hazen_quantiles
 
 
 def in_list(x: Column, values: list, tol: float = 1e-6) -> Column:
@@ -44,22 +45,9 @@ def uniform_edges(trials: DataFrame, attribute: str, n: int) -> list[float]:
 
 
 def quantile_edges(trials: DataFrame, attribute: str, n: int) -> list[float]:
-    """Hazen quantiles 0, 1/n, ..., 1 of all values.
-
-    Values are counted first and ranked through the running count of the distinct ones, so
-    only the two values around each rank reach the driver.
-    """
-    counts = trials.where(F.col(attribute).isNotNull()).groupBy(F.col(attribute).cast("double").alias("x")).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("n")).head().n or 0
-    if not total:
-        return []
-    ranks = [max(1.0, min(float(total), i / n * total + 0.5)) for i in range(n + 1)]
-    ranked = counts.withColumn("last", F.sum("n").over(W.orderBy("x").rowsBetween(W.unboundedPreceding, 0)))
-    wanted = sorted({k for r in ranks for k in (int(r), min(total, int(r) + 1))})
-    hit = [F.when((F.lit(k) > F.col("last") - F.col("n")) & (F.lit(k) <= F.col("last")), F.lit(k)) for k in wanted]
-    rows = ranked.select("x", F.explode(F.filter(F.array(*hit), lambda k: k.isNotNull())).alias("k")).collect()
-    at = {r.k: r.x for r in rows}
-    return [at[int(r)] + (r - int(r)) * (at[min(total, int(r) + 1)] - at[int(r)]) for r in ranks]
+    """Hazen quantiles 0, 1/n, ..., 1 of all values; only these reach the driver."""
+    rows = hazen_quantiles(trials, [], attribute, [i / n for i in range(n + 1)]).collect()
+    return [r.x for r in sorted(rows, key=lambda r: r.p)]
 
 
 def cube(axes: dict[str, DataFrame]) -> DataFrame:
@@ -74,7 +62,7 @@ def cube(axes: dict[str, DataFrame]) -> DataFrame:
         n = ordered.count()
         index = index + F.col(f"_{name}") * size
         size *= n
-        out = ordered if out is None else out.crossJoin(F.broadcast(ordered))  # value lists, not data
+        out = ordered if out is None else out.crossJoin(ordered)  # value lists, not data
     return out.withColumn("cond", index).drop(*[f"_{a}" for a in axes])
 
 
@@ -82,7 +70,7 @@ def members(trials: DataFrame, conditions: DataFrame, attributes: list[str]) ->
     """trial_id, cond: trials whose attributes equal a condition's (NULL equals NULL)."""
     cells = conditions.select("cond", *[F.col(a).alias(f"_{a}") for a in attributes])
     same = reduce(lambda a, b: a & b, [F.col(a).eqNullSafe(F.col(f"_{a}")) for a in attributes])
-    return trials.select("trial_id", *attributes).join(F.broadcast(cells), same).select("trial_id", "cond")  # a cube of value lists
+    return trials.select("trial_id", *attributes).join(cells, same).select("trial_id", "cond")
 
 
 def by_condition(conditions: DataFrame, grouped: DataFrame) -> DataFrame:
@@ -113,8 +101,6 @@ def distinct_with_tolerance(df: DataFrame, column: str, tol: float = 1e-6) -> Da
     return steps.where(F.col("gap").isNull() | (F.col("gap") > tol * F.col("top"))).select("x")
 
 
-
-
 def suppress(membership: DataFrame, conditions: list[int]) -> DataFrame:
     """Membership without some conditions."""
     return membership.where(~F.col("cond").isin(conditions)) if conditions else membership

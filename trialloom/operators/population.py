@@ -79,8 +79,10 @@ def distances(cube: DataFrame) -> DataFrame:
 def common_window(spans: DataFrame, by: list[str], least: int) -> DataFrame:
     """t_min, t_max: the least-th smallest start and the least-th largest end of a group's trials."""
     w = W.partitionBy(*by)
-    ranked = spans.withColumns({"_a": F.row_number().over(w.orderBy("t0")), "_b": F.row_number().over(w.orderBy(F.desc("t1")))})
-    return ranked.groupBy(*by).agg(F.max(F.when(F.col("_a") <= least, F.col("t0"))).alias("t_min"), F.min(F.when(F.col("_b") <= least, F.col("t1"))).alias("t_max"))
+    # a rank with a limit is cut before the shuffle, so a group never sends more than least rows a task
+    first = spans.withColumn("_r", F.row_number().over(w.orderBy("t0"))).where(F.col("_r") <= least)
+    last = spans.withColumn("_r", F.row_number().over(w.orderBy(F.desc("t1")))).where(F.col("_r") <= least)
+    return first.groupBy(*by).agg(F.max("t0").alias("t_min")).join(last.groupBy(*by).agg(F.min("t1").alias("t_max")), by)
 
 
 def variance_explained(cube: DataFrame, direction: DataFrame) -> DataFrame:

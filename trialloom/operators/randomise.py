@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from trialloom.operators.ranking import ROWS, numbered
+
 
 def draw_key(seed: int | Column, *parts: Column | str) -> Column:
     """md5 of seed and parts, joined by colons."""
@@ -21,27 +25,29 @@ def draw_number(key: Column) -> Column:
 def shuffle_labels(trials: DataFrame, seed: int) -> DataFrame:
     """trial_id, cond: conditions dealt out at random, each as often as before.
 
-    Trials get a random position: a hash decides which of 256 buckets a trial is in and
-    its place there, bucket counts say where a bucket begins. Positions then fall into
-    the ranges that the conditions' counts cut, so no task orders all trials.
+    Trials get a random position: the first digits of a hash decide which bucket a trial is
+    in, as many as there are trials for, the rest its place there; bucket counts say where a
+    bucket begins. Positions then fall into the ranges that the conditions' counts cut, so
+    no task orders all trials.
     """
     keyed = trials.withColumn("key", draw_key(seed, "trial_id"))
-    bucket = F.substring("key", 1, 2)
+    digits = max(2, math.ceil(math.log(max(1, trials.count() / ROWS), 16)))
+    bucket = F.substring("key", 1, digits)
     counts = keyed.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("m"))
-    begins = counts.select("bucket", (F.sum("m").over(W.orderBy("bucket")) - F.col("m")).alias("begin"))  # 256 rows
+    begins = counts.select("bucket", (F.sum("m").over(W.orderBy("bucket")) - F.col("m")).alias("begin"))  # one row for about ROWS trials
     rank = F.row_number().over(W.partitionBy("bucket").orderBy("key", "trial_id"))
-    placed = keyed.withColumn("bucket", bucket).withColumn("rank", rank).join(F.broadcast(begins), "bucket").withColumn("r", F.col("begin") + F.col("rank"))
+    placed = keyed.withColumn("bucket", bucket).withColumn("rank", rank).join(begins, "bucket").withColumn("r", F.col("begin") + F.col("rank"))
     sizes = trials.groupBy("cond").agg(F.count("*").alias("n"))
     ends = sizes.select("cond", F.sum("n").over(W.orderBy("cond")).alias("hi"), "n").select("cond", "hi", (F.col("hi") - F.col("n")).alias("lo"))
     inside = (F.col("p.r") > F.col("e.lo")) & (F.col("p.r") <= F.col("e.hi"))
-    return placed.alias("p").join(F.broadcast(ends).alias("e"), inside).select("p.trial_id", "e.cond")  # conditions are few
+    return placed.alias("p").join(ends.alias("e"), inside).select("p.trial_id", "e.cond")  # conditions are few
 
 
 def bootstrap(trials: DataFrame, draws: int, seed: int) -> DataFrame:
     """draw, cond, trial_id: for each draw as many trials of a condition as it has, with
     replacement. Draw d uses seed + d."""
-    w = W.partitionBy("cond")
-    o = trials.select("trial_id", "cond", (F.row_number().over(w.orderBy("trial_id")) - 1).alias("i"), F.count("*").over(w).alias("n"))
+    sizes = trials.groupBy("cond").agg(F.count("*").alias("n"))
+    o = numbered(trials.select("trial_id", "cond"), ["cond"], "trial_id").join(sizes, "cond")
     each = o.select("cond", "i", "n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
     pick = draw_number(draw_key(F.col("draw") + seed, "cond", "i")) % F.col("n")
     return each.select("draw", "cond", pick.alias("i")).join(o.select("cond", "i", "trial_id"), ["cond", "i"]).select("draw", "cond", "trial_id")

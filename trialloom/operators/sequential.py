@@ -5,6 +5,7 @@ A trial bounds what one task holds; trials spread over tasks by trial_id.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,18 +14,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Samples that a filter takes at once.
+BLOCK = 128
+
+
+@functools.lru_cache(maxsize=16)
+def _block_response(a: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """What a block of y[n] + a1 y[n-1] + ... = u[n] adds up to: (from its u, from the outputs before)."""
+    m = len(a) - 1
+    def free(u: np.ndarray, past: np.ndarray) -> np.ndarray:
+        y = np.concatenate([past[::-1], np.zeros(BLOCK)])
+        for i in range(BLOCK):
+            y[m + i] = u[i] - np.dot(a[1:], y[i : m + i][::-1])
+        return y[m:]
+
+    h = free(np.eye(1, BLOCK)[0], np.zeros(m))
+    index = np.subtract.outer(np.arange(BLOCK), np.arange(BLOCK))
+    ahead = np.where(index >= 0, h[np.abs(index)], 0.0)
+    return ahead, np.stack([free(np.zeros(BLOCK), e) for e in np.eye(m)], axis=1) if m else np.zeros((BLOCK, 0))
+
+
 def recurse(b: list[float], a: list[float], x: np.ndarray, settled: bool) -> np.ndarray:
-    """y[n] = sum b x - sum a y; settled starts as if the first sample had stood forever."""
-    b, a = np.asarray(b) / a[0], np.asarray(a) / a[0]
-    gain = b.sum() / a.sum() if settled else 0.0
-    past_x = [x[0] if settled and len(x) else 0.0] * len(b)
-    past_y = [gain * x[0] if settled and len(x) else 0.0] * (len(a) - 1)
+    """y[n] = sum b x - sum a y; settled starts as if the first sample had stood forever.
+
+    The samples go block by block: a block's outputs are a product of its inputs with the
+    filter's response, and of the outputs before it with theirs.
+    """
+    b, a = np.asarray(b, dtype=float) / a[0], np.asarray(a, dtype=float) / a[0]
+    if not len(x):
+        return np.zeros(0)
+    first = float(x[0]) if settled else 0.0
+    m = len(a) - 1
+    u = np.convolve(np.concatenate([np.full(len(b) - 1, first), x]), b)[len(b) - 1 : len(b) - 1 + len(x)]
+    past = np.full(m, b.sum() / a.sum() * first if settled else 0.0)  # the latest output comes first
+    ahead, before = _block_response(tuple(a))
     out = np.empty(len(x))
-    for i, v in enumerate(x):
-        past_x = [v, *past_x[:-1]]
-        y = float(np.dot(b, past_x) - np.dot(a[1:], past_y))
-        past_y = [y, *past_y[:-1]] if past_y else past_y
-        out[i] = y
+    for at in range(0, len(x), BLOCK):
+        n = min(BLOCK, len(x) - at)
+        out[at : at + n] = ahead[:n, :n] @ u[at : at + n] + before[:n] @ past
+        past = np.concatenate([out[at : at + n][::-1], past])[:m]
     return out
 
 
@@ -74,3 +102,24 @@ def snippets(samples: DataFrame, threshold: float, before: int, after: int, refr
             yield pd.DataFrame(rows, columns=["trial_id", "t", "wave"])
 
     return _by_trial(samples).mapInPandas(run, "trial_id long, t double, wave array<double>")
+
+
+def spaced(points: DataFrame, period: float) -> DataFrame:
+    """trial_id, t: the first point of a trial and then each that comes period or more after the last kept one."""
+    kind = points.schema["trial_id"].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for ts in frame["ts"]:
+                t, kept, at = np.asarray(ts, dtype=float), [], 0
+                while at < len(t):
+                    kept.append(t[at])
+                    last, at = t[at], max(at + 1, int(np.searchsorted(t, t[at] + period)))
+                    while at < len(t) and t[at] - last < period:  # rounding of the sum
+                        at += 1
+                out.append(np.array(kept))
+            yield pd.DataFrame({"trial_id": frame["trial_id"], "ts": out})
+
+    times = points.where(F.col("t").isNotNull()).groupBy("trial_id").agg(F.array_sort(F.collect_list(F.col("t").cast("double"))).alias("ts"))
+    return times.mapInPandas(run, f"trial_id {kind}, ts array<double>").select("trial_id", F.explode("ts").alias("t"))

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from trialloom.operators.sequential import spaced
+
+
 def _by_time():
     return W.partitionBy("trial_id").orderBy("t")
 
@@ -69,7 +72,8 @@ def cross_correlogram(a: DataFrame, b: DataFrame, width: float, reach: float) ->
 
 
 def as_of(left: DataFrame, right: DataFrame) -> DataFrame:
-    """left(trial_id, t) with v of the latest right(trial_id, t, v) at or before t.
+    """left(trial_id, t) with v of the latest right(trial_id, t, v) at or before t whose v is known:
+    rows of right without a value are passed over.
 
     Both sides go through one window over their union; there is no join of rows by range.
     """
@@ -90,10 +94,8 @@ def crossings(samples: DataFrame, threshold: float) -> DataFrame:
 
 def lock_out(points: DataFrame, period: float) -> DataFrame:
     """trial_id, t: the first point of a trial and then each that comes period or more after the
-    last kept one. The fold needs the points of a trial together, which a trial bounds."""
-    times = F.array_sort(F.collect_list("t"))
-    keep = F.aggregate("ts", F.array().cast("array<double>"), lambda kept, t: F.when((F.size(kept) == 0) | (t - F.try_element_at(kept, F.lit(-1)) >= period), F.concat(kept, F.array(t))).otherwise(kept))
-    return points.groupBy("trial_id").agg(times.alias("ts")).select("trial_id", F.explode(keep).alias("t"))
+    last kept one. A trial's points are needed together; from a kept one a search leads to the next."""
+    return spaced(points, period)
 
 
 def fill_edges(samples: DataFrame) -> DataFrame:

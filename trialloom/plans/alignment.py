@@ -120,10 +120,18 @@ def psth(spark, sf_dir):
     return got.select("cond", "bin", *[F.round(c, 9).alias(c) for c in ("mean", "sem", "std")], "n")
 
 
-@query(f"SELECT * FROM (VALUES {', '.join(f'({k}, {round(w, 12)})' for k, w in kernels.gaussian(2.0, 1.0))}) AS x(k, w)")
+@query("""WITH i AS (SELECT unnest(range(-200, 201)) AS k), raw AS (
+SELECT 'gaussian' AS kernel, k, exp(-k * k / 8.0) AS w FROM i WHERE abs(k) <= 6 UNION ALL SELECT 'half_gaussian', k, exp(-k * k / 8.0) FROM i WHERE k BETWEEN 0 AND 6
+UNION ALL SELECT 'delayed_gaussian', k, exp(-(k - 3) * (k - 3) / 8.0) FROM i WHERE k BETWEEN 0 AND 9 UNION ALL SELECT 'exponential', k, exp(-k / 5.0) FROM i WHERE k BETWEEN 0 AND 20
+UNION ALL SELECT 'growth_decay', k, (1 - exp(-k / 2.0)) * exp(-k / 10.0) FROM i WHERE k BETWEEN 1 AND 40 UNION ALL SELECT 'boxcar', k, 1.0 FROM i WHERE k BETWEEN 0 AND 4 UNION ALL SELECT 'identity', 0, 1.0)
+SELECT kernel, CAST(k AS INTEGER) AS k, round(w / sum(w) OVER (PARTITION BY kernel), 12) AS w FROM raw""")
 def kernel_taps(spark, sf_dir):
-    """Taps of the Gaussian kernel."""
-    return spark.createDataFrame([(k, round(w, 12)) for k, w in kernels.gaussian(2.0, 1.0)], "k int, w double")
+    """Taps of all kernels."""
+    taps = {
+        "gaussian": kernels.gaussian(2.0, 1.0), "half_gaussian": kernels.half_gaussian(2.0, 1.0), "delayed_gaussian": kernels.gaussian(2.0, 1.0, delay=3.0, causal=True),
+        "exponential": kernels.exponential(5.0, 1.0), "growth_decay": kernels.growth_decay(2.0, 10.0, 1.0), "boxcar": kernels.boxcar(5), "identity": kernels.identity(),
+    }
+    return spark.createDataFrame([(name, k, round(w, 12)) for name, found in taps.items() for k, w in found], "kernel string, k int, w double")
 
 
 @query(f"""{BOTH}, m AS (SELECT trial_id, occ, t FROM ev WHERE event = 'click')

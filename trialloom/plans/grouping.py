@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from trialloom.functions import stats
 from trialloom.operators import conditions as C
-from trialloom.operators import randomise
+from trialloom.operators import catalog, randomise
+from trialloom.operators.ranking import hazen_quantiles
 from trialloom.plans.base import BOTH, events_long, trials
 from trialloom.plans.registry import query
 
@@ -49,8 +50,8 @@ def validity_causes(spark, sf_dir):
 @query("""SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice * 1.1 ELSE o_totalprice END AS price FROM orders""")
 def masked_update(spark, sf_dir):
     """An update of valid rows only."""
-    o = _orders(spark, sf_dir)
-    return o.select("o_orderkey", F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice") * 1.1).otherwise(F.col("o_totalprice")).alias("price"))
+    o = _orders(spark, sf_dir).withColumn("price", F.col("o_totalprice"))
+    return catalog.masked_update(o, "price", F.col("price") * 1.1, F.col("o_orderstatus") != "P").select("o_orderkey", "price")
 
 
 @query("SELECT o_orderkey, o_custkey, rank FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders) WHERE rank <= 3")
@@ -166,7 +167,7 @@ q AS (SELECT cond, n, greatest(1.0, least(n * 1.0, 0.9 * n + 0.5)) AS r FROM (SE
 SELECT q.cond, round(a.n_events + (r - floor(r)) * (b.n_events - a.n_events), 6) AS q90 FROM q JOIN x a ON a.cond = q.cond AND a.k = floor(r) JOIN x b ON b.cond = q.cond AND b.k = least(floor(r) + 1, q.n)""")
 def hazen_by_condition(spark, sf_dir):
     tr = _tr(spark, sf_dir)
-    return tr.groupBy("cond").agg(F.round(stats.hazen_quantile(F.col("n_events").cast("double"), 0.9), 6).alias("q90"))
+    return hazen_quantiles(tr, ["cond"], "n_events", [0.9]).select("cond", F.round("x", 6).alias("q90"))
 
 
 @query(f"""{BOTH}, m AS (SELECT k % 5 AS axis, cond, avg(n_events) AS x FROM tr GROUP BY 1, 2) SELECT cond, axis, round(x - lag(x) OVER (PARTITION BY cond ORDER BY axis), 6) AS step, round(x - avg(x) OVER (PARTITION BY cond), 6) AS centred FROM m""")

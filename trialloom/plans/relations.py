@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from trialloom.operators import catalog, joins
@@ -91,20 +93,18 @@ def tensor_to_samples(spark, sf_dir):
     return tables.samples_from_arrays(e, "vec_id", "embedding", 2.0, 10.0).select("trial_id", "i", "t", F.round("v", 6).alias("v"))
 
 
-@query("SELECT l_discount AS x FROM (SELECT DISTINCT l_discount FROM lineitem)")
+@query("""WITH d AS (SELECT DISTINCT o_totalprice AS x FROM orders), g AS (SELECT x, x - lag(x) OVER (ORDER BY x) AS gap, max(abs(x)) OVER () AS top FROM d) SELECT x FROM g WHERE gap IS NULL OR gap > 0.0002 * top""")
 def distinct_with_tolerance(spark, sf_dir):
+    """Prices that differ from the next smaller one by more than a five thousandth of the largest."""
     from trialloom.operators.conditions import distinct_with_tolerance as distinct
 
-    return distinct(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), "l_discount")
+    return distinct(spark.read.parquet(f"{sf_dir}/orders.parquet"), "o_totalprice", 0.0002)
 
 
 @query(f"{BOTH} SELECT trial_id, count(*) AS n FROM ev WHERE cast(user_id AS BIGINT) % 2 = 0 GROUP BY 1")
 def saved_and_loaded(spark, sf_dir):
     """Trials saved as sets of channels and read back, one set and some trials only."""
-    import tempfile
-
     ev = events_long(spark, sf_dir)
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="trialloom-")
-    path = f"{shared}/saved-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
+    path = f"{tables.shared_dir(spark)}/saved-{uuid.uuid4().hex}"
     tables.save({"trials": trials(ev), "counts": ev.groupBy("trial_id").agg(F.count("*").alias("n"))}, path)
     return tables.load(spark, path, ["trials", "counts"], F.col("user_id") % 2 == 0).select("trial_id", "n")

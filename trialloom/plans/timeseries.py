@@ -139,7 +139,8 @@ def resampled_interpolated(spark, sf_dir):
 _TAPS = kernels.savitzky_golay(5, 2, 1)
 
 
-@query(f"""WITH x AS (SELECT vec_id, CAST(embedding[i] AS DOUBLE) AS v, i - 1 AS i FROM embeddings, (SELECT unnest(range(1, 65)) AS i)), taps(k, w) AS (VALUES {', '.join(f'({k}, CAST({w!r} AS DOUBLE))' for k, w in _TAPS)})
+# the derivative of a parabola fitted to five samples is (-2, -1, 0, 1, 2) / 10 of them
+@query("""WITH x AS (SELECT vec_id, CAST(embedding[i] AS DOUBLE) AS v, i - 1 AS i FROM embeddings, (SELECT unnest(range(1, 65)) AS i)), taps(k, w) AS (VALUES (-2, 0.2), (-1, 0.1), (0, 0.0), (1, -0.1), (2, -0.2))
 SELECT vec_id AS trial_id, i + k AS i, round(sum(v * w), 6) AS dv FROM x, taps GROUP BY vec_id, i + k HAVING count(*) = 5""")
 def savitzky_golay(spark, sf_dir):
     """Smoothed derivative of each embedding read as a series, where the whole frame is there."""
