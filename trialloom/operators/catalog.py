@@ -67,3 +67,64 @@ def in_order(df: DataFrame, times: str, values: str) -> DataFrame:
     """Both arrays of every row sorted by time."""
     pairs = F.array_sort(F.zip_with(times, values, lambda t, v: F.struct(t.alias("t"), v.alias("v"))))
     return df.withColumn("_p", pairs).withColumns({times: F.col("_p.t"), values: F.col("_p.v")}).drop("_p")
+
+
+def changed(df: DataFrame, add: dict[str, Column] | None = None, copy: dict[str, str] | None = None, rename: dict[str, str] | None = None, drop: list[str] | None = None) -> DataFrame:
+    """df with channels copied (new: old), added, renamed (old: new) and dropped, in this order."""
+    out = df.withColumns({new: F.col(old) for new, old in (copy or {}).items()})
+    out = out.withColumns(add or {}).withColumnsRenamed(rename or {})
+    return out.drop(*(drop or []))
+
+
+def stored_times(values: DataFrame, aligned: DataFrame, column: str = "t") -> DataFrame:
+    """values(trial_id, ..) with times that are relative to each trial's zero turned into the trial's own."""
+    return values.join(aligned.where("valid").select("trial_id", "zero"), "trial_id").withColumn(column, F.col(column) + F.col("zero")).drop("zero")
+
+
+def described(df: DataFrame, notes: dict[str, dict]) -> DataFrame:
+    """df whose columns carry notes (units, kind ..) as metadata, which Parquet keeps."""
+    return df.select(*[F.col(c).alias(c, metadata=notes[c]) if c in notes else F.col(c) for c in df.columns])
+
+
+def descriptions(df: DataFrame, keys: list[str]) -> DataFrame:
+    """channel and a column for each key of the notes that the columns of df carry."""
+    rows = [(f.name, *[None if k not in f.metadata else str(f.metadata[k]) for k in keys]) for f in df.schema.fields]
+    return df.sparkSession.createDataFrame(rows, ", ".join(["channel string", *[f"`{k}` string" for k in keys]]))
+
+
+def common_prefix(df: DataFrame, column: str) -> DataFrame:
+    """prefix: what all values of a column begin with, which is what the first and the last have in common."""
+    ends = df.agg(F.min(column).alias("a"), F.max(column).alias("b"))
+    at = F.sequence(F.lit(1), F.least(F.length("a"), F.length("b")))
+    same = F.filter(at, lambda i: F.substring("a", F.lit(1), i) == F.substring("b", F.lit(1), i))
+    n = F.when(F.least(F.length("a"), F.length("b")) > 0, F.coalesce(F.array_max(same), F.lit(0))).otherwise(0)
+    return ends.select(F.substring("a", F.lit(1), n).alias("prefix"))
+
+
+class VirtualChannels:
+    """Channels that are computed when they are asked for, from others or from one another."""
+
+    def __init__(self) -> None:
+        self._made: dict[str, tuple[Column, list[str]]] = {}
+
+    def define(self, name: str, value: Column, needs: list[str] | None = None) -> VirtualChannels:
+        """value may be any column expression, a pandas UDF among them; needs names the virtual channels in it."""
+        for other in needs or []:
+            if other not in self._made:
+                raise ValueError(f"{name} needs {other}, which is not defined")
+        self._made[name] = (value, list(needs or []))
+        return self
+
+    def read(self, df: DataFrame, names: list[str]) -> DataFrame:
+        """df with the named channels and no other virtual ones."""
+        wanted: set[str] = set()
+        todo = [n for n in names if n in self._made]
+        while todo:
+            n = todo.pop()
+            if n not in wanted:
+                wanted.add(n)
+                todo += self._made[n][1]
+        out = df
+        for n, (value, _) in self._made.items():  # definitions come after what they need
+            out = out.withColumn(n, value) if n in wanted else out
+        return out.drop(*[n for n in wanted if n not in names])

@@ -109,3 +109,102 @@ def suppress(membership: DataFrame, conditions: list[int]) -> DataFrame:
 def values_only_in(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     """Distinct values of a column that a has and b has not."""
     return a.select(column).distinct().join(b.select(column).distinct(), column, "left_anti")
+
+
+def combined_validity(trials: DataFrame, membership: DataFrame, alignments: list[DataFrame]) -> DataFrame:
+    """trial_id, valid, cause: a trial is valid if it is so by hand, for the time being, by being in
+    a condition and under every alignment; the first of these that fails is the cause.
+
+    trials(trial_id, manual_valid, temporary_valid): NULL counts as valid. alignments are
+    tables as windows.align makes them.
+    """
+    flag = lambda c: ~F.coalesce(F.col(c), F.lit(True))
+    rows = trials.select("trial_id", "manual_valid", "temporary_valid")
+    rows = rows.join(membership.select("trial_id").distinct().withColumn("_in", F.lit(True)), "trial_id", "left")
+    causes = [F.when(flag("manual_valid"), F.lit("manual")), F.when(flag("temporary_valid"), F.lit("temporary")), F.when(F.col("_in").isNull(), F.lit("no condition"))]
+    for i, a in enumerate(alignments):
+        rows = rows.join(a.select("trial_id", F.col("valid").alias(f"_v{i}"), F.col("cause").alias(f"_c{i}")), "trial_id", "left")
+        wrong = ~F.coalesce(F.col(f"_v{i}"), F.lit(False))
+        causes.append(F.when(wrong, F.concat(F.lit(f"alignment {i}: "), F.coalesce(f"_c{i}", F.lit("not aligned")))))
+    return rows.withColumn("cause", F.coalesce(*causes)).select("trial_id", F.col("cause").isNull().alias("valid"), "cause")
+
+
+def _order(by: list[str]) -> list[Column]:
+    return [F.col(c[1:]).desc_nulls_last() if c.startswith("-") else F.col(c).asc_nulls_last() for c in by]
+
+
+def sorted_within(trials: DataFrame, group: str, by: list[str], key: str = "trial_id") -> DataFrame:
+    """trials with rank, from 1, inside their group by several attributes; "-name" is descending,
+    missing values come last, and key settles ties."""
+    return trials.withColumn("rank", F.row_number().over(W.partitionBy(group).orderBy(*_order(by), key)))
+
+
+def random_per_group(trials: DataFrame, group: str, n: int, seed: int) -> DataFrame:
+    """n trials of each group, drawn without replacement by a hash of seed and trial."""
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("trial_id").cast("string")))
+    return trials.withColumn("rank", F.row_number().over(W.partitionBy(group).orderBy(key, "trial_id"))).where(F.col("rank") <= n)
+
+
+def permute_axes(conditions: DataFrame, axes: list[str]) -> DataFrame:
+    """The cells of a cube numbered anew, the first of axes running fastest."""
+    values = {a: conditions.select(a) for a in axes}
+    new = cube(values)
+    same = reduce(lambda a, b: a & b, [F.col(f"c.{a}").eqNullSafe(F.col(f"n.{a}")) for a in axes])
+    rest = [c for c in conditions.columns if c not in ("cond", *axes)]
+    return conditions.alias("c").join(new.alias("n"), same).select(F.col("n.cond").alias("cond"), F.col("c.cond").alias("was"), *[f"c.{x}" for x in (*axes, *rest)])
+
+
+def flatten_axes(conditions: DataFrame, axes: list[str], name: str, separator: str = " ") -> DataFrame:
+    """Several axes of a cube as one, named name: its values say axis=value for each."""
+    parts = [F.concat(F.lit(f"{a}="), F.coalesce(F.col(a).cast("string"), F.lit("missing"))) for a in axes]
+    return conditions.withColumn(name, F.concat_ws(separator, *parts)).drop(*axes)
+
+
+def slice_cube(conditions: DataFrame, keep: dict[str, list]) -> DataFrame:
+    """The cells of a cube whose values on some axes are among those given."""
+    return reduce(lambda d, item: d.where(in_list(F.col(item[0]), item[1])), keep.items(), conditions)
+
+
+def gather(membership: DataFrame, order: str = "trial_id") -> DataFrame:
+    """cond, n, trials: the trials of each condition as a list in order. For conditions of bounded
+    size; larger ones stay rows."""
+    rows = membership.groupBy("cond").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("trial_id").alias("x")))).alias("l"))
+    return rows.select("cond", F.size("l").alias("n"), F.transform("l", lambda s: s["x"]).alias("trials"))
+
+
+def map_groups(df: DataFrame, by: list[str], fn, schema: str) -> DataFrame:
+    """fn(frame) -> frame for the rows of each group, which must fit a task. What columns can
+    express is better left to groupBy."""
+    return df.groupBy(*by).applyInPandas(fn, schema)
+
+
+def first_subscript(membership: DataFrame) -> DataFrame:
+    """trial_id, cond, conditions: of membership(trial_id, cond, weight) the condition with the largest
+    weight, the first of equals, and how many a trial is in."""
+    best = F.max(F.struct(F.col("weight"), (-F.col("cond")).alias("_c"))).alias("b")
+    return membership.groupBy("trial_id").agg(best, F.count("*").alias("conditions")).select("trial_id", (-F.col("b._c")).alias("cond"), "conditions")
+
+
+def weighted_means(values: DataFrame, membership: DataFrame, value: str) -> DataFrame:
+    """cond, mean, weight: means over membership(trial_id, cond, weight), in which trials may repeat."""
+    from trialloom.functions.stats import weighted_mean
+
+    rows = values.select("trial_id", value).join(membership, "trial_id")
+    return rows.groupBy("cond").agg(weighted_mean(value, "weight").alias("mean"), F.sum(F.when(F.col(value).isNotNull(), F.col("weight"))).alias("weight"))
+
+
+def merged_values(df: DataFrame, attribute: str, lists: dict[str, list]) -> DataFrame:
+    """attribute replaced by the name of the value list that holds it; other rows go."""
+    name = F.coalesce(*[F.when(in_list(F.col(attribute), values), F.lit(n)) for n, values in lists.items()])
+    return df.withColumn(attribute, name).where(F.col(attribute).isNotNull())
+
+
+def values_in_both(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
+    """Distinct values of a column that both have."""
+    return a.select(column).distinct().join(b.select(column).distinct(), column, "left_semi")
+
+
+def union_axis(parts: dict[str, DataFrame], axis: str) -> DataFrame:
+    """Tables one below the other along a new axis that names them; columns that one lacks are missing there."""
+    tagged = [df.withColumn(axis, F.lit(name)) for name, df in parts.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)

@@ -42,3 +42,41 @@ def linear_fit(df: DataFrame, x: str, y: str, by: list[str], ridge: float = 0.0)
     """slope and intercept of y on x in each group; ridge shrinks the slope (added to the variance)."""
     slope = F.try_divide(F.covar_pop(x, y), F.var_pop(x) + ridge)
     return df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by).agg(slope.alias("slope"), (F.avg(y) - slope * F.avg(x)).alias("intercept"))
+
+
+def compare(df: DataFrame, by: list[str], cond: str, one: object, two: object, value: str, z: float = 1.959963984540054) -> DataFrame:
+    """*by, diff, low, high, hedges_g of two conditions: the difference of means with its interval
+    (z errors by Welch to both sides) and in pooled deviations, corrected for small samples."""
+    side = lambda v: F.when(F.col(cond) == v, F.col(value))
+    parts = {f"{n}{i}": f(side(v)) for i, v in enumerate((one, two)) for n, f in (("m", F.avg), ("v", F.var_samp), ("n", F.count))}
+    r = df.groupBy(*by).agg(*[x.alias(n) for n, x in parts.items()]).where("n0 > 1 and n1 > 1")
+    diff, free = F.col("m0") - F.col("m1"), F.col("n0") + F.col("n1") - 2
+    error = F.sqrt(F.col("v0") / F.col("n0") + F.col("v1") / F.col("n1"))
+    pooled = F.sqrt(((F.col("n0") - 1) * F.col("v0") + (F.col("n1") - 1) * F.col("v1")) / free)
+    g = F.try_divide(diff, pooled) * (1 - 3 / (4 * free - 1))
+    return r.select(*by, diff.alias("diff"), (diff - z * error).alias("low"), (diff + z * error).alias("high"), g.alias("hedges_g"))
+
+
+def cross_validated_ridge(df: DataFrame, fold: Column, xs: list[str], y: str, ridges: list[float], folds: int) -> DataFrame:
+    """ridge, error: for each ridge the mean squared error of rows that the fit has not seen.
+
+    One aggregation gives the moments of each fold; fits and errors follow from sums of
+    those, matrices of as many rows as there are xs and two.
+    """
+    import numpy as np
+
+    names = [F.lit(1.0), *[F.col(x).cast("double") for x in xs], F.col(y).cast("double")]
+    k = len(names)
+    sums = [F.sum(names[i] * names[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k)]
+    rows = df.groupBy(fold.alias("fold")).agg(*sums).collect()  # a row for each fold
+    moment = {r["fold"]: np.array([[r[f"m{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]) for r in rows}
+    total, out = sum(moment.values()), []
+    for ridge in ridges:
+        error = 0.0
+        for m in moment.values():
+            seen = total - m
+            penalty = np.diag([0.0] + [ridge] * len(xs))
+            w = np.append(np.linalg.solve(seen[:-1, :-1] + penalty, seen[:-1, -1]), -1.0)
+            error += float(w @ m @ w)
+        out.append((float(ridge), float(error / total[0, 0])))
+    return df.sparkSession.createDataFrame(out, "ridge double, error double")

@@ -49,9 +49,9 @@ def gram(cube: DataFrame) -> DataFrame:
     return a.join(b, "cond").where("i <= j").groupBy("i", "j").agg(F.sum(F.col("za") * F.col("zb")).alias("g"))
 
 
-def principal_components(cube: DataFrame, k: int) -> DataFrame:
-    """dimension, cond, score, explained: centred conditions on the first k components, and the
-    share of variance of each. The sign makes each component's largest weight positive."""
+def component_weights(cube: DataFrame, k: int) -> DataFrame:
+    """basis, dimension, w, explained: the first k directions of largest variance of the centred
+    conditions, and the share of variance of each. The sign makes each one's largest weight positive."""
     import numpy as np
 
     rows = gram(cube).collect()  # bases x bases
@@ -66,8 +66,17 @@ def principal_components(cube: DataFrame, k: int) -> DataFrame:
     vector = vector[:, order]
     vector *= np.sign(vector[np.abs(vector).argmax(axis=0), range(vector.shape[1])])
     weights = [(int(n), d, float(vector[at[n], d]), float(share[d])) for n in names for d in range(vector.shape[1])]
-    w = cube.sparkSession.createDataFrame(weights, "basis int, dimension int, w double, explained double")
-    return _centred(cube).join(F.broadcast(w), "basis").groupBy("dimension", "cond").agg(F.sum(F.col("w") * F.col("z")).alias("score"), F.max("explained").alias("explained"))
+    return cube.sparkSession.createDataFrame(weights, "basis int, dimension int, w double, explained double")
+
+
+def scores(cube: DataFrame, weights: DataFrame) -> DataFrame:
+    """dimension, cond, score, explained: centred conditions along the directions of component_weights."""
+    return _centred(cube).join(weights, "basis").groupBy("dimension", "cond").agg(F.sum(F.col("w") * F.col("z")).alias("score"), F.max("explained").alias("explained"))
+
+
+def principal_components(cube: DataFrame, k: int) -> DataFrame:
+    """dimension, cond, score, explained of the first k components."""
+    return scores(cube, component_weights(cube, k))
 
 
 def distances(cube: DataFrame) -> DataFrame:
@@ -92,3 +101,52 @@ def variance_explained(cube: DataFrame, direction: DataFrame) -> DataFrame:
     score = F.sum(F.col("w") * F.col("z")).over(W.partitionBy("cond"))
     left = z.withColumn("e", F.col("z") - F.col("w") * score)
     return left.agg(F.sum(F.col("z") * F.col("z")).alias("total"), F.greatest(F.lit(0.0), 1 - F.sum(F.col("e") * F.col("e")) / F.sum(F.col("z") * F.col("z"))).alias("explained"))
+
+
+def resampled_cubes(values: DataFrame, draws: DataFrame, renormalise: bool = True) -> DataFrame:
+    """draw, basis, cond, mean of values(trial_id, basis, v) over draws(draw, cond, trial_id).
+
+    Means of resamples vary more than the originals; renormalise scales each draw's basis
+    about its mean over conditions to the variance that the first draw has there.
+    """
+    cube = draws.join(values, "trial_id").groupBy("draw", "basis", "cond").agg(F.avg("v").alias("mean"))
+    if not renormalise:
+        return cube
+    w = W.partitionBy("draw", "basis")
+    spread = cube.where("draw = 0").groupBy("basis").agg(F.stddev_pop("mean").alias("_s0"))
+    rows = cube.withColumns({"_m": F.avg("mean").over(w), "_s": F.stddev_pop("mean").over(w)}).join(spread, "basis")
+    scaled = F.col("_m") + (F.col("mean") - F.col("_m")) * F.coalesce(F.try_divide("_s0", "_s"), F.lit(1.0))
+    return rows.select("draw", "basis", "cond", scaled.alias("mean"))
+
+
+def translation(cube: DataFrame) -> DataFrame:
+    """basis, offset, norm such that (mean + offset) * norm is centred and of unit deviation over conditions."""
+    return cube.groupBy("basis").agg((-F.avg("mean")).alias("offset"), F.coalesce(F.try_divide(F.lit(1.0), F.stddev_pop("mean")), F.lit(1.0)).alias("norm"))
+
+
+def apply_translation(cube: DataFrame, by: DataFrame, inverse: bool = False) -> DataFrame:
+    """cube with mean and sem under a translation, or under its inverse."""
+    rows = cube.join(by, "basis")
+    mean = F.col("mean") / F.col("norm") - F.col("offset") if inverse else (F.col("mean") + F.col("offset")) * F.col("norm")
+    sem = F.col("sem") / F.abs("norm") if inverse else F.col("sem") * F.abs("norm")
+    return rows.withColumns({"mean": mean, "sem": sem}).drop("offset", "norm")
+
+
+def compose(first: DataFrame, then: DataFrame) -> DataFrame:
+    """The translation that does first and then the other."""
+    b = then.select("basis", F.col("offset").alias("_o"), F.col("norm").alias("_n"))
+    return first.join(b, "basis").select("basis", (F.col("offset") + F.col("_o") / F.col("norm")).alias("offset"), (F.col("norm") * F.col("_n")).alias("norm"))
+
+
+def reconstruct(scores: DataFrame, weights: DataFrame) -> DataFrame:
+    """basis, cond, mean: weighted sums over dimensions, which take scores(dimension, cond, score) back
+    to bases by an encoder's weights(basis, dimension, w)."""
+    return scores.join(weights, "dimension").groupBy("basis", "cond").agg(F.sum(F.col("w") * F.col("score")).alias("mean"))
+
+
+def targeted_weights(cube: DataFrame, regressors: DataFrame) -> DataFrame:
+    """basis, dimension, w: how much each basis changes with each regressor(cond, dimension, x), one at a
+    time, scaled to unit length over bases; a projection targeted at what the regressors vary."""
+    rows = cube.join(regressors, "cond").groupBy("basis", "dimension").agg(F.try_divide(F.covar_pop("x", "mean"), F.var_pop("x")).alias("b"))
+    length = F.sqrt(F.sum(F.col("b") * F.col("b")).over(W.partitionBy("dimension")))
+    return rows.select("basis", "dimension", F.try_divide("b", length).alias("w"))

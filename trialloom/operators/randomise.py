@@ -66,3 +66,32 @@ def pair_differences(trials: DataFrame, group: str, value: str, seed: int) -> Da
     order = F.struct(draw_key(seed, "trial_id").alias("k"), F.col("trial_id"), F.col(value).alias("v"))
     two = trials.groupBy(group).agg(F.min(order).alias("a"), F.max(order).alias("b"), F.count("*").alias("n")).where("n > 1")
     return two.select(group, ((F.col("a.v") - F.col("b.v")) / F.sqrt(2.0 * F.col("n"))).alias("diff"))
+
+
+def shuffle_within(trials: DataFrame, slices: str, seed: int) -> DataFrame:
+    """trial_id, slices, cond: conditions dealt out at random among the trials of each slice, each as
+    often there as before. Positions come from hash buckets, as in shuffle_labels."""
+    keyed = trials.withColumn("key", draw_key(seed, "trial_id"))
+    digits = max(2, math.ceil(math.log(max(1, trials.count() / ROWS), 16)))
+    keyed = keyed.withColumn("bucket", F.substring("key", 1, digits))
+    counts = keyed.groupBy(slices, "bucket").agg(F.count("*").alias("m"))
+    begins = counts.select(slices, "bucket", (F.sum("m").over(W.partitionBy(slices).orderBy("bucket")) - F.col("m")).alias("begin"))
+    rank = F.row_number().over(W.partitionBy(slices, "bucket").orderBy("key", "trial_id"))
+    placed = keyed.drop("cond").withColumn("rank", rank).join(begins, [slices, "bucket"]).withColumn("r", F.col("begin") + F.col("rank"))
+    sizes = trials.groupBy(slices, "cond").agg(F.count("*").alias("n"))
+    ends = sizes.withColumn("hi", F.sum("n").over(W.partitionBy(slices).orderBy("cond"))).withColumn("lo", F.col("hi") - F.col("n"))
+    return placed.join(ends, slices).where("r > lo and r <= hi").select("trial_id", slices, "cond")
+
+
+def bootstrap_from(trials: DataFrame, source: dict[int, int], draws: int, seed: int) -> DataFrame:
+    """draw, cond, trial_id: for each draw as many trials as a condition has, taken with replacement
+    from the condition that source names for it (itself if none)."""
+    mapping = F.create_map(*[F.lit(x) for pair in source.items() for x in pair]) if source else None
+    other = F.coalesce(F.try_element_at(mapping, F.col("cond").cast("int")), F.col("cond").cast("int")) if source else F.col("cond")
+    sizes = trials.groupBy("cond").agg(F.count("*").alias("n"))
+    own = numbered(trials.select("trial_id", "cond"), ["cond"], "trial_id")
+    pools = sizes.select(F.col("cond").alias("pool"), F.col("n").alias("size"))
+    each = own.select("cond", "i", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"), other.cast(trials.schema["cond"].dataType).alias("pool")).join(pools, "pool")
+    pick = (draw_number(draw_key(F.col("draw") + seed, "cond", "i")) % F.col("size")).alias("i")
+    drawn = each.select("draw", "cond", "pool", pick)
+    return drawn.join(own.select(F.col("cond").alias("pool"), "i", "trial_id"), ["pool", "i"]).select("draw", "cond", "trial_id")

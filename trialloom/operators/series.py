@@ -128,3 +128,14 @@ def move_across(points: DataFrame, starts: DataFrame) -> DataFrame:
         F.when(moves, F.col("trial_id") + 1).otherwise(F.col("trial_id")).alias("trial_id"),
         F.when(moves, F.col("t") - F.col("length")).otherwise(F.col("t")).alias("t"),
     )
+
+
+def ranks(df: DataFrame, by: list[str], value: str) -> Column:
+    """Rank of a value in its group, from 1; ties share the smallest."""
+    return F.rank().over(W.partitionBy(*by).orderBy(value))
+
+
+def nth_true(states: DataFrame, n: int, from_end: bool = False) -> DataFrame:
+    """trial_id, t of the n-th sample of states(trial_id, t, on) that is on, where there are so many."""
+    w = W.partitionBy("trial_id").orderBy(F.desc("t") if from_end else F.asc("t"))
+    return states.where("on").withColumn("_n", F.row_number().over(w)).where(F.col("_n") == n).select("trial_id", "t")

@@ -138,3 +138,15 @@ def nearest_sample(samples: DataFrame, aligned: DataFrame) -> DataFrame:
     joined = samples.join(aligned.where("valid").select("trial_id", "zero"), "trial_id").where("v is not null")
     best = F.min(F.struct(F.abs(F.col("t") - F.col("zero")).alias("d"), F.col("t").alias("t"), F.col("v").alias("v")))
     return joined.groupBy("trial_id").agg(best.alias("b"), F.first("zero").alias("zero")).select("trial_id", (F.col("b.t") - F.col("zero")).alias("t"), "b.v")
+
+
+def trim(samples: DataFrame, aligned: DataFrame) -> DataFrame:
+    """samples inside the window of their trial, times as they were: what lies outside is gone for good."""
+    joined = samples.join(aligned.where("valid").select("trial_id", "start", "stop"), "trial_id")
+    return joined.where("t >= start and t <= stop").drop("start", "stop")
+
+
+def mark_intervals(intervals: DataFrame, aligned: DataFrame) -> DataFrame:
+    """trial_id, t0, t1 of the intervals that meet their trial's window, cut to it, relative to zero."""
+    joined = intervals.join(aligned.where("valid").select("trial_id", "zero", "start", "stop"), "trial_id").where("t0 <= stop and t1 >= start")
+    return joined.select("trial_id", (F.greatest("t0", "start") - F.col("zero")).alias("t0"), (F.least("t1", "stop") - F.col("zero")).alias("t1"))

@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from trialloom.plans import alignment, grouping, population, relations, signals, summaries, timecourse, timeseries  # noqa: F401
+    from trialloom.plans import alignment, grouping, population, relations, reshaping, signals, summaries, timecourse, timeseries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
