@@ -162,3 +162,54 @@ def test_as_of_passes_over_missing_values(spark):
 def test_lock_out_of_many_points(spark):
     df = spark.range(200_000).select(F.lit(1).alias("trial_id"), F.col("id").cast("double").alias("t"))
     assert series.lock_out(df, 2.5).count() == 66_667
+
+
+def test_butterworth_gains():
+    import cmath
+
+    from trialloom.functions.filters import butterworth
+
+    for order in (1, 2, 3, 4):
+        for kind in ("low", "high"):
+            b, a = butterworth(order, 5.0, 50.0, kind)
+
+            def gain(f):
+                z = cmath.exp(-2j * math.pi * f / 50)
+                return abs(sum(x * z**i for i, x in enumerate(b)) / sum(x * z**i for i, x in enumerate(a)))
+
+            assert gain(5.0) == pytest.approx(math.sqrt(0.5)) and gain(0.0 if kind == "low" else 25.0) == pytest.approx(1)
+            assert gain(20.0 if kind == "low" else 1.0) < 0.3
+
+
+def test_sources_keep_their_contract(spark):
+    src = tables.TrialSource("days", {"x": "double", "note": "string"}, notes={"x": {"units": "mV"}})
+    df = spark.createDataFrame([(1, 0.0, 5.0, "3")], "trial_id long, t_start double, t_end double, x string")
+    got = src.read(df)
+    assert got.head().x == 3.0 and got.head().note is None and got.schema["x"].metadata["units"] == "mV"
+    with pytest.raises(ValueError, match="end before"):
+        src.read(df.withColumn("t_end", F.lit(-1.0)))
+    with pytest.raises(ValueError, match="missing"):
+        src.read(df.drop("t_end"))
+    with pytest.raises(ValueError, match="different types"):
+        tables.append_same(df, df.withColumn("x", F.lit(1)))
+
+
+def test_virtual_channels_and_interpolation(spark):
+    from trialloom.operators import catalog
+
+    df = spark.createDataFrame([(1, 2.0)], "trial_id long, x double")
+    made = catalog.VirtualChannels().define("y", F.col("x") * 2).define("z", F.col("y") + 1, ["y"])
+    assert made.read(df, ["z"]).columns == ["trial_id", "x", "z"] and made.read(df, ["z"]).head().z == 5
+    assert made.read(df, ["x"]).columns == ["trial_id", "x"]
+    with pytest.raises(ValueError):
+        made.define("w", F.col("v"), ["v"])
+    right = spark.createDataFrame([(1, 0.0, 0.0), (1, 4.0, 8.0), (1, 6.0, None)], "trial_id long, t double, v double")
+    left = spark.createDataFrame([(1, t) for t in (-1.0, 0.0, 1.0, 4.0, 5.0)], "trial_id long, t double")
+    assert [r.v for r in series.interpolated_lookup(left, right).orderBy("t").collect()] == [None, 0.0, 2.0, 8.0, None]
+
+
+def test_joined_validity_takes_the_first_cause(spark):
+    t = spark.createDataFrame([(i, i != 1, i != 2) for i in range(6)] + [(9, None, None)], "trial_id long, manual_valid boolean, temporary_valid boolean")
+    al = spark.createDataFrame([(i, i != 4, "too short" if i == 4 else None) for i in (1, 2, 3, 4, 5, 9)], "trial_id long, valid boolean, cause string")
+    got = {r.trial_id: r.cause for r in C.combined_validity(t, t.where("trial_id <> 3"), [al]).collect()}
+    assert got == {0: "alignment 0: not aligned", 1: "manual", 2: "temporary", 3: "no condition", 4: "alignment 0: too short", 5: None, 9: None}

@@ -105,3 +105,38 @@ def resample_interpolated(samples: DataFrame, width: float) -> DataFrame:
     points = spans.withColumn("bin", F.explode(F.sequence("lo", "hi")))
     x = F.col("v") + F.coalesce((F.col("v1") - F.col("v")) * (F.col("bin") * width - F.col("t")) / (F.col("t1") - F.col("t")), F.lit(0.0))
     return points.select("trial_id", "bin", x.alias("v"))
+
+
+def resample_nearest(samples: DataFrame, width: float) -> DataFrame:
+    """trial_id, bin, v: at multiples of width between a trial's samples the value of the nearest
+    sample, of two as near the earlier one."""
+    return _between(samples, width, lambda t, t1, v, v1, at: F.when(t1.isNotNull() & (t1 - at < at - t), v1).otherwise(v))
+
+
+def resample_repeated(samples: DataFrame, width: float) -> DataFrame:
+    """trial_id, bin, v: at multiples of width the value of the last sample before or there."""
+    return _between(samples, width, lambda t, t1, v, v1, at: v)
+
+
+def _between(samples: DataFrame, width: float, value) -> DataFrame:
+    """value(t, t1, v, v1, at) for the grid points at that a sample(t, v) and its successor(t1, v1) bracket."""
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy("trial_id").orderBy("t")
+    pairs = samples.where("v is not null and not isnan(v)").withColumns({"t1": F.lead("t").over(w), "v1": F.lead("v").over(w)})
+    lo, hi = F.ceil(F.col("t") / width).cast("long"), F.ceil(F.col("t1") / width).cast("long") - 1
+    alone = F.when(F.col("t") == lo * width, lo).otherwise(lo - 1)
+    spans = pairs.withColumns({"lo": lo, "hi": F.when(F.col("t1").isNull(), alone).otherwise(hi)}).where("hi >= lo")
+    points = spans.withColumn("bin", F.explode(F.sequence("lo", "hi")))
+    return points.select("trial_id", "bin", value(F.col("t"), F.col("t1"), F.col("v"), F.col("v1"), F.col("bin") * width).alias("v"))
+
+
+def decimate(series: DataFrame, factor: int, taps: Taps | None = None) -> DataFrame:
+    """trial_id, bin, v: every factor-th bin of an even series(trial_id, bin, v) after a low pass that
+    takes out what the coarser grid cannot hold (by default a bell of half the factor); bins near
+    the ends, where the kernel has not all of its bins, are left out."""
+    from trialloom.functions.kernels import gaussian
+
+    taps = taps or gaussian(factor / 2, 1.0)
+    smoothed = smooth(series.select("trial_id", "bin", F.col("v").alias("n")), taps, 1.0, 1.0)
+    return smoothed.where(F.pmod("bin", F.lit(factor)) == 0).select("trial_id", (F.col("bin") / factor).cast("long").alias("bin"), F.col("rate").alias("v"))

@@ -139,3 +139,35 @@ def nth_true(states: DataFrame, n: int, from_end: bool = False) -> DataFrame:
     """trial_id, t of the n-th sample of states(trial_id, t, on) that is on, where there are so many."""
     w = W.partitionBy("trial_id").orderBy(F.desc("t") if from_end else F.asc("t"))
     return states.where("on").withColumn("_n", F.row_number().over(w)).where(F.col("_n") == n).select("trial_id", "t")
+
+
+def one_per_time(samples: DataFrame) -> DataFrame:
+    """trial_id, t, v: samples at the same time of a trial as one, their mean."""
+    return samples.groupBy("trial_id", "t").agg(F.avg("v").alias("v"))
+
+
+def smoothed(samples: DataFrame, n: int) -> DataFrame:
+    """v as the mean of the n samples around each (fewer at the ends), n odd."""
+    w = _by_time().rowsBetween(-(n // 2), n // 2)
+    return samples.withColumn("v", F.avg("v").over(w))
+
+
+def interpolated_lookup(left: DataFrame, right: DataFrame) -> DataFrame:
+    """left(trial_id, t) with v of right(trial_id, t, v) at that time, linear between its neighbours;
+    NULL before the first and after the last. One window over both, as in as_of."""
+    known = right.where("v is not null").select("trial_id", "t", F.col("v").cast("double").alias("v"), F.lit(0).alias("side"))
+    both = left.select("trial_id", "t", F.lit(None).cast("double").alias("v"), F.lit(1).alias("side")).unionByName(known)
+    sample = F.when(F.col("side") == 0, F.struct("t", "v"))
+    back = F.last(sample, ignorenulls=True).over(W.partitionBy("trial_id").orderBy("t", "side").rowsBetween(W.unboundedPreceding, 0))
+    ahead = F.first(sample, ignorenulls=True).over(W.partitionBy("trial_id").orderBy("t", F.desc("side")).rowsBetween(0, W.unboundedFollowing))
+    rows = both.withColumns({"a": back, "b": ahead}).where("side = 1")
+    a, b = F.col("a"), F.col("b")
+    between = a["v"] + F.coalesce((b["v"] - a["v"]) * (F.col("t") - a["t"]) / F.nullif(b["t"] - a["t"], F.lit(0)), F.lit(0.0))
+    return rows.select("trial_id", "t", F.when(a.isNotNull() & b.isNotNull(), between).alias("v"))
+
+
+def blank_samples(samples: DataFrame, blanks: DataFrame, pad: float = 0.0) -> DataFrame:
+    """samples whose v is missing inside closed blanks(trial_id, t0, t1) of their trial, widened by pad."""
+    spans = blanks.groupBy("trial_id").agg(F.collect_list(F.struct((F.col("t0") - pad).alias("a"), (F.col("t1") + pad).alias("b"))).alias("_s"))
+    hit = F.exists("_s", lambda s: F.col("t").between(s["a"], s["b"]))
+    return samples.join(spans, "trial_id", "left").withColumn("v", F.when(~F.coalesce(hit, F.lit(False)), F.col("v"))).drop("_s")

@@ -87,3 +87,32 @@ def ratio_sem(x: str, y: str) -> list[Column]:
     mx, my, n = F.avg(x), F.avg(y), F.count("*")
     var = F.var_samp(x) / (my * my) - 2 * mx * F.covar_samp(x, y) / (my * my * my) + mx * mx * F.var_samp(y) / (my * my * my * my)
     return [F.try_divide(mx, my).alias("ratio"), F.sqrt(var / n).alias("sem")]
+
+
+def interpolated_times(samples: DataFrame, names: list[str]) -> DataFrame:
+    """trial_id, t and a column for each channel of samples(trial_id, channel, t, v): at every time of
+    any of them, the channel's value by interpolation between its own samples."""
+    from trialloom.operators.series import interpolated_lookup
+
+    rows = samples.where(F.col("channel").isin(names))
+    out = rows.select("trial_id", "t").distinct()
+    times = out
+    for n in names:
+        own = interpolated_lookup(times, rows.where(F.col("channel") == n)).withColumnRenamed("v", n)
+        out = out.join(own, ["trial_id", "t"])
+    return out
+
+
+def shifted(b: DataFrame, lags: DataFrame, by: list[str]) -> DataFrame:
+    """b(by, i, v) moved by its lag, as best_lag finds it."""
+    return b.join(lags.select(*by, "lag"), by).withColumn("i", F.col("i") + F.col("lag")).drop("lag")
+
+
+def splice(a: DataFrame, b: DataFrame, by: list[str], dims: list[str]) -> DataFrame:
+    """by, i, dims: the series a(by, i, dims) up to where b comes nearest to it at the same i, and b
+    from there on; of places as near, the first. Without any shared i there is no row."""
+    y = b.select(*by, "i", *[F.col(d).alias(f"_{d}") for d in dims])
+    gap = F.sqrt(sum(((F.col(d) - F.col(f"_{d}")) * (F.col(d) - F.col(f"_{d}")) for d in dims), F.lit(0.0)))
+    at = a.join(y, [*by, "i"]).groupBy(*by).agg(F.min(F.struct(F.round(gap, 9).alias("g"), F.col("i"))).alias("_at")).select(*by, F.col("_at.i").alias("_i"))
+    before = a.join(at, by).where(F.col("i") < F.col("_i")).select(*by, "i", *dims)
+    return before.unionByName(b.join(at, by).where(F.col("i") >= F.col("_i")).select(*by, "i", *dims))

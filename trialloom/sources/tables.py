@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,3 +80,76 @@ def load(spark: SparkSession, path: str, sets: list[str], where: Column | None =
 def count(spark: SparkSession, path: str, name: str) -> int:
     """Rows of a set, from file footers alone."""
     return spark.read.parquet(f"{path}/{name}").count()
+
+
+@dataclass(frozen=True)
+class TrialSource:
+    """What a data set of trials states: its name, its unit of time, and the channels of its trials
+    table with their types; trial_id, t_start and t_end are always among them."""
+
+    name: str
+    channels: dict[str, str]
+    time_unit: str = "ms"
+    notes: dict[str, dict] = field(default_factory=dict)
+
+    def schema(self) -> dict[str, str]:
+        return {"trial_id": "long", "t_start": "double", "t_end": "double", **self.channels}
+
+    def read(self, df: DataFrame) -> DataFrame:
+        """The trials of df under this contract: required columns must be there, types are cast, trials
+        that end before they start raise ValueError, notes go with the columns."""
+        from trialloom.operators.catalog import conform, described
+
+        out = conform(df, self.schema(), {"trial_id", "t_start", "t_end"})
+        wrong = out.where("trial_id is null or t_start is null or t_end < t_start").limit(1).count()
+        if wrong:
+            raise ValueError(f"{self.name}: trials without an id or start, or that end before they start")
+        return described(out, {c: {"dataset": self.name, "time_unit": self.time_unit, **self.notes.get(c, {})} for c in out.columns})
+
+
+def partitions(spark: SparkSession, path: str, name: str, by: str) -> DataFrame:
+    """by, n: the partitions of a set that save() wrote partitioned by a column, with their rows."""
+    return spark.read.parquet(f"{path}/{name}").groupBy(by).agg(F.count("*").alias("n"))
+
+
+def borrowed(spark: SparkSession, trials: DataFrame, path: str, name: str) -> DataFrame:
+    """trials with the set of another data set, which stays where it is and is joined by trial."""
+    return trials.join(spark.read.parquet(f"{path}/{name}"), "trial_id", "left")
+
+
+def sessions_between(events: DataFrame, starts: Column, ends: Column, by: str, order: list[str]) -> DataFrame:
+    """events with session, counted by start markers, up to and with the next end marker; what lies
+    after an end and before the next start belongs to none and goes."""
+    from pyspark.sql import Window as W
+
+    numbered = sessionise(events, starts, by, order)
+    inside = W.partitionBy(by, "session").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    ended = F.coalesce(F.max(F.when(ends, 1).otherwise(0)).over(inside), F.lit(0))
+    return numbered.withColumn("_ended", ended).where("session > 0 and _ended = 0").drop("_ended")
+
+
+def spikes_from_clusters(spikes: DataFrame, clusters: DataFrame, groups: list[str], per_ms: float = 1.0) -> DataFrame:
+    """cluster, t (ms) of spikes(cluster, sample) whose cluster(cluster, quality) is of one of groups."""
+    good = clusters.where(F.col("quality").isin(groups)).select("cluster")
+    return spikes.join(good, "cluster", "left_semi").select("cluster", (F.col("sample") / F.lit(per_ms)).alias("t"))
+
+
+def count_vectors(counts: DataFrame, bases: list[str]) -> DataFrame:
+    """trial_id, bin and a column of counts for each basis of counts(trial_id, basis, bin, n), 0 where
+    there is no row: what models of latent factors take in."""
+    wide = counts.where(F.col("basis").isin(bases)).groupBy("trial_id", "bin").pivot("basis", bases).agg(F.sum("n"))
+    return wide.select("trial_id", "bin", *[F.coalesce(b, F.lit(0)).alias(b) for b in bases])
+
+
+def relabelled_points(points: DataFrame, labels: DataFrame, by: list[str], label: str = "unit") -> DataFrame:
+    """points with label as labels(by, label) say, which a sorter gave back; points that it left out have none."""
+    return points.drop(label).join(labels.select(*by, label), by, "left")
+
+
+def append_same(old: DataFrame, new: DataFrame) -> DataFrame:
+    """All rows of both, whose shared columns must have equal types; otherwise ValueError."""
+    types = dict(old.dtypes)
+    unlike = sorted(c for c, t in new.dtypes if types.get(c, t) != t)
+    if unlike:
+        raise ValueError(f"columns of different types: {', '.join(unlike)}")
+    return append_trials(old, new)
