@@ -44,3 +44,15 @@ def test_cases(spark):
     assert none is None and all(r.lang_pred == "und" for r in language.identify(df, none).collect())
     single = df.where("lang = 'en'")
     assert language.identify(single, language.train(single, F.lit(True))).where("doc_id = 0").head().lang_pred == "en"
+
+
+def test_rows_that_many_share_are_learned_once(spark):
+    """A null or repeated id with very many rows brings no more to the driver than other rows do."""
+    rows = [(None if i % 2 else 7, f"the and of {i % 500} with words", "en") for i in range(4000)] + [(i, f"der und mit {i}", "de") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    from trialloom.llm.common import bounded_sample
+
+    picked = bounded_sample(df, "lang", ["doc_id", "text"], 200).dropDuplicates(["doc_id", "text", "lang"])
+    n = {r.lang: r["count"] for r in picked.groupBy("lang").count().collect()}
+    assert n["de"] == 40 and 0 < n["en"] < 60
+    assert language.train(df, F.lit(True), sample=200) is not None

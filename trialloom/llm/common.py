@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,27 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from trialloom.sources.tables import shared_dir
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, read by Spark so that any file system it knows will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir).
-
-    Only where the session names none and driver and executors are one process (local
-    tests), a temporary folder becomes that setting for the rest of the session.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="trialloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def written(df: DataFrame) -> DataFrame:
     """The rows of df, written to the shared folder and read back: cuts lineage and
     survives lost executors. Partitioning and order are not kept."""
@@ -57,11 +43,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def bounded_sample(df: DataFrame, label: str, key: str, total: int, seed: int = 7) -> DataFrame:
+def bounded_sample(df: DataFrame, label: str, key: str | list[str], total: int, seed: int = 7) -> DataFrame:
     """About total rows, as many of each label, chosen by a hash of key, the same on every run.
 
     The share kept of each label follows from its exact count, so that no task has to
-    rank all rows of one label. Rows with null label never count.
+    rank all rows of one label. Rows with null label never count. Rows with equal keys are
+    chosen together: keys must tell rows apart, or few may share one.
     """
     rows = df.where(F.col(label).isNotNull())
     counts = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count("*").alias("n")).collect()}
@@ -69,7 +56,7 @@ def bounded_sample(df: DataFrame, label: str, key: str, total: int, seed: int =
     share = F.lit(0.0)
     for value, n in sorted(counts.items(), key=lambda x: str(x[0])):
         share = F.when(F.col(label) == F.lit(value), F.lit(min(1.0, per_label / n))).otherwise(share)
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    draw = F.pmod(F.xxhash64(F.lit(seed), *([key] if isinstance(key, str) else key)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return rows.where(draw < share)
 
 

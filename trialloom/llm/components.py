@@ -26,8 +26,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges(src, dst), both long; root is the smallest node reachable.
 
     Each round hooks every node to its smallest neighbour, jumps pointers to the roots
-    and contracts the edges, so at least half of the linked nodes go per round. All state
-    is written tables: nothing is gathered on the driver. A hub's edges meet a lookup
+    and contracts the edges, so the larger end of every edge goes in each round (a star
+    whose centre is its largest node takes two). All state is written tables: nothing is gathered on the driver. A hub's edges meet a lookup
     table with one row for each node, a join whose large side Spark can split.
     Null ends and self loops are ignored; no edges give no rows.
     """

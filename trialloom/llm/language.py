@@ -150,10 +150,12 @@ def train(docs: DataFrame, usable: Column, sample: int = SAMPLE) -> Model | None
     """Machines from the rows of docs with a language for which usable holds; None if there are none.
 
     About sample rows, shared out evenly among the languages and picked by a hash of
-    doc_id, go to the driver, where they take 64 kB each.
+    doc_id and text, go to the driver, where they take 64 kB each. Rows that are the same
+    in both and in language count once, so neither an id nor a text that very many rows
+    share brings more.
     """
     rows = docs.where(usable).select("doc_id", "text", "lang").where("text is not null")
-    picked = bounded_sample(rows, "lang", "doc_id", sample)
+    picked = bounded_sample(rows, "lang", ["doc_id", "text"], sample).dropDuplicates(["doc_id", "text", "lang"])
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
