@@ -213,3 +213,40 @@ def test_joined_validity_takes_the_first_cause(spark):
     al = spark.createDataFrame([(i, i != 4, "too short" if i == 4 else None) for i in (1, 2, 3, 4, 5, 9)], "trial_id long, valid boolean, cause string")
     got = {r.trial_id: r.cause for r in C.combined_validity(t, t.where("trial_id <> 3"), [al]).collect()}
     assert got == {0: "alignment 0: not aligned", 1: "manual", 2: "temporary", 3: "no condition", 4: "alignment 0: too short", 5: None, 9: None}
+
+
+def test_trials_as_one_object(spark):
+    from trialloom.api import Trials
+
+    t = spark.createDataFrame([(i, 0.0, 100.0, "ab"[i % 2], float(i)) for i in range(8)], "trial_id long, t_start double, t_end double, side string, x double")
+    ev = spark.createDataFrame([(i, "go", 1, 50.0) for i in range(7)], "trial_id long, event string, occ int, t double")
+    td = Trials(t, ev).align("go-20:go+20 @ go").keep(F.col("x") != 2, "two").group_by("side")
+    assert {r.trial_id: r.cause for r in td.validity().collect() if not r.valid} == {2: "two", 7: "missing zero event"}
+    assert {r.cond: (r.n, r["mean"]) for r in td.means("x").collect()} == {0: (3, pytest.approx(10 / 3)), 1: (3, 3.0)}
+    pts = spark.createDataFrame([(i, 50.0 + i) for i in range(8)], "trial_id long, t double")
+    got = td.psth(pts, 10.0, kernels.identity(), mode="acausal").collect()
+    assert {(r.cond, r.bin): round(r["mean"], 6) for r in got if r["mean"]} == {(0, 0): 100.0, (1, 0): 100.0}
+    assert td.shuffled(3).members().groupBy("cond").count().where("count = 3").count() == 2
+    assert td.resampled(4, 1).count() == 24
+    series_ = td.series_means(pts.withColumn("v", F.col("t")), 10.0, "acausal", baseline=(0, 0)).collect()
+    assert all(r["mean"] == 0 for r in series_)
+
+
+def test_demixed_components_read_out_their_term(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    a, b = rng.normal(size=6), rng.normal(size=6)
+    cells = [(n, i * 4 + j, i, j, float(a[n] * (i - 1) + b[n] * (j - 1.5))) for n in range(6) for i in range(3) for j in range(4)]
+    df = spark.createDataFrame(cells, "basis int, cond int, i int, j int, mean double")
+    from trialloom.operators import contrasts
+
+    term = contrasts.effects(df, ["i", "j"], "mean", ["basis"]).where("term = 'i'").selectExpr("basis", "i * 4 + j as cond", "effect as z")
+    decoder, encoder = population.demixed_weights(df, term, 1)
+    scores = {r.cond: r["mean"] for r in population.project(df.withColumn("sem", F.lit(0.0)), decoder).collect()}
+    for i in range(3):  # the component does not change with j
+        assert np.ptp([scores[i * 4 + j] for j in range(4)]) < 1e-6
+    e = {r.basis: r.w for r in encoder.collect()}
+    assert abs(np.dot([e[n] for n in range(6)], a)) / np.linalg.norm(a) > 1 - 1e-6
+    shares = {r.term: r.share for r in contrasts.variance_by_term(contrasts.effects(df.where("basis = 0"), ["i", "j"], "mean")).collect()}
+    assert sum(shares.values()) == pytest.approx(1) and shares["i:j"] < 1e-9

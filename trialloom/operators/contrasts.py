@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from itertools import combinations
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -80,3 +82,35 @@ def cross_validated_ridge(df: DataFrame, fold: Column, xs: list[str], y: str, ri
             error += float(w @ m @ w)
         out.append((float(ridge), float(error / total[0, 0])))
     return df.sparkSession.createDataFrame(out, "ridge double, error double")
+
+
+def effects(cells: DataFrame, axes: list[str], value: str, by: list[str] | None = None) -> DataFrame:
+    """*by, *axes, term, effect: what each set of axes adds in each cell beyond its subsets.
+
+    Means over cells, by inclusion and exclusion: the effect of a set is the sum over its
+    subsets of the mean that keeps those axes, with alternating signs. term joins the
+    set's axes with ":". The effects of a cell add up to its value less the mean of all.
+    """
+    by = by or []
+    subsets = [s for n in range(len(axes) + 1) for s in combinations(axes, n)]
+    rows = cells
+    for i, s in enumerate(subsets):
+        keys = [*by, *s] or [F.lit(0)]
+        rows = rows.withColumn(f"_m{i}", F.avg(value).over(W.partitionBy(*keys)) if by or s else F.lit(None).cast("double"))
+    if not by:  # one mean of all cells, which needs no window
+        total = cells.agg(F.avg(value).alias("_all"))
+        rows = rows.crossJoin(total).withColumn("_m0", F.col("_all"))
+    terms = []
+    for s in subsets[1:]:
+        parts = [(-1) ** (len(s) - len(t)) * F.col(f"_m{i}") for i, t in enumerate(subsets) if set(t) <= set(s)]
+        terms.append(F.struct(F.lit(":".join(s)).alias("term"), sum(parts[1:], parts[0]).alias("effect")))
+    return rows.select(*by, *axes, F.inline(F.array(*terms)))
+
+
+def variance_by_term(found: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """*by, term, variance, share: mean squares of effects() and their part of all terms' sum."""
+    by = by or []
+    v = found.groupBy(*by, "term").agg((F.avg(F.col("effect") * F.col("effect"))).alias("variance"))
+    if by:
+        return v.withColumn("share", F.try_divide("variance", F.sum("variance").over(W.partitionBy(*by))))
+    return v.crossJoin(v.agg(F.sum("variance").alias("_t"))).withColumn("share", F.try_divide("variance", "_t")).drop("_t")

@@ -150,3 +150,45 @@ def targeted_weights(cube: DataFrame, regressors: DataFrame) -> DataFrame:
     rows = cube.join(regressors, "cond").groupBy("basis", "dimension").agg(F.try_divide(F.covar_pop("x", "mean"), F.var_pop("x")).alias("b"))
     length = F.sqrt(F.sum(F.col("b") * F.col("b")).over(W.partitionBy("dimension")))
     return rows.select("basis", "dimension", F.try_divide("b", length).alias("w"))
+
+
+def cross_gram(a: DataFrame, b: DataFrame) -> DataFrame:
+    """i, j, g: sums over conditions of products of a's basis i and b's basis j, of (basis, cond, z)."""
+    x = a.select(F.col("basis").alias("i"), "cond", F.col("z").alias("za"))
+    y = b.select(F.col("basis").alias("j"), "cond", F.col("z").alias("zb"))
+    return x.join(y, "cond").groupBy("i", "j").agg(F.sum(F.col("za") * F.col("zb")).alias("g"))
+
+
+def demixed_weights(cube: DataFrame, marginal: DataFrame, k: int, ridge: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """(decoder(basis, dimension, w), encoder(basis, dimension, w)) of k components that read one
+    marginalisation out of the whole population.
+
+    cube(basis, cond, mean) is centred; marginal(basis, cond, z) is one term's effects. The
+    regression of the term on the population with a ridge, cut to rank k by what it
+    predicts, is the encoder times the decoder. The driver sees bases x bases only.
+    """
+    import numpy as np
+
+    whole = _centred(cube)
+    names = sorted(r.basis for r in cube.select("basis").distinct().collect())
+    at = {n: i for i, n in enumerate(names)}
+    g, h = np.zeros((len(names),) * 2), np.zeros((len(names),) * 2)
+    for table, m in ((cross_gram(whole, whole), g), (cross_gram(marginal, whole), h)):
+        for r in table.collect():
+            m[at[r.i], at[r.j]] = r.g
+    b = np.linalg.lstsq((g + ridge * np.eye(len(g))).T, h.T, rcond=None)[0].T
+    value, vector = np.linalg.eigh(b @ g @ b.T)
+    u = vector[:, np.argsort(-value)[:k]]
+    u = u * np.sign(u[np.abs(u).argmax(axis=0), range(u.shape[1])])
+    rows = [[(int(n), d, float(w[at[n], d])) for n in names for d in range(u.shape[1])] for w in ((u.T @ b).T, u)]
+    return tuple(cube.sparkSession.createDataFrame(r, "basis int, dimension int, w double") for r in rows)
+
+
+def over_conditions(cube: DataFrame) -> DataFrame:
+    """basis, any_positive, all_positive, highest, lowest: of each basis whether its mean is positive in any
+    and in all conditions, and the conditions of its extremes (the first of equals)."""
+    up, first = F.col("mean") > 0, -F.col("cond")
+    return cube.groupBy("basis").agg(
+        F.bool_or(up).alias("any_positive"), F.bool_and(up).alias("all_positive"),
+        (-F.max(F.struct("mean", first.alias("c")))["c"]).alias("highest"), F.min(F.struct("mean", "cond"))["cond"].alias("lowest"),
+    )

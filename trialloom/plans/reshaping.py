@@ -283,3 +283,42 @@ def nth_true(spark, sf_dir):
     s = samples(events_long(spark, sf_dir)).withColumn("on", F.col("v") >= 60)
     last = series.nth_true(s, 1, from_end=True).withColumnRenamed("t", "last")
     return series.nth_true(s, 2).join(last, "trial_id").select("trial_id", F.round("t", 3).alias("second"), F.round("last", 3).alias("last"))
+
+
+_CELLS = f"""{BOTH}, c AS (SELECT k % 4 AS a, cond AS b, user_id % 2 AS d, avg(n_events) AS x FROM tr GROUP BY 1, 2, 3),
+m AS (SELECT *, avg(x) OVER () AS g, avg(x) OVER (PARTITION BY a) AS ma, avg(x) OVER (PARTITION BY b) AS mb, avg(x) OVER (PARTITION BY d) AS md, avg(x) OVER (PARTITION BY a, b) AS mab, avg(x) OVER (PARTITION BY a, d) AS mad, avg(x) OVER (PARTITION BY b, d) AS mbd FROM c),
+e AS (SELECT a, b, d, unnest(['a', 'b', 'd', 'a:b', 'a:d', 'b:d', 'a:b:d']) AS term, unnest([ma - g, mb - g, md - g, mab - ma - mb + g, mad - ma - md + g, mbd - mb - md + g, x - mab - mad - mbd + ma + mb + md - g]) AS effect FROM m)"""
+
+
+def _effects(spark, sf_dir):
+    tr = trials(events_long(spark, sf_dir))
+    cells = tr.groupBy((F.col("k") % 4).alias("a"), F.col("cond").alias("b"), (F.col("user_id") % 2).alias("d")).agg(F.avg("n_events").alias("x"))
+    return contrasts.effects(cells, ["a", "b", "d"], "x")
+
+
+@query(f"{_CELLS} SELECT a, b, d, term, round(effect, 6) AS effect FROM e")
+def effects_of_three_axes(spark, sf_dir):
+    """Main effects and interactions of three axes in each cell of a cube."""
+    return _effects(spark, sf_dir).withColumn("effect", F.round("effect", 6))
+
+
+@query(f"{_CELLS}, v AS (SELECT term, avg(effect * effect) AS v FROM e GROUP BY 1) SELECT term, round(v, 6) AS variance, round(v / (SELECT sum(v) FROM v), 6) AS share FROM v")
+def variance_by_term(spark, sf_dir):
+    """How much of the variance each set of axes accounts for."""
+    return contrasts.variance_by_term(_effects(spark, sf_dir)).select("term", F.round("variance", 6).alias("variance"), F.round("share", 6).alias("share"))
+
+
+@query(f"WITH {_CUBE} SELECT basis, bool_or(mean > 0) AS any_positive, bool_and(mean > 0) AS all_positive, arg_max(cond, mean) AS highest, arg_min(cond, mean) AS lowest FROM c GROUP BY 1")
+def over_conditions(spark, sf_dir):
+    """Whether each basis is ever and always positive, and where it is highest and lowest."""
+    return population.over_conditions(_cube(spark, sf_dir))
+
+
+@query(f"{CLICKS} SELECT coalesce(cause, 'valid') AS cause, cond, count(*) AS n, round(avg(n_events), 6) AS mean FROM (SELECT tr.*, CASE WHEN n_events < 2 THEN 'few events' WHEN zero IS NULL THEN 'missing zero event' END AS cause FROM tr LEFT JOIN al USING (trial_id)) WHERE cause IS NULL GROUP BY 1, 2")
+def trials_as_one_object(spark, sf_dir):
+    """Aligned, filtered and grouped in one chain of steps: means of valid trials by condition."""
+    from trialloom.api import Trials
+
+    ev = events_long(spark, sf_dir)
+    td = Trials(trials(ev).withColumnRenamed("cond", "third"), ev).align(AROUND).keep(F.col("n_events") >= 2, "few events").group_by("third")
+    return td.means("n_events").select(F.lit("valid").alias("cause"), F.col("cond").cast("long").alias("cond"), "n", F.round("mean", 6).alias("mean"))
