@@ -60,10 +60,11 @@ def bounded_sample(df: DataFrame, label: str, key: str | list[str], total: int,
     return rows.where(draw < share)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], schema: str, as_arrow: tuple[str, ...] = ()) -> DataFrame:
     """mapInArrow where fn gets batches as {column: list} and yields such dicts, or Arrow arrays in them.
 
-    Batches are cut to 256 rows so that long texts do not pile up in a worker.
+    Batches are cut to 256 rows so that long texts do not pile up in a worker. Columns named
+    in as_arrow come as Arrow arrays.
     """
     arrow = to_arrow_schema(T._parse_datatype_string(schema))
 
@@ -72,7 +73,7 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], sch
             for batch in batches:
                 for at in range(0, batch.num_rows, 256):
                     cut = batch.slice(at, 256)
-                    yield {n: c.to_pylist() for n, c in zip(cut.schema.names, cut.columns, strict=True)}
+                    yield {n: c if n in as_arrow else c.to_pylist() for n, c in zip(cut.schema.names, cut.columns, strict=True)}
 
         for out in fn(parts()):
             arrays = [out[f.name] if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], type=f.type) for f in arrow]

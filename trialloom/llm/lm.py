@@ -31,7 +31,9 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,8 +44,8 @@ HOT, COMMON = 1024, 1 << 17
 BACKOFF = 0.4
 #: Words of the corpus for each bucket.
 PER_PART = 1_500_000
-#: Words whose hash a worker remembers, and counts that it sums up; beyond, it starts anew.
-CACHE, SUMMED = 300_000, 500_000
+#: Counts that a worker sums up; beyond, it starts anew.
+SUMMED = 500_000
 #: Scores are summed in units of 1 / UNIT.
 UNIT = 1e8
 #: What a row of an exploded array says of its document: a pair at home with v or with w,
@@ -51,20 +53,22 @@ UNIT = 1e8
 AT_V, AT_W, IF_HIT, IF_MISS, FIRST, ID, KNOWN = range(7)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHE:
-            self.clear()
-        h = xxhash.xxh64_intdigest(word, 0)
-        h = self[word] = h - (1 << 64) if h >> 63 else h
-        return h
-
-
-def word_hashes(texts: list[str | None], memo: _Hashes) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of the words of all texts, words of each text): lower-cased runs of anything but ASCII white space."""
-    words = [(t or "").lower().encode("utf-8", "surrogatepass").split() for t in texts]
-    n = np.array([len(w) for w in words], dtype=np.int64)
-    return np.concatenate([np.fromiter(map(memo.__getitem__, w), dtype=np.int64, count=len(w)) for w in words]), n
+def block_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted hashes of the words of all texts, the place there of each word in order, words of each
+    text): lower-cased runs of anything but ASCII white space. Only distinct words are hashed."""
+    runs = pc.ascii_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "")))
+    coded = runs.flatten().dictionary_encode()
+    known = coded.dictionary.to_numpy(zero_copy_only=False)
+    doc = np.repeat(np.arange(len(runs)), pc.list_value_length(runs).to_numpy())
+    code = coded.indices.to_numpy()
+    keep = (known != "")[code] if len(code) else np.zeros(0, dtype=bool)  # empty ones stand beside white space at either end
+    doc, code = doc[keep], code[keep]
+    used = np.zeros(len(known), dtype=bool)
+    used[code] = True
+    words, at = np.unique(pd.util.hash_array(known[used], categorize=False).view(np.int64), return_inverse=True)
+    places = np.full(len(known), -1)
+    places[used] = at
+    return words, places[code], np.bincount(doc, minlength=len(runs))
 
 
 def _place(keys: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -79,15 +83,16 @@ def unigram_counts(docs: DataFrame) -> DataFrame:
     """(word, n) over all texts of docs(text); word is its hash."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        memo, held = _Hashes(), [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))]
+        held = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))]
         for b in batches:
-            held.append(np.unique(word_hashes(b["text"], memo)[0], return_counts=True))
+            words, at, _ = block_words(b["text"])
+            held.append((words, np.bincount(at, minlength=len(words))))
             if sum(len(w) for w, _ in held) > SUMMED:
                 yield dict(zip(("word", "n"), _summed(held), strict=True))
                 held = held[:1]
         yield dict(zip(("word", "n"), _summed(held), strict=True))
 
-    return map_arrow(docs.select("text"), run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return map_arrow(docs.select("text"), run, "word long, n long", ("text",)).groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _summed(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -106,17 +111,17 @@ def hot_pair_counts(docs: DataFrame, hot) -> DataFrame:
     """(key, n) of pairs of the hot words; hot is a broadcast of their sorted hashes."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        memo, keys = _Hashes(), hot.value
+        keys = hot.value
         size = len(keys)
         total = np.zeros(size * size, dtype=np.int64)
         for b in batches:
-            h, n = word_hashes(b["text"], memo)
-            v, w, _ = _pairs(_place(keys, h), n)
+            words, at, n = block_words(b["text"])
+            v, w, _ = _pairs(_place(keys, words)[at] if len(words) else at, n)
             total += np.bincount((v * size + w)[(v >= 0) & (w >= 0)], minlength=size * size)
         at = np.flatnonzero(total)
         yield {"key": at, "n": total[at]}
 
-    return map_arrow(docs.select("text"), run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return map_arrow(docs.select("text"), run, "key long, n long", ("text",)).groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def exploded(docs: DataFrame, parts: int, total: int, common, hot, hot_pairs) -> DataFrame:
@@ -129,11 +134,10 @@ def exploded(docs: DataFrame, parts: int, total: int, common, hot, hot_pairs) ->
     log_total, log_backoff = math.log(max(total, 1)), math.log(BACKOFF)
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        memo, (keys, counts), hot_keys, both = _Hashes(), common.value, hot.value, hot_pairs.value
+        (keys, counts), hot_keys, both = common.value, hot.value, hot_pairs.value
         log_count = np.log(counts)
         for b in batches:
-            h, n = word_hashes(b["text"], memo)
-            words, at = np.unique(h, return_inverse=True)
+            words, at, n = block_words(b["text"])
             known, warm = _place(keys, words), _place(hot_keys, words)
             base, hits = np.zeros(len(n)), np.zeros(len(n), dtype=np.int64)
             rows: list[tuple] = []  # bucket, r, o, code, n
@@ -179,7 +183,7 @@ def exploded(docs: DataFrame, parts: int, total: int, common, hot, hot_pairs) ->
             yield {"bucket": bucket[cuts], "block": [start] * len(cuts), **lists}
 
     numbered = docs.withColumn("row", F.monotonically_increasing_id())
-    return map_arrow(numbered, run, "bucket int, block long, r array<long>, o array<long>, code array<int>, n array<int>")
+    return map_arrow(numbered, run, "bucket int, block long, r array<long>, o array<long>, code array<int>, n array<int>", ("text",))
 
 
 @contextmanager
