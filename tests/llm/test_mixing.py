@@ -150,6 +150,8 @@ def test_cases(spark):
     out = mixing.mixed_documents(docs, labelled, {"g": 3, "b": 1})
     assert out.columns == docs.columns
     assert out.where(F.col("doc_id").isNull()).count() == 2
+    clash = docs.withColumnsRenamed({"tokens": "_copies"}).withColumn("_id", F.lit("x"))
+    assert mixing.mixed_documents(clash, labelled, {"g": 3, "b": 1}).columns == clash.columns
     plan = mixing.mix(docs, labelled, {"g": 3, "b": 1})._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
 

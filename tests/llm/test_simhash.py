@@ -83,3 +83,12 @@ def test_groups_and_cases(spark):
     assert simhash.simhash_groups(empty).collect() == []
     kept = [r.doc_id for r in simhash.deduplicated(docs).collect()]
     assert sorted(kept, key=str) == sorted([3, 1, 7, None] + ([] if near else [9]), key=str)
+
+
+def test_rows_that_stay_are_known_by_id_and_text(spark):
+    """Different texts under one id are rows of their own; of the same row one stays."""
+    a, b, c = ("word%d " % i * 3 + " ".join(f"{x}{i * k}" for k, x in enumerate("qrstuvwxyz")) for i in (1, 2, 3))
+    rows = [(1, a), (1, b), (2, a), (3, c), (3, c), (4, c), (None, a), (None, a), (5, None), (6, "")]
+    docs = spark.createDataFrame([(i, t, "en", None) for i, t in rows], "doc_id long, text string, _id string, times string")
+    kept = sorted(((r.doc_id, r.text) for r in simhash.deduplicated(docs).collect()), key=str)
+    assert kept == sorted([(1, a), (1, b), (3, c), (None, a), (None, a), (5, None)], key=str)

@@ -288,8 +288,9 @@ def mixed_documents(docs: DataFrame, labelled: DataFrame, targets: dict[str, flo
     and merges it with the texts if it is large.
     """
     rated = written(mix(docs, labelled, targets, keep=keep).select(F.col("doc_id").alias("_id"), F.col("copies").alias("_copies")))
-    taken = docs.join(rated.where("_copies > 0"), F.col("doc_id") == F.col("_id")).withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    out = taken.select(docs.columns)
+    packed = docs.select(F.struct("*").alias("d"))  # the row as one value, so that no column of it can clash
+    taken = packed.join(rated.where("_copies > 0"), F.col("d.doc_id") == F.col("_id"))
+    out = taken.select("d", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_k")).select("d.*")
     return out if rated.where("_id is null").isEmpty() else out.unionByName(docs.where("doc_id is null"))
 
 

@@ -235,11 +235,11 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     # texts with one hash have one fingerprint, so one root
     stays = written(stays.select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"), "times"))
 
-    def rows_of(ids: DataFrame) -> DataFrame:
-        return docs.withColumn("_h", F.xxhash64("text")).join(ids, (F.col("doc_id") == F.col("_id")) & (F.col("_h") == F.col("_hash")))
-
+    # the row as one value, so that no column of it can clash
+    packed = docs.select(F.struct("*").alias("d"), F.xxhash64("text").alias("h"))
+    same = (F.col("d.doc_id") == F.col("_id")) & (F.col("h") == F.col("_hash"))
     again = stays.where("times > 1")
-    out = rows_of(stays.where("times = 1")).select(docs.columns)
+    out = packed.join(stays.where("times = 1"), same).select("d.*")
     if not again.isEmpty():
-        out = out.unionByName(rows_of(again).dropDuplicates(["doc_id", "_h"]).select(docs.columns))
+        out = out.unionByName(packed.join(again, same).dropDuplicates(["_id", "_hash"]).select("d.*"))
     return out if rows.where("doc_id is null").isEmpty() else out.unionByName(docs.where("doc_id is null"))
