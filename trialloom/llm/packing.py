@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from trialloom.llm.common import map_arrow, written
 
 #: Distinct words whose ids a worker remembers; beyond it, it starts anew.
-CACHE = 300_000
+CACHE = 600_000
 #: Words encoded at once, and the longest that is remembered.
 TOGETHER, LONGEST = 64, 200
 
