@@ -31,7 +31,7 @@ from trialloom.llm.common import map_arrow, written
 #: Distinct words whose ids a worker remembers; beyond it, it starts anew.
 CACHE = 600_000
 #: Words encoded at once, and the longest that is remembered.
-TOGETHER, LONGEST = 64, 200
+TOGETHER, LONGEST = 256, 200
 
 
 class _Ids(dict):
