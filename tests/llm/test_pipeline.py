@@ -81,7 +81,7 @@ def test_packing_stage(stages):
 
 def test_odd_documents(spark):
     """Nulls, repeats and blanks pass every stage."""
-    rows = [(1, None, None, None, None), (None, "some text", "en", "s", 9), (2, "", "en", "s", 0), (3, "token = abcdef123", "en", "s", 17), (3, "token = abcdef123", "en", "s", 17)]
+    rows = [(1, None, None, None, None), (None, "some text", "en", "s", 9), (2, "", "en", "s", 0), (3, "token = abcdef123", "en", "s", 17), (3, "token = abcdef123", "en", "s", 17), (4, "a rule\n" + "-" * 40 + "\n" + "0" * 25 + "\nends", "en", "s", 80)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES:
         docs = corpus_pipeline.written(stage(spark, docs, SF))

@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+import re
 import time
 from collections import Counter
 
@@ -89,13 +90,39 @@ def test_entropy_matches_plain_version():
         assert got == hit
 
 
+def slow_windows(run, width, bits, digits, letters, changes):
+    """Characters that some window of the run covers, each window read by itself."""
+    hit = set()
+    for s in range(len(run) - width + 1):
+        w = run[s : s + width]
+        h = -sum(c / width * math.log2(c / width) for c in Counter(w).values())
+        turns = sum(a.isalpha() and b.isalpha() and a.isupper() != b.isupper() for a, b in zip(w, w[1:]))
+        if h >= bits and sum(map(str.isalpha, w)) >= letters and sum(map(str.isdigit, w)) / digits + turns / changes >= 1:
+            hit |= set(range(s, s + width))
+    return hit
+
+
+def test_runs_of_one_character():
+    """Rules, padding and runs longer than a window, alone and around random characters."""
+    rng = random.Random(5)
+    for c in secrets.CLASSES:
+        alphabet = [x for x in KEY if re.fullmatch(c.run, x)]
+        for ch in alphabet:
+            for n in (c.width - 1, c.width, c.width + 1, 3 * c.width):
+                assert secrets.high_entropy(ch * n, c.width, c.bits, c.digits, c.letters, c.changes) == []
+        for _ in range(60):
+            run = "".join(rng.choice(alphabet) * rng.choice([1, 1, 1, 2, c.width, c.width + 7]) for _ in range(rng.randint(1, 60)))
+            got = {i for a, b in secrets.high_entropy(run, c.width, c.bits - 1e-12, c.digits, c.letters, c.changes) for i in range(a, b)}
+            assert got == slow_windows(run, c.width, c.bits - 1e-9, c.digits, c.letters, c.changes)
+
+
 def test_scan_cases(spark):
     mixed = "k9Zp2LmQ7xRt4VbN8sWd3YcF"
     rows = [
         (1, 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" end', 1),
         (2, None, 2), (3, "", 3), (4, f"see {mixed} here", 4), (None, "password: hunter2222", 5),
         (5, "EXAMPLE" + mixed[:12] + "EXAMPLE" + mixed[:9], 6), (8, "EXAMPLE" + mixed, 6), (6, "plain words only and averyveryverylongwordwithoutdigits", 7), (6, "plain words only and averyveryverylongwordwithoutdigits", 7),
-        (7, "AKIA" + "A1" * 10, 8),
+        (7, "AKIA" + "A1" * 10, 8), (9, "hello\n" + "-" * 40 + "\nend", 9), (10, "=" * 30 + "x" * 25 + "\n" + "0" * 21 + "_" * 80 + "\n" + mixed, 10),
     ]
     df = spark.createDataFrame(rows, "doc_id long, text string, spans int")
     got = {(r.doc_id, r.text if "text" in r else None): r for r in secrets.scan_secrets(df).collect()}
@@ -108,6 +135,9 @@ def test_scan_cases(spark):
     assert by[4].spans == f"entropy_alnum:4:{4 + len(mixed)}"
     assert by[8].n_entropy == 1  # what stands beside an allowed word is a secret by itself
     assert secrets.scan_secrets(df, redacted=False).columns == secrets.scan_secrets(df).drop("redacted").columns
+    assert by[9].spans == "" and by[9].redacted.startswith("hello") and by[10].n_entropy == 1
+    bare = df.select("doc_id", "text")
+    assert {r.doc_id: r.text for r in secrets.without_secrets(bare).collect()}[9] == "hello\n" + "-" * 40 + "\nend"
     assert by[5].spans == "" and by[6].spans == "" and by[None].n_assign == 1 and by[7].n_access == 1
     assert secrets.scan_secrets(df.limit(0)).collect() == []
 

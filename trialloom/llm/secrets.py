@@ -75,13 +75,7 @@ def high_entropy(run: str, width: int, bits: float, digits: int, letters: int, c
     total, n_digits, n_letters, n_changes, out = 0.0, 0, 0, 0, []
     turns = [a.isalpha() and b.isalpha() and a.isupper() != b.isupper() for a, b in itertools.pairwise(run)]
     for i, ch in enumerate(run):
-        c = counts.get(ch, 0)
-        counts[ch] = c + 1
-        total += weight[c + 1] - weight[c]
-        n_digits += ch.isdigit()
-        n_letters += ch.isalpha()
-        n_changes += i > 0 and turns[i - 1]
-        if i >= width:
+        if i >= width:  # the oldest goes first, so that no count exceeds width
             old = run[i - width]
             c = counts[old]
             counts[old] = c - 1
@@ -89,6 +83,12 @@ def high_entropy(run: str, width: int, bits: float, digits: int, letters: int, c
             n_digits -= old.isdigit()
             n_letters -= old.isalpha()
             n_changes -= turns[i - width]
+        c = counts.get(ch, 0)
+        counts[ch] = c + 1
+        total += weight[c + 1] - weight[c]
+        n_digits += ch.isdigit()
+        n_letters += ch.isalpha()
+        n_changes += i > 0 and turns[i - 1]
         if i >= width - 1 and n_digits * changes + n_changes * digits >= digits * changes and n_letters >= letters and top - total / width >= bits:
             start = i - width + 1
             if out and start <= out[-1][1]:
@@ -164,7 +164,7 @@ def scan_secrets(
     """One row for each row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_entropy, redacted.
 
     Null texts count as empty; null ids and repeated rows keep their rows; other columns
-    are not read. redacted is the text with every span masked (null stays null); with
+    are not read; an empty table gives no row. redacted is the text with every span masked (null stays null); with
     redacted=False it is left out, so that no text comes back.
     """
     names = ("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_entropy", *(["redacted"] if redacted else []))
@@ -188,13 +188,15 @@ def scan_secrets(
 
 
 def without_secrets(docs: DataFrame) -> DataFrame:
-    """The rows of documents with secrets masked and n_chars counted anew; no row goes."""
+    """The rows of documents with secrets masked and, where there is a column n_chars, that counted
+    anew; no row goes. Null and empty texts stay as they are, and so does an empty table."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         scanner = Scanner()
         for b in batches:
             b["text"] = [redact(t, every) if t and (every := scanner.spans(t)[1]) else t for t in b["text"]]
-            b["n_chars"] = [n if t is None else len(t) for t, n in zip(b["text"], b["n_chars"], strict=True)]
+            if "n_chars" in b:
+                b["n_chars"] = [n if t is None else len(t) for t, n in zip(b["text"], b["n_chars"], strict=True)]
             yield b
 
     return map_arrow(docs, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
