@@ -12,11 +12,13 @@ from trialloom.llm.common import held_out, table
 from trialloom.llm.embeddings import near_duplicates
 from trialloom.llm.html import extract_text
 from trialloom.llm.language import identify
+from trialloom.llm.lexical import rank
 from trialloom.llm.lm import stupid_backoff
 from trialloom.llm.mixing import TARGETS, label_domains, mix
 from trialloom.llm.ogg import from_media, to_media
 from trialloom.llm.packing import pack
 from trialloom.llm.quality import score, train
+from trialloom.llm.rope import fill_in_middle
 from trialloom.llm.secrets import scan_secrets
 from trialloom.llm.simhash import simhash_groups
 
@@ -76,6 +78,16 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_media(to_media(table(spark, sf_dir, "documents")))
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents for every item of benchmark."""
+    return rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text cut twice at code points, rearranged and restored."""
+    return fill_in_middle(table(spark, sf_dir, "documents"), unit="char", texts=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
@@ -88,8 +100,34 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_embeddings": op8_embeddings,
         "op9_secrets": op9_secrets,
         "op10_media": op10_media,
+        "op11_search": op11_search,
+        "op13_fim": op13_fim,
     }
 
 
+_TERMS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+_SEARCH = f"""WITH words AS (SELECT r, doc_id, unnest({_TERMS.format("text")}) AS term FROM (SELECT row_number() OVER () AS r, doc_id, text FROM documents)),
+lengths AS (SELECT r, any_value(doc_id) AS doc_id, count(*) AS n FROM words GROUP BY r),
+totals AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM lengths),
+postings AS (SELECT r, term, count(*) AS tf FROM words GROUP BY r, term),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM postings, totals GROUP BY term),
+asked AS (SELECT item_id, term, count(*) AS repeats FROM (SELECT item_id, unnest({_TERMS.format("text")}) AS term FROM benchmark) GROUP BY 1, 2),
+scored AS (SELECT item_id, r, CAST(sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM asked JOIN weights USING (term) JOIN postings USING (term) JOIN lengths USING (r), totals GROUP BY 1, 2)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored JOIN lengths USING (r) WHERE score > 0)
+WHERE rank <= 20"""
+
+_FIM = """WITH d AS (SELECT doc_id, coalesce(text, '') AS x, length(coalesce(text, '')) AS n, sha256('1:' || doc_id) AS s FROM documents),
+h AS (SELECT *, CAST('0x' || substr(s, 1, 8) AS BIGINT) % (n + 1) AS a, CAST('0x' || substr(s, 9, 8) AS BIGINT) % (n + 1) AS b, CAST('0x' || substr(s, 17, 8) AS BIGINT) % 100 AS c, CAST('0x' || substr(s, 25, 8) AS BIGINT) % 100 AS e FROM d),
+f AS (SELECT doc_id, n, x, least(a, b) AS p, greatest(a, b) AS m,
+  CASE WHEN x = '' OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>') OR c >= 90 THEN 'plain' WHEN e < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+t AS (SELECT *, substring(x, 1, p) AS pre, substring(x, p + 1, m - p) AS mid, substring(x, m + 1) AS suf FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN p END AS prefix_chars, CASE WHEN form <> 'plain' THEN m - p END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(x) AS restored_sha256 FROM t"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_search": _SEARCH, "op13_fim": _FIM}
