@@ -38,9 +38,10 @@ def drop_written(df: DataFrame | None) -> None:
         where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
-def held_out(doc_id: Column) -> Column:
-    """True for the rows that no model may learn labels from: crc32(doc_id as text) mod 4 is 2."""
-    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+def held_out(doc_id: Column, of: int = 4, rest: int = 2) -> Column:
+    """True for the rows that no model may learn labels from: crc32(doc_id as text) mod 4 is 2, or
+    mod of is rest."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % of == rest, F.lit(False))
 
 
 def bounded_sample(df: DataFrame, label: str, key: str | list[str], total: int, seed: int = 7) -> DataFrame:

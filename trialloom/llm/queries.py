@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialloom.llm import language
+from trialloom.llm import language, toxicity
 from trialloom.llm.common import held_out, table
 from trialloom.llm.embeddings import near_duplicates
 from trialloom.llm.html import extract_text
@@ -83,6 +83,14 @@ def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by a grammar that learns from the rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    out = held_out(F.col("doc_id"), of=3, rest=1)
+    grammar = toxicity.train(docs, table(spark, sf_dir, "labels"), ~out)
+    return toxicity.score(docs, grammar).select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text cut twice at code points, rearranged and restored."""
     return fill_in_middle(table(spark, sf_dir, "documents"), unit="char", texts=False)
@@ -101,6 +109,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_secrets": op9_secrets,
         "op10_media": op10_media,
         "op11_search": op11_search,
+        "op12_toxicity": op12_toxicity,
         "op13_fim": op13_fim,
     }
 
