@@ -19,8 +19,10 @@ OFFSET = {"causal": -1.0, "acausal": 0.0, "centered": -0.5}
 
 
 def bin_limits(aligned: DataFrame, width: float) -> DataFrame:
-    """trial_id, zero, s, e, b0, b1: window relative to zero and its own first and last labels."""
-    rows = aligned.where("zero is not null").select("trial_id", "zero", "valid", "start_pad", "stop_pad", (F.col("start") - F.col("zero")).alias("s"), (F.col("stop") - F.col("zero")).alias("e"))
+    """trial_id, zero, s, e, b0, b1: window relative to zero and its own first and last labels (for
+    each align_id, if there is one)."""
+    which = ["align_id"] if "align_id" in aligned.columns else []
+    rows = aligned.where("zero is not null").select("trial_id", *which, "zero", "valid", "start_pad", "stop_pad", (F.col("start") - F.col("zero")).alias("s"), (F.col("stop") - F.col("zero")).alias("e"))
     return rows.withColumns({"b0": ceil_tol(F.col("s") / width, 1e-3).cast("long"), "b1": floor_tol(F.col("e") / width, 1e-3).cast("long")})
 
 
@@ -37,12 +39,20 @@ def binned_counts(points: DataFrame, aligned: DataFrame, width: float, mode: str
     sequence of its own bins, so no trial meets the bins of another. Trials and their points
     meet once, by trial; a bin is counted once for the grid and once for each point.
     """
-    off = OFFSET[mode]
-    limits = bin_limits(aligned.where("valid"), width)
-    # a bin counts if its edges lie in the window moved by the mode's offset
-    inner = limits.withColumns({"lo": ceil_tol(F.col("s") / width).cast("long"), "hi": floor_tol(F.col("e") / width).cast("long")})
     times = points.where(F.col("t").isNotNull()).groupBy("trial_id").agg(F.collect_list(F.col("t").cast("double")).alias("ts"))
-    rows = inner.where("hi >= lo").join(times, "trial_id", "left")
+    rows = _inner_bins(aligned, width).join(times, "trial_id", "left")
+    return rows.select("trial_id", F.explode(_bins_met(width, mode)).alias("bin")).groupBy("trial_id", "bin").agg((F.count("*") - 1).alias("n"))
+
+
+def _inner_bins(aligned: DataFrame, width: float) -> DataFrame:
+    """Valid windows with lo and hi: a bin counts if its edges lie in the window moved by the mode's offset."""
+    limits = bin_limits(aligned.where("valid"), width)
+    return limits.withColumns({"lo": ceil_tol(F.col("s") / width).cast("long"), "hi": floor_tol(F.col("e") / width).cast("long")}).where("hi >= lo")
+
+
+def _bins_met(width: float, mode: str) -> Column:
+    """Of rows(zero, start_pad, stop_pad, lo, hi, ts) every bin of the grid once, and the bin of each point."""
+    off = OFFSET[mode]
 
     def label(t: Column) -> Column:
         last = F.abs(t - (F.col("hi") + 1 + off) * width) < 1e-9  # on the closing edge of the last bin
@@ -50,19 +60,37 @@ def binned_counts(points: DataFrame, aligned: DataFrame, width: float, mode: str
 
     inside = F.filter("ts", lambda t: t.between(F.col("start_pad"), F.col("stop_pad")))
     labels = F.filter(F.transform(inside, lambda t: label(t - F.col("zero"))), lambda b: b.between(F.col("lo"), F.col("hi")))
-    bins = F.concat(F.sequence("lo", "hi"), F.coalesce(labels, F.array().cast("array<bigint>")))
-    return rows.select("trial_id", F.explode(bins).alias("bin")).groupBy("trial_id", "bin").agg((F.count("*") - 1).alias("n"))
+    return F.concat(F.sequence("lo", "hi"), F.coalesce(labels, F.array().cast("array<bigint>")))
+
 
+def counts_by_basis(points: DataFrame, aligned: DataFrame, bases: list[str], width: float, mode: str = "causal") -> DataFrame:
+    """align_id, basis, trial_id, bin, n: binned counts of many sources under many alignments.
+
+    points(basis, trial_id, t); aligned as of align_all. Points are gathered by trial and basis
+    and meet the windows of their trial once, whatever the number of bases and alignments; a
+    basis that has no point in a trial has zeros there. Bases are names of sources, not data.
+    """
+    wanted = points.where(F.col("t").isNotNull() & F.col("basis").isin(bases)).select("trial_id", "basis", F.col("t").cast("double").alias("t"))
+    lists = wanted.repartition("trial_id").groupBy("trial_id", "basis").agg(F.collect_list("t").alias("ts"))
+    found = lists.groupBy("trial_id").agg(F.collect_list(F.struct("basis", "ts")).alias("found"))
+    rows = _inner_bins(aligned, width).join(found, "trial_id", "left")
+    there = F.coalesce("found", F.array().cast("array<struct<basis:string,ts:array<double>>>"))
+    absent = F.transform(F.array_except(F.array(*[F.lit(b) for b in bases]), F.transform(there, lambda x: x["basis"])), lambda b: F.struct(b.alias("basis"), F.array().cast("array<double>").alias("ts")))
+    each = rows.withColumn("_b", F.explode(F.concat(there, absent))).select("*", "_b.basis", "_b.ts")
+    binned = each.select("align_id", "basis", "trial_id", F.explode(_bins_met(width, mode)).alias("bin"))
+    return binned.groupBy("align_id", "basis", "trial_id", "bin").agg((F.count("*") - 1).alias("n"))
 
-def smooth(counts: DataFrame, taps: Taps, width: float, units_per_second: float = 1000.0) -> DataFrame:
-    """trial_id, bin, rate: counts through a kernel where all of its bins are there, per second.
+
+def smooth(counts: DataFrame, taps: Taps, width: float, units_per_second: float = 1000.0, by: list[str] | None = None) -> DataFrame:
+    """by, trial_id, bin, rate: counts through a kernel where all of its bins are there, per second.
 
     Each count is sent to the bins that its taps reach: one explode of len(taps) and one sum.
     """
     kernel = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(w).alias("w")) for k, w in taps])
-    sent = counts.withColumn("tap", F.explode(kernel)).select("trial_id", (F.col("bin") + F.col("tap.k")).alias("bin"), (F.col("n") * F.col("tap.w")).alias("x"))
-    full = sent.groupBy("trial_id", "bin").agg(F.sum("x").alias("x"), F.count("*").alias("taps")).where(F.col("taps") == len(taps))
-    return full.select("trial_id", "bin", (F.col("x") * units_per_second / width).alias("rate"))
+    keys = [*(by or []), "trial_id"]
+    sent = counts.withColumn("tap", F.explode(kernel)).select(*keys, (F.col("bin") + F.col("tap.k")).alias("bin"), (F.col("n") * F.col("tap.w")).alias("x"))
+    full = sent.groupBy(*keys, "bin").agg(F.sum("x").alias("x"), F.count("*").alias("taps")).where(F.col("taps") == len(taps))
+    return full.select(*keys, "bin", (F.col("x") * units_per_second / width).alias("rate"))
 
 
 def mean_rate(points: DataFrame, aligned: DataFrame, units_per_second: float = 1000.0) -> DataFrame:
@@ -73,6 +101,13 @@ def mean_rate(points: DataFrame, aligned: DataFrame, units_per_second: float = 1
     return rows.select("trial_id", "n", "duration", (F.try_divide(F.col("n"), F.col("duration")) * units_per_second).alias("rate"))
 
 
+def counts_in_windows(points: DataFrame, aligned: DataFrame) -> DataFrame:
+    """align_id, trial_id, n for every valid window of every alignment: the points(trial_id, t) in it,
+    whatever their source."""
+    n = in_window(points.select("trial_id", "t"), aligned).groupBy("align_id", "trial_id").agg(F.count("*").alias("n"))
+    return aligned.where("valid").select("align_id", "trial_id").join(n, ["align_id", "trial_id"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
 def psth(points: DataFrame, aligned: DataFrame, groups: DataFrame, width: float, taps: Taps, units_per_second: float = 1000.0, min_count: int = 1, mode: str = "causal") -> DataFrame:
     """cond, bin, mean, sem, std, n: align, bin, smooth, average over the trials of a condition.
 

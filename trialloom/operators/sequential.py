@@ -102,24 +102,3 @@ def snippets(samples: DataFrame, threshold: float, before: int, after: int, refr
             yield pd.DataFrame(rows, columns=["trial_id", "t", "wave"])
 
     return _by_trial(samples).mapInPandas(run, "trial_id long, t double, wave array<double>")
-
-
-def spaced(points: DataFrame, period: float) -> DataFrame:
-    """trial_id, t: the first point of a trial and then each that comes period or more after the last kept one."""
-    kind = points.schema["trial_id"].dataType.simpleString()
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for ts in frame["ts"]:
-                t, kept, at = np.asarray(ts, dtype=float), [], 0
-                while at < len(t):
-                    kept.append(t[at])
-                    last, at = t[at], max(at + 1, int(np.searchsorted(t, t[at] + period)))
-                    while at < len(t) and t[at] - last < period:  # rounding of the sum
-                        at += 1
-                out.append(np.array(kept))
-            yield pd.DataFrame({"trial_id": frame["trial_id"], "ts": out})
-
-    times = points.where(F.col("t").isNotNull()).groupBy("trial_id").agg(F.array_sort(F.collect_list(F.col("t").cast("double"))).alias("ts"))
-    return times.mapInPandas(run, f"trial_id {kind}, ts array<double>").select("trial_id", F.explode("ts").alias("t"))

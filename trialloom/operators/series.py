@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from trialloom.operators.sequential import spaced
+from trialloom.operators.joins import band_join
 
 
 def _by_time():
@@ -46,28 +46,48 @@ def clip_intervals(intervals: DataFrame, aligned: DataFrame) -> DataFrame:
     return joined.select("trial_id", F.greatest("t0", "start").alias("t0"), F.least("t1", "stop").alias("t1"))
 
 
+def _covered(points: DataFrame, spans: DataFrame) -> DataFrame:
+    """points(trial_id, t, ...) and whether one of their trial's closed spans(trial_id, t0, t1) holds them, as _in.
+
+    One window over both: a span holds a point if the latest end of those begun by then is not before it.
+    """
+    begun = spans.where("trial_id is not null and t0 is not null").select("trial_id", F.col("t0").alias("_at"), F.lit(0).alias("_side"), F.col("t1").alias("_end"))
+    both = points.select("trial_id", F.col("t").alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(begun.schema["_end"].dataType).alias("_end"), F.struct("*").alias("_row")).unionByName(begun, allowMissingColumns=True)
+    w = W.partitionBy("trial_id").orderBy("_at", "_side").rowsBetween(W.unboundedPreceding, 0)
+    hit = F.coalesce(F.max("_end").over(w) >= F.col("_at"), F.lit(False))
+    return both.withColumn("_in", hit).where("_side = 1").select("_row.*", "_in")
+
+
 def outside_intervals(points: DataFrame, blanks: DataFrame) -> DataFrame:
     """Points in no closed blank interval(trial_id, t0, t1) of their trial: a range anti join."""
-    b = blanks.select("trial_id", "t0", "t1").alias("b")
-    p = points.alias("p")
-    hit = (F.col("p.trial_id") == F.col("b.trial_id")) & F.col("p.t").between(F.col("b.t0"), F.col("b.t1"))
-    return p.join(b, hit, "left_anti")
+    return _covered(points, blanks).where("not _in").drop("_in")
 
 
 def triggered_counts(points: DataFrame, triggers: DataFrame, before: float, after: float) -> DataFrame:
-    """trial_id, occ, n: points within [trigger + before, trigger + after], 0 if there are none."""
-    m = triggers.select("trial_id", "occ", F.col("t").alias("at"))
-    p = points.select("trial_id", F.col("t").alias("pt"), F.lit(1).alias("one"))
-    near = (m["trial_id"] == p["trial_id"]) & (p["pt"] >= m["at"] + before) & (p["pt"] <= m["at"] + after)
-    return m.join(p, near, "left").groupBy(m["trial_id"], "occ").agg(F.count("one").alias("n"))
+    """trial_id, occ, n: points within [trigger + before, trigger + after], 0 if there are none.
+
+    Time is cut into bands as long as a window, so a window meets two. In each band a running
+    count of the points stands at both ends of a window; the difference is what it holds.
+    No point meets a trigger, however many there are of both.
+    """
+    width = float(after - before) or 1.0
+    marks = triggers.select("trial_id", "occ", (F.col("t") + before).alias("lo"), (F.col("t") + after).alias("hi"))
+    ends = F.array(F.struct(F.col("lo").alias("at"), F.lit(0).alias("side"), F.lit(-1).alias("sign")), F.struct(F.col("hi").alias("at"), F.lit(2).alias("side"), F.lit(1).alias("sign")))
+    cut = marks.withColumn("band", F.explode_outer(F.when(F.lit(after >= before), F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width)))))
+    probes = cut.select("trial_id", "band", "occ", F.explode(ends).alias("e")).select("trial_id", "band", "occ", "e.at", "e.side", "e.sign")
+    counted = points.where("trial_id is not null and t is not null").select("trial_id", F.floor(F.col("t") / width).alias("band"), F.col("t").alias("at"), F.lit(1).alias("side"))
+    both = counted.unionByName(probes, allowMissingColumns=True)
+    so_far = F.count(F.when(F.col("side") == 1, 1)).over(W.partitionBy("trial_id", "band").orderBy("at", "side").rowsBetween(W.unboundedPreceding, 0))
+    return both.withColumn("n", so_far).where("side <> 1").groupBy("trial_id", "occ").agg(F.sum(F.col("n") * F.col("sign")).alias("n"))
 
 
 def cross_correlogram(a: DataFrame, b: DataFrame, width: float, reach: float) -> DataFrame:
     """lag bin, n: differences b.t - a.t of points in the same trial up to reach."""
-    x = a.select("trial_id", F.col("t").alias("ta"))
-    y = b.select("trial_id", F.col("t").alias("tb"))
-    lag = F.col("tb") - F.col("ta")
-    pairs = x.join(y, "trial_id").where(F.abs(lag) <= reach)
+    around = a.select("trial_id", F.col("t").alias("ta"), (F.col("t") - reach).alias("lo"), (F.col("t") + reach).alias("hi"))
+    # a little wider, as the ends are rounded; the lag itself decides
+    wider = around.withColumns({"lo": F.col("lo") - 1e-9 * F.abs("lo"), "hi": F.col("hi") + 1e-9 * F.abs("hi")})
+    lag = F.col("t") - F.col("ta")
+    pairs = band_join(b.select("trial_id", "t"), wider, float(reach) or 1.0).where(F.abs(lag) <= reach)
     return pairs.groupBy(F.floor(lag / width).cast("long").alias("bin")).agg(F.count("*").alias("n"))
 
 
@@ -92,10 +112,33 @@ def crossings(samples: DataFrame, threshold: float) -> DataFrame:
     return marked.where("not on and next").select("trial_id", "t", "v")
 
 
+#: Points that one step of lock_out's fold takes.
+_STEP = 256
+
+
 def lock_out(points: DataFrame, period: float) -> DataFrame:
-    """trial_id, t: the first point of a trial and then each that comes period or more after the
-    last kept one. A trial's points are needed together; from a kept one a search leads to the next."""
-    return spaced(points, period)
+    """trial_id, t: the first point of a trial and then each that comes period or more after the last kept one.
+
+    A point that comes period or more after its predecessor is always kept, so trials fall
+    into stretches between such points. Inside a stretch a fold carries the last kept point
+    and, for a few points at a time, the kept ones; it takes time in proportion to the points.
+    """
+    times = points.where(F.col("t").isNotNull()).select("trial_id", F.col("t").cast("double").alias("t"))
+    marked = times.withColumn("head", F.coalesce(F.col("t") - F.lag("t").over(_by_time()) >= period, F.lit(True)))
+    cut = marked.withColumn("stretch", F.sum(F.col("head").cast("long")).over(_by_time().rowsBetween(W.unboundedPreceding, 0)))
+    rows = cut.groupBy("trial_id", "stretch").agg(F.array_sort(F.collect_list("t")).alias("ts"))
+
+    def kept(last, ts):
+        start = F.struct(last.alias("last"), F.array().cast("array<double>").alias("kept"))
+        return F.aggregate(ts, start, lambda acc, t: F.when(t - acc["last"] >= period, F.struct(t.alias("last"), F.array_append(acc["kept"], t).alias("kept"))).otherwise(acc))
+
+    def step(acc, i):
+        inner = kept(acc["last"], F.slice("ts", i * _STEP + 1, _STEP))
+        return F.get(F.transform(F.array(inner), lambda x: F.struct(x["last"].alias("last"), F.array_append(acc["kept"], x["kept"]).alias("kept"))), F.lit(0))
+
+    start = F.struct(F.lit(float("-inf")).alias("last"), F.array().cast("array<array<double>>").alias("kept"))
+    folded = F.aggregate(F.sequence(F.lit(0), F.floor((F.size("ts") - 1) / _STEP).cast("int")), start, step)
+    return rows.select("trial_id", F.explode(F.flatten(folded["kept"])).alias("t"))
 
 
 def fill_edges(samples: DataFrame) -> DataFrame:
@@ -168,6 +211,5 @@ def interpolated_lookup(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def blank_samples(samples: DataFrame, blanks: DataFrame, pad: float = 0.0) -> DataFrame:
     """samples whose v is missing inside closed blanks(trial_id, t0, t1) of their trial, widened by pad."""
-    spans = blanks.groupBy("trial_id").agg(F.collect_list(F.struct((F.col("t0") - pad).alias("a"), (F.col("t1") + pad).alias("b"))).alias("_s"))
-    hit = F.exists("_s", lambda s: F.col("t").between(s["a"], s["b"]))
-    return samples.join(spans, "trial_id", "left").withColumn("v", F.when(~F.coalesce(hit, F.lit(False)), F.col("v"))).drop("_s")
+    wider = blanks.select("trial_id", (F.col("t0") - pad).alias("t0"), (F.col("t1") + pad).alias("t1"))
+    return _covered(samples, wider).withColumn("v", F.when(~F.col("_in"), F.col("v"))).drop("_in")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trialloom.functions.stats import mean_sem
@@ -45,7 +46,8 @@ def group_means(series: DataFrame, groups: DataFrame, min_count: int = 1, by: li
 
 
 def population(sources: dict[str, DataFrame]) -> DataFrame:
-    """basis, trial_id, bin, v: the series(trial_id, bin, v) of several sources as one table."""
+    """basis, trial_id, bin, v: the series(trial_id, bin, v) of several tables as one. Sources that
+    lie in one table need no union: binning.counts_by_basis takes them by name."""
     out = None
     for basis, series in sources.items():
         part = series.select(F.lit(basis).alias("basis"), "trial_id", "bin", F.col("v").cast("double").alias("v"))
@@ -53,24 +55,35 @@ def population(sources: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def valid_windows(series: DataFrame, groups: DataFrame, least: int) -> DataFrame:
-    """cond, first, last: the bins for which, in every basis, least trials of a condition have data.
+def valid_windows(series: DataFrame, groups: DataFrame, least: int, by: list[str] | None = None) -> DataFrame:
+    """by, cond, first, last: the bins for which, in every basis, least trials of a condition have data.
 
     A basis has data from the least-th smallest first bin of its trials to the least-th
-    largest last one; a condition's window is what all bases share.
+    largest last one; a condition's window is what all bases share (for each of by, such as align_id).
     """
     from trialloom.operators.population import common_window
 
-    spans = series.where("v is not null").groupBy("basis", "trial_id").agg(F.min("bin").alias("t0"), F.max("bin").alias("t1"))
-    windows = common_window(spans.join(groups.select("trial_id", "cond"), "trial_id"), ["basis", "cond"], least)
-    return windows.groupBy("cond").agg(F.max("t_min").alias("first"), F.min("t_max").alias("last"))
+    keys = by or []
+    spans = series.where("v is not null").groupBy(*keys, "basis", "trial_id").agg(F.min("bin").alias("t0"), F.max("bin").alias("t1"))
+    windows = common_window(spans.join(groups.select("trial_id", "cond"), "trial_id"), [*keys, "basis", "cond"], least)
+    return windows.groupBy(*keys, "cond").agg(F.max("t_min").alias("first"), F.min("t_max").alias("last"))
 
 
-def population_means(series: DataFrame, groups: DataFrame, least: int = 1) -> DataFrame:
-    """basis, cond, bin, mean, sem, std, n inside each condition's valid window."""
-    cube = group_means(series, groups, least, ["basis"])
+def population_means(series: DataFrame, groups: DataFrame, least: int = 1, by: list[str] | None = None) -> DataFrame:
+    """by, basis, cond, bin, mean, sem, std, n inside each condition's valid window."""
+    keys = by or []
+    cube = group_means(series, groups, least, [*keys, "basis"])
     inside = (F.col("bin") >= F.col("first")) & (F.col("bin") <= F.col("last"))
-    return cube.join(valid_windows(series, groups, least), "cond").where(inside).drop("first", "last")
+    return cube.join(valid_windows(series, groups, least, keys), [*keys, "cond"]).where(inside).drop("first", "last")
+
+
+def end_to_end(cube: DataFrame, gap: int = 0) -> DataFrame:
+    """cube(align_id, bin, ...) with place: its bins on one axis where each alignment begins gap bins
+    after the last bin of the one before it, from 0."""
+    spans = cube.groupBy("align_id").agg(F.min("bin").alias("_lo"), F.max("bin").alias("_hi"))
+    before = F.sum(F.col("_hi") - F.col("_lo") + 1 + gap).over(W.orderBy("align_id").rowsBetween(W.unboundedPreceding, -1))  # a row an alignment
+    offsets = spans.select("align_id", (F.coalesce(before, F.lit(0)) - F.col("_lo")).alias("_offset"))
+    return cube.join(F.broadcast(offsets), "align_id").withColumn("place", F.col("bin") + F.col("_offset")).drop("_offset")
 
 
 def complete_rows(cube: DataFrame, bases: int) -> DataFrame:
@@ -84,11 +97,18 @@ def matrix(cube: DataFrame, bases: list[str], value: str = "mean") -> DataFrame:
     return cube.groupBy("cond", "bin").pivot("basis", bases).agg(F.first(value))
 
 
-def nearest_distances(cube: DataFrame) -> DataFrame:
+def nearest_distances(cube: DataFrame, bases: list[str]) -> DataFrame:
     """cond_a, cond_b, bin, distance, nearest: for each time of cond_a how far the state of cond_b is
-    at the same time, and how far the nearest state of cond_b at any time."""
-    a, b = (cube.select("basis", F.col("cond").alias(f"cond_{x}"), F.col("bin").alias(f"bin_{x}"), F.col("mean").alias(x)) for x in "ab")
-    d = F.col("a") - F.col("b")
-    pairs = a.join(b, "basis").where("cond_a <> cond_b").groupBy("cond_a", "cond_b", "bin_a", "bin_b").agg(F.sqrt(F.sum(d * d)).alias("d"))
-    same = F.max(F.when(F.col("bin_a") == F.col("bin_b"), F.col("d")))
-    return pairs.groupBy("cond_a", "cond_b", F.col("bin_a").alias("bin")).agg(same.alias("distance"), F.min("d").alias("nearest"))
+    at the same time, and how far the nearest state of cond_b at any time.
+
+    A condition at a time is one array with a value for each basis (the names of sources, in
+    order); rows that lack one are left out. Times of two conditions meet as arrays, one row
+    for each pair of conditions and time.
+    """
+    states = matrix(cube, bases).select("cond", "bin", F.array(*bases).alias("x")).where(~F.exists("x", lambda v: v.isNull()))
+    path = states.groupBy(F.col("cond").alias("cond_b")).agg(F.collect_list(F.struct("bin", "x")).alias("path"))
+    pairs = states.withColumnRenamed("cond", "cond_a").join(path, F.col("cond_a") != F.col("cond_b"))
+    # arrays of the bases' differences, squared and summed, one for each time of the other condition
+    gaps = F.transform("path", lambda p: F.struct(p["bin"].alias("bin"), F.sqrt(F.aggregate(F.zip_with("x", p["x"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d)).alias("d")))
+    same = F.get(F.filter("gaps", lambda g: g["bin"] == F.col("bin")), F.lit(0))["d"]
+    return pairs.withColumn("gaps", gaps).select("cond_a", "cond_b", "bin", same.alias("distance"), F.array_min(F.transform("gaps", lambda g: g["d"])).alias("nearest"))

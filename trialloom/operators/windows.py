@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trialloom.functions.alignment import TRIAL_END, TRIAL_START, Alignment, EventRef, parse
@@ -45,8 +46,18 @@ def align(trials: DataFrame, events: DataFrame, window: str | Alignment, delta:
     through zero. outside says what happens to a window that leaves its trial: truncate,
     invalidate or ignore. Padding widens the window and, where truncated, moves it inward.
     """
-    spec = parse(window) if isinstance(window, str) else window
-    refs = [spec.start, spec.stop, spec.zero, *spec.truncate_after, *spec.truncate_before, *spec.invalidate]
+    return _aligned(trials, events, [window], delta, rounding, outside, min_duration).drop("align_id")
+
+
+def align_all(trials: DataFrame, events: DataFrame, windows: list[str | Alignment], delta: float = 1.0, rounding: bool = True, outside: str = "truncate", min_duration: float = 0.0) -> DataFrame:
+    """Several alignments at once, told apart by align_id, from 0 in their order: the events of all
+    of them meet their trial once."""
+    return _aligned(trials, events, windows, delta, rounding, outside, min_duration)
+
+
+def _aligned(trials: DataFrame, events: DataFrame, windows: list[str | Alignment], delta: float, rounding: bool, outside: str, min_duration: float) -> DataFrame:
+    specs = [parse(w) if isinstance(w, str) else w for w in windows]
+    refs = [r for spec in specs for r in (spec.start, spec.stop, spec.zero, *spec.truncate_after, *spec.truncate_before, *spec.invalidate)]
     mine = {r.name: F.when((F.col("event") == r.name) & ~F.isnan("t"), F.col("t")) for r in refs}
     # the first and the last occurrence are plain aggregates; other indices need the times in order
     sums, plain, listed = [], {}, {}
@@ -76,44 +87,48 @@ def align(trials: DataFrame, events: DataFrame, window: str | Alignment, delta:
             return plain[ref.name, ref.index] + F.lit(ref.offset)
         return F.get(_pick(ref, listed[ref.name]), F.lit(0))
 
+    out = []
+    for i, spec in enumerate(specs):
+        rows = _bounds(rows, spec, f"_{i}", one, many, delta, rounding, outside, min_duration)
+        valid = F.col(f"cause_{i}").isNull()
+        times = [F.when(valid, F.col(f"{c}_{i}")).alias(c) for c in ("zero", "start", "stop", "start_pad", "stop_pad")]
+        out.append(F.struct(F.lit(i).alias("align_id"), *times, valid.alias("valid"), F.col(f"cause_{i}").alias("cause")))
+    if len(out) == 1:
+        return rows.select("trial_id", out[0].alias("a")).select("trial_id", "a.*")
+    return rows.select("trial_id", F.explode(F.array(*out)).alias("a")).select("trial_id", "a.*")
+
+
+def _bounds(rows: DataFrame, spec: Alignment, suffix: str, one, many, delta: float, rounding: bool, outside: str, min_duration: float) -> DataFrame:
+    """rows with zero, start, stop, start_pad, stop_pad and cause of one alignment, names with a suffix."""
+    zero, start, stop, start_pad, stop_pad, cause = (f"{n}{suffix}" for n in ("zero", "start", "stop", "start_pad", "stop_pad", "cause"))
+
     def snap(x: Column) -> Column:
-        return F.round((x - F.col("zero")) / delta) * delta + F.col("zero") if rounding else x
+        return F.round((x - F.col(zero)) / delta) * delta + F.col(zero) if rounding else x
 
     pre, post = F.lit(spec.pre), F.lit(spec.post)
-    rows = rows.withColumn("zero", one(spec.zero)).withColumns({"start_pad": snap(one(spec.start)) - pre, "stop_pad": snap(one(spec.stop)) + post})
+    rows = rows.withColumn(zero, one(spec.zero)).withColumns({start_pad: snap(one(spec.start)) - pre, stop_pad: snap(one(spec.stop)) + post})
     for ref in spec.truncate_after:
-        rows = rows.withColumn("stop_pad", F.least("stop_pad", F.array_min(F.filter(many(ref), lambda x: x >= F.col("start_pad")))))
+        rows = rows.withColumn(stop_pad, F.least(stop_pad, F.array_min(F.filter(many(ref), lambda x: x >= F.col(start_pad)))))
     for ref in spec.truncate_before:
-        rows = rows.withColumn("start_pad", F.greatest("start_pad", F.array_max(F.filter(many(ref), lambda x: x <= F.col("stop_pad")))))
+        rows = rows.withColumn(start_pad, F.greatest(start_pad, F.array_max(F.filter(many(ref), lambda x: x <= F.col(stop_pad)))))
     causes = [
-        (F.col("zero").isNull(), "missing zero event"),
-        (F.col("start_pad").isNull(), "missing start event"),
-        (F.col("stop_pad").isNull(), "missing stop event"),
-        (F.col("start_pad") + pre > F.col("stop_pad") - post, "start after stop"),
+        (F.col(zero).isNull(), "missing zero event"),
+        (F.col(start_pad).isNull(), "missing start event"),
+        (F.col(stop_pad).isNull(), "missing stop event"),
+        (F.col(start_pad) + pre > F.col(stop_pad) - post, "start after stop"),
     ]
     for ref in spec.invalidate:
-        hit = F.exists(many(ref), lambda x: (x >= F.col("start_pad")) & (x <= F.col("stop_pad")))
+        hit = F.exists(many(ref), lambda x: (x >= F.col(start_pad)) & (x <= F.col(stop_pad)))
         causes.append((hit, f"overlaps {ref.name}"))
-    off = (F.col("start_pad") < F.col("t_start")) | (F.col("stop_pad") > F.col("t_end"))
+    off = (F.col(start_pad) < F.col("t_start")) | (F.col(stop_pad) > F.col("t_end"))
     if outside == "invalidate":
         causes.append((off, "outside trial"))
-    rows = rows.withColumn("cause", F.coalesce(*[F.when(F.coalesce(c, F.lit(False)), F.lit(text)) for c, text in causes]))
+    rows = rows.withColumn(cause, F.coalesce(*[F.when(F.coalesce(c, F.lit(False)), F.lit(text)) for c, text in causes]))
     if outside == "truncate":
-        rows = rows.withColumns({"start_pad": F.greatest("start_pad", "t_start"), "stop_pad": F.least("stop_pad", "t_end")})
-    rows = rows.withColumns({"start": F.col("start_pad") + pre, "stop": F.col("stop_pad") - post})
-    late = F.when(F.col("start") > F.col("stop"), "outside trial").when(F.col("stop") - F.col("start") < min_duration, "too short")
-    rows = rows.withColumn("cause", F.coalesce("cause", late)).withColumn("valid", F.col("cause").isNull())
-    times = {c: F.when(F.col("valid"), F.col(c)).alias(c) for c in ("zero", "start", "stop", "start_pad", "stop_pad")}
-    return rows.select("trial_id", *times.values(), "valid", "cause")
-
-
-def align_all(trials: DataFrame, events: DataFrame, windows: list[str], **options) -> DataFrame:
-    """Several alignments at once, told apart by align_id."""
-    out = None
-    for i, w in enumerate(windows):
-        part = align(trials, events, w, **options).withColumn("align_id", F.lit(i))
-        out = part if out is None else out.unionByName(part)
-    return out
+        rows = rows.withColumns({start_pad: F.greatest(start_pad, "t_start"), stop_pad: F.least(stop_pad, "t_end")})
+    rows = rows.withColumns({start: F.col(start_pad) + pre, stop: F.col(stop_pad) - post})
+    late = F.when(F.col(start) > F.col(stop), "outside trial").when(F.col(stop) - F.col(start) < min_duration, "too short")
+    return rows.withColumn(cause, F.coalesce(cause, late))
 
 
 def marks(trials: DataFrame, events: DataFrame, aligned: DataFrame, event: str) -> DataFrame:
@@ -122,15 +137,24 @@ def marks(trials: DataFrame, events: DataFrame, aligned: DataFrame, event: str)
     return inside.select("trial_id", "occ", (F.col("t") - F.col("zero")).alias("t"))
 
 
-def in_window(points: DataFrame, aligned: DataFrame, tolerance: float = 0.0, padded: bool = False) -> DataFrame:
+def in_window(points: DataFrame, aligned: DataFrame, tolerance: float = 0.0, padded: bool = False, delta: float | None = None) -> DataFrame:
     """points(trial_id, t, ...) inside the closed window of their trial, t relative to zero.
 
-    The join is on trial_id with the range as a condition on top.
+    The join is on trial_id with the range as a condition on top; a trial has one window (for
+    each align_id, which is kept). With delta a window that is a point, start = stop, takes the
+    sample nearest to it within two deltas, of two as near the earlier one.
     """
     lo, hi = ("start_pad", "stop_pad") if padded else ("start", "stop")
-    joined = points.join(aligned.where("valid").select("trial_id", "zero", lo, hi), "trial_id")
-    inside = joined.where((F.col("t") >= F.col(lo) - tolerance) & (F.col("t") <= F.col(hi) + tolerance))
-    return inside.withColumn("t", F.col("t") - F.col("zero")).drop("zero", lo, hi)
+    which = ["align_id"] if "align_id" in aligned.columns else []
+    joined = points.join(aligned.where("valid").select("trial_id", *which, "zero", lo, hi), "trial_id")
+    inside = (F.col("t") >= F.col(lo) - tolerance) & (F.col("t") <= F.col(hi) + tolerance)
+    if delta is not None:
+        off = F.abs(F.col("t") - F.col(lo))
+        near = F.when((F.col(lo) == F.col(hi)) & (off <= 2 * delta), F.struct(off.alias("d"), F.col("t").alias("t")))
+        joined = joined.withColumn("_near", F.min(near).over(W.partitionBy("trial_id", *which)))
+        inside = F.when(F.col(lo) == F.col(hi), F.col("t") == F.col("_near.t")).otherwise(inside)
+        return joined.where(inside).withColumn("t", F.col("t") - F.col("zero")).drop("zero", lo, hi, "_near")
+    return joined.where(inside).withColumn("t", F.col("t") - F.col("zero")).drop("zero", lo, hi)
 
 
 def nearest_sample(samples: DataFrame, aligned: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trialloom.operators import binning, contrasts, timecourse, windows
 from trialloom.plans.alignment import AROUND, CLICKS, HOUR
-from trialloom.plans.base import events_long, points, samples, trials
+from trialloom.plans.base import BOTH, events_long, points, samples, trials
 from trialloom.plans.registry import query
 
 _GRID = f"""{CLICKS}, s AS (SELECT al.trial_id, CAST(floor((t - zero) / 1800000) AS BIGINT) AS bin, avg(v) AS v FROM al JOIN ev ON ev.trial_id = al.trial_id AND t BETWEEN start AND stop GROUP BY 1, 2),
@@ -63,12 +63,17 @@ bw AS (SELECT basis, cond, max(t0) FILTER (a <= 5) AS t_min, min(t1) FILTER (z <
 cube AS (SELECT basis, cond, bin, {_MEANS} FROM x GROUP BY 1, 2, 3), pop AS (SELECT cube.* FROM cube JOIN win USING (cond) WHERE bin BETWEEN first AND last AND n >= 5)"""
 
 
-def _population(spark, sf_dir):
+def _counts(spark, sf_dir, around, bases):
+    """Counts by hour of the events named bases, around each of several alignments, and the trials."""
     ev = events_long(spark, sf_dir)
     tr = trials(ev)
-    al = windows.align(tr, ev, AROUND)
-    counts = {e: binning.binned_counts(points(ev, e), al, HOUR, "acausal").withColumnRenamed("n", "v") for e in _SOURCES}
-    return timecourse.population_means(timecourse.population(counts), tr, 5).where("n >= 5")
+    counts = binning.counts_by_basis(ev.select(F.col("event").alias("basis"), "trial_id", "t"), windows.align_all(tr, ev, around), list(bases), HOUR, "acausal")
+    return counts.withColumn("v", F.col("n").cast("double")).drop("n"), tr
+
+
+def _population(spark, sf_dir):
+    counts, tr = _counts(spark, sf_dir, [AROUND], _SOURCES)
+    return timecourse.population_means(counts.drop("align_id"), tr, 5).where("n >= 5")
 
 
 @query(f"{_POPULATION} SELECT basis, cond, bin, round(mean, 6) AS mean, round(sem, 6) AS sem, round(std, 6) AS std, n FROM pop")
@@ -78,10 +83,10 @@ def population_timecourse(spark, sf_dir):
 
 
 @query(f"""{_POPULATION}, f AS (SELECT cond, bin FROM pop GROUP BY 1, 2 HAVING count(mean) = 3) SELECT cond, bin, round(max(mean) FILTER (basis = 'error'), 6) AS error, round(max(mean) FILTER (basis = 'purchase'), 6) AS purchase, round(max(mean) FILTER (basis = 'view'), 6) AS "view"
-FROM pop JOIN f USING (cond, bin) WHERE bin BETWEEN -1 AND 1 GROUP BY 1, 2""")
+FROM pop JOIN f USING (cond, bin) GROUP BY 1, 2""")
 def population_matrix(spark, sf_dir):
-    """The complete rows of three hours of the population, a column for each basis."""
-    cube = timecourse.complete_rows(_population(spark, sf_dir), 3).where("bin between -1 and 1")
+    """The complete rows of the population over time, a column for each basis."""
+    cube = timecourse.complete_rows(_population(spark, sf_dir), 3)
     return timecourse.matrix(cube, list(_SOURCES)).select("cond", "bin", *[F.round(b, 6).alias(b) for b in _SOURCES])
 
 
@@ -89,7 +94,7 @@ def population_matrix(spark, sf_dir):
 SELECT cond_a, cond_b, bin, round(max(d) FILTER (bin = bin_b), 6) AS distance, round(min(d), 6) AS nearest FROM d GROUP BY 1, 2, 3""")
 def nearest_distances(spark, sf_dir):
     """How far two conditions' states are at the same time, and at the time at which they are nearest."""
-    got = timecourse.nearest_distances(_population(spark, sf_dir))
+    got = timecourse.nearest_distances(_population(spark, sf_dir), list(_SOURCES))
     return got.select("cond_a", "cond_b", "bin", F.round("distance", 6).alias("distance"), F.round("nearest", 6).alias("nearest"))
 
 
@@ -99,3 +104,50 @@ def basis_statistics_over_time(spark, sf_dir):
     m = _population(spark, sf_dir).groupBy("basis")
     stats = {"low": F.min("mean"), "high": F.max("mean"), "mean": F.avg("mean"), "variance": F.var_pop("mean"), "deviation": F.stddev_pop("mean")}
     return m.agg(*[F.round(x, 6).alias(c) for c, x in stats.items()], F.count("mean").alias("n"))
+
+
+_KINDS = ("click", "error", "purchase", "signup", "view")
+_WINDOWS = ("click-7200000:click+7200000 @ click", "purchase-3600000:purchase+10800000 @ purchase", "view:view(end) @ view")
+_ALIGNMENTS = f"""{BOTH}, zeros AS (SELECT trial_id, min_by(t, occ) FILTER (event = 'click') AS c, min_by(t, occ) FILTER (event = 'purchase') AS p, min_by(t, occ) FILTER (event = 'view') AS v, max_by(t, occ) FILTER (event = 'view') AS w FROM ev GROUP BY 1),
+al AS (SELECT 0 AS align_id, trial_id, c AS zero, greatest(round(c - 7200000 - c) + c, 0.0) AS start, least(round(c + 7200000 - c) + c, 86400000.0) AS stop FROM zeros WHERE c IS NOT NULL
+  UNION ALL SELECT 1, trial_id, p, greatest(round(p - 3600000 - p) + p, 0.0), least(round(p + 10800000 - p) + p, 86400000.0) FROM zeros WHERE p IS NOT NULL
+  UNION ALL SELECT 2, trial_id, v, greatest(v, 0.0), least(round(w - v) + v, 86400000.0) FROM zeros WHERE v IS NOT NULL),
+lim AS (SELECT *, CAST(ceil((start - zero) / 3600000 - 1e-6) AS BIGINT) AS lo, CAST(floor((stop - zero) / 3600000 + 1e-6) AS BIGINT) AS hi FROM al),
+grid AS (SELECT align_id, trial_id, basis, unnest(range(lo, hi + 1)) AS bin FROM lim, (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view']) AS basis) WHERE hi >= lo),
+cnt AS (SELECT align_id, lim.trial_id, event AS basis, CASE WHEN abs((t - zero) - (hi + 1) * 3600000.0) < 1e-9 THEN hi ELSE CAST(floor((t - zero) / 3600000) AS BIGINT) END AS bin, count(*) AS n FROM lim JOIN ev ON ev.trial_id = lim.trial_id AND t BETWEEN start AND stop GROUP BY 1, 2, 3, 4),
+x AS (SELECT align_id, trial_id, basis, bin, CAST(coalesce(n, 0) AS DOUBLE) AS v, cond FROM grid LEFT JOIN cnt USING (align_id, trial_id, basis, bin) JOIN tr USING (trial_id)),
+sp AS (SELECT align_id, basis, cond, trial_id, min(bin) AS t0, max(bin) AS t1 FROM x GROUP BY 1, 2, 3, 4), rk AS (SELECT *, row_number() OVER (PARTITION BY align_id, basis, cond ORDER BY t0) AS a, row_number() OVER (PARTITION BY align_id, basis, cond ORDER BY t1 DESC) AS z FROM sp),
+bw AS (SELECT align_id, basis, cond, max(t0) FILTER (a <= 5) AS t_min, min(t1) FILTER (z <= 5) AS t_max FROM rk GROUP BY 1, 2, 3), win AS (SELECT align_id, cond, max(t_min) AS first, min(t_max) AS last FROM bw GROUP BY 1, 2),
+cube AS (SELECT align_id, basis, cond, bin, {_MEANS} FROM x GROUP BY 1, 2, 3, 4), pop AS (SELECT cube.* FROM cube JOIN win USING (align_id, cond) WHERE bin BETWEEN first AND last AND n >= 5)"""
+
+
+@query(f"""{_ALIGNMENTS}, spans AS (SELECT align_id, min(bin) AS a, max(bin) AS z FROM pop GROUP BY 1), offs AS (SELECT align_id, coalesce(sum(z - a + 1 + 2) OVER (ORDER BY align_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - a AS o FROM spans)
+SELECT align_id, basis, cond, bin, CAST(bin + o AS BIGINT) AS place, round(mean, 6) AS mean, round(sem, 6) AS sem, n FROM pop JOIN offs USING (align_id)""")
+def population_alignments(spark, sf_dir):
+    """All kinds of events as bases under three alignments: means by alignment, basis, condition and
+    hour, and where the hour stands when the alignments are laid end to end, two hours apart."""
+    counts, tr = _counts(spark, sf_dir, list(_WINDOWS), _KINDS)
+    cube = timecourse.population_means(counts, tr, 5, ["align_id"]).where("n >= 5")
+    return timecourse.end_to_end(cube, 2).select("align_id", "basis", "cond", "bin", "place", F.round("mean", 6).alias("mean"), F.round("sem", 6).alias("sem"), "n")
+
+
+@query(f"""{_ALIGNMENTS}, smooth AS (SELECT align_id, basis, trial_id, bin + k AS bin, sum(v * w) * 1000 / 3600000 AS r FROM x, (VALUES (-1, 0.25), (0, 0.5), (1, 0.25)) taps(k, w) GROUP BY 1, 2, 3, bin + k HAVING count(*) = 3),
+b AS (SELECT trial_id, basis, avg(r) AS b FROM smooth WHERE align_id = 0 AND bin < 0 GROUP BY 1, 2)
+SELECT align_id, basis, cond, bin, round(avg(r - b) * 1e6, 4) AS change, count(r - b) AS n FROM smooth JOIN tr USING (trial_id) LEFT JOIN b USING (trial_id, basis) GROUP BY 1, 2, 3, 4""")
+def alignments_from_baseline(spark, sf_dir):
+    """Smoothed rates under three alignments, less each trial's own before its first click."""
+    counts, tr = _counts(spark, sf_dir, list(_WINDOWS), _KINDS)
+    rates = binning.smooth(counts.withColumnRenamed("v", "n"), [(-1, 0.25), (0, 0.5), (1, 0.25)], HOUR, by=["align_id", "basis"])
+    base = rates.where("align_id = 0 and bin < 0").groupBy("trial_id", "basis").agg(F.avg("rate").alias("baseline"))
+    change = rates.join(base, ["trial_id", "basis"], "left").withColumn("v", F.col("rate") - F.col("baseline")).join(tr.select("trial_id", "cond"), "trial_id")
+    return change.groupBy("align_id", "basis", "cond", "bin").agg(F.round(F.avg("v") * 1e6, 4).alias("change"), F.count("v").alias("n"))
+
+
+@query(f"""{_ALIGNMENTS} SELECT trial_id, coalesce(sum(n) FILTER (align_id = 0), 0)::BIGINT AS around_click, coalesce(sum(n) FILTER (align_id = 1), 0)::BIGINT AS around_purchase, coalesce(sum(n) FILTER (align_id = 2), 0)::BIGINT AS within_views
+FROM (SELECT align_id, al.trial_id, count(ev.t) AS n FROM al LEFT JOIN ev ON ev.trial_id = al.trial_id AND event IN ('click', 'view') AND t BETWEEN start AND stop GROUP BY 1, 2) GROUP BY 1""")
+def combined_counts(spark, sf_dir):
+    """Clicks and views as one source, counted in the windows of three alignments side by side."""
+    ev = events_long(spark, sf_dir)
+    aligned = windows.align_all(trials(ev), ev, list(_WINDOWS))
+    n = binning.counts_in_windows(ev.where("event in ('click', 'view')"), aligned)
+    return n.groupBy("trial_id").pivot("align_id", [0, 1, 2]).agg(F.first("n")).select("trial_id", *[F.coalesce(F.col(str(i)), F.lit(0)).alias(c) for i, c in enumerate(("around_click", "around_purchase", "within_views"))])
