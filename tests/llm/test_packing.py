@@ -65,7 +65,7 @@ def check_pack(rows, docs, window):
 
 
 def test_pack_round_trip(spark):
-    docs = [(1, None), (2, ""), (3, "Hello <|endoftext|> world  \n\n x"), (4, "wörd " * 50), (5, "a"), (5, "a"), (None, "null id"), (6, "É!!  '’s don't 12345"), (7, "abc " * 8), (8, " ".join(map(str, range(90))))]
+    docs = [(1, None), (2, ""), (3, "Hello <|endoftext|> world  \n\n x"), (4, "wörd " * 50), (5, "a"), (5, "a"), (None, "null id"), (6, "É!!  '’s don't 12345"), (7, "abc " * 8), (8, " ".join(map(str, range(90)))), (9, "many wörds and 漢字 " * 40_000), (10, "x" * 200_000)]
     df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, length int").repartition(3)
     rows = packing.pack(df, window=16).collect()
     check_pack(rows, docs, 16)
@@ -86,7 +86,7 @@ def test_ids_are_the_tokenizers_own(spark, monkeypatch):
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     ids = packing._Ids("byte_bpe_50k")
     rng = random.Random(9)
-    bits = [" ", "  ", "\n", "\t", "\r\n", "a", "Word", "don't", "'s", "12", "é", "ñandú", "!!", "$$$.", "\u00a0", "\u2028", "<|endoftext|>", "漢字", "_", "🙂", "\x1c", "\u0120", "x" * 300]
+    bits = [" ", "  ", "\n", "\t", "\r\n", "a", "Word", "don't", "'s", "12", "é", "ñandú", "ǅɏ", "ɐ", "naïve,x2", "ﬁ", "Ⅷ", "a\u0301", "!!", "$$$.", "\u00a0", "\u2028", "<|endoftext|>", "漢字", "_", "🙂", "\x1c", "\u0120", "x" * 300]
     texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 12))) for _ in range(20_000)]
     texts += [" ".join(rng.choice(bits[4:]) for _ in range(rng.randint(0, 12))) for _ in range(5000)]
     texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]

@@ -14,14 +14,16 @@ pieces are never sorted and no task sees all of one length.
 
 from __future__ import annotations
 
+import base64
 import functools
 import itertools
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import public_tokenizers
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,6 +34,19 @@ from trialloom.llm.common import map_arrow, written
 CACHE = 600_000
 #: Words encoded at once, and the longest that is remembered.
 TOGETHER, LONGEST = 256, 200
+#: Words up to this character (Latin letters) are split alike by every version of Unicode, so the
+#: vocabulary's ranks may encode them; all others go to its tokenizer.
+PLAIN = "\u024f"
+
+
+def _ranks(vocabulary: str) -> tiktoken.Encoding | None:
+    """The vocabulary as ranks, if there is a file of them."""
+    file = public_tokenizers.path(f"{vocabulary}.tiktoken")
+    if not os.path.exists(file):
+        return None
+    with open(file, "rb") as lines:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    return tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 class _Ids(dict):
@@ -53,15 +68,25 @@ class _Ids(dict):
         tokens = self.tokenizer.get_vocab(with_added_tokens=True)
         self.after_blank = np.zeros(max(tokens.values()) + 1, dtype=bool)
         self.after_blank[[i for t, i in tokens.items() if t.startswith("\u0120")]] = True  # how the file writes a blank
+        self.ranks = _ranks(vocabulary)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4") for e in found]
 
     def _learn(self, words: list[str]) -> None:
-        """Words come together, as one text of TOGETHER words costs less than as many texts."""
+        """Words come together, as one text of TOGETHER words costs less than as many texts. The same
+        vocabulary as ranks, where there is such a file, gives the same ids in a quarter of the time."""
+        plain: list[str] = []
+        others: list[str] = []
+        for w in words:
+            (plain if self.ranks and (w.isascii() or max(w) <= PLAIN) else others).append(w)
+        self._learn_by(plain, lambda texts: [np.array(self.ranks.encode_ordinary(t), dtype="<u4") for t in texts])
+        self._learn_by(others, self.whole)
+
+    def _learn_by(self, words: list[str], encode: Callable[[list[str]], list[np.ndarray]]) -> None:
         groups = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
-        for group, ids in zip(groups, self.whole([" " + " ".join(g) for g in groups]), strict=True):
+        for group, ids in zip(groups, encode([" " + " ".join(g) for g in groups]), strict=True):
             cuts = np.flatnonzero(self.after_blank[ids])
             parts = [ids[a:z] for a, z in zip(cuts, [*cuts[1:], len(ids)], strict=True)]
             self.update(zip(group, map(np.ndarray.tobytes, parts), strict=True))
