@@ -65,8 +65,17 @@ def component_weights(cube: DataFrame, k: int) -> DataFrame:
     share = value[order] / max(value.sum(), 1e-300)
     vector = vector[:, order]
     vector *= np.sign(vector[np.abs(vector).argmax(axis=0), range(vector.shape[1])])
-    weights = [(int(n), d, float(vector[at[n], d]), float(share[d])) for n in names for d in range(vector.shape[1])]
-    return cube.sparkSession.createDataFrame(weights, "basis int, dimension int, w double, explained double")
+    weights = [(n, d, float(vector[at[n], d]), float(share[d])) for n in names for d in range(vector.shape[1])]
+    return cube.sparkSession.createDataFrame(weights, f"basis {cube.schema['basis'].dataType.simpleString()}, dimension int, w double, explained double")
+
+
+def complete_over_time(cube: DataFrame, bases: list) -> DataFrame:
+    """basis, cond, mean of a cube(basis, cond, bin, mean) whose cond is the pair of condition and bin, at
+    pairs at which all bases have a mean: what components are taken of when time counts."""
+    from trialloom.operators.timecourse import complete_rows
+
+    rows = complete_rows(cube.where(F.col("basis").isin(bases)), len(bases))
+    return rows.select("basis", F.struct("cond", "bin").alias("cond"), "mean")
 
 
 def scores(cube: DataFrame, weights: DataFrame) -> DataFrame:

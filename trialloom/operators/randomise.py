@@ -60,12 +60,13 @@ def leave_one_out(trials: DataFrame, group: str, value: str) -> DataFrame:
     return rows.withColumn("others", (F.col("_s") - F.col(value)) / (F.col("_n") - 1)).drop("_s", "_n")
 
 
-def pair_differences(trials: DataFrame, group: str, value: str, seed: int) -> DataFrame:
-    """group, diff: the difference of two trials of a group, drawn by hash, over the root of
+def pair_differences(trials: DataFrame, group: str | list[str], value: str, seed: int) -> DataFrame:
+    """*group, diff: the difference of two trials of a group, drawn by hash, over the root of
     twice the group's size; an estimate of the noise of its mean."""
+    keys = [group] if isinstance(group, str) else group
     order = F.struct(draw_key(seed, "trial_id").alias("k"), F.col("trial_id"), F.col(value).alias("v"))
-    two = trials.groupBy(group).agg(F.min(order).alias("a"), F.max(order).alias("b"), F.count("*").alias("n")).where("n > 1")
-    return two.select(group, ((F.col("a.v") - F.col("b.v")) / F.sqrt(2.0 * F.col("n"))).alias("diff"))
+    two = trials.groupBy(*keys).agg(F.min(order).alias("a"), F.max(order).alias("b"), F.count("*").alias("n")).where("n > 1")
+    return two.select(*keys, ((F.col("a.v") - F.col("b.v")) / F.sqrt(2.0 * F.col("n"))).alias("diff"))
 
 
 def shuffle_within(trials: DataFrame, slices: str, seed: int) -> DataFrame:
