@@ -125,7 +125,7 @@ def test_demixed_components_read_their_axis(spark):
     share = {(r.term, r.of_term): r.share for r in shares.collect()}
     assert share["a", "a"] > 0.98 and share["b", "b"] > 0.98
     explained = {r.term: r.explained for r in shares.collect()}
-    assert 0.6 < explained["a"] < 0.85 and 0.1 < explained["b"] < 0.4
+    assert 0.55 < explained["a"] < 0.65 and 0.35 < explained["b"] < 0.45  # variances 6 and 4
     assert encoder.count() == 24
 
 

@@ -44,12 +44,26 @@ def boxcar(bins: int) -> Taps:
     return _normal([(k, 1.0) for k in range(bins)])
 
 
-def savitzky_golay(frame: int = 5, degree: int = 2, order: int = 1, width: float = 1.0) -> Taps:
-    """Taps of the derivative of the given order of a polynomial fitted to an odd frame."""
+def lowpass(up: int, down: int, half: int = 10, beta: float = 5.0) -> Taps:
+    """Taps on a grid up times finer of a low pass that keeps what both rates, the series' own and
+    up / down times that, can hold: half zero crossings of a sinc to each side under a Kaiser window."""
+    import numpy as np
+
+    wide = max(up, down)
+    n = half * wide
+    k = np.arange(-n, n + 1)
+    w = np.sinc(k / wide) * np.i0(beta * np.sqrt(1 - (k / n) ** 2)) / np.i0(beta)
+    return _normal([(int(i), float(x)) for i, x in zip(k, w, strict=True)])
+
+
+def savitzky_golay(frame: int = 5, degree: int = 2, order: int = 1, width: float = 1.0, at: int = 0) -> Taps:
+    """Taps of the derivative of the given order of a polynomial fitted to an odd frame, at that many
+    samples from the frame's middle."""
     import numpy as np
 
     half = frame // 2
     x = np.arange(-half, half + 1)
     fit = np.linalg.pinv(np.vander(x, degree + 1, increasing=True))
-    weights = fit[order] * math.factorial(order) / width**order
+    powers = [math.perm(p, order) * float(at) ** (p - order) if p >= order else 0.0 for p in range(degree + 1)]
+    weights = np.array(powers) @ fit / width**order
     return [(-int(k), float(w)) for k, w in zip(x, weights, strict=True)]

@@ -123,11 +123,12 @@ def resample_average(samples: DataFrame, width: float, mode: str = "causal") ->
     return samples.groupBy("trial_id", label.alias("bin")).agg(F.avg(F.when(~F.isnan("v"), F.col("v"))).alias("v"))
 
 
-def resample_interpolated(samples: DataFrame, width: float) -> DataFrame:
+def resample_interpolated(samples: DataFrame, width: float, beyond: float = 0.0) -> DataFrame:
     """trial_id, bin, v: linear interpolation of each trial's samples at multiples of width.
 
     Each sample and its successor bracket the grid points between them, so a trial's grid
-    comes from its own samples with one window and no search.
+    comes from its own samples with one window and no search. Points up to beyond before the
+    first and after the last sample lie on the line through the two samples next to them.
     """
     from pyspark.sql import Window as W
 
@@ -136,6 +137,11 @@ def resample_interpolated(samples: DataFrame, width: float) -> DataFrame:
     lo, hi = F.ceil(F.col("t") / width).cast("long"), F.floor(F.col("t1") / width).cast("long")
     hi = F.when(F.col("t1") == F.floor(F.col("t1") / width) * width, hi - 1).otherwise(hi)  # the next pair has its own end
     alone = F.when(F.col("t") == lo * width, lo).otherwise(lo - 1)
+    if beyond:
+        pairs = pairs.withColumns({"_first": F.lag("t").over(w).isNull(), "_last": F.lead("t1").over(w).isNull()})
+        lo = F.when(F.col("_first") & F.col("t1").isNotNull(), F.ceil((F.col("t") - beyond) / width).cast("long")).otherwise(lo)
+        hi = F.when(F.col("_last"), F.floor((F.col("t1") + beyond) / width).cast("long")).otherwise(hi)
+        alone = F.when(F.lag("t").over(w).isNull(), alone).otherwise(lo - 1)  # the last sample's point is on the line before it
     spans = pairs.withColumns({"lo": lo, "hi": F.when(F.col("t1").isNull(), alone).otherwise(hi)}).where("hi >= lo")
     points = spans.withColumn("bin", F.explode(F.sequence("lo", "hi")))
     x = F.col("v") + F.coalesce((F.col("v1") - F.col("v")) * (F.col("bin") * width - F.col("t")) / (F.col("t1") - F.col("t")), F.lit(0.0))

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -102,3 +103,36 @@ def snippets(samples: DataFrame, threshold: float, before: int, after: int, refr
             yield pd.DataFrame(rows, columns=["trial_id", "t", "wave"])
 
     return _by_trial(samples).mapInPandas(run, "trial_id long, t double, wave array<double>")
+
+
+def largest_snippets(samples: DataFrame, threshold: float, before: int, after: int, refractory: int) -> DataFrame:
+    """trial_id, t, height, wave: samples around the peaks beyond a threshold, the highest first.
+
+    A peak is the extreme sample of each stretch beyond the threshold (of equal ones the
+    first). From the highest down, a peak is left out if one that was kept lies within less
+    than refractory samples (of equal heights the earlier counts as higher). Peaks without
+    room for their snippet, before samples ahead and after from the peak on, are left out first.
+
+    Peaks further apart than refractory never meet, so trials fall into stretches of near
+    peaks, and only these are gone through in order.
+    """
+    w = W.partitionBy("trial_id").orderBy("t")
+    every = samples.select("trial_id", "t", F.col("v").cast("double").alias("v"))
+    rows = every.withColumns({
+        "i": F.row_number().over(w), "n": F.count("*").over(W.partitionBy("trial_id")),
+        "wave": F.collect_list("v").over(w.rowsBetween(-before, after - 1)),
+        "on": F.coalesce(F.col("v") <= threshold if threshold < 0 else F.col("v") >= threshold, F.lit(False)),
+    })
+    begins = F.col("on") & ~F.coalesce(F.lag("on").over(w), F.lit(False))
+    runs = rows.withColumn("run", F.sum(begins.cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0))).where("on")
+    height = -F.col("v") if threshold < 0 else F.col("v")
+    first = F.max(F.struct(height.alias("height"), (-F.col("i")).alias("back"), "t", "wave", "n"))
+    peaks = runs.groupBy("trial_id", "run").agg(first.alias("p")).select("trial_id", "p.height", (-F.col("p.back")).alias("i"), "p.t", "p.wave", "p.n")
+    peaks = peaks.where((F.col("i") > before) & (F.col("i") + after - 1 <= F.col("n")))
+    apart = F.coalesce(F.col("i") - F.lag("i").over(W.partitionBy("trial_id").orderBy("i")) >= refractory, F.lit(True))
+    stretches = peaks.withColumn("far", apart.cast("int")).withColumn("part", F.sum("far").over(W.partitionBy("trial_id").orderBy("i").rowsBetween(W.unboundedPreceding, 0)))
+    entry = F.struct((-F.col("height")).alias("low"), "i", "t", "height", "wave")
+    near = stretches.groupBy("trial_id", "part").agg(F.array_sort(F.collect_list(entry)).alias("all"))
+    none = F.filter("all", lambda x: F.lit(False))
+    kept = F.aggregate("all", none, lambda k, x: F.when(F.exists(k, lambda y: F.abs(y["i"] - x["i"]) < refractory), k).otherwise(F.array_append(k, x)))
+    return near.select("trial_id", F.explode(kept).alias("k")).select("trial_id", "k.t", F.when(F.lit(threshold < 0), -F.col("k.height")).otherwise(F.col("k.height")).alias("height"), "k.wave")

@@ -116,3 +116,80 @@ def splice(a: DataFrame, b: DataFrame, by: list[str], dims: list[str]) -> DataFr
     at = a.join(y, [*by, "i"]).groupBy(*by).agg(F.min(F.struct(F.round(gap, 9).alias("g"), F.col("i"))).alias("_at")).select(*by, F.col("_at.i").alias("_i"))
     before = a.join(at, by).where(F.col("i") < F.col("_i")).select(*by, "i", *dims)
     return before.unionByName(b.join(at, by).where(F.col("i") >= F.col("_i")).select(*by, "i", *dims))
+
+
+def splice_nearest(a: DataFrame, b: DataFrame, by: list[str], dims: list[str], within_a: tuple[int, int], within_b: tuple[int, int]) -> DataFrame:
+    """by, i, dims, seam: a(by, i, dims) up to the place and b from the place on at which, of all pairs of
+    places in the two windows (first and last i), they are nearest; b is moved so that its part
+    follows. seam is the last i of a's part. Of pairs as near, the earliest in a and then in b."""
+    state = F.array(*[F.col(d).cast("double") for d in dims])
+    ends = b.where(F.col("i").between(*within_b)).groupBy(*by).agg(F.collect_list(F.struct("i", state.alias("x"))).alias("_b"))
+    starts = a.where(F.col("i").between(*within_a)).select(*by, "i", state.alias("_x"))
+    gap = lambda x: F.aggregate(F.zip_with("_x", x, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, d: s + d)
+    best = F.array_min(F.transform("_b", lambda y: F.struct(F.round(F.sqrt(gap(y["x"])), 9).alias("g"), F.col("i").alias("i"), y["i"].alias("j"))))
+    seam = starts.join(ends, by).groupBy(*by).agg(F.min(best).alias("_s")).select(*by, F.col("_s.i").alias("seam"), F.col("_s.j").alias("_j"))
+    before = a.join(seam, by).where(F.col("i") <= F.col("seam")).select(*by, "i", *dims, "seam")
+    after = b.join(seam, by).where(F.col("i") > F.col("_j")).withColumn("i", F.col("seam") + F.col("i") - F.col("_j"))
+    return before.unionByName(after.select(*by, "i", *dims, "seam"))
+
+
+def seam_matrix(n: int, stiffness: float, hold: int = 2) -> list[list[float]]:
+    """What n samples become when the squares of their changes and, times stiffness, of their second
+    differences are made least together; hold samples at each end stay where they are."""
+    import numpy as np
+
+    bend = np.diff(np.eye(n), 2, axis=0)
+    own = np.ones(n)
+    own[:hold] = own[n - hold :] = 1e9 * (1 + stiffness)
+    return np.linalg.solve(np.diag(own) + stiffness * bend.T @ bend, np.diag(own)).tolist()
+
+
+def smooth_seam(series: DataFrame, by: list[str], dims: list[str], reach: int, stiffness: float) -> DataFrame:
+    """series(by, i, dims, seam) with a bridge in place of the reach samples to each side of the seam (the
+    seam's own among those before): a discrete smoothing spline that meets what is outside.
+
+    Two samples more on each side hold its ends. A seam nearer than that to an end of its
+    series stays as it is.
+    """
+    n = 2 * reach + 4
+    table = F.array(*[F.array(*[F.lit(x) for x in row]) for row in seam_matrix(n, stiffness)])
+    place = (F.col("i") - F.col("seam") + reach + 1).cast("int")  # from 0 within the bridge
+    near = series.where((place >= 0) & (place < n))
+    wide = near.groupBy(*by).agg(*[F.transform(F.array_sort(F.collect_list(F.struct("i", F.col(d).cast("double").alias("v")))), lambda s: s["v"]).alias(f"_{d}") for d in dims], F.count("*").alias("_n"))
+    rows = series.join(wide, by, "left")
+    bridge = (F.col("_n") == n) & (place >= 0) & (place < n)
+    dot = lambda d: F.aggregate(F.zip_with(F.get(table, place), f"_{d}", lambda p, q: p * q), F.lit(0.0), lambda s, x: s + x)
+    return rows.select(*by, "i", *[F.when(F.coalesce(bridge, F.lit(False)), dot(d)).otherwise(F.col(d)).alias(d) for d in dims], "seam")
+
+
+def joint_delays(series: DataFrame, most: int, rounds: int = 10) -> DataFrame:
+    """trial_id, lag, r: how far each even series(trial_id, bin, v) lies behind what all have in common.
+
+    What is common is the mean over trials of the series moved back by their lags, at first none.
+    Each trial then takes the lag of at most most bins at which its correlation with that mean is
+    highest (of equal ones the smallest), until no lag changes or rounds are over. r is the
+    last correlation. Trials are arrays in their own row; the mean, as long as a trial, is one
+    row that goes to all of them.
+    """
+    from trialloom.sources.tables import written
+
+    values = series.where("v is not null").select("trial_id", "bin", F.col("v").cast("double").alias("v"))
+    lags = values.select("trial_id").distinct().withColumn("lag", F.lit(0))
+    for _ in range(rounds):
+        moved = values.join(lags, "trial_id").withColumn("bin", F.col("bin") - F.col("lag"))
+        mean = moved.groupBy("bin").agg(F.avg("v").alias("m"))
+        pairs = values.withColumn("lag", F.explode(F.sequence(F.lit(-most), F.lit(most)))).withColumn("bin", F.col("bin") - F.col("lag")).join(mean, "bin")  # which has as many rows as a trial has bins
+        r = F.coalesce(F.round(F.try_divide(F.covar_pop("v", "m"), F.stddev_pop("v") * F.stddev_pop("m")), 9), F.lit(-2.0))  # a constant has none
+        scored = pairs.groupBy("trial_id", "lag").agg(r.alias("r"))
+        best = scored.groupBy("trial_id").agg(F.max(F.struct("r", (-F.abs("lag")).alias("near"), (-F.col("lag")).alias("lag"))).alias("b"))
+        new = written(best.join(lags.withColumnRenamed("lag", "old"), "trial_id").select("trial_id", (-F.col("b.lag")).alias("lag"), F.when(F.col("b.r") > -2, F.col("b.r")).alias("r"), "old"))
+        done = new.where("lag <> old").isEmpty()
+        lags = new.select("trial_id", "lag")
+        if done:
+            break
+    return new.select("trial_id", "lag", "r")
+
+
+def undelayed(series: DataFrame, lags: DataFrame) -> DataFrame:
+    """series(trial_id, bin, v) with each trial moved back by its lag."""
+    return series.join(lags.select("trial_id", "lag"), "trial_id").withColumn("bin", F.col("bin") - F.col("lag")).drop("lag")

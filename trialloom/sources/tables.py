@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,6 +26,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read back: what loops go on from, as it cuts lineage and
+    survives lost executors. The folder's owner clears it."""
+    path = f"{shared_dir(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def build_trials(spark: SparkSession, durations: list[float]) -> DataFrame:
     """Trials 1 .. n that hold nothing but their start and stop."""
     return spark.createDataFrame([(i, 0.0, float(d)) for i, d in enumerate(durations, 1)], "trial_id long, t_start double, t_end double")
