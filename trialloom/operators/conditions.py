@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trialloom.functions.stats import near
-from trialloom.operators.ranking import hazen_quantiles
+from trialloom.operators.ranking import hazen_quantiles, numbered, stretches
 
 
 def in_list(x: Column, values: list, tol: float = 1e-6) -> Column:
@@ -93,12 +93,17 @@ def set_invalid(trials: DataFrame, valid: Column, cause: str) -> DataFrame:
 def distinct_with_tolerance(df: DataFrame, column: str, tol: float = 1e-6) -> DataFrame:
     """Sorted distinct numbers; a value within tol * max|x| of its predecessor is the same.
 
-    The window runs over distinct values of an attribute, which are few by its nature.
+    A value's predecessor is in its own stretch of values, or the last of the stretch before.
     """
     values = df.select(F.col(column).cast("double").alias("x")).where("x is not null").distinct()
     top = values.agg(F.max(F.abs("x")).alias("top"))
-    steps = values.crossJoin(F.broadcast(top)).withColumn("gap", F.col("x") - F.lag("x").over(W.orderBy("x")))
-    return steps.where(F.col("gap").isNull() | (F.col("gap") > tol * F.col("top"))).select("x")
+    cut = stretches(values, [], "x")
+    ends = cut.groupBy("_part").agg(F.max("x").alias("_end"))  # a row a stretch
+    ends = ends.select("_part", F.lag("_end").over(W.orderBy("_part")).alias("_end"))
+    within = F.lag("x").over(W.partitionBy("_part").orderBy("x"))
+    steps = cut.withColumn("_ahead", within).join(ends, "_part").crossJoin(F.broadcast(top))
+    gap = F.col("x") - F.coalesce("_ahead", "_end")
+    return steps.where(gap.isNull() | (gap > tol * F.col("top"))).select("x")
 
 
 def suppress(membership: DataFrame, conditions: list[int]) -> DataFrame:
@@ -129,14 +134,10 @@ def combined_validity(trials: DataFrame, membership: DataFrame, alignments: list
     return rows.withColumn("cause", F.coalesce(*causes)).select("trial_id", F.col("cause").isNull().alias("valid"), "cause")
 
 
-def _order(by: list[str]) -> list[Column]:
-    return [F.col(c[1:]).desc_nulls_last() if c.startswith("-") else F.col(c).asc_nulls_last() for c in by]
-
-
 def sorted_within(trials: DataFrame, group: str, by: list[str], key: str = "trial_id") -> DataFrame:
     """trials with rank, from 1, inside their group by several attributes; "-name" is descending,
     missing values come last, and key settles ties."""
-    return trials.withColumn("rank", F.row_number().over(W.partitionBy(group).orderBy(*_order(by), key)))
+    return numbered(trials, [group], [*by, key]).withColumn("rank", (F.col("i") + 1).cast("int")).drop("i")
 
 
 def random_per_group(trials: DataFrame, group: str, n: int, seed: int) -> DataFrame:

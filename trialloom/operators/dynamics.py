@@ -55,9 +55,10 @@ def states_in_time(cube: DataFrame, bases: list[str], centre: bool = True) -> Da
     if centre:
         rows = rows.withColumns({b: F.col(b) - F.avg(b).over(W.partitionBy("bin")) for b in bases})
     rows = rows.select("cond", "bin", F.array(*bases).alias("x"))
-    later = rows.select("cond", (F.col("bin") - 1).alias("bin"), F.col("x").alias("_next"))
+    in_time = W.partitionBy("cond").orderBy("bin")
+    later = rows.withColumn("_next", F.when(F.lead("bin").over(in_time) == F.col("bin") + 1, F.lead("x").over(in_time)))
     change = F.when(F.col("_next").isNotNull(), F.zip_with("_next", "x", lambda a, b: a - b))
-    return rows.join(later, ["cond", "bin"], "left").select("cond", "bin", "x", change.alias("dx"))
+    return later.select("cond", "bin", "x", change.alias("dx"))
 
 
 def skew_fit(s: np.ndarray, d: np.ndarray) -> np.ndarray:

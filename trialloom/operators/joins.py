@@ -25,7 +25,7 @@ def band_join(points: DataFrame, spans: DataFrame, width: float, by: list[str] |
     it is no longer than width). Rows meet by key and band, and the range is tested then, so a
     key's rows spread over as many tasks as it has bands, and what is compared is near.
     """
-    keys = by or ["trial_id"]
+    keys = ["trial_id"] if by is None else by
     near = points.withColumn("_band", F.floor(F.col("t") / width))
     cut = spans.where("lo <= hi").withColumn("_band", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
     return near.join(cut, [*keys, "_band"]).where("t >= lo and t <= hi").drop("_band")

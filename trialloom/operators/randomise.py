@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from trialloom.operators.joins import band_join
 from trialloom.operators.ranking import ROWS, numbered
 
 
@@ -30,8 +31,8 @@ def shuffle_labels(trials: DataFrame, seed: int) -> DataFrame:
     bucket begins. Positions then fall into the ranges that the conditions' counts cut, so
     no task orders all trials.
     """
-    keyed = trials.withColumn("key", draw_key(seed, "trial_id"))
-    digits = max(2, math.ceil(math.log(max(1, trials.count() / ROWS), 16)))
+    keyed, total = trials.withColumn("key", draw_key(seed, "trial_id")), trials.count()
+    digits = max(2, math.ceil(math.log(max(1, total / ROWS), 16)))
     bucket = F.substring("key", 1, digits)
     counts = keyed.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("m"))
     begins = counts.select("bucket", (F.sum("m").over(W.orderBy("bucket")) - F.col("m")).alias("begin"))  # one row for about ROWS trials
@@ -39,8 +40,9 @@ def shuffle_labels(trials: DataFrame, seed: int) -> DataFrame:
     placed = keyed.withColumn("bucket", bucket).withColumn("rank", rank).join(begins, "bucket").withColumn("r", F.col("begin") + F.col("rank"))
     sizes = trials.groupBy("cond").agg(F.count("*").alias("n"))
     ends = sizes.select("cond", F.sum("n").over(W.orderBy("cond")).alias("hi"), "n").select("cond", "hi", (F.col("hi") - F.col("n")).alias("lo"))
-    inside = (F.col("p.r") > F.col("e.lo")) & (F.col("p.r") <= F.col("e.hi"))
-    return placed.alias("p").join(ends.alias("e"), inside).select("p.trial_id", "e.cond")  # conditions are few
+    # positions in bands, about ten thousand, so that no trial meets all conditions
+    ranges = ends.select("cond", (F.col("lo") + 1).alias("lo"), "hi")
+    return band_join(placed.select("trial_id", F.col("r").alias("t")), ranges, max(1000, total // 10_000), by=[]).select("trial_id", "cond")
 
 
 def bootstrap(trials: DataFrame, draws: int, seed: int) -> DataFrame:

@@ -8,30 +8,83 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trialloom.functions.stats import clean
 
-#: Rows of the table that one task orders, and stretches that a table is cut into at most.
-ROWS, CUTS = 1_000_000, 1024
+#: Rows of the table that one task orders, stretches that a table is cut into at most (beyond ROWS *
+#: CUTS rows stretches grow), and keys that are drawn for each cut.
+ROWS, CUTS, DRAWN = 1_000_000, 16_384, 64
 
 
-def numbered(df: DataFrame, by: list[str], order: str, rows: int = ROWS) -> DataFrame:
-    """df with i, each row's position (from 0) in its group by order, which tells rows apart.
+def _keys(order: str | list[str]) -> list[tuple[str, bool]]:
+    """(column, descending) of each key; "-name" is descending."""
+    return [(c.removeprefix("-"), c.startswith("-")) for c in ([order] if isinstance(order, str) else order)]
 
-    The values of order are cut into stretches of about rows rows; a row's position is its
-    rank within its group and stretch after the counts of the stretches before.
+
+def ordering(order: str | list[str]) -> list[Column]:
+    """Sort keys, missing values last."""
+    return [F.col(c).desc_nulls_last() if down else F.col(c).asc_nulls_last() for c, down in _keys(order)]
+
+
+def _before(cut: Column, keys: list[tuple[str, bool]]) -> Column:
+    """Whether a cut comes strictly before the row, key by key, missing values last."""
+    out = F.lit(False)
+    for name, down in reversed(keys):
+        mine, its = F.col(name), cut[name]
+        less = (its > mine) if down else (its < mine)
+        less = F.when(its.isNull(), F.lit(False)).when(mine.isNull(), F.lit(True)).otherwise(less)
+        out = less | (its.eqNullSafe(mine) & out)
+    return out
+
+
+def stretches(df: DataFrame, by: list[str], order: str | list[str], rows: int = ROWS, cuts: int = CUTS) -> DataFrame:
+    """df with _part: stretches of about rows rows in the order of by and order, ties in one stretch.
+
+    A small draw of keys says where to cut, so a group that holds most rows gets most cuts.
+    Where they fall changes no result, only how even the stretches are. A row finds its
+    stretch by halving.
+    """
+    total = df.count()
+    parts = min(cuts, max(1, math.ceil(total / rows)))
+    if parts == 1:
+        return df.withColumn("_part", F.lit(0))
+    keys = [*_keys(by), *_keys(order)]
+    names = list(dict.fromkeys(c for c, _ in keys))
+    drawn = df.select(*names).sample(min(1.0, DRAWN * parts / total), seed=1)
+    found = drawn.orderBy(*ordering(by), *ordering(order)).collect()  # at most about DRAWN * CUTS keys
+    chosen = [found[k * len(found) // parts] for k in range(1, parts)] if found else []
+    table = F.array(*[F.struct(*[F.lit(r[n]).cast(df.schema[n].dataType).alias(n) for n in names]) for r in chosen])
+    steps = max(1, len(chosen)).bit_length()
+    last = F.lit(len(chosen))
+
+    def halve(at: Column, step: Column) -> Column:
+        ahead = at + step
+        inside = F.get(table, F.least(ahead, last) - 1)
+        return F.when((ahead <= last) & _before(inside, keys), ahead).otherwise(at)
+
+    return df.withColumn("_part", F.aggregate(F.array(*[F.lit(1 << k) for k in reversed(range(steps))]), F.lit(0), halve) if chosen else F.lit(0))
+
+
+def numbered(df: DataFrame, by: list[str], order: str | list[str], rows: int = ROWS, ties: bool = False) -> DataFrame:
+    """df with i, each row's position (from 0) in its group by order ("-name" is descending, missing
+    values come last), which tells rows apart; with ties, equal keys share their first position.
+
+    A row's position is its rank within its group and stretch after the counts of the
+    stretches before, so no task orders a group.
     """
-    parts = min(CUTS, max(1, math.ceil(df.count() / rows)))
-    cuts = df.agg(F.percentile_approx(order, [k / parts for k in range(1, parts)], 10_000).alias("c")).head().c if parts > 1 else []
-    stretch = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(order))) if cuts else F.lit(0)
-    keyed = df.withColumn("_part", stretch)
-    counts = keyed.groupBy(*by, "_part").agg(F.count("*").alias("_n"))  # at most CUTS rows a group
+    keyed = stretches(df, by, order, rows)
+    w = W.partitionBy(*by, "_part").orderBy(*ordering(order))
+    ranked = keyed.withColumn("_rank", (F.rank() if ties else F.row_number()).over(w) - 1)
+    counts = keyed.groupBy(*by, "_part").agg(F.count("*").alias("_n"))  # at most CUTS rows more than groups
     before = counts.withColumn("_before", F.sum("_n").over(W.partitionBy(*by).orderBy("_part")) - F.col("_n")).drop("_n")
-    rank = F.row_number().over(W.partitionBy(*by, "_part").orderBy(order)) - 1
-    return keyed.withColumn("_rank", rank).join(before, [*by, "_part"]).withColumn("i", F.col("_before") + F.col("_rank")).drop("_part", "_rank", "_before")
+    before = before.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("_part").alias("_at"), "_before")
+    same = F.col("_part") == F.col("_at")
+    for i, c in enumerate(by):  # a missing group is one too
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    return ranked.join(before, same).withColumn("i", F.col("_before") + F.col("_rank")).drop("_part", "_rank", "_before", "_at", *[f"_by{i}" for i in range(len(by))])
 
 
 def hazen_quantiles(df: DataFrame, by: list[str], value: str, ps: list[float], accuracy: int = 100_000) -> DataFrame:

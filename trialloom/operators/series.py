@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trialloom.operators.joins import band_join
+from trialloom.operators.ranking import hazen_quantiles, numbered
 
 
 def _by_time():
@@ -156,7 +157,7 @@ def running_extremes(samples: DataFrame) -> DataFrame:
 def sampling_period(samples: DataFrame) -> DataFrame:
     """period: the median over trials of the median step of a trial."""
     steps = samples.select("trial_id", (F.col("t") - F.lag("t").over(_by_time())).alias("dt")).where("dt is not null")
-    return steps.groupBy("trial_id").agg(F.median("dt").alias("dt")).agg(F.median("dt").alias("period"))
+    return hazen_quantiles(steps.groupBy("trial_id").agg(F.median("dt").alias("dt")), [], "dt", [0.5]).select(F.col("x").alias("period"))
 
 
 def move_across(points: DataFrame, starts: DataFrame) -> DataFrame:
@@ -173,9 +174,9 @@ def move_across(points: DataFrame, starts: DataFrame) -> DataFrame:
     )
 
 
-def ranks(df: DataFrame, by: list[str], value: str) -> Column:
-    """Rank of a value in its group, from 1; ties share the smallest."""
-    return F.rank().over(W.partitionBy(*by).orderBy(value))
+def ranks(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """df with rank, that of a value in its group, from 1; ties share the smallest, missing values come last."""
+    return numbered(df, by, value, ties=True).withColumn("rank", (F.col("i") + 1).cast("int")).drop("i")
 
 
 def nth_true(states: DataFrame, n: int, from_end: bool = False) -> DataFrame:

@@ -274,7 +274,7 @@ def virtual_channels(spark, sf_dir):
 @query(f"{BOTH} SELECT event_id, rank() OVER (PARTITION BY trial_id ORDER BY v) AS rank FROM ev")
 def value_ranks(spark, sf_dir):
     ev = events_long(spark, sf_dir)
-    return ev.select("event_id", series.ranks(ev, ["trial_id"], "v").alias("rank"))
+    return series.ranks(ev, ["trial_id"], "v").select("event_id", "rank")
 
 
 @query(f"{BOTH}, o AS (SELECT trial_id, t, row_number() OVER (PARTITION BY trial_id ORDER BY t) AS a, row_number() OVER (PARTITION BY trial_id ORDER BY t DESC) AS z FROM ev WHERE v >= 60) SELECT trial_id, round(max(t) FILTER (a = 2), 3) AS second, round(max(t) FILTER (z = 1), 3) AS last FROM o GROUP BY 1 HAVING count(*) >= 2")
