@@ -1,6 +1,8 @@
 import math
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
 
 from trialloom.llm import embeddings
 
@@ -119,6 +121,44 @@ def test_small_tiles(spark, monkeypatch):
     assert run(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")) == plain(rows)
 
 
+def test_split_parts(spark, monkeypatch):
+    """Splitting changes no count, and heads stay with themselves."""
+    monkeypatch.setattr(embeddings, "SPLIT", 12)
+    monkeypatch.setattr(embeddings, "PIVOTS", 3)
+    monkeypatch.setattr(embeddings, "TILE", 8)
+    rng = np.random.default_rng(11)
+    path = np.cumsum(rng.normal(size=(150, 6)) * 0.05, axis=0) + rng.normal(size=6)
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(path)] + [(300 + i, (path[0] + 0.01 * rng.normal(size=6)).tolist(), 1) for i in range(40)]
+    assert run(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")) == plain(rows)
+    nodes = spark.createDataFrame([(i, embeddings._unit(np.array([v]))[0].tolist()) for i, (_, v, _) in enumerate(rows)], "node long, v array<double>")
+    small = embeddings.split_parts(nodes, nodes.select("node", F.lit(0).cast("long").alias("part"))).collect()
+    assert sorted(r.node for r in small) == list(range(len(rows)))
+    assert all(r.part == r.node for r in small if r.node in {x.part for x in small})
+    monkeypatch.setattr(embeddings, "RECALL", 1.1)
+    monkeypatch.setattr(embeddings, "ENLARGE", 1)
+    assert run(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")) == plain(rows)
+
+
+def test_a_part_of_many_vectors_is_not_compared_whole(spark):
+    """A chain of tight groups is one part; few of its pairs are compared."""
+    rng = np.random.default_rng(12)
+    angle = np.arange(60) * 0.12
+    centres = np.stack([np.cos(angle / 3), np.sin(angle / 3), np.cos(angle), np.sin(angle), np.cos(angle / 2), np.sin(angle / 2), *np.zeros((4, 60))], axis=1)
+    x = np.repeat(centres, 840, axis=0) + 0.01 * rng.normal(size=(60 * 840, 10))
+    n = len(x)
+    frame = spark.createDataFrame(pd.DataFrame({"node": np.arange(n), "v": (x / np.linalg.norm(x, axis=1, keepdims=True)).tolist()}), "node long, v array<double>")
+    nodes = embeddings.written(frame.select("node", F.lit("1").alias("label"), "v", F.lit(1).cast("long").alias("copies")).repartition(8))
+    small = embeddings.split_parts(nodes, nodes.select("node", F.lit(0).cast("long").alias("part")))
+    placed = embeddings.placed_parts(nodes, small, 0.98)
+    meets = embeddings.touching_parts(placed, 0.98)
+    sizes = {r.part: r["count"] for r in placed.groupBy("part").count().collect()}
+    compared = sum(sizes.get(r.lo, 0) * sizes.get(r.hi, 0) for r in meets.collect())
+    assert compared < 0.1 * n * n / 2
+    v = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = {r.node: r.links for r in embeddings._with_core(placed, embeddings._tile_counts(placed, meets, 0.98)).where("node % 997 = 0").collect()}
+    assert links == {i: int((v @ v[i] >= 0.98).sum()) - 1 for i in range(0, n, 997)}
+
+
 def test_audit_needs_a_common_root(spark):
     v = [[1.0, 0.0], [1.0, 0.01], [1.0, 0.02]]
     nodes = spark.createDataFrame([(i, "1", x, 1) for i, x in enumerate(v)], "node long, label string, v array<double>, copies long")

@@ -53,6 +53,24 @@ def test_matches_plain_version(spark, monkeypatch, hot, common):
     assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in rows)
 
 
+def test_a_home_word_with_a_third_of_all_words(spark, monkeypatch):
+    """A common word outside the hot ones is dealt to many buckets, and every score stays."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(w for k in rng.integers(0, 3000, size=60) for w in ("often", f"w{k}", f"x{k % 50}")) for _ in range(300)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(lm, "HOT", 0)
+    monkeypatch.setattr(lm, "PER_PART", 1000)
+    check(lm.stupid_backoff(df).collect(), texts)
+    words = lm.written(lm.unigram_counts(df))
+    top = words.toPandas().sort_values("word")
+    share, none, parts, total = spark.sparkContext.broadcast, np.zeros(0, dtype=np.int64), 54, 54_000
+    held = {}
+    for r in lm.exploded(df, parts, total, share((top["word"].to_numpy(), top["n"].to_numpy())), share(none), share(none)).collect():
+        held[r.bucket] = held.get(r.bucket, 0) + len(r.r)
+    assert max(held.values()) < 4 * sum(held.values()) / parts  # one bucket had a third before
+
+
 def test_cases(spark, monkeypatch):
     texts = [None, "", "  \n", "one", "a b a b a b", "a b c", "a b c", "É x É x", "w " * 70_000, "a b"]
     rows = [(None if i == 5 else i % 7, t, i) for i, t in enumerate(texts)]

@@ -43,6 +43,8 @@ ROUNDS, RECALL, ENLARGE = 6, 0.97, 3
 #: Query vectors of an audit: as many as show so many links, but no more than the last.
 AUDIT, AUDIT_LINKS, AUDIT_MOST = 256, 200, 4096
 TILE = 2048
+#: Parts of more vectors are split around PIVOTS of them, up to LEVELS times.
+SPLIT, PIVOTS, LEVELS = 512, 16, 8
 #: More, in angle, than what rounding can do.
 SLACK = 1e-6
 
@@ -267,6 +269,43 @@ def _tiled(rows: DataFrame, of: str, meets: DataFrame) -> DataFrame:
     }).drop("mate", "tiles", "others", "other")
 
 
+def split_parts(nodes: DataFrame, parts: DataFrame) -> DataFrame:
+    """(node, part) of parts(node, part), large parts cut into smaller ones.
+
+    A part is a node, its head, and all its members have the same label and vector length. Of a
+    part with more than SPLIT members PIVOTS are drawn, which become heads, and each member goes to
+    the nearest one; so again with what is still large, until nothing is or LEVELS are over. What
+    is close stays together, so most pairs of the new parts are too far apart to be compared.
+    """
+    current = parts.select("node", "part")
+    for level in range(LEVELS):
+        big = written(current.groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") > SPLIT))
+        if big.isEmpty():
+            drop_written(big)
+            break
+        members = current.join(big, "part").join(nodes.select("node", "v"), "node").withColumn("blocks", F.ceil(F.col("n") / TILE))
+        drawn = W.partitionBy("part").orderBy(F.xxhash64(F.lit(level), "node"), "node")
+        pivots = written(members.withColumn("_r", F.row_number().over(drawn)).where(F.col("_r") <= PIVOTS).select("node", "part", "v", "blocks"))
+        dealt = members.select("node", "part", "v", F.pmod(F.xxhash64(F.lit("block"), "node"), F.col("blocks")).alias("block"))
+        around = pivots.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
+
+        def nearest(members: pa.Table, heads: pa.Table) -> pa.Table:
+            node, head = members.column("node").to_numpy(), heads.column("node").to_numpy()
+            part = np.zeros(0, dtype=np.int64)
+            if len(node):
+                x, y = _matrix(members.column("v").combine_chunks()), _matrix(heads.column("v").combine_chunks())
+                part = head[np.argmax(x @ y.T, axis=1)]
+                part = np.where(np.isin(node, head), node, part)  # a head is always its own
+            return pa.table({"node": pa.array(node, pa.int64()), "part": pa.array(part, pa.int64())})
+
+        again = dealt.groupBy("part", "block").cogroup(around.groupBy("part", "block")).applyInArrow(nearest, "node long, part long")
+        old = current
+        current = written(again.unionByName(old.join(big, "part", "left_anti").select("node", "part")))
+        for t in (big, pivots, *([old] if level else [])):
+            drop_written(t)
+    return current
+
+
 def placed_parts(nodes: DataFrame, parts: DataFrame, threshold: float) -> DataFrame:
     """(node, whole, part, label, v, copies, angle) of parts(node, part), cut in two.
 
@@ -390,26 +429,29 @@ def whole_parts(nodes: DataFrame, close: DataFrame, roots: DataFrame, k: int, th
     full = close.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("node")
     big = written(full.join(roots, "node").select(F.col("root").alias("part")).distinct())
     parts = written(roots.select("node", F.col("root").alias("part")).join(big, "part", "left_semi").select("node", "part"))
-    placed = placed_parts(nodes, parts, threshold)
+    small = split_parts(nodes, parts)
+    placed = placed_parts(nodes, small, threshold)
     counted = _tile_counts(placed, touching_parts(placed, threshold), threshold)
-    touch = counted.where("src is not null").select(*[F.expr(f"if({c} < 0, -1 - {c}, {c})").alias(c) for c in ("src", "dst")])
-    joined = written(connected_components(touch).select(F.col("node").alias("part"), "root"))
+    # what two small parts share ties the parts that they are of
+    owner = small.where("node = part").select("node").join(parts, "node").select(F.col("node").alias("head"), "part")
+    ends = counted.where("src is not null").select(*[F.expr(f"if({c} < 0, -1 - {c}, {c})").alias(c) for c in ("src", "dst")]).distinct()
+    touch = ends.join(owner.select(F.col("head").alias("src"), F.col("part").alias("a")), "src").join(owner.select(F.col("head").alias("dst"), F.col("part").alias("b")), "dst")
+    joined = written(connected_components(touch.where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()).select(F.col("node").alias("part"), "root"))
     links = _with_core(placed, counted)
     whole = written(parts.join(joined, "part", "left").select("node", F.coalesce("root", "part").alias("root")).join(links, "node"))
-    for t in (big, parts, placed, counted):
+    for t in (big, small, parts, placed, counted):
         drop_written(t)
     return whole, joined
 
 
 def compared_whole(nodes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(roots(node, root), whole(node, root, links)) from comparing all vectors of a label: exact,
-    for when the graph misses too much. The work grows with the square of a label."""
+    """(roots(node, root), whole(node, root, links)) from all vectors of a label, split around pivots
+    and compared where two parts can touch: exact, for when the graph misses too much. The work
+    grows with the square of what lies within reach, of a whole label in the worst case."""
     heads = nodes.groupBy("label", F.size("v").alias("d")).agg(F.min("node").alias("part"))
     parts = written(nodes.select("node", "label", F.size("v").alias("d")).join(heads, ["label", "d"]).select("node", "part"))
-    placed = placed_parts(nodes, parts, threshold)
-    meets = placed.where("part < 0").select(F.col("part").alias("lo"), "whole").distinct()
-    meets = meets.select("lo", F.explode(F.array("lo", "whole")).alias("hi"))
-    counted = _tile_counts(placed, meets, threshold, ties=True)
+    placed = placed_parts(nodes, split_parts(nodes, parts), threshold)
+    counted = _tile_counts(placed, touching_parts(placed, threshold), threshold, ties=True)
     around = placed.where("part >= 0 and node <> whole").select(F.col("node").alias("src"), F.col("whole").alias("dst"))
     roots = connected_components(counted.where("src is not null").select("src", "dst").unionByName(around))
     whole = written(_with_core(placed, counted).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "links"))

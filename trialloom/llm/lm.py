@@ -19,8 +19,9 @@ scored if other documents hold it, at home with w if they do not.
 
 Pairs of two of the HOT commonest words may be in every document; those are counted with
 map-side sums into a table of at most HOT^2 rows, which is broadcast. The home of any
-other pair is a word outside the HOT commonest, so a home holds at most one HOT-th of all
-words. Pairs travel to their buckets in arrays, one row for each block of documents and
+other pair is a word outside the HOT commonest. A home word that is common all the same
+has several buckets, as many as its count asks for, and the pair's other word says which; its
+own count goes to each of them. Pairs travel to their buckets in arrays, one row for each block of documents and
 bucket; scores are summed as integers, so that they come out alike on every run.
 """
 
@@ -42,8 +43,13 @@ from trialloom.llm.common import drop_written, map_arrow, written
 
 HOT, COMMON = 1024, 1 << 17
 BACKOFF = 0.4
-#: Words of the corpus for each bucket.
-PER_PART = 1_500_000
+#: Words of the corpus for each bucket, and buckets at most (beyond both, buckets grow). A word that is
+#: not among the COMMON commonest has no more than a COMMON-th of all words, so not more than a bucket.
+PER_PART, MOST_PARTS = 1_500_000, COMMON
+#: A home word with more than one part in PIECES of a bucket's words is dealt to several buckets.
+PIECES = 8
+#: From one bucket of a home word to the next.
+STRIDE = 7919
 #: Counts that a worker sums up; beyond, it starts anew.
 SUMMED = 500_000
 #: Scores are summed in units of 1 / UNIT.
@@ -124,6 +130,12 @@ def hot_pair_counts(docs: DataFrame, hot) -> DataFrame:
     return map_arrow(docs.select("text"), run, "key long, n long", ("text",)).groupBy("key").agg(F.sum("n").alias("n"))
 
 
+def pieces(n, parts: int, total: int):
+    """How many buckets a home word of that count has; n is an array or a column."""
+    share = max(1, total // parts // PIECES)
+    return (n + share - 1) // share if isinstance(n, np.ndarray) else F.ceil(n / F.lit(share))
+
+
 def exploded(docs: DataFrame, parts: int, total: int, common, hot, hot_pairs) -> DataFrame:
     """(bucket, block, r, o, code, n): what docs(doc_id long, text) hold, as arrays by block and bucket.
 
@@ -135,15 +147,15 @@ def exploded(docs: DataFrame, parts: int, total: int, common, hot, hot_pairs) ->
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         (keys, counts), hot_keys, both = common.value, hot.value, hot_pairs.value
-        log_count = np.log(counts)
+        log_count, spread = np.log(counts), pieces(counts, parts, total)
         for b in batches:
             words, at, n = block_words(b["text"])
             known, warm = _place(keys, words), _place(hot_keys, words)
             base, hits = np.zeros(len(n)), np.zeros(len(n), dtype=np.int64)
             rows: list[tuple] = []  # bucket, r, o, code, n
 
-            def add(r, o, doc, what, times, to=None, rows=rows):
-                rows.append((np.mod(r if to is None else to, parts), r, o, doc * 8 + what, times))
+            def add(r, o, doc, what, times, to=None, piece=0, rows=rows):
+                rows.append((np.mod(np.mod(r if to is None else to, parts) + piece * STRIDE, parts), r, o, doc * 8 + what, times))
 
             doc = np.flatnonzero(n)
             first = at[(np.cumsum(n) - n)[doc]]
@@ -168,7 +180,9 @@ def exploded(docs: DataFrame, parts: int, total: int, common, hot, hot_pairs) ->
             rare = ~easy_v & ~easy_w
             at_w = ~done & ~at_v & ~rare
             for mask, what, home, other in ((at_v, AT_V, v, w), (at_w, AT_W, w, v), (rare, IF_HIT, v, w), (rare, IF_MISS, w, v)):
-                add(words[home[mask]], words[other[mask]], doc[mask], what, times[mask])
+                r, o, place = words[home[mask]], words[other[mask]], known[home[mask]]
+                piece = np.mod(o, spread[place]) * (place >= 0) if len(spread) else 0
+                add(r, o, doc[mask], what, times[mask], piece=piece)
             start = b["row"][0]  # rows of a batch are numbered one after another
             to = np.full(d, xxhash.xxh64_intdigest(start.to_bytes(8, "little")) >> 1)  # any bucket will do
             ids = np.array([i or 0 for i in b["doc_id"]], dtype=np.int64)
@@ -209,7 +223,10 @@ def sums(blocks: DataFrame, words: DataFrame, common: DataFrame, parts: int, tot
     # the table of pair counts: of pairs that more than one document holds
     holder = F.col("block") + place
     counts = pairs.where("side is not null").groupBy("r", "bucket", "o", "side").agg(F.sum("n").alias("all"), F.min(holder).alias("lo"), F.max(holder).alias("hi")).where("lo <> hi")
-    homes = words.select(F.col("word").alias("r"), F.col("n").alias("c_r"), F.pmod("word", F.lit(parts)).cast("int").alias("bucket")).repartitionById(parts, "bucket")
+    piece = F.explode(F.sequence(F.lit(0).cast("long"), pieces(F.col("n"), parts, total) - 1))
+    spread = words.select(F.col("word").alias("r"), F.col("n").alias("c_r"), piece.alias("piece"))  # at most PIECES * parts rows more
+    bucket = F.pmod(F.pmod("r", F.lit(parts)) + F.col("piece") * STRIDE, F.lit(parts)).cast("int")
+    homes = spread.select("r", "c_r", bucket.alias("bucket")).distinct().repartitionById(parts, "bucket")
     others = F.broadcast(common.select(F.col("word").alias("o"), F.col("n").alias("c_o")))  # at most COMMON rows
     joined = (
         pairs.join(counts.select("r", "bucket", "o", "side", "all"), ["r", "bucket", "o", "side"], "left")
@@ -263,7 +280,7 @@ def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = hot_pair_counts(rows, hot).toArrow()  # at most HOT^2 rows
     hot_pairs = np.zeros(len(hot_keys) ** 2, dtype=np.int64)
     hot_pairs[found.column("key").to_numpy()] = found.column("n").to_numpy()
-    parts = max(1, math.ceil(total / PER_PART), spark.sparkContext.defaultParallelism)
+    parts = max(1, min(MOST_PARTS, math.ceil(total / PER_PART)), spark.sparkContext.defaultParallelism)
     blocks = exploded(rows, parts, total, share((ordered["word"].to_numpy(), ordered["n"].to_numpy())), hot, share(hot_pairs))
     with _joins_by_bucket(spark):
         totals = written(sums(blocks, words, common, parts, total))
