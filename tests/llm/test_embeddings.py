@@ -142,7 +142,7 @@ def test_split_parts(spark, monkeypatch):
 def test_a_part_of_many_vectors_is_not_compared_whole(spark):
     """A chain of tight groups is one part; few of its pairs are compared."""
     rng = np.random.default_rng(12)
-    angle = np.arange(60) * 0.12
+    angle = np.arange(60) * 0.2  # neighbours are 0.13 apart, links reach 0.2
     centres = np.stack([np.cos(angle / 3), np.sin(angle / 3), np.cos(angle), np.sin(angle), np.cos(angle / 2), np.sin(angle / 2), *np.zeros((4, 60))], axis=1)
     x = np.repeat(centres, 840, axis=0) + 0.01 * rng.normal(size=(60 * 840, 10))
     n = len(x)
