@@ -64,11 +64,24 @@ def test_secret_stage(stages):
 
 def test_mixing_stage(spark, stages):
     labels = mixing.label_domains(spark.read.parquet(f"{SF}/labels.parquet"))
-    copies = {r.doc_id: r.copies for r in mixing.mix(stages[3], labels, corpus_pipeline.TARGETS).collect()}
+    copies = {r.doc_id: r.copies for r in mixing.mix(stages[3], labels, corpus_pipeline.TARGETS, keep="clean").collect()}
     got = ids(stages[4])
     assert {i: got.count(i) for i in set(got)} == {k: v for k, v in copies.items() if v}
 
 
+def test_clean_documents_stay_where_that_binds(spark):
+    """Text that is toxic to a smaller share than asked for: without keep, clean documents would go."""
+    docs, labels = spark.read.parquet(f"{SF2}/documents.parquet"), spark.read.parquet(f"{SF2}/labels.parquet")
+    domains = mixing.label_domains(labels)
+    few = docs.join(domains.where("domain = 'toxic' and doc_id % 3 <> 0").select("doc_id"), "doc_id", "left_anti")
+    free = {r.doc_id: r.copies for r in mixing.mix(few, domains, corpus_pipeline.TARGETS).collect()}
+    rows = {r.doc_id: r for r in mixing.mix(few, domains, corpus_pipeline.TARGETS, keep="clean").collect()}
+    clean = [i for i, r in rows.items() if r.p_clean >= r.p_toxic]
+    assert any(free[i] == 0 for i in clean) and all(rows[i].copies >= 1 for i in clean)
+    got = Counter(ids(corpus_pipeline.mix_to_targets(spark, few, SF2)))
+    assert got == {i: r.copies for i, r in rows.items() if r.copies}
+
+
 def test_packing_stage(stages):
     pieces = stages[5].collect()
     whole = {r.doc_id for r in pieces if r.start == 0}

@@ -32,8 +32,9 @@ CHI_SQUARE = 16.0
 FULL = (2.0, 8.0, 32.0, 1e9)
 #: Steps at most, steps between tables, and the share of all tokens that totals may be off.
 STEPS, NESTED, CLOSE = 60, 4, 1e-4
-#: A domain whose target is more than SCARCE times the share that it has has practically no
-#: tokens: its target cannot be met, and no document is repeated for its sake.
+#: A domain whose target is more than so many times the share that it has has practically no
+#: tokens: its target cannot be met, and no document is repeated for its sake. A parameter of
+#: fit_rates, mix and mixed_documents; float("inf") repeats however few there are.
 SCARCE = 100.0
 #: Stands in every document.
 EVERY = "\u0001"
@@ -175,7 +176,7 @@ def posteriors(docs: DataFrame, model: Domains) -> DataFrame:
     return own.select("doc_id", "tokens", f"e{model.size}.*").select("doc_id", "tokens", F.array(*model.posterior()).alias("p"))
 
 
-def fit_rates(members: DataFrame, targets: list[float], steps: int = STEPS, keep: int | None = None) -> tuple[DataFrame, list[float]]:
+def fit_rates(members: DataFrame, targets: list[float], steps: int = STEPS, keep: int | None = None, scarce: float = SCARCE) -> tuple[DataFrame, list[float]]:
     """(members(doc_id, tokens, p) with rate, reached): from 1 everywhere, projected gradient on
     the squares of what the tokens of each domain are off their target.
 
@@ -187,7 +188,7 @@ def fit_rates(members: DataFrame, targets: list[float], steps: int = STEPS, keep
     It ends when every total is within 1e-4 of all tokens, when steps have shrunk to
     nothing, or after steps steps. A table without tokens keeps its rates at 1.
     keep names a domain: documents whose likeliest domain that is keep a rate of 1 at least.
-    Rates have no upper bound. The target of a domain that is scarce (see SCARCE) is what it
+    Rates have no upper bound. The target of a domain that is more than scarce times what it has is what it
     has, and the others share the rest. Totals that stay off by more than 1e-4 are logged
     as a warning.
     """
@@ -202,9 +203,9 @@ def fit_rates(members: DataFrame, targets: list[float], steps: int = STEPS, keep
         return table, list(targets)
     size = np.array([max(r[f"s{i}"] / total, 1e-9) for i in range(k)])
     goal = np.array(targets)
-    scarce = goal > SCARCE * size
-    if scarce.any() and not scarce.all():
-        goal = np.where(scarce, size, goal * (goal.sum() - size[scarce].sum()) / goal[~scarce].sum())
+    few = goal > scarce * size
+    if few.any() and not few.all():
+        goal = np.where(few, size, goal * (goal.sum() - size[few].sum()) / goal[~few].sum())
     rate, nested, length = F.col("rate"), 0, 1.0
     before: tuple | None = None  # rate, off, direction and weights of squares at the last step that helped
 
@@ -248,7 +249,7 @@ def fit_rates(members: DataFrame, targets: list[float], steps: int = STEPS, keep
 
 
 def mix(
-    docs: DataFrame, labelled: DataFrame, targets: dict[str, float], sample: int = SAMPLE, size: int = VOCABULARY, steps: int = STEPS, keep: str | None = None
+    docs: DataFrame, labelled: DataFrame, targets: dict[str, float], sample: int = SAMPLE, size: int = VOCABULARY, steps: int = STEPS, keep: str | None = None, scarce: float = SCARCE
 ) -> DataFrame:
     """One row for each doc_id: doc_id, tokens, p_<domain> for each domain of targets, rate, copies,
     and reached_<domain>, the share of the taken tokens, the same in every row.
@@ -263,7 +264,7 @@ def mix(
     members = written(posteriors(docs, learn(docs, labelled, domains, sample, size)))
     kept = domains.index(keep) if keep else None
     budget = _budget(members, share, kept) if keep else 1.0
-    rated, reached = fit_rates(members, [budget * s for s in share], steps, kept)
+    rated, reached = fit_rates(members, [budget * s for s in share], steps, kept, scarce)
     draw = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     whole = F.floor("rate")
     copies = (whole + F.when(draw < F.col("rate") - whole, 1).otherwise(0)).cast("int")
@@ -281,13 +282,13 @@ def _budget(members: DataFrame, share: list[float], kept: int) -> float:
     return max(1.0, r[f"s{kept}"] / r["t"] / share[kept]) if r["t"] else 1.0
 
 
-def mixed_documents(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], keep: str | None = None) -> DataFrame:
+def mixed_documents(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], keep: str | None = None, scarce: float = SCARCE) -> DataFrame:
     """The rows of docs, each as often as its copies say. Rows with a null id stay once.
 
     Rates are a table of ids; Spark broadcasts it if it is small, so that texts stay in place,
     and merges it with the texts if it is large.
     """
-    rated = written(mix(docs, labelled, targets, keep=keep).select(F.col("doc_id").alias("_id"), F.col("copies").alias("_copies")))
+    rated = written(mix(docs, labelled, targets, keep=keep, scarce=scarce).select(F.col("doc_id").alias("_id"), F.col("copies").alias("_copies")))
     packed = docs.select(F.struct("*").alias("d"))  # the row as one value, so that no column of it can clash
     taken = packed.join(rated.where("_copies > 0"), F.col("d.doc_id") == F.col("_id"))
     out = taken.select("d", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_k")).select("d.*")

@@ -24,7 +24,6 @@ from operator import eq
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trialloom.llm.common import bounded_sample, map_arrow, written
@@ -233,25 +232,25 @@ def spliced(parts: list[np.ndarray], lines: list[np.ndarray], y: np.ndarray, see
     return chains, labels
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "quality", sample: int = SAMPLE) -> Field:
+def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "quality", sample: int = SAMPLE, stretch: int = STRETCH, stretches: int = STRETCHES) -> Field:
     """A field from labelled rows of docs for which usable holds.
 
-    At most about sample documents (a hash of doc_id picks them) and of each at most 4
-    stretches of 64 lines go to the driver: 60 bytes a line, 46 MB in all, and some 400 MB
-    while the field is fitted. Labels other than 0 and 1 and null ids are ignored;
+    At most about sample documents (a hash of doc_id picks them; of rows that share an id one)
+    and of each at most stretches parts of stretch lines go to the driver: 60 bytes a line,
+    with the given ones 46 MB in all, and some 400 MB while the field is fitted. Labels other than 0 and 1 and null ids are ignored;
     without rows of both labels every score is 0.5.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
     ids = docs.where(usable).select("doc_id").distinct().join(known, "doc_id").withColumn("all", F.lit(1))
     chosen = written(bounded_sample(ids, "all", "doc_id", sample).select("doc_id", "y"))
     picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # about sample rows, so texts stay where they are
-    once = picked.withColumn("turn", F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where("turn = 1")
+    once = picked.groupBy("doc_id").agg(F.min_by(F.struct("text", "y"), F.xxhash64("text")).alias("d")).select("d.text", "d.y")  # summed where the texts are
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
             for y, text in zip(b["y"], b["text"], strict=True):
                 own, _, (n,) = _measured([text], lambda x: x.astype("<f4"))
-                parts = [own[k * STRETCH : (k + 1) * STRETCH] for k in np.unique(np.linspace(0, (n - 1) // STRETCH, STRETCHES).astype(int))]
+                parts = [own[k * stretch : (k + 1) * stretch] for k in np.unique(np.linspace(0, (n - 1) // stretch, stretches).astype(int))]
                 yield {"y": [y] * len(parts), "x": [p.tobytes() for p in parts]}
 
     got = map_arrow(once.select("text", "y"), run, "y long, x binary").toPandas()

@@ -37,8 +37,9 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stupid-backoff score of every document against the rest of the corpus."""
-    return stupid_backoff(table(spark, sf_dir, "documents"))
+    """Stupid-backoff score of every document against the rest of the corpus, to the hundredth."""
+    got = stupid_backoff(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_words", "n_backoff", F.round("log_score", 2).alias("log_score"), F.round("score", 5).alias("score"))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,6 +115,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_LM = r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x09-\x0D\x20]+') AS ws FROM documents),
+w AS (SELECT r, unnest(ws) AS v, unnest(range(len(ws))) AS i FROM d), t AS (SELECT count(*) AS total FROM w), u AS (SELECT v AS word, count(*) AS n FROM w GROUP BY 1),
+n AS (SELECT r, v, lead(v) OVER (PARTITION BY r ORDER BY i) AS w FROM w), p AS (SELECT r, v, w, count(*) AS own FROM n WHERE w IS NOT NULL GROUP BY 1, 2, 3),
+c AS (SELECT v, w, sum(own) AS n FROM p GROUP BY 1, 2),
+s AS (SELECT r, sum(own * CASE WHEN c.n > own THEN ln((c.n - own)::DOUBLE / a.n) ELSE ln(0.4 * b.n / total) END) AS log, sum(CASE WHEN c.n > own THEN 0 ELSE own END) AS back
+  FROM p JOIN c USING (v, w) JOIN u a ON a.word = v JOIN u b ON b.word = w, t GROUP BY 1),
+f AS (SELECT r, ln(n::DOUBLE / total) AS log FROM w JOIN u ON word = v, t WHERE i = 0)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(back, 0) AS BIGINT) AS n_backoff, round(coalesce(f.log, 0) + coalesce(s.log, 0), 2) AS log_score,
+  CASE WHEN len(ws) > 0 THEN round((f.log + coalesce(s.log, 0)) / len(ws), 5) END AS score FROM d LEFT JOIN f USING (r) LEFT JOIN s USING (r)"""
+
+_VECTORS = """WITH RECURSIVE g AS (SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+n AS (SELECT *, sqrt(list_dot_product(v, v)) AS size FROM g WHERE label IS NOT NULL AND len(v) > 0 AND list_count(v) = len(v) AND NOT list_bool_or(list_transform(v, lambda x: isnan(x) OR isinf(x))) AND list_bool_or(list_transform(v, lambda x: x <> 0))),
+l AS (SELECT a.r, b.r AS o, b.vec_id FROM n a JOIN n b ON a.label = b.label AND a.r <> b.r AND len(a.v) = len(b.v) WHERE list_dot_product(a.v, b.v) / (a.size * b.size) >= 0.98),
+reach(r, o) AS (SELECT r, r FROM g UNION SELECT reach.r, l.o FROM reach JOIN l ON l.r = reach.o),
+c AS (SELECT reach.r, min(g.vec_id) AS component_id FROM reach JOIN g ON g.r = reach.o GROUP BY 1), k AS (SELECT r, count(*) AS n_links FROM l GROUP BY 1)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept FROM g JOIN c USING (r) LEFT JOIN k USING (r)"""
+
 _TERMS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 
 _SEARCH = f"""WITH words AS (SELECT r, doc_id, unnest({_TERMS.format("text")}) AS term FROM (SELECT row_number() OVER () AS r, doc_id, text FROM documents)),
@@ -139,4 +157,4 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN p END AS prefix_chars, CA
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_search": _SEARCH, "op13_fim": _FIM}
+    return {"op3_lm": _LM, "op8_embeddings": _VECTORS, "op11_search": _SEARCH, "op13_fim": _FIM}
