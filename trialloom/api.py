@@ -99,6 +99,11 @@ class Trials:
             series = timecourse.subtract_baseline(series, timecourse.trial_baseline(series, *baseline))
         return timecourse.group_means(series, self.members())
 
+    def values(self, *attributes: str) -> DataFrame:
+        """trial_id and the attributes of every trial, missing for trials that are not valid."""
+        rows = self.trials.select("trial_id", *attributes).join(self.validity().select("trial_id", "valid"), "trial_id")
+        return rows.select("trial_id", *[F.when(F.col("valid"), F.col(a)).alias(a) for a in attributes])
+
     def means(self, attribute: str, min_count: int = 1) -> DataFrame:
         """cond, mean, sem, std, n of an attribute over the trials of each condition."""
         rows = self.members().join(self.trials.select("trial_id", attribute), "trial_id")

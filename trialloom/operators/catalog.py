@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,20 @@ def parse_names(df: DataFrame, column: str = "name") -> DataFrame:
     return df.withColumns({"array": part(1), "electrode": part(2).cast("long"), "unit": part(3).cast("long")})
 
 
+def sub_channel(df: DataFrame, name: str) -> Column:
+    """The channel that name says: a column, or group(5), the fifth place of an array column. Names that
+    the table does not have are errors."""
+    m = re.fullmatch(r"(\w+)(?:\((\d+)\))?", name)
+    kinds = dict(df.dtypes)
+    if not m or m[1] not in kinds:
+        raise KeyError(f"no channel {name}")
+    if m[2] is None:
+        return F.col(m[1])
+    if not kinds[m[1]].startswith("array"):
+        raise KeyError(f"{m[1]} is no group of channels")
+    return F.get(m[1], F.lit(int(m[2]) - 1)).alias(name)
+
+
 def scale(x: Column, source: tuple[float, float], target: tuple[float, float]) -> Column:
     """The affine map that takes the limits of source to those of target."""
     k = (target[1] - target[0]) / (source[1] - source[0])

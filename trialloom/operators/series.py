@@ -160,18 +160,45 @@ def sampling_period(samples: DataFrame) -> DataFrame:
     return hazen_quantiles(steps.groupBy("trial_id").agg(F.median("dt").alias("dt")), [], "dt", [0.5]).select(F.col("x").alias("period"))
 
 
-def move_across(points: DataFrame, starts: DataFrame) -> DataFrame:
+def move_across(points: DataFrame, starts: DataFrame, copy: bool = False) -> DataFrame:
     """Points after the new end of their trial go to the next trial (trial_id + 1), if there is one.
 
-    starts(trial_id, new_end, length): new_end in the trial's time, and its length so far.
+    starts(trial_id, new_end, length): new_end in the trial's time, and its length so far. With
+    copy they stay in their own trial as well.
     """
     nxt = starts.select((F.col("trial_id") - 1).alias("trial_id"), F.lit(True).alias("has_next"))
     rows = points.join(starts, "trial_id").join(nxt, "trial_id", "left")
-    moves = F.col("has_next") & (F.col("t") > F.col("new_end"))
-    return rows.select(
-        F.when(moves, F.col("trial_id") + 1).otherwise(F.col("trial_id")).alias("trial_id"),
-        F.when(moves, F.col("t") - F.col("length")).otherwise(F.col("t")).alias("t"),
-    )
+    moves = F.coalesce(F.col("has_next"), F.lit(False)) & (F.col("t") > F.col("new_end"))
+    return _moved(rows, moves, F.col("trial_id") + 1, F.col("t") - F.col("length"), copy)
+
+
+def move_back(points: DataFrame, begins: DataFrame, copy: bool = False) -> DataFrame:
+    """Points before the new start of their trial go to the trial before (trial_id - 1), if there is one.
+
+    begins(trial_id, new_start, length): new_start in the trial's time, and its length so far. With
+    copy they stay in their own trial as well.
+    """
+    before = begins.select((F.col("trial_id") + 1).alias("trial_id"), F.col("length").alias("_before"))
+    rows = points.join(begins.drop("length"), "trial_id").join(before, "trial_id", "left")
+    moves = F.col("_before").isNotNull() & (F.col("t") < F.col("new_start"))
+    return _moved(rows, moves, F.col("trial_id") - 1, F.col("t") + F.col("_before"), copy)
+
+
+def _moved(rows: DataFrame, moves: Column, to: Column, at: Column, copy: bool) -> DataFrame:
+    stay = F.struct("trial_id", "t")
+    gone = F.struct(to.alias("trial_id"), at.alias("t"))
+    both = F.array(stay, gone) if copy else F.array(gone)
+    return rows.select(F.explode(F.when(moves, both).otherwise(F.array(stay))).alias("p")).select("p.trial_id", "p.t")
+
+
+def splice_events(trials: DataFrame, forward: bool = True, event: str = "TrialSplice") -> DataFrame:
+    """trial_id, event, occ, t: where a trial that took over its neighbour's points was joined to them, in its
+    own time. trials(trial_id, length); forward: what came from the trial before lies ahead of 0,
+    else what came from the trial after lies beyond the trial's length."""
+    step = 1 if forward else -1
+    other = trials.select((F.col("trial_id") + step).alias("trial_id"))
+    rows = trials.join(other, "trial_id", "left_semi")
+    return rows.select("trial_id", F.lit(event).alias("event"), F.lit(1).alias("occ"), (F.lit(0.0) if forward else F.col("length").cast("double")).alias("t"))
 
 
 def ranks(df: DataFrame, by: list[str], value: str) -> DataFrame:

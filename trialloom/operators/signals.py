@@ -45,6 +45,15 @@ def mean_waveform(waves: DataFrame, by: list[str], wave: str = "wave") -> DataFr
     return long.groupBy(*by, "i").agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.count("v").alias("n"))
 
 
+def common_waveforms(waves: DataFrame, first: str = "first", wave: str = "wave") -> DataFrame:
+    """waves with all waveforms on one sample index: from the smallest first sample to the last one of
+    any, missing where a waveform has none. first is the index of a waveform's first sample."""
+    ends = waves.agg(F.min(first).alias("_lo"), F.max(F.col(first) + F.size(wave) - 1).alias("_hi"))  # one row
+    place = lambda i: F.when(i >= F.col(first), F.get(wave, (i - F.col(first)).cast("int")))
+    rows = waves.crossJoin(F.broadcast(ends)).where("_lo is not null")
+    return rows.withColumn(wave, F.transform(F.sequence("_lo", "_hi"), place)).withColumn(first, F.col("_lo")).drop("_lo", "_hi")
+
+
 def combine(x: str, weights: list[float]) -> Column:
     """The weighted sum of an array's elements."""
     w = F.array(*[F.lit(float(v)) for v in weights])

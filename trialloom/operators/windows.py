@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -174,3 +175,32 @@ def mark_intervals(intervals: DataFrame, aligned: DataFrame) -> DataFrame:
     """trial_id, t0, t1 of the intervals that meet their trial's window, cut to it, relative to zero."""
     joined = intervals.join(aligned.where("valid").select("trial_id", "zero", "start", "stop"), "trial_id").where("t0 <= stop and t1 >= start")
     return joined.select("trial_id", (F.greatest("t0", "start") - F.col("zero")).alias("t0"), (F.least("t1", "stop") - F.col("zero")).alias("t1"))
+
+
+def distributions(aligned: DataFrame, groups: DataFrame, found: DataFrame | None = None, intervals: DataFrame | None = None) -> DataFrame:
+    """kind, cond, n, s, s2, low, high: by condition, and over all with cond missing, how windows start and
+    stop relative to zero, where marks lie and when intervals begin and how long they are.
+
+    found(trial_id, t) is as of marks(), intervals(trial_id, t0, t1) as of mark_intervals(). Sums and
+    extremes, so that sessions merge (merged_distributions).
+    """
+    inside = aligned.where("valid").select("trial_id", (F.col("start") - F.col("zero")).alias("start"), (F.col("stop") - F.col("zero")).alias("stop"))
+    parts = [inside.select("trial_id", F.lit(k).alias("kind"), F.col(k).alias("x")) for k in ("start", "stop")]
+    if found is not None:
+        parts.append(found.select("trial_id", F.lit("mark").alias("kind"), F.col("t").alias("x")))
+    if intervals is not None:
+        parts.append(intervals.select("trial_id", F.lit("interval start").alias("kind"), F.col("t0").alias("x")))
+        parts.append(intervals.select("trial_id", F.lit("interval length").alias("kind"), (F.col("t1") - F.col("t0")).alias("x")))
+    rows = reduce(DataFrame.unionByName, parts).join(groups.select("trial_id", "cond"), "trial_id").where("x is not null")
+    x = F.col("x")
+    sums = [F.count("x").alias("n"), F.sum("x").alias("s"), F.sum(x * x).alias("s2"), F.min("x").alias("low"), F.max("x").alias("high")]
+    return rows.groupingSets([["kind", "cond"], ["kind"]], "kind", "cond").agg(*sums)
+
+
+def merged_distributions(parts: list[DataFrame]) -> DataFrame:
+    """kind, cond, n, mean, std, low, high of the distributions of several sessions together."""
+    all_ = reduce(DataFrame.unionByName, parts).groupBy("kind", "cond")
+    sums = all_.agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("s2").alias("s2"), F.min("low").alias("low"), F.max("high").alias("high"))
+    mean = F.col("s") / F.col("n")
+    std = F.sqrt(F.greatest(F.lit(0.0), F.try_divide(F.col("s2") - F.col("n") * mean * mean, F.col("n") - 1)))
+    return sums.select("kind", "cond", "n", mean.alias("mean"), std.alias("std"), "low", "high")

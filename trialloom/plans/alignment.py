@@ -120,18 +120,31 @@ def psth(spark, sf_dir):
     return got.select("cond", "bin", *[F.round(c, 9).alias(c) for c in ("mean", "sem", "std")], "n")
 
 
-@query("""WITH i AS (SELECT unnest(range(-200, 201)) AS k), raw AS (
+_KERNELS = {
+    "gaussian": kernels.gaussian(2.0, 1.0), "half_gaussian": kernels.half_gaussian(2.0, 1.0), "delayed_gaussian": kernels.gaussian(2.0, 1.0, delay=3.0, causal=True),
+    "exponential": kernels.exponential(5.0, 1.0), "growth_decay": kernels.growth_decay(2.0, 10.0, 1.0), "boxcar": kernels.boxcar(5), "identity": kernels.identity(),
+}
+
+
+@query(f"""{BOTH}, i AS (SELECT unnest(range(-200, 201)) AS k), raw AS (
 SELECT 'gaussian' AS kernel, k, exp(-k * k / 8.0) AS w FROM i WHERE abs(k) <= 6 UNION ALL SELECT 'half_gaussian', k, exp(-k * k / 8.0) FROM i WHERE k BETWEEN 0 AND 6
 UNION ALL SELECT 'delayed_gaussian', k, exp(-(k - 3) * (k - 3) / 8.0) FROM i WHERE k BETWEEN 0 AND 9 UNION ALL SELECT 'exponential', k, exp(-k / 5.0) FROM i WHERE k BETWEEN 0 AND 20
-UNION ALL SELECT 'growth_decay', k, (1 - exp(-k / 2.0)) * exp(-k / 10.0) FROM i WHERE k BETWEEN 1 AND 40 UNION ALL SELECT 'boxcar', k, 1.0 FROM i WHERE k BETWEEN 0 AND 4 UNION ALL SELECT 'identity', 0, 1.0)
-SELECT kernel, CAST(k AS INTEGER) AS k, round(w / sum(w) OVER (PARTITION BY kernel), 12) AS w FROM raw""")
+UNION ALL SELECT 'growth_decay', k, (1 - exp(-k / 2.0)) * exp(-k / 10.0) FROM i WHERE k BETWEEN 1 AND 40 UNION ALL SELECT 'boxcar', k, 1.0 FROM i WHERE k BETWEEN 0 AND 4 UNION ALL SELECT 'identity', 0, 1.0),
+taps AS (SELECT kernel, k, w / sum(w) OVER (PARTITION BY kernel) AS w, count(*) OVER (PARTITION BY kernel) AS size FROM raw),
+g AS (SELECT trial_id, cond, unnest(range(0, 49)) AS bin FROM tr), c AS (SELECT trial_id, CAST(floor(t / 1800000) AS BIGINT) AS bin, count(*) AS n FROM ev GROUP BY 1, 2),
+x AS (SELECT g.trial_id, cond, bin, coalesce(n, 0) AS n FROM g LEFT JOIN c USING (trial_id, bin)),
+s AS (SELECT kernel, trial_id, cond, bin + k AS bin, sum(n * w) * 1000 / 1800000 AS r FROM x, taps GROUP BY kernel, trial_id, cond, bin + k, size HAVING count(*) = size)
+SELECT kernel, cond, bin, round(avg(r) * 1e6, 5) AS mean, count(r) AS n FROM s GROUP BY 1, 2, 3""")
 def kernel_taps(spark, sf_dir):
-    """Taps of all kernels."""
-    taps = {
-        "gaussian": kernels.gaussian(2.0, 1.0), "half_gaussian": kernels.half_gaussian(2.0, 1.0), "delayed_gaussian": kernels.gaussian(2.0, 1.0, delay=3.0, causal=True),
-        "exponential": kernels.exponential(5.0, 1.0), "growth_decay": kernels.growth_decay(2.0, 10.0, 1.0), "boxcar": kernels.boxcar(5), "identity": kernels.identity(),
-    }
-    return spark.createDataFrame([(name, k, round(w, 12)) for name, found in taps.items() for k, w in found], "kernel string, k int, w double")
+    """Events of a day by half hours through each of the kernels, averaged by condition."""
+    ev, tr = _base(spark, sf_dir)
+    counts = binning.binned_counts(ev.select("trial_id", "t"), windows.align(tr, ev, "TrialStart:TrialEnd @ TrialStart"), HOUR / 2, "acausal")
+    out = None
+    for name, taps in _KERNELS.items():
+        rates = binning.smooth(counts, taps, HOUR / 2).join(tr.select("trial_id", "cond"), "trial_id")
+        part = rates.groupBy(F.lit(name).alias("kernel"), "cond", "bin").agg(F.round(F.avg("rate") * 1e6, 5).alias("mean"), F.count("rate").alias("n"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query(f"""{BOTH}, m AS (SELECT trial_id, occ, t FROM ev WHERE event = 'click')

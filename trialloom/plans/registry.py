@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from trialloom.plans import alignment, channels, cubes, dynamics, grouping, population, relations, resampling, reshaping, signals, summaries, timecourse, timeseries  # noqa: F401
+    from trialloom.plans import alignment, channels, cubes, dynamics, grouping, population, relations, resampling, reshaping, signals, summaries, timecourse, timeseries, trialsets  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -39,6 +39,15 @@ def build_trials(spark: SparkSession, durations: list[float]) -> DataFrame:
     return spark.createDataFrame([(i, 0.0, float(d)) for i, d in enumerate(durations, 1)], "trial_id long, t_start double, t_end double")
 
 
+def trials_of_durations(df: DataFrame, duration: str, order: list[str]) -> DataFrame:
+    """Trials 1 .. n, in that order ("-name" is descending; it tells rows apart), that hold nothing but
+    their start and stop, of lengths that a table has."""
+    from trialloom.operators.ranking import numbered
+
+    rows = numbered(df.select(*dict.fromkeys([duration, *(c.removeprefix("-") for c in order)])), [], order)
+    return rows.select((F.col("i") + 1).alias("trial_id"), F.lit(0.0).alias("t_start"), F.col(duration).cast("double").alias("t_end"))
+
+
 def samples_from_arrays(df: DataFrame, id_col: str, array_col: str, period: float = 1.0, start: float = 0.0) -> DataFrame:
     """trial_id, i, t, v from one array of evenly spaced samples a row."""
     rows = df.select(F.col(id_col).alias("trial_id"), F.posexplode(array_col).alias("i", "v"))
@@ -150,6 +159,12 @@ def count_vectors(counts: DataFrame, bases: list[str]) -> DataFrame:
     return wide.select("trial_id", "bin", *[F.coalesce(b, F.lit(0)).alias(b) for b in bases])
 
 
+def rates_from_vectors(vectors: DataFrame, bases: list[str]) -> DataFrame:
+    """trial_id, basis, bin, v: the inverse of count_vectors, for what a model of latent factors gives back
+    in place of counts; missing values have no row."""
+    return vectors.unpivot(["trial_id", "bin"], list(bases), "basis", "v").where("v is not null").select("trial_id", "basis", "bin", F.col("v").cast("double").alias("v"))
+
+
 def relabelled_points(points: DataFrame, labels: DataFrame, by: list[str], label: str = "unit") -> DataFrame:
     """points with label as labels(by, label) say, which a sorter gave back; points that it left out have none."""
     return points.drop(label).join(labels.select(*by, label), by, "left")
