@@ -472,8 +472,8 @@ def render(page: str | None) -> str:
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(page_id, text, n_chars) for every row. Null ids and repeated rows keep their rows;
-    other columns are not read."""
+    """(page_id, text, n_chars) for every row. Null and empty pages have empty texts; null ids and
+    repeated rows keep their rows, no rows give none; other columns are not read."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:

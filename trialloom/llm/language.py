@@ -178,8 +178,9 @@ def train(docs: DataFrame, usable: Column, sample: int = SAMPLE) -> Model | None
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) for every row: whole texts; `und` with score 0 where the text
-    is null or has no letter, or where there was nothing to learn from. Null ids and
-    repeated rows keep their rows; other columns are not read."""
+    is null or has no letter, or where there was nothing to learn from. Of languages with as
+    many duels won the one with the larger sum of margins wins, then the first by name. Null ids and
+    repeated rows keep their rows, no rows give none; other columns are not read."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     held = docs.sparkSession.sparkContext.broadcast(model)  # a row of weights for each pair of classes
 

@@ -159,7 +159,7 @@ def padded(text: str | None) -> tuple[int, bytes]:
 
 def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, media binary): an Ogg file for each row. Null texts count as empty; null
-    ids and repeated rows keep their rows; other columns are not read."""
+    ids and repeated rows keep their rows, no rows give none; other columns are not read."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:

@@ -307,7 +307,7 @@ def scores(texts: list[str | None], field: Field) -> list[float]:
 
 def score(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) for every row: whole texts, null as empty. Null ids and repeated rows
-    keep their rows; other columns are not read."""
+    keep their rows, equal texts have equal scores, no rows give none; other columns are not read."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:

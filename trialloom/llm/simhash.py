@@ -212,7 +212,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     component_id is the smallest doc_id among the rows whose fingerprints can be reached
     by links, the row itself included. Null ids keep their row and never name a
     component (a component of null ids only has a null component_id). Null, empty and
-    blank texts have fingerprint zero and are linked like any other. Repeated rows stay.
+    blank texts have fingerprint zero and are linked like any other. Repeated rows stay; no
+    rows give none.
     """
     rows = written(fingerprints(docs, id_col, text_col))
     named = _rooted(rows, limit).select("fp", "component_id")
