@@ -166,3 +166,15 @@ def test_channel_groups(spark):
     assert rows(g.filtered([0.5], [1.0, -0.5])) == [(0.0, [1.0, 2.0]), (10.0, [2.0, None]), (20.0, [3.5, 5.0])]
     back = ChannelGroup.of_tensor(g.tensor(), "trial_id", "tensor", ["a", "b"], 10.0)
     assert rows(back) == rows(g)
+
+
+@pytest.mark.parametrize(("b", "a"), [([0.2, 0.1], [1.0, -0.9, 0.2]), ([0.5, 0.25, 0.25], [1.0]), ([1.0], [2.0, -1.0]), ([0.1, 0.0, 0.3], [1.0, -0.5, 0.3, -0.1])])
+def test_blocks_filter_like_whole_trials(spark, b, a):
+    rng = np.random.default_rng(5)
+    rows = [(k, float(t), None if rng.random() < 0.05 else float(rng.normal())) for k, n in enumerate((100, 16, 3, 1, 33)) for t in range(n)]
+    df = spark.createDataFrame(rows, "trial_id int, t double, v double").repartition(4)
+    for settled in (True, False):
+        for both in (True, False):
+            want = {(r.trial_id, r.t): r.y for r in sequential.filter_series(df, b, a, settled, both).collect() if r.y is not None}
+            got = {(r.trial_id, r.t): r.y for r in sequential.filter_long_series(df, b, a, settled, both, block=16).collect()}
+            assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)

@@ -86,6 +86,97 @@ def filter_series(samples: DataFrame, b: list[float], a: list[float], settled: b
     return filtered.select("trial_id", F.explode(F.arrays_zip("ts", "ys")).alias("s")).select("trial_id", F.col("s.ts").alias("t"), F.nanvl("s.ys", F.lit(None)).alias("y"))
 
 
+#: Samples of one row where a trial is cut into blocks.
+LONG = 1 << 16
+
+
+def filter_long_series(samples: DataFrame, b: list[float], a: list[float], settled: bool = True, both_ways: bool = False, block: int = LONG) -> DataFrame:
+    """trial_id, t, y: filter_series for trials of any length, times of a trial being distinct.
+
+    A trial's known samples are numbered without ordering it in one task and cut into blocks, which are
+    filtered as if nothing had been before them. What was before adds to a block's outputs by the
+    filter's last outputs alone: these follow from block to block by a small product, so only they,
+    a few numbers a block, are gone through in order. Missing samples have no row.
+    """
+    from trialloom.operators.ranking import numbered
+    from trialloom.sources.tables import written
+
+    out = samples.where("v is not null and not isnan(v)").select("trial_id", F.col("t").cast("double").alias("t"), F.col("v").cast("double").alias("v"))
+    for order in ("t", "-t") if both_ways else ("t",):
+        out = _filtered_blocks(written(numbered(out, ["trial_id"], order)), b, a, settled, block).withColumnRenamed("y", "v")
+    return out.withColumnRenamed("v", "y")
+
+
+def _filtered_blocks(rows: DataFrame, b: list[float], a: list[float], settled: bool, block: int) -> DataFrame:
+    """trial_id, t, y of rows(trial_id, i, t, v), i counting the samples of a trial from 0."""
+    from trialloom.sources.tables import written
+
+    kind = rows.schema["trial_id"].dataType.simpleString()
+    nb, na = np.asarray(b, dtype=float) / a[0], np.asarray(a, dtype=float) / a[0]
+    m, reach = len(na) - 1, len(nb) - 1
+    k = F.floor(F.col("i") / block)
+    own = F.struct(k.alias("k"), (F.col("i") - k * block).alias("p"))
+    # the last samples of a block count for the next one's inputs too
+    also = F.struct((k + 1).alias("k"), (F.col("i") - (k + 1) * block).alias("p"))
+    dealt = rows.select("trial_id", "t", "v", F.explode(F.when(F.col("i") - k * block >= block - reach, F.array(own, also)).otherwise(F.array(own))).alias("at"))
+    cut = dealt.groupBy("trial_id", "at.k").agg(F.array_sort(F.collect_list(F.struct("at.p", "t", "v"))).alias("s"))
+
+    def alone(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            ts, ys, ends, firsts = [], [], [], []
+            for block_, entries in zip(frame["k"], frame["s"], strict=True):
+                place, v = np.array([e["p"] for e in entries]), np.array([e["v"] for e in entries])
+                mine, x = place >= 0, v
+                if block_ == 0:
+                    x = np.concatenate([np.full(reach, v[0] if settled else 0.0), v])
+                u = np.convolve(x, nb)[reach : len(x)] if mine.any() else np.zeros(0)
+                y = recurse([1.0], na.tolist(), u, False)
+                ts.append(np.array([e["t"] for e in entries])[mine])
+                ys.append(y)
+                ends.append(y[::-1][:m])  # the latest comes first
+                firsts.append(float(v[0]) if block_ == 0 and settled else 0.0)
+            yield pd.DataFrame({"trial_id": frame["trial_id"], "k": frame["k"], "ts": ts, "ys": ys, "end": ends, "first": firsts})
+
+    blocks = written(cut.mapInPandas(alone, f"trial_id {kind}, k bigint, ts array<double>, ys array<double>, end array<double>, first double").where(F.size("ts") > 0))
+    heads = blocks.groupBy("trial_id").agg(F.array_sort(F.collect_list(F.struct("k", "end", "first"))).alias("s"))
+
+    def before(n: int) -> np.ndarray:
+        """What n outputs are by each of the m outputs before them."""
+        out = np.zeros((n, m))
+        for j, e in enumerate(np.eye(m)):
+            past = list(e)
+            for i in range(n):
+                y = -float(np.dot(na[1:], past))
+                out[i, j] = y
+                past = [y, *past[:-1]]
+        return out
+
+    def carried(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ahead = before(block)[::-1][:m] if m else np.zeros((0, 0))
+        for frame in frames:
+            ids, ks, pasts = [], [], []
+            for trial, entries in zip(frame["trial_id"], frame["s"], strict=True):
+                past = np.full(m, nb.sum() / na.sum() * entries[0]["first"])
+                for e in entries:
+                    ids.append(trial)
+                    ks.append(e["k"])
+                    pasts.append(past)
+                    if len(e["end"]) == m:  # all blocks but perhaps the last, which nothing follows
+                        past = np.asarray(e["end"]) + ahead @ past
+            yield pd.DataFrame({"trial_id": ids, "k": ks, "past": pasts})
+
+    pasts = heads.mapInPandas(carried, f"trial_id {kind}, k bigint, past array<double>")
+
+    def whole(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        response = before(block) if m else np.zeros((block, 0))
+        for frame in frames:
+            ys = [np.asarray(y) + response[: len(y)] @ np.asarray(p) for y, p in zip(frame["ys"], frame["past"], strict=True)]
+            yield pd.DataFrame({"trial_id": frame["trial_id"], "ts": frame["ts"], "ys": ys})
+
+    done = blocks.select("trial_id", "k", "ts", "ys").join(pasts, ["trial_id", "k"]).select("trial_id", "ts", "ys", "past").mapInPandas(whole, f"trial_id {kind}, ts array<double>, ys array<double>")
+    return done.select("trial_id", F.explode(F.arrays_zip("ts", "ys")).alias("s")).select("trial_id", F.col("s.ts").alias("t"), F.col("s.ys").alias("y"))
+
+
 def snippets(samples: DataFrame, threshold: float, before: int, after: int, refractory: int) -> DataFrame:
     """trial_id, t, wave: samples around each crossing, from left to right; a crossing within
     refractory samples of the last kept one, or without room for its snippet, is left out."""

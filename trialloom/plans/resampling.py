@@ -54,6 +54,14 @@ def zero_phase_filter(spark, sf_dir):
     return out.select("trial_id", F.col("t").cast("long").alias("bin"), F.round("y", 5).alias("y"))
 
 
+@query(f"""WITH RECURSIVE {_EVEN}, f AS (SELECT trial_id, bin, v AS x, v AS y, v AS y1 FROM x WHERE bin = 0 UNION ALL SELECT x.trial_id, x.bin, x.v, 0.9 * f.y - 0.2 * f.y1 + 0.2 * x.v + 0.1 * f.x, f.y FROM f JOIN x ON x.trial_id = f.trial_id AND x.bin = f.bin + 1)
+SELECT trial_id, bin, round(y, 5) AS y FROM f""")
+def long_filter(spark, sf_dir):
+    """A resonant filter along series that are cut into blocks of 20 samples, its last outputs carried on."""
+    out = sequential.filter_long_series(_even(spark, sf_dir).select("trial_id", "t", "v"), [0.2, 0.1], [1.0, -0.9, 0.2], block=20)
+    return out.select("trial_id", F.col("t").cast("long").alias("bin"), F.round("y", 5).alias("y"))
+
+
 @query(f"""WITH RECURSIVE {_EVEN}, c AS (SELECT w * w / (1 + sqrt(2) * w + w * w) AS g, 2 * (w * w - 1) / (1 + sqrt(2) * w + w * w) AS a1, (1 - sqrt(2) * w + w * w) / (1 + sqrt(2) * w + w * w) AS a2 FROM (SELECT tan(pi() * 5 / 50) AS w)),
 u AS (SELECT trial_id, bin, g * (v + 2 * coalesce(lag(v) OVER o, 0) + coalesce(lag(v, 2) OVER o, 0)) AS u FROM x, c WINDOW o AS (PARTITION BY trial_id ORDER BY bin)),
 f AS (SELECT trial_id, bin, u AS y, CAST(0 AS DOUBLE) AS y1 FROM u WHERE bin = 0 UNION ALL SELECT u.trial_id, u.bin, u.u - c.a1 * f.y - c.a2 * f.y1, f.y FROM f JOIN u ON u.trial_id = f.trial_id AND u.bin = f.bin + 1, c) SELECT trial_id, bin, round(y, 5) AS y FROM f""")

@@ -151,13 +151,13 @@ def _cube(spark, sf_dir):
 
 @query(f"""WITH {_CUBE}, o AS (SELECT vec_id, label AS cond, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i, count(*) OVER (PARTITION BY label) AS n FROM embeddings),
 d AS (SELECT draw, cond, CAST(('0x' || substr(md5((30 + draw) || ':' || cond || ':' || i), 1, 8)) AS BIGINT) % n AS j FROM o, (SELECT unnest(range(0, 2)) AS draw)),
-q AS (SELECT draw, d.cond, basis, avg(v) AS mean FROM d JOIN o ON o.cond = d.cond AND o.i = j JOIN x ON x.vec_id = o.vec_id WHERE basis < 6 GROUP BY 1, 2, 3),
+q AS (SELECT draw, d.cond, basis, avg(v) AS mean FROM d JOIN o ON o.cond = d.cond AND o.i = j JOIN x ON x.vec_id = o.vec_id GROUP BY 1, 2, 3),
 s AS (SELECT draw, basis, avg(mean) AS m, stddev_pop(mean) AS s FROM q GROUP BY 1, 2) SELECT q.draw, q.basis, cond, round(s.m + (mean - s.m) * s0.s / s.s, 5) AS mean FROM q JOIN s USING (draw, basis) JOIN s s0 ON s0.draw = 0 AND s0.basis = q.basis""")
 def population_bootstrap(spark, sf_dir):
-    """Resampled cubes of six bases, brought to the variance of the first."""
+    """Resampled cubes, brought to the variance of the first."""
     e = _read(spark, sf_dir, "embeddings")
     draws = randomise.bootstrap(e.select(F.col("vec_id").alias("trial_id"), F.col("label").alias("cond")), draws=2, seed=30)
-    values = e.select(F.col("vec_id").alias("trial_id"), F.posexplode(F.slice("embedding", 1, 6)).alias("basis", "v")).withColumn("v", F.col("v").cast("double"))
+    values = e.select(F.col("vec_id").alias("trial_id"), F.posexplode("embedding").alias("basis", "v")).withColumn("v", F.col("v").cast("double"))
     return population.resampled_cubes(values, draws).select("draw", "basis", "cond", F.round("mean", 5).alias("mean"))
 
 
