@@ -20,6 +20,13 @@ def occurrences(events: DataFrame, first: int = 1, last: int = 1, from_end: bool
     return events.withColumn("nth", F.row_number().over(w)).where(F.col("nth").between(first, last))
 
 
+def event_summary(trials: DataFrame, events: DataFrame, event: str) -> DataFrame:
+    """trial_id, n, has, first, last of an event in every trial."""
+    found = events.where(F.col("event") == event).groupBy("trial_id").agg(F.count("t").alias("n"), F.min("t").alias("first"), F.max("t").alias("last"))
+    rows = trials.select("trial_id").join(found, "trial_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return rows.select("trial_id", "n", (F.col("n") > 0).alias("has"), "first", "last")
+
+
 def previous(trials: DataFrame, column: str, n: int, valid: Column, within: list[str]) -> Column:
     """The value n trials before within a stored order, NULL where this or that trial is invalid."""
     *groups, order = within

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from trialloom.functions.stats import mean_sem
+from trialloom.functions.stats import clean, mean_sem
 from trialloom.operators.binning import resample_average, resample_interpolated
+from trialloom.operators.ranking import hazen_quantiles
 from trialloom.operators.windows import in_window
 
 
@@ -45,6 +48,45 @@ def group_means(series: DataFrame, groups: DataFrame, min_count: int = 1, by: li
     return rows.groupBy(*(by or []), "cond", "bin").agg(*mean_sem("v", min_count))
 
 
+def time_then_trial_means(samples: DataFrame, groups: DataFrame, min_count: int = 1) -> DataFrame:
+    """cond, mean, sem, std, n: each trial's mean over time, then over the trials of a condition."""
+    within = samples.groupBy("trial_id").agg(F.avg(clean("v")).alias("v")).join(groups.select("trial_id", "cond"), "trial_id")
+    return within.groupBy("cond").agg(*mean_sem("v", min_count))
+
+
+def signal_to_noise(cells: DataFrame, by: list[str] | None = None, reach: float = 0.95, noise: float = 0.9) -> DataFrame:
+    """*by, snr: the span of the means of cells(mean, sem) over the size of their errors, by exact quantiles:
+    reach less what it leaves over for the means, noise for the errors. Cells without an error do not count."""
+    keys, known = by or [], cells.where("sem > 0")
+    means = hazen_quantiles(known, keys, "mean", [1 - reach, reach]).groupBy(*keys).agg((F.max("x") - F.min("x")).alias("_span"))
+    errors = hazen_quantiles(known, keys, "sem", [noise]).select(*keys, F.col("x").alias("_noise"))
+    both = means.join(errors, keys) if keys else means.crossJoin(errors)  # a row each
+    return both.select(*keys, F.try_divide("_span", "_noise").alias("snr"))
+
+
+def tuning_depth(cells: DataFrame, by: list[str], cond: str = "cond", value: str = "mean") -> DataFrame:
+    """*by, n, lowest, highest, depth: the conditions with the lowest and highest mean, and how far these lie apart."""
+    return cells.groupBy(*by).agg(F.count("*").alias("n"), F.min_by(cond, value).alias("lowest"), F.max_by(cond, value).alias("highest"), (F.max(value) - F.min(value)).alias("depth"))
+
+
+def regrouped(cube: DataFrame, conditions: dict[int, int], by: list[str]) -> DataFrame:
+    """*by, cond, mean, sem, n of a cube whose conditions are merged as conditions says (old to new; others
+    go): as if their trials had been one condition's. by names the cube's other keys."""
+    mapping = F.create_map(*[F.lit(x) for pair in conditions.items() for x in pair])
+    rows = cube.withColumn("cond", F.try_element_at(mapping, F.col("cond"))).where("cond is not null and n > 0")
+    n, mean = F.col("n"), F.col("mean")
+    # squares of the trials' deviations: within a condition n (n - 1) sem^2, and of its mean from the mean of all
+    sums = rows.groupBy(*by, "cond").agg(F.sum(n).alias("n"), F.sum(n * mean).alias("_s"), F.sum(n * mean * mean + n * (n - 1) * F.coalesce(F.col("sem") * F.col("sem"), F.lit(0.0))).alias("_q"))
+    spread = F.greatest(F.lit(0.0), F.col("_q") - F.col("_s") * F.col("_s") / F.col("n"))
+    return sums.select(*by, "cond", (F.col("_s") / F.col("n")).alias("mean"), F.sqrt(F.try_divide(spread, F.col("n") * (F.col("n") - 1))).alias("sem"), "n")
+
+
+def valid_bases(cubes: list[DataFrame]) -> DataFrame:
+    """basis: those that in each of the cubes(basis, mean, ...) have a mean somewhere."""
+    found = [c.where("mean is not null").select("basis").distinct() for c in cubes]
+    return reduce(lambda a, b: a.join(b, "basis", "left_semi"), found)
+
+
 def population(sources: dict[str, DataFrame]) -> DataFrame:
     """basis, trial_id, bin, v: the series(trial_id, bin, v) of several tables as one. Sources that
     lie in one table need no union: binning.counts_by_basis takes them by name."""

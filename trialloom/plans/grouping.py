@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trialloom.functions import stats
 from trialloom.operators import conditions as C
-from trialloom.operators import catalog, randomise
+from trialloom.operators import catalog, randomise, timecourse
 from trialloom.operators.ranking import hazen_quantiles
 from trialloom.plans.base import BOTH, events_long, trials
 from trialloom.plans.registry import query
@@ -222,6 +222,5 @@ SELECT round(((SELECT x FROM e, r WHERE kx = floor(hi)) + (hi - floor(hi)) * ((S
 def signal_to_noise(spark, sf_dir):
     """Span of the means over the size of their errors, both by quantiles."""
     tr = _tr(spark, sf_dir).withColumn("t", F.col("k") % 6)
-    m = tr.groupBy("cond", "t").agg(*stats.mean_sem("n_events")).where("sem > 0")
-    span = stats.hazen_quantile("mean", 0.95) - stats.hazen_quantile("mean", 0.05)
-    return m.agg(F.round(F.try_divide(span, stats.hazen_quantile("sem", 0.9)), 6).alias("snr"))
+    m = tr.groupBy("cond", "t").agg(*stats.mean_sem("n_events"))
+    return timecourse.signal_to_noise(m).select(F.round("snr", 6).alias("snr"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trialloom.functions import stats
-from trialloom.operators import contrasts, histograms, population, randomise, signals
+from trialloom.operators import contrasts, histograms, population, randomise, signals, timecourse
 from trialloom.plans.base import BOTH, events_long, samples, trials
 from trialloom.plans.registry import query
 
@@ -123,8 +123,8 @@ def variance_explained(spark, sf_dir):
 @query(f"""{BOTH}, m AS (SELECT cond, k % 6 AS t, avg(n_events) AS x FROM tr GROUP BY 1, 2) SELECT t, count(*) AS n, min_by(cond, x) AS lowest, max_by(cond, x) AS highest, round(max(x) - min(x), 6) AS depth FROM m GROUP BY t""")
 def tuning_depth(spark, sf_dir):
     """At each time the conditions with the lowest and highest mean, and how far they lie apart."""
-    m = trials(events_long(spark, sf_dir)).withColumn("t", F.col("k") % 6).groupBy("cond", "t").agg(F.avg("n_events").alias("x"))
-    return m.groupBy("t").agg(F.count("*").alias("n"), F.min_by("cond", "x").alias("lowest"), F.max_by("cond", "x").alias("highest"), F.round(F.max("x") - F.min("x"), 6).alias("depth"))
+    m = trials(events_long(spark, sf_dir)).withColumn("t", F.col("k") % 6).groupBy("cond", "t").agg(F.avg("n_events").alias("mean"))
+    return timecourse.tuning_depth(m, ["t"]).select("t", "n", "lowest", "highest", F.round("depth", 6).alias("depth"))
 
 
 @query("""SELECT CAST(o_orderstatus AS VARCHAR) AS o_orderstatus, round(regr_slope(o_totalprice, o_custkey), 6) AS slope, round(regr_intercept(o_totalprice, o_custkey), 4) AS intercept FROM orders GROUP BY 1""")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trialloom.operators import binning, contrasts, timecourse, windows
 from trialloom.plans.alignment import AROUND, CLICKS, HOUR
-from trialloom.plans.base import BOTH, events_long, points, samples, trials
+from trialloom.plans.base import BOTH, events_long, samples, trials
 from trialloom.plans.registry import query
 
 _GRID = f"""{CLICKS}, s AS (SELECT al.trial_id, CAST(floor((t - zero) / 1800000) AS BIGINT) AS bin, avg(v) AS v FROM al JOIN ev ON ev.trial_id = al.trial_id AND t BETWEEN start AND stop GROUP BY 1, 2),
@@ -151,3 +151,13 @@ def combined_counts(spark, sf_dir):
     aligned = windows.align_all(trials(ev), ev, list(_WINDOWS))
     n = binning.counts_in_windows(ev.where("event in ('click', 'view')"), aligned)
     return n.groupBy("trial_id").pivot("align_id", [0, 1, 2]).agg(F.first("n")).select("trial_id", *[F.coalesce(F.col(str(i)), F.lit(0)).alias(c) for i, c in enumerate(("around_click", "around_purchase", "within_views"))])
+
+
+@query(f"""{_ALIGNMENTS}, m AS (SELECT align_id, basis, bin, CASE WHEN cond = 0 THEN 0 ELSE 1 END AS cond, v FROM x JOIN win w USING (align_id, cond) WHERE bin BETWEEN w.first AND w.last AND (align_id, basis, cond, bin) IN (SELECT (align_id, basis, cond, bin) FROM pop))
+SELECT align_id, basis, cond, bin, round(avg(v), 6) AS mean, round(stddev_samp(v) / sqrt(count(*)), 6) AS sem, count(*) AS n FROM m GROUP BY 1, 2, 3, 4""")
+def regrouped_population(spark, sf_dir):
+    """The population under three alignments with two of its conditions made one, from the cube alone."""
+    counts, tr = _counts(spark, sf_dir, list(_WINDOWS), _KINDS)
+    cube = timecourse.population_means(counts, tr, 5, ["align_id"]).where("n >= 5")
+    got = timecourse.regrouped(cube, {0: 0, 1: 1, 2: 1}, ["align_id", "basis", "bin"])
+    return got.select("align_id", "basis", "cond", "bin", F.round("mean", 6).alias("mean"), F.round("sem", 6).alias("sem"), "n")

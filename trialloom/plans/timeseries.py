@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trialloom.functions import kernels
 from trialloom.functions.stats import mean_sem
-from trialloom.operators import binning, sequential, series
+from trialloom.operators import binning, sequential, series, timecourse
 from trialloom.plans.base import BOTH, events_long, points, samples, trials
 from trialloom.plans.registry import query
 
@@ -22,9 +22,7 @@ FROM tr LEFT JOIN ev c ON c.trial_id = tr.trial_id AND c.event = 'click' GROUP B
 def event_summary(spark, sf_dir):
     """Count, existence, first and last click of every trial."""
     ev = events_long(spark, sf_dir)
-    c = points(ev, "click").groupBy("trial_id").agg(F.count("t").alias("n"), F.min("t").alias("first"), F.max("t").alias("last"))
-    out = trials(ev).select("trial_id").join(c, "trial_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return out.select("trial_id", "n", (F.col("n") > 0).alias("has"), F.round("first", 3).alias("first"), F.round("last", 3).alias("last"))
+    return series.event_summary(trials(ev), ev, "click").select("trial_id", "n", "has", F.round("first", 3).alias("first"), F.round("last", 3).alias("last"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN lag(CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END, 2) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) END AS price_back FROM orders""")
@@ -184,8 +182,7 @@ def pooled_rms(spark, sf_dir):
 def two_level_mean(spark, sf_dir):
     """Means over time within trials, then over trials."""
     ev = events_long(spark, sf_dir)
-    within = ev.groupBy("trial_id").agg(F.avg("v").alias("v")).join(trials(ev).select("trial_id", "cond"), "trial_id")
-    return within.groupBy("cond").agg(*mean_sem("v")).select("cond", *[F.round(c, 6).alias(c) for c in ("mean", "sem", "std")], "n")
+    return timecourse.time_then_trial_means(ev, trials(ev)).select("cond", *[F.round(c, 6).alias(c) for c in ("mean", "sem", "std")], "n")
 
 
 @query(f"""WITH RECURSIVE {BOTH[5:]}, o AS (SELECT trial_id, t, v, row_number() OVER (PARTITION BY trial_id ORDER BY t) AS i FROM ev),
