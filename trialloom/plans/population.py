@@ -46,10 +46,21 @@ def gram_matrix(spark, sf_dir):
     return P.gram(_cube(spark, sf_dir)).select("i", "j", F.round("g", 6).alias("g"))
 
 
-@query()
+def _power(n: int) -> str:
+    """The n-th direction by power iteration, and what is left of the matrix without it."""
+    return f"""r{n}(k, v) AS (SELECT 0, list_transform(range(64), lambda i: 1.0::DOUBLE + i * 0.01) UNION ALL SELECT k + 1, list_transform(u, lambda x: x / sqrt(list_dot_product(u, u))) FROM (SELECT k, list_transform(g, lambda r: list_dot_product(r, v)) AS u FROM r{n}, g{n} WHERE k < 1500)),
+l{n} AS (SELECT v, list_dot_product(v, list_transform(g, lambda r: list_dot_product(r, v))) AS l FROM r{n}, g{n} WHERE k = 1500),
+g{n + 1} AS (SELECT list_transform(range(64), lambda i: list_transform(range(64), lambda j: g[i + 1][j + 1] - l * v[i + 1] * v[j + 1])) AS g FROM g{n}, l{n})"""
+
+
+@query(f"""WITH RECURSIVE {_X[5:]}, m AS (SELECT basis, avg(mean) AS m FROM c GROUP BY basis), z AS (SELECT basis, cond, mean - m AS z FROM c JOIN m USING (basis)),
+e AS (SELECT a.basis AS i, b.basis AS j, sum(a.z * b.z) AS g FROM z a JOIN z b ON a.cond = b.cond GROUP BY 1, 2), g0 AS (SELECT list(r ORDER BY i) AS g FROM (SELECT i, list(g ORDER BY j) AS r FROM e GROUP BY i)),
+{_power(0)}, {_power(1)}, {_power(2)},
+w AS (SELECT d, l, list_transform(v, lambda x: x * CASE WHEN v[list_position(list_transform(v, lambda y: abs(y)), list_max(list_transform(v, lambda y: abs(y))))] < 0 THEN -1 ELSE 1 END) AS v FROM (SELECT 0 AS d, * FROM l0 UNION ALL SELECT 1, * FROM l1 UNION ALL SELECT 2, * FROM l2))
+SELECT d AS dimension, cond, round(sum(z * v[basis + 1]), 4) AS score, round(any_value(l) / (SELECT sum(g) FROM e WHERE i = j), 5) AS explained FROM z, w GROUP BY 1, 2""")
 def principal_components(spark, sf_dir):
     """Projections of conditions on three components, and the variance that these explain."""
-    return P.principal_components(_cube(spark, sf_dir), 3)
+    return P.principal_components(_cube(spark, sf_dir), 3).select("dimension", "cond", F.round("score", 4).alias("score"), F.round("explained", 5).alias("explained"))
 
 
 @query(f"""{_X} SELECT a.cond AS cond_a, b.cond AS cond_b, round(sqrt(sum((a.mean - b.mean) * (a.mean - b.mean))), 6) AS distance FROM c a JOIN c b ON a.basis = b.basis AND a.cond < b.cond GROUP BY 1, 2""")

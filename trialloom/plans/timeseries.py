@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trialloom.functions import kernels
-from trialloom.functions.stats import mean_sem
 from trialloom.operators import binning, sequential, series, timecourse
 from trialloom.plans.base import BOTH, events_long, points, samples, trials
 from trialloom.plans.registry import query
