@@ -1,3 +1,5 @@
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,7 +7,7 @@ import corpus_pipeline
 from trialloom.llm import mixing, quality, secrets, simhash
 from trialloom.llm.common import held_out
 
-SF = "/root/testdata/sf0.001"
+SF, SF2 = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")

@@ -244,7 +244,7 @@ def fit_rates(members: DataFrame, targets: list[float], steps: int = STEPS, keep
     rate, off = before[0], before[1]
     reached = [float(x) for x in off + goal]
     if np.abs(reached - np.array(targets)).max() > CLOSE:
-        logging.getLogger(__name__).warning("shares of tokens reached: %s; targets: %s; without tokens: %s", reached, targets, scarce.tolist())
+        logging.getLogger(__name__).warning("shares of tokens reached: %s; targets: %s; without tokens: %s", reached, targets, few.tolist())
     return table.withColumn("rate", rate), reached
 
 
