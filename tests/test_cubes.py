@@ -34,6 +34,14 @@ def test_axes_of_several_attributes(trials):
     assert c.conditions() == [{"perturb": ("Left",), "target": ("Up",)}, {"perturb": None, "target": ("Down",)}]
 
 
+def test_product(trials):
+    a, b = Cube().filtered(success=True).by("target", ["Up", "Down"]), Cube().filtered(success=[True, False]).by("perturb", ["Left", "Right"])
+    assert held(a * b, trials) == {0: {2}, 3: {4}}
+    assert held(a * b, trials) == held(Cube().filtered(success=True).by("target", ["Up", "Down"]).by("perturb", ["Left", "Right"]), trials)
+    with pytest.raises(ValueError):
+        a * a
+
+
 def test_occupied_and_frozen(trials):
     c = Cube().by_values(trials, "perturb", "target")
     assert len(c.axes[0].cells) == 7

@@ -161,6 +161,17 @@ def test_ridge_by_unseen_trials(spark):
     assert demixing.best_ridge(errors) == min(got, key=got.get)
 
 
+def test_regression_between_populations(spark):
+    rng = np.random.default_rng(6)
+    x, w = rng.normal(size=(30, 4)), rng.normal(size=(4, 3))
+    y = x @ w + 7.0
+    frame = lambda m: spark.createDataFrame([(c, j, float(v)) for (c, j), v in np.ndenumerate(m)] + [(99, 0, 1.0)], "cond int, basis int, mean double")
+    got = np.zeros((4, 3))
+    for r in demixing.regression_weights(frame(x), [0, 1, 2, 3], frame(y), [0, 1, 2], ["cond"]).collect():
+        got[r.basis, r.dimension] = r.w
+    assert np.allclose(got, w, atol=1e-9)  # the condition that lacks bases does not count
+
+
 def test_signal_is_what_noise_leaves(spark):
     _, trials = mixed(spark, 1.0, n=60)
     rows = trials.withColumn("cond", F.col("a") * 2 + F.col("b"))

@@ -90,6 +90,13 @@ def set_invalid(trials: DataFrame, valid: Column, cause: str) -> DataFrame:
     return known.withColumn("cause", F.coalesce("cause", F.when(~F.coalesce(valid, F.lit(False)), F.lit(cause))))
 
 
+def reset_invalid(trials: DataFrame, causes: list[str] | None = None) -> DataFrame:
+    """Trials valid again that were marked invalid for one of causes, or for any."""
+    if "cause" not in trials.columns:
+        return trials.withColumn("cause", F.lit(None).cast("string"))
+    return trials.withColumn("cause", F.when(~F.col("cause").isin(causes), F.col("cause")) if causes else F.lit(None).cast("string"))
+
+
 def distinct_with_tolerance(df: DataFrame, column: str, tol: float = 1e-6) -> DataFrame:
     """Sorted distinct numbers; a value within tol * max|x| of its predecessor is the same.
 

@@ -107,6 +107,24 @@ def cross_validated_demixing(trials: DataFrame, axes: list[str], bases: list, ri
     return trials.sparkSession.createDataFrame(out, "ridge double, error double")
 
 
+def regression_weights(a: DataFrame, bases_a: list, b: DataFrame, bases_b: list, keys: list[str], ridge: float = 0.0) -> DataFrame:
+    """basis, dimension, w: how each basis of population b (the dimensions) is read from those of a.
+
+    Cubes are rows(*keys, basis, mean); the keys at which both have all their bases are used,
+    centred over them. Directions in which a does not vary weigh nothing.
+    """
+    x, y = _arrays(a, keys, bases_a, "mean"), _arrays(b, keys, bases_b, "mean").withColumnRenamed("x", "y")
+    row = F.concat("x", "y", F.array(F.lit(1.0)))
+    m, n = moments(x.join(y, keys).select(row.alias("v")), "v", "v"), len(bases_a)
+    if not len(m):
+        raise ValueError("no key at which both populations have all their bases")
+    m = m[:-1, :-1] - np.outer(m[:-1, -1], m[-1, :-1]) / m[-1, -1]  # about the means
+    w = np.linalg.lstsq(m[:n, :n] + ridge * np.eye(n), m[:n, n:], rcond=1e-10)[0]
+    kinds = [d.schema["basis"].dataType.simpleString() for d in (a, b)]
+    rows = [(p, q, float(w[i, j])) for i, p in enumerate(bases_a) for j, q in enumerate(bases_b)]
+    return a.sparkSession.createDataFrame(rows, f"basis {kinds[0]}, dimension {kinds[1]}, w double")
+
+
 def best_ridge(errors: DataFrame) -> float:
     """The ridge of the smallest error, of equal ones the largest."""
     return errors.agg(F.min_by("ridge", F.struct("error", -F.col("ridge")))).first()[0]

@@ -112,6 +112,19 @@ def demixed_components(spark, sf_dir):
     return shares.select("term", "of_term", F.round("explained", 5).alias("explained"), F.round("share", 5).alias("share"))
 
 
+@query(f"""{_X}, z AS (SELECT cond, basis, mean - avg(mean) OVER (PARTITION BY basis) AS z FROM c)
+SELECT a.basis AS i, b.basis AS j, round(sum(a.z * b.z), 6) AS g FROM z a JOIN z b USING (cond) WHERE a.basis % 2 = 0 AND b.basis % 2 = 1 GROUP BY 1, 2""")
+def regression_between_populations(spark, sf_dir):
+    """One half of the bases read from the other with a ridge: the weights solve the normal equations."""
+    cube = population.population(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "label", "embedding")
+    even, odd = cube.where("basis % 2 = 0"), cube.where("basis % 2 = 1")
+    w = demixing.regression_weights(even, list(range(0, 64, 2)), odd, list(range(1, 64, 2)), ["cond"], 0.01)
+    g = population.gram(even)
+    whole = g.unionByName(g.where("i < j").select(F.col("j").alias("i"), F.col("i").alias("j"), "g")).withColumn("g", F.col("g") + F.when(F.col("i") == F.col("j"), 0.01).otherwise(0.0))
+    back = whole.join(w.withColumnRenamed("basis", "j"), "j").groupBy("i", F.col("dimension").alias("j2")).agg(F.sum(F.col("g") * F.col("w")).alias("g"))
+    return back.select("i", F.col("j2").alias("j"), F.round("g", 6).alias("g"))
+
+
 @query(f"""{_X}, k AS (SELECT cond, basis, v, md5('12:' || vec_id) AS h FROM x), y AS (SELECT cond, basis, (arg_min(v, h) - arg_max(v, h)) / sqrt(2.0 * count(*)) AS diff FROM k GROUP BY 1, 2 HAVING count(*) > 1),
 z AS (SELECT cond, basis, mean - avg(mean) OVER (PARTITION BY basis) AS z FROM c), s AS (SELECT basis % 3 AS dimension, cond, sum(z / (1 + basis)) AS z, sum(diff / (1 + basis)) AS e FROM z JOIN y USING (cond, basis) GROUP BY 1, 2),
 t AS (SELECT dimension, sum(z * z) AS total, sum(e * e) AS noise, greatest(0, sum(z * z) - sum(e * e)) AS signal FROM s GROUP BY 1)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from trialloom.api import Trials
 from trialloom.functions import arrays
-from trialloom.operators import binning, catalog, contrasts, sequential, series, signals, windows
+from trialloom.operators import binning, catalog, conditions, contrasts, population, sequential, series, signals, windows
 from trialloom.plans.alignment import AROUND, CLICKS, HOUR
 from trialloom.plans.base import BOTH, DAY, events_long, trials
 from trialloom.plans.registry import query
@@ -127,6 +127,24 @@ def array_elements(spark, sf_dir):
     return found.select("vec_id", "kind", F.posexplode("found").alias("i", "v"))
 
 
+@query(f"{BOTH} SELECT CASE WHEN n_events < 2 THEN 'few events' END AS cause, count(*) AS n FROM tr GROUP BY 1")
+def reset_validity(spark, sf_dir):
+    """Trials marked invalid for two causes, one of which is taken back."""
+    tr = trials(events_long(spark, sf_dir))
+    marked = conditions.set_invalid(conditions.set_invalid(tr, F.col("n_events") >= 2, "few events"), F.col("k") % 2 == 0, "odd")
+    return conditions.reset_invalid(marked, ["odd"]).groupBy("cause").agg(F.count("*").alias("n"))
+
+
+@query("WITH x AS (SELECT label AS cond, i - 1 AS basis, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS i)) SELECT cond, basis, round(avg(v), 6) AS mean, count(*) AS n FROM x WHERE cond <> 0 GROUP BY 1, 2")
+def saved_population(spark, sf_dir):
+    """A population saved with its conditions and read back, some conditions only."""
+    cube = population.population(_read(spark, sf_dir, "embeddings"), "label", "embedding")
+    path = f"{tables.shared_dir(spark)}/population-{uuid.uuid4().hex}"
+    tables.save({"cube": cube, "conditions": cube.select("cond").distinct().withColumn("used", F.col("cond") != 0)}, path, {"cube": "cond"})
+    back, used = spark.read.parquet(f"{path}/cube"), spark.read.parquet(f"{path}/conditions").where("used")
+    return back.join(used, "cond", "left_semi").select("cond", "basis", F.round("mean", 6).alias("mean"), "n")
+
+
 _RIDGES = [0.0, 1000.0, 100_000.0]
 
 
