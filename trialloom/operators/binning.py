@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialloom.functions.kernels import Taps
-from trialloom.functions.stats import ceil_tol, floor_tol, mean_sem
+from trialloom.functions.stats import ceil_tol, floor_tol
 from trialloom.operators.windows import in_window
 
 # Where a bin begins relative to its label, in bins.
@@ -52,15 +52,99 @@ def _inner_bins(aligned: DataFrame, width: float) -> DataFrame:
 
 def _bins_met(width: float, mode: str) -> Column:
     """Of rows(zero, start_pad, stop_pad, lo, hi, ts) every bin of the grid once, and the bin of each point."""
+    inside = F.filter("ts", lambda t: t.between(F.col("start_pad"), F.col("stop_pad")))
+    labels = F.filter(F.transform(inside, lambda t: _label(t - F.col("zero"), width, mode)), lambda b: b.between(F.col("lo"), F.col("hi")))
+    return F.concat(F.sequence("lo", "hi"), F.coalesce(labels, F.array().cast("array<bigint>")))
+
+
+def _label(t: Column, width: float, mode: str) -> Column:
+    """The bin of a time relative to zero in a grid that ends with hi."""
     off = OFFSET[mode]
+    last = F.abs(t - (F.col("hi") + 1 + off) * width) < 1e-9  # on the closing edge of the last bin
+    return F.when(last, F.col("hi")).otherwise(F.floor(t / width - off).cast("long"))
 
-    def label(t: Column) -> Column:
-        last = F.abs(t - (F.col("hi") + 1 + off) * width) < 1e-9  # on the closing edge of the last bin
-        return F.when(last, F.col("hi")).otherwise(F.floor(t / width - off).cast("long"))
 
-    inside = F.filter("ts", lambda t: t.between(F.col("start_pad"), F.col("stop_pad")))
-    labels = F.filter(F.transform(inside, lambda t: label(t - F.col("zero"))), lambda b: b.between(F.col("lo"), F.col("hi")))
-    return F.concat(F.sequence("lo", "hi"), F.coalesce(labels, F.array().cast("array<bigint>")))
+def grids(aligned: DataFrame, groups: DataFrame, width: float) -> DataFrame:
+    """trial_id, cond, m, zero, start_pad, stop_pad, lo, hi (for each align_id, if there is one): the first and
+    last bin of each valid window, by the conditions of its trial; m, how often the trial is in one."""
+    times = groups.groupBy("trial_id", "cond").agg(F.count("*").alias("m"))
+    return _inner_bins(aligned, width).drop("s", "e", "b0", "b1", "valid").join(times, "trial_id")
+
+
+def points_in_grids(points: DataFrame, spans: DataFrame, width: float, mode: str = "causal") -> DataFrame:
+    """points(trial_id, t, ...) with the grids() of their trial and bin, where they fall into one of its bins."""
+    rows = points.withColumn("t", F.col("t").cast("double")).join(spans, "trial_id").where(F.col("t").between(F.col("start_pad"), F.col("stop_pad")))
+    return rows.withColumn("bin", _label(F.col("t") - F.col("zero"), width, mode)).where("bin between lo and hi")
+
+
+def _valid_grids(sizes: DataFrame, least: int, keys: list[str]) -> DataFrame:
+    """sizes(*keys, lo, hi, m) cut to the bins for which least trials have data: from the least-th smallest
+    lo to the least-th largest hi (of all, where there are fewer)."""
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy(*keys)  # a row for each pair of lo and hi
+    upto = sizes.withColumns({"_a": F.sum("m").over(w.orderBy("lo")), "_z": F.sum("m").over(w.orderBy(F.desc("hi")))})
+    first = F.coalesce(F.min(F.when(F.col("_a") >= least, F.col("lo"))).over(w), F.max("lo").over(w))
+    last = F.coalesce(F.max(F.when(F.col("_z") >= least, F.col("hi"))).over(w), F.min("hi").over(w))
+    cut = upto.withColumns({"_first": first, "_last": last})
+    return cut.select(*keys, F.greatest("lo", "_first").alias("lo"), F.least("hi", "_last").alias("hi"), "m").where("hi >= lo")
+
+
+def rate_means(points: DataFrame, aligned: DataFrame, groups: DataFrame, width: float, taps: Taps | None = None, scale: float = 1.0, bases: list[str] | None = None, mode: str = "causal", min_count: int = 1, least: int = 0) -> DataFrame:
+    """cond, bin, mean, sem, std, n over the trials of each condition (for each align_id, if there is one, and of bases,
+    names in points' column basis) of counts through a kernel, times scale, where all of the kernel's bins are there.
+
+    Zeros are counted, not made: only bins that a point reaches are rows of a trial, with their sums and
+    squares, and how many trials have a bin follows from their grids, summed by condition and grid.
+    least keeps the bins for which so many trials of a condition have data.
+    """
+    which = ["align_id"] if "align_id" in aligned.columns else []
+    named = ["basis"] if bases is not None else []
+    reach = [k for k, _ in taps or [(0, 1.0)]]
+    spans = grids(aligned, groups, width)
+    found = points.where(F.col("basis").isin(bases)) if named else points
+    met = points_in_grids(found.select("trial_id", "t", *named), spans, width, mode)
+    trial = [*which, *named, "cond", "trial_id", "m", "lo", "hi"]
+    rates = met.groupBy(*trial, "bin").agg(F.count("*").cast("double").alias("x"))
+    full = {"lo": F.col("lo") + max(reach), "hi": F.col("hi") + min(reach)}
+    if taps is not None:
+        kernel = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(w).alias("w")) for k, w in taps])
+        sent = rates.select("*", F.inline(kernel)).select(*trial, (F.col("bin") + F.col("k")).alias("bin"), (F.col("x") * F.col("w")).alias("x"))
+        rates = sent.where(F.col("bin").between(full["lo"], full["hi"])).groupBy(*trial, "bin").agg(F.sum("x").alias("x"))
+    keys = [*which, "cond"]
+    sizes = spans.withColumns(full).where("hi >= lo").groupBy(*keys, "lo", "hi").agg(F.sum("m").alias("m"))
+    there = _valid_grids(sizes, least, keys) if least else sizes
+    if named:
+        there = there.withColumn("basis", F.explode(F.array(*[F.lit(b) for b in bases])))
+    none = F.lit(0.0)
+    cells = there.select(*keys, *named, F.explode(F.sequence("lo", "hi")).alias("bin"), F.col("m").alias("n"), none.alias("s"), none.alias("q"))
+    m, x = F.col("m"), F.col("x") * scale
+    sums = rates.select(*keys, *named, "bin", F.lit(0).cast("long").alias("n"), (m * x).alias("s"), (m * x * x).alias("q"))
+    rows = cells.unionByName(sums).groupBy(*which, *named, "cond", "bin").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")).where("n > 0")
+    n, enough = F.col("n"), F.col("n") >= min_count
+    std = F.when(enough & (n > 1), F.sqrt(F.greatest(none, F.col("q") - F.col("s") * F.col("s") / n) / (n - 1)))
+    return rows.select(*which, *named, "cond", "bin", F.when(enough, F.col("s") / n).alias("mean"), (std / F.sqrt(n)).alias("sem"), std.alias("std"), "n")
+
+
+def kernel_means(points: DataFrame, aligned: DataFrame, groups: DataFrame, width: float, kernels: dict[str, Taps], mode: str = "causal", units_per_second: float = 1000.0) -> DataFrame:
+    """kernel, cond, bin, mean, n over the trials of each condition of rates through each of several kernels.
+
+    The mean of what a kernel makes of trials with the same grid is what it makes of their sum, so points
+    and trials are summed by condition and grid first, once, and the kernels only see those sums.
+    """
+    spans = grids(aligned, groups, width)
+    keys = ["cond", "lo", "hi"]
+    counts = points_in_grids(points.select("trial_id", "t"), spans, width, mode).groupBy(*keys, "bin").agg(F.sum("m").alias("x"))
+    sizes = spans.groupBy(*keys).agg(F.sum("m").alias("m"))
+    taps = F.array(*[F.struct(F.lit(name).alias("kernel"), F.lit(k).alias("k"), F.lit(w).alias("w"), F.lit(min(t)[0]).alias("a"), F.lit(max(t)[0]).alias("z")) for name, t in kernels.items() for k, w in t])
+    ends = F.array(*[F.struct(F.lit(name).alias("kernel"), F.lit(min(t)[0]).alias("a"), F.lit(max(t)[0]).alias("z")) for name, t in kernels.items()])
+    full = [F.col("lo") + F.col("z"), F.col("hi") + F.col("a")]
+    sent = counts.select("*", F.inline(taps)).withColumn("bin", F.col("bin") + F.col("k")).where(F.col("bin").between(*full))
+    there = sizes.select("*", F.inline(ends)).where(full[0] <= full[1]).select("kernel", "cond", "m", F.explode(F.sequence(*full)).alias("bin"))
+    sums = sent.select("kernel", "cond", "bin", (F.col("x") * F.col("w")).alias("x"), F.lit(0).cast("long").alias("n"))
+    rows = sums.unionByName(there.select("kernel", "cond", "bin", F.lit(0.0).alias("x"), F.col("m").alias("n")))
+    added = rows.groupBy("kernel", "cond", "bin").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
+    return added.select("kernel", "cond", "bin", (F.col("x") / F.col("n") * units_per_second / width).alias("mean"), "n")
 
 
 def counts_by_basis(points: DataFrame, aligned: DataFrame, bases: list[str], width: float, mode: str = "causal") -> DataFrame:
@@ -113,8 +197,7 @@ def psth(points: DataFrame, aligned: DataFrame, groups: DataFrame, width: float,
 
     groups(trial_id, cond) is a membership table; a trial may be in several conditions.
     """
-    rates = smooth(binned_counts(points, aligned, width, mode), taps, width, units_per_second)
-    return rates.join(groups.select("trial_id", "cond"), "trial_id").groupBy("cond", "bin").agg(*mean_sem("rate", min_count))
+    return rate_means(points, aligned, groups, width, taps, units_per_second / width, mode=mode, min_count=min_count)
 
 
 def resample_average(samples: DataFrame, width: float, mode: str = "causal") -> DataFrame:

@@ -138,13 +138,9 @@ SELECT kernel, cond, bin, round(avg(r) * 1e6, 5) AS mean, count(r) AS n FROM s G
 def kernel_taps(spark, sf_dir):
     """Events of a day by half hours through each of the kernels, averaged by condition."""
     ev, tr = _base(spark, sf_dir)
-    counts = binning.binned_counts(ev.select("trial_id", "t"), windows.align(tr, ev, "TrialStart:TrialEnd @ TrialStart"), HOUR / 2, "acausal")
-    out = None
-    for name, taps in _KERNELS.items():
-        rates = binning.smooth(counts, taps, HOUR / 2).join(tr.select("trial_id", "cond"), "trial_id")
-        part = rates.groupBy(F.lit(name).alias("kernel"), "cond", "bin").agg(F.round(F.avg("rate") * 1e6, 5).alias("mean"), F.count("rate").alias("n"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    days = windows.align(tr, ev, "TrialStart:TrialEnd @ TrialStart")
+    got = binning.kernel_means(ev.select("trial_id", "t"), days, tr.select("trial_id", "cond"), HOUR / 2, _KERNELS, "acausal")
+    return got.select("kernel", "cond", "bin", F.round(F.col("mean") * 1e6, 5).alias("mean"), "n")
 
 
 @query(f"""{BOTH}, m AS (SELECT trial_id, occ, t FROM ev WHERE event = 'click')
