@@ -51,3 +51,50 @@ def test_smoothed_means_count_zeros(data):
         want = rates.join(groups, "trial_id").groupBy("cond", "bin").agg(*mean_sem("rate", 3))
         got = binning.psth(pts, al, groups, 5.0, [(-1, 0.25), (0, 0.5), (1, 0.25)], min_count=3, mode=mode)
         assert got.columns == want.columns and rows(got, "cond", "bin") == rows(want, "cond", "bin")
+
+
+@pytest.fixture(scope="module")
+def dense(data):
+    """The aligned windows, and by alignment, basis, trial and bin the counts of all bins."""
+    tr, ev, pts, groups = data
+    al = windows.align_all(tr, ev, AROUND)
+    counts = {(r.align_id, r.basis, r.trial_id, r.bin): r.n for r in binning.counts_by_basis(pts, al, ["a", "b", "d"], 5.0, "acausal").collect()}
+    return al, counts, [(r.trial_id, r.cond) for r in groups.collect()]
+
+
+def test_population_from_sums(data, dense):
+    _, _, pts, groups = data
+    al, counts, members = dense
+    cells, ends = {}, {}
+    for (a, b, k, x), n in counts.items():
+        for _, c in (m for m in members if m[0] == k):
+            cells.setdefault((a, b, c, x), []).append(n)
+    for a, k in {(a, k) for a, _, k, _ in counts}:
+        bins = [x for i, _, j, x in counts if (i, j) == (a, k)]
+        for _, c in (m for m in members if m[0] == k):
+            ends.setdefault((a, c), []).append((min(bins), max(bins)))
+    inside = lambda a, c, x: sorted(e[0] for e in ends[a, c])[:4][-1] <= x <= sorted((e[1] for e in ends[a, c]), reverse=True)[:4][-1]
+    want = {k: (sum(v) / len(v), len(v)) for k, v in cells.items() if inside(k[0], k[2], k[3])}
+    got = binning.rate_means(pts, al, groups, 5.0, bases=["a", "b", "d"], mode="acausal", least=4)
+    assert {(r.align_id, r.basis, r.cond, r.bin): (pytest.approx(r["mean"]), r.n) for r in got.collect()} == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(concat" not in plan and "collect_list" not in plan  # no trial is made into rows of all its bins
+
+
+def test_changes_from_baseline_from_sums(data, dense):
+    _, _, pts, groups = data
+    al, counts, members = dense
+    taps = [(-1, 0.25), (0, 0.5), (1, 0.25)]
+    rate = {(a, b, k, x): sum(w * counts[a, b, k, x - d] for d, w in taps) * 2.0 for a, b, k, x in counts if all((a, b, k, x - d) in counts for d, _ in taps)}
+    before = {}
+    for (a, b, k, x), r in rate.items():
+        if a == 0 and -3 <= x <= -1:
+            before.setdefault((b, k), []).append(r)
+    want = {}
+    for (a, b, k, x), r in rate.items():
+        for _, c in (m for m in members if m[0] == k):
+            cell = want.setdefault((a, b, c, x), [])
+            if (b, k) in before:
+                cell.append(r - sum(before[b, k]) / len(before[b, k]))
+    got = binning.rate_changes(pts, al, groups, 5.0, taps, 2.0, ["a", "b", "d"], (0, -3, -1), "acausal").collect()
+    assert {(r.align_id, r.basis, r.cond, r.bin): (r.change if r.change is None else pytest.approx(r.change), r.n) for r in got} == {k: (sum(v) / len(v) if v else None, len(v)) for k, v in want.items()}

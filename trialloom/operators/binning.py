@@ -57,11 +57,11 @@ def _bins_met(width: float, mode: str) -> Column:
     return F.concat(F.sequence("lo", "hi"), F.coalesce(labels, F.array().cast("array<bigint>")))
 
 
-def _label(t: Column, width: float, mode: str) -> Column:
+def _label(t: Column, width: float, mode: str, hi: str = "hi") -> Column:
     """The bin of a time relative to zero in a grid that ends with hi."""
     off = OFFSET[mode]
-    last = F.abs(t - (F.col("hi") + 1 + off) * width) < 1e-9  # on the closing edge of the last bin
-    return F.when(last, F.col("hi")).otherwise(F.floor(t / width - off).cast("long"))
+    last = F.abs(t - (F.col(hi) + 1 + off) * width) < 1e-9  # on the closing edge of the last bin
+    return F.when(last, F.col(hi)).otherwise(F.floor(t / width - off).cast("long"))
 
 
 def grids(aligned: DataFrame, groups: DataFrame, width: float) -> DataFrame:
@@ -177,6 +177,43 @@ def smooth(counts: DataFrame, taps: Taps, width: float, units_per_second: float
     return full.select(*keys, "bin", (F.col("x") * units_per_second / width).alias("rate"))
 
 
+def rate_changes(points: DataFrame, aligned: DataFrame, groups: DataFrame, width: float, taps: Taps, scale: float, bases: list[str], baseline: tuple[int, int, int], mode: str = "causal") -> DataFrame:
+    """align_id, basis, cond, bin, change, n: counts through a kernel, times scale, less each trial's own mean over
+    baseline, the bins first .. last of an alignment (align_id, first, last), over the trials that have one.
+
+    aligned is as of align_all. Both are sums over points: one adds its taps to the bins around it and
+    takes its part in the baseline from all bins of its trial's grid, which are summed by condition and grid.
+    """
+    from pyspark.sql import Window as W
+
+    which, first, last = baseline
+    reach = [k for k, _ in taps]
+    spans = grids(aligned, groups, width).withColumns({"a": F.col("lo") + max(reach), "z": F.col("hi") + min(reach)})
+    cut = F.struct("zero", "start_pad", "stop_pad", "lo", "hi", F.greatest("a", F.lit(first)).alias("a"), F.least("z", F.lit(last)).alias("z"))
+    base = F.max(F.when((F.col("align_id") == which) & (F.least("z", F.lit(last)) >= F.greatest("a", F.lit(first))), cut))
+    spans = spans.withColumn("base", base.over(W.partitionBy("trial_id", "cond"))).where("z >= a")  # a row an alignment
+
+    def weight(at: Column, a: str, z: str) -> list[Column]:
+        return [F.when((at + k).between(F.col(a), F.col(z)), F.lit(w)).otherwise(0.0) for k, w in taps]
+
+    def inside(at: str) -> Column:  # the bin of a point in a grid, missing outside of it
+        label = _label(F.col("t") - F.col(f"{at}zero"), width, mode, f"{at}hi")
+        return F.when(F.col("t").between(F.col(f"{at}start_pad"), F.col(f"{at}stop_pad")) & label.between(F.col(f"{at}lo"), F.col(f"{at}hi")), label)
+
+    rows = points.where(F.col("basis").isin(bases)).select("trial_id", "basis", F.col("t").cast("double").alias("t")).join(spans.where("base is not null"), "trial_id")
+    rows = rows.withColumns({"bin": inside(""), "before": inside("base.")}).where("bin is not null or before is not null")
+    own = [F.struct((F.col("bin") + k).alias("at"), w.alias("x")) for (k, _), w in zip(taps, weight(F.col("bin"), "a", "z"), strict=True)]
+    share = sum(weight(F.col("before"), "base.a", "base.z"), F.lit(0.0)) / (F.col("base.z") - F.col("base.a") + 1)
+    parts = F.filter(F.array(*own, F.struct(F.lit(None).cast("long").alias("at"), (-share).alias("x"))), lambda p: p["x"] != 0)
+    sent = rows.select("align_id", "basis", "cond", "a", "z", "m", F.inline(parts)).groupBy("align_id", "basis", "cond", "a", "z", "at").agg(F.sum(F.col("m") * F.col("x")).alias("x"))
+    everywhere = F.when(F.col("at").isNull(), F.sequence("a", "z")).otherwise(F.array("at"))
+    sums = sent.select("align_id", "basis", "cond", F.explode(everywhere).alias("bin"), "x", F.lit(0).cast("long").alias("n"))
+    sizes = spans.groupBy("align_id", "cond", "a", "z").agg(F.sum(F.when(F.col("base").isNotNull(), F.col("m")).otherwise(0)).alias("n"))
+    cells = sizes.withColumn("basis", F.explode(F.array(*[F.lit(b) for b in bases]))).select("align_id", "basis", "cond", F.explode(F.sequence("a", "z")).alias("bin"), F.lit(0.0).alias("x"), "n")
+    added = sums.unionByName(cells).groupBy("align_id", "basis", "cond", "bin").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
+    return added.select("align_id", "basis", "cond", "bin", (F.try_divide("x", "n") * scale).alias("change"), "n")
+
+
 def mean_rate(points: DataFrame, aligned: DataFrame, units_per_second: float = 1000.0) -> DataFrame:
     """trial_id, n, duration, rate: points in the window over its length; NULL for no length."""
     n = in_window(points, aligned).groupBy("trial_id").agg(F.count("*").alias("n"))

@@ -71,6 +71,12 @@ def _counts(spark, sf_dir, around, bases):
     return counts.withColumn("v", F.col("n").cast("double")).drop("n"), tr
 
 
+def _sources(spark, sf_dir):
+    """All kinds of events as points of a basis, the events and the trials."""
+    ev = events_long(spark, sf_dir)
+    return ev.select(F.col("event").alias("basis"), "trial_id", "t"), ev, trials(ev)
+
+
 def _population(spark, sf_dir):
     counts, tr = _counts(spark, sf_dir, [AROUND], _SOURCES)
     return timecourse.population_means(counts.drop("align_id"), tr, 5).where("n >= 5")
@@ -136,11 +142,10 @@ b AS (SELECT trial_id, basis, avg(r) AS b FROM smooth WHERE align_id = 0 AND bin
 SELECT align_id, basis, cond, bin, round(avg(r - b) * 1e6, 4) AS change, count(r - b) AS n FROM smooth JOIN tr USING (trial_id) LEFT JOIN b USING (trial_id, basis) GROUP BY 1, 2, 3, 4""")
 def alignments_from_baseline(spark, sf_dir):
     """Smoothed rates under three alignments, less each trial's own before its first click."""
-    counts, tr = _counts(spark, sf_dir, list(_WINDOWS), _KINDS)
-    rates = binning.smooth(counts.withColumnRenamed("v", "n"), [(-1, 0.25), (0, 0.5), (1, 0.25)], HOUR, by=["align_id", "basis"])
-    base = rates.where("align_id = 0 and bin < 0").groupBy("trial_id", "basis").agg(F.avg("rate").alias("baseline"))
-    change = rates.join(base, ["trial_id", "basis"], "left").withColumn("v", F.col("rate") - F.col("baseline")).join(tr.select("trial_id", "cond"), "trial_id")
-    return change.groupBy("align_id", "basis", "cond", "bin").agg(F.round(F.avg("v") * 1e6, 4).alias("change"), F.count("v").alias("n"))
+    found, ev, tr = _sources(spark, sf_dir)
+    aligned = windows.align_all(tr, ev, list(_WINDOWS))
+    got = binning.rate_changes(found, aligned, tr, HOUR, [(-1, 0.25), (0, 0.5), (1, 0.25)], 1000 / HOUR, list(_KINDS), (0, -24, -1), "acausal")
+    return got.select("align_id", "basis", "cond", "bin", (F.round(F.col("change") * 1e6, 4) + F.lit(0.0)).alias("change"), "n")
 
 
 @query(f"""{_ALIGNMENTS} SELECT trial_id, coalesce(sum(n) FILTER (align_id = 0), 0)::BIGINT AS around_click, coalesce(sum(n) FILTER (align_id = 1), 0)::BIGINT AS around_purchase, coalesce(sum(n) FILTER (align_id = 2), 0)::BIGINT AS within_views
