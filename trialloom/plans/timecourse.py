@@ -63,14 +63,6 @@ bw AS (SELECT basis, cond, max(t0) FILTER (a <= 5) AS t_min, min(t1) FILTER (z <
 cube AS (SELECT basis, cond, bin, {_MEANS} FROM x GROUP BY 1, 2, 3), pop AS (SELECT cube.* FROM cube JOIN win USING (cond) WHERE bin BETWEEN first AND last AND n >= 5)"""
 
 
-def _counts(spark, sf_dir, around, bases):
-    """Counts by hour of the events named bases, around each of several alignments, and the trials."""
-    ev = events_long(spark, sf_dir)
-    tr = trials(ev)
-    counts = binning.counts_by_basis(ev.select(F.col("event").alias("basis"), "trial_id", "t"), windows.align_all(tr, ev, around), list(bases), HOUR, "acausal")
-    return counts.withColumn("v", F.col("n").cast("double")).drop("n"), tr
-
-
 def _sources(spark, sf_dir):
     """All kinds of events as points of a basis, the events and the trials."""
     ev = events_long(spark, sf_dir)
@@ -78,8 +70,8 @@ def _sources(spark, sf_dir):
 
 
 def _population(spark, sf_dir):
-    counts, tr = _counts(spark, sf_dir, [AROUND], _SOURCES)
-    return timecourse.population_means(counts.drop("align_id"), tr, 5).where("n >= 5")
+    found, ev, tr = _sources(spark, sf_dir)
+    return binning.rate_means(found, windows.align(tr, ev, AROUND), tr, HOUR, bases=list(_SOURCES), mode="acausal", min_count=5, least=5).where("n >= 5")
 
 
 @query(f"{_POPULATION} SELECT basis, cond, bin, round(mean, 6) AS mean, round(sem, 6) AS sem, round(std, 6) AS std, n FROM pop")
@@ -127,13 +119,17 @@ bw AS (SELECT align_id, basis, cond, max(t0) FILTER (a <= 5) AS t_min, min(t1) F
 cube AS (SELECT align_id, basis, cond, bin, {_MEANS} FROM x GROUP BY 1, 2, 3, 4), pop AS (SELECT cube.* FROM cube JOIN win USING (align_id, cond) WHERE bin BETWEEN first AND last AND n >= 5)"""
 
 
+def _aligned_population(spark, sf_dir):
+    found, ev, tr = _sources(spark, sf_dir)
+    return binning.rate_means(found, windows.align_all(tr, ev, list(_WINDOWS)), tr, HOUR, bases=list(_KINDS), mode="acausal", min_count=5, least=5).where("n >= 5")
+
+
 @query(f"""{_ALIGNMENTS}, spans AS (SELECT align_id, min(bin) AS a, max(bin) AS z FROM pop GROUP BY 1), offs AS (SELECT align_id, coalesce(sum(z - a + 1 + 2) OVER (ORDER BY align_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - a AS o FROM spans)
 SELECT align_id, basis, cond, bin, CAST(bin + o AS BIGINT) AS place, round(mean, 6) AS mean, round(sem, 6) AS sem, n FROM pop JOIN offs USING (align_id)""")
 def population_alignments(spark, sf_dir):
     """All kinds of events as bases under three alignments: means by alignment, basis, condition and
     hour, and where the hour stands when the alignments are laid end to end, two hours apart."""
-    counts, tr = _counts(spark, sf_dir, list(_WINDOWS), _KINDS)
-    cube = timecourse.population_means(counts, tr, 5, ["align_id"]).where("n >= 5")
+    cube = _aligned_population(spark, sf_dir)
     return timecourse.end_to_end(cube, 2).select("align_id", "basis", "cond", "bin", "place", F.round("mean", 6).alias("mean"), F.round("sem", 6).alias("sem"), "n")
 
 
@@ -162,7 +158,6 @@ def combined_counts(spark, sf_dir):
 SELECT align_id, basis, cond, bin, round(avg(v), 6) AS mean, round(stddev_samp(v) / sqrt(count(*)), 6) AS sem, count(*) AS n FROM m GROUP BY 1, 2, 3, 4""")
 def regrouped_population(spark, sf_dir):
     """The population under three alignments with two of its conditions made one, from the cube alone."""
-    counts, tr = _counts(spark, sf_dir, list(_WINDOWS), _KINDS)
-    cube = timecourse.population_means(counts, tr, 5, ["align_id"]).where("n >= 5")
+    cube = _aligned_population(spark, sf_dir)
     got = timecourse.regrouped(cube, {0: 0, 1: 1, 2: 1}, ["align_id", "basis", "bin"])
     return got.select("align_id", "basis", "cond", "bin", F.round("mean", 6).alias("mean"), F.round("sem", 6).alias("sem"), "n")
