@@ -98,3 +98,19 @@ def test_changes_from_baseline_from_sums(data, dense):
                 cell.append(r - sum(before[b, k]) / len(before[b, k]))
     got = binning.rate_changes(pts, al, groups, 5.0, taps, 2.0, ["a", "b", "d"], (0, -3, -1), "acausal").collect()
     assert {(r.align_id, r.basis, r.cond, r.bin): (r.change if r.change is None else pytest.approx(r.change), r.n) for r in got} == {k: (sum(v) / len(v) if v else None, len(v)) for k, v in want.items()}
+
+
+def test_functions_of_arrays(spark):
+    import numpy as np
+
+    from trialloom.operators import conditions
+
+    df = spark.createDataFrame([(1, "a", 1.0, 2), (1, "a", None, 3), (2, "a", 5.0, None), (3, None, None, 1), (1, "b", 4.0, 1)], "k int, s string, v double, w int")
+
+    def fn(v, w):
+        assert isinstance(v, np.ndarray) and v.dtype == float and len(v) == len(w)
+        return float(np.nansum(v * w)) if (~np.isnan(v)).any() else None
+
+    got = conditions.map_arrays(df, ["k", "s"], ["v", "w"], fn, "x")
+    assert {(r.k, r.s): r.x for r in got.collect()} == {(1, "a"): 2.0, (2, "a"): 0.0, (3, None): None, (1, "b"): 4.0}
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().executedPlan().toString()  # no call of Python for each group

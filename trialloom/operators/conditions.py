@@ -181,11 +181,27 @@ def gather(membership: DataFrame, order: str = "trial_id") -> DataFrame:
 
 
 def map_groups(df: DataFrame, by: list[str], fn, schema: str) -> DataFrame:
-    """fn(frame) -> frame for the rows of each group, which must fit a task. What columns can
-    express is better left to groupBy."""
+    """fn(frame) -> frame for the rows of each group, which must fit a task. A frame is made
+    for each: for many small groups map_arrays is faster, and what columns can express is better left to groupBy."""
     return df.groupBy(*by).applyInPandas(fn, schema)
 
 
+def map_arrays(df: DataFrame, by: list[str], values: list[str], fn, name: str) -> DataFrame:
+    """*by, name: fn(array, ...) -> number of each group's values, arrays of doubles in the same order, missing
+    ones NaN. Many groups are one Arrow batch, so a group costs what fn does; a group must fit a task."""
+    import pandas as pd
+
+    lists = df.groupBy(*by).agg(F.collect_list(F.struct(*[F.col(c).cast("double").alias(c) for c in values])).alias("_rows"))
+    arrays = lists.select(*by, *[F.col("_rows").getField(c).alias(f"_{i}") for i, c in enumerate(values)])
+
+    def run(frames):
+        for frame in frames:
+            found = [fn(*group) for group in zip(*[frame[f"_{i}"] for i in range(len(values))], strict=True)]
+            yield frame[by].assign(**{name: pd.Series(found, index=frame.index, dtype="float64")})
+
+    return arrays.mapInPandas(run, ", ".join([*[f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by], f"`{name}` double"]))
+
+
 def first_subscript(membership: DataFrame) -> DataFrame:
     """trial_id, cond, conditions: of membership(trial_id, cond, weight) the condition with the largest
     weight, the first of equals, and how many a trial is in."""

@@ -66,13 +66,13 @@ def gathered_trials(spark, sf_dir):
 @query(f"{BOTH}, m AS (SELECT trial_id, median(v) AS m FROM ev GROUP BY 1) SELECT trial_id, round(median(abs(v - m)), 6) AS spread FROM ev JOIN m USING (trial_id) GROUP BY 1")
 def mapped_groups(spark, sf_dir):
     """A function of one's own for each trial: the median distance from the median."""
-    import pandas as pd
+    import numpy as np
 
-    def spread(frame: pd.DataFrame) -> pd.DataFrame:
-        v = frame["v"]
-        return pd.DataFrame({"trial_id": frame["trial_id"].iloc[:1], "spread": [float((v - v.median()).abs().median())]})
+    def spread(v: np.ndarray) -> float | None:
+        v = v[~np.isnan(v)]
+        return float(np.median(np.abs(v - np.median(v)))) if len(v) else None
 
-    got = C.map_groups(events_long(spark, sf_dir).select("trial_id", "v"), ["trial_id"], spread, "trial_id long, spread double")
+    got = C.map_arrays(events_long(spark, sf_dir).select("trial_id", "v"), ["trial_id"], ["v"], spread, "spread")
     return got.select("trial_id", F.round("spread", 6).alias("spread"))
 
 
