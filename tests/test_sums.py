@@ -114,3 +114,20 @@ def test_functions_of_arrays(spark):
     got = conditions.map_arrays(df, ["k", "s"], ["v", "w"], fn, "x")
     assert {(r.k, r.s): r.x for r in got.collect()} == {(1, "a"): 2.0, (2, "a"): 0.0, (3, None): None, (1, "b"): 4.0}
     assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().executedPlan().toString()  # no call of Python for each group
+
+
+def test_distributions_meet_conditions_before_the_union(data):
+    tr, ev, pts, groups = data
+    al = windows.align(tr, ev, AROUND[0])
+    found = windows.marks(tr, ev, al, "stop")
+    spans = windows.mark_intervals(pts.where("basis = 'a'").groupBy("trial_id").agg(F.min("t").alias("t0"), F.max("t").alias("t1")), al)
+    got = windows.distributions(al, groups, found, spans)
+    rows_ = {(r.kind, r.cond): (r.n, r.low, r.high) for r in got.where("cond is not null").collect()}
+    of = {c: {r.trial_id for r in groups.where(F.col("cond") == c).collect()} for c in (0, 2)}
+    for c, trials in of.items():
+        marks = [r.t for r in found.collect() if r.trial_id in trials]
+        lengths = [r.t1 - r.t0 for r in spans.collect() if r.trial_id in trials]
+        assert rows_.get(("mark", c), (0, None, None))[0] == len(marks)
+        assert rows_["interval length", c] == (len(lengths), min(lengths), max(lengths))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Union") < plan.index("Join")  # the union's rows are added up as they come, not sorted by trial

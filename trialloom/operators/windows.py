@@ -184,14 +184,18 @@ def distributions(aligned: DataFrame, groups: DataFrame, found: DataFrame | None
     found(trial_id, t) is as of marks(), intervals(trial_id, t0, t1) as of mark_intervals(). Sums and
     extremes, so that sessions merge (merged_distributions).
     """
-    inside = aligned.where("valid").select("trial_id", (F.col("start") - F.col("zero")).alias("start"), (F.col("stop") - F.col("zero")).alias("stop"))
-    parts = [inside.select("trial_id", F.lit(k).alias("kind"), F.col(k).alias("x")) for k in ("start", "stop")]
+    found_in = groups.select("trial_id", "cond")
+
+    def part(df: DataFrame, **kinds: Column) -> DataFrame:  # joined before the union, whose rows have lost their order by trial
+        each = [F.struct(F.lit(k.replace("_", " ")).alias("kind"), x.alias("x")) for k, x in kinds.items()]
+        return df.join(found_in, "trial_id").select("cond", F.inline(F.array(*each)))
+
+    parts = [part(aligned.where("valid"), start=F.col("start") - F.col("zero"), stop=F.col("stop") - F.col("zero"))]
     if found is not None:
-        parts.append(found.select("trial_id", F.lit("mark").alias("kind"), F.col("t").alias("x")))
+        parts.append(part(found, mark=F.col("t")))
     if intervals is not None:
-        parts.append(intervals.select("trial_id", F.lit("interval start").alias("kind"), F.col("t0").alias("x")))
-        parts.append(intervals.select("trial_id", F.lit("interval length").alias("kind"), (F.col("t1") - F.col("t0")).alias("x")))
-    rows = reduce(DataFrame.unionByName, parts).join(groups.select("trial_id", "cond"), "trial_id").where("x is not null")
+        parts.append(part(intervals, interval_start=F.col("t0"), interval_length=F.col("t1") - F.col("t0")))
+    rows = reduce(DataFrame.unionByName, parts).where("x is not null")
     x = F.col("x")
     sums = [F.count("x").alias("n"), F.sum("x").alias("s"), F.sum(x * x).alias("s2"), F.min("x").alias("low"), F.max("x").alias("high")]
     return rows.groupingSets([["kind", "cond"], ["kind"]], "kind", "cond").agg(*sums)
