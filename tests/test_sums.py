@@ -131,3 +131,11 @@ def test_distributions_meet_conditions_before_the_union(data):
         assert rows_["interval length", c] == (len(lengths), min(lengths), max(lengths))
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Union") < plan.index("Join")  # the union's rows are added up as they come, not sorted by trial
+
+
+@pytest.mark.parametrize("name", ["rotational_components", "components_over_time"])
+def test_components_read_the_events_once(spark, name):
+    from trialloom.plans import registry
+
+    got = registry.queries()[name](spark, "/root/testdata/sf0.001")
+    assert not [f for f in got.inputFiles() if "events" in f]  # only the cube, which is a few rows

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from trialloom.operators import demixing, dynamics, population, randomise
 from trialloom.plans.population import _X
 from trialloom.plans.registry import query
-from trialloom.plans.timecourse import _POPULATION, _SOURCES, _population
+from trialloom.plans.timecourse import _POPULATION, _SOURCES, _stored_population
 
 # The fitted rotation of three bases is a cross product with w, and (tr S - S) w = e.
 _ROTATION = f"""{_POPULATION}, p AS (SELECT cond, bin, max(mean) FILTER (basis = 'error') AS a, max(mean) FILTER (basis = 'purchase') AS b, max(mean) FILTER (basis = 'view') AS c FROM pop GROUP BY 1, 2 HAVING count(mean) = 3),
@@ -28,7 +28,7 @@ def rotational_components(spark, sf_dir):
     """Where each condition stands in the plane in which the population turns: how far from its
     axis, how far along it, and how fast the plane turns."""
     bases = list(_SOURCES)
-    states = dynamics.states_in_time(_population(spark, sf_dir), bases)
+    states = dynamics.states_in_time(_stored_population(spark, sf_dir), bases)
     weights, _ = dynamics.rotational_weights(states, bases, 3)
     score = lambda d: F.max(F.when(F.col("dimension") == d, F.col("score")))
     at = dynamics.along(states, weights, bases).groupBy("cond", "bin").agg(*[score(d).alias(f"s{d}") for d in range(3)])
@@ -40,7 +40,7 @@ def rotational_components(spark, sf_dir):
 def rotation_between_bases(spark, sf_dir):
     """The fitted rotation of the population, by pairs of bases."""
     bases = list(_SOURCES)
-    _, turns = dynamics.rotational_weights(dynamics.states_in_time(_population(spark, sf_dir), bases), bases, 3)
+    _, turns = dynamics.rotational_weights(dynamics.states_in_time(_stored_population(spark, sf_dir), bases), bases, 3)
     return turns.where("i < j").select("i", "j", F.round("m", 6).alias("m"))
 
 
@@ -150,7 +150,7 @@ SELECT cond, bin, round((a * e1 + b * e2 + c * e3) / length, 4) AS score, round(
 def components_over_time(spark, sf_dir):
     """The population over conditions and time along its direction of largest variance, at times at which all bases have data."""
     bases = list(_SOURCES)
-    rows = population.complete_over_time(_population(spark, sf_dir), bases)
+    rows = population.complete_over_time(_stored_population(spark, sf_dir), bases)
     weights = population.component_weights(rows, 1)
     scores = population.scores(rows, weights)
     return scores.select("cond.cond", "cond.bin", F.round("score", 4).alias("score"), F.round("explained", 5).alias("explained"))

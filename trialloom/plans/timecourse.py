@@ -8,6 +8,7 @@ from trialloom.operators import binning, contrasts, timecourse, windows
 from trialloom.plans.alignment import AROUND, CLICKS, HOUR
 from trialloom.plans.base import BOTH, events_long, samples, trials
 from trialloom.plans.registry import query
+from trialloom.sources.tables import written
 
 _GRID = f"""{CLICKS}, s AS (SELECT al.trial_id, CAST(floor((t - zero) / 1800000) AS BIGINT) AS bin, avg(v) AS v FROM al JOIN ev ON ev.trial_id = al.trial_id AND t BETWEEN start AND stop GROUP BY 1, 2),
 b AS (SELECT trial_id, avg(v) AS b FROM s WHERE bin BETWEEN -4 AND -1 GROUP BY 1)"""
@@ -74,6 +75,11 @@ def _population(spark, sf_dir):
     return binning.rate_means(found, windows.align(tr, ev, AROUND), tr, HOUR, bases=list(_SOURCES), mode="acausal", min_count=5, least=5).where("n >= 5")
 
 
+def _stored_population(spark, sf_dir):
+    """The population's cube, a few rows, kept for plans that read it more than once."""
+    return written(_population(spark, sf_dir))
+
+
 @query(f"{_POPULATION} SELECT basis, cond, bin, round(mean, 6) AS mean, round(sem, 6) AS sem, round(std, 6) AS std, n FROM pop")
 def population_timecourse(spark, sf_dir):
     """Three kinds of events as bases: means by basis, condition and hour where five trials of each basis have data."""
@@ -84,7 +90,7 @@ def population_timecourse(spark, sf_dir):
 FROM pop JOIN f USING (cond, bin) GROUP BY 1, 2""")
 def population_matrix(spark, sf_dir):
     """The complete rows of the population over time, a column for each basis."""
-    cube = timecourse.complete_rows(_population(spark, sf_dir), 3)
+    cube = timecourse.complete_rows(_stored_population(spark, sf_dir), 3)
     return timecourse.matrix(cube, list(_SOURCES)).select("cond", "bin", *[F.round(b, 6).alias(b) for b in _SOURCES])
 
 
@@ -92,7 +98,7 @@ def population_matrix(spark, sf_dir):
 SELECT cond_a, cond_b, bin, round(max(d) FILTER (bin = bin_b), 6) AS distance, round(min(d), 6) AS nearest FROM d GROUP BY 1, 2, 3""")
 def nearest_distances(spark, sf_dir):
     """How far two conditions' states are at the same time, and at the time at which they are nearest."""
-    got = timecourse.nearest_distances(_population(spark, sf_dir), list(_SOURCES))
+    got = timecourse.nearest_distances(_stored_population(spark, sf_dir), list(_SOURCES))
     return got.select("cond_a", "cond_b", "bin", F.round("distance", 6).alias("distance"), F.round("nearest", 6).alias("nearest"))
 
 
